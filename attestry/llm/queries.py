@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import language_id, token_planes
-from attestry.llm.common import table
+from attestry.llm import language_id, line_dedup, mixing, token_planes, unigram_count
+from attestry.llm.common import Scratch, table
+
+#: One word in the sense of the word-counting operators.
+WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def tokenizer_path(name: str) -> str:
@@ -26,5 +29,37 @@ def op3_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.token_output(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_token_planes)}
-ORACLES: dict[str, str] = {}
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.when(F.col("n_dropped") == 0, F.coalesce("text", F.lit(""))).otherwise(line_dedup.apply_bitmaps("text", "keep_runs"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+
+
+OP5_SQL = """
+with lines as (
+  select d.doc_id, u.place, u.line, translate(trim(u.line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from documents d, unnest(string_split(coalesce(d.text, ''), chr(10))) with ordinality as u(line, place)
+), common as (
+  select key, max(doc_id) as keeper from lines where length(key) >= 40 group by key having count(distinct doc_id) >= 5
+), marked as (
+  select l.*, c.key is not null and l.doc_id < c.keeper as dropped from lines l left join common c on l.key = c.key
+)
+select doc_id, count(*) as n_lines, count(*) filter (dropped) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by place) filter (not dropped), '')) as kept_sha256
+from marked group by doc_id
+"""
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.array("source").alias("members"))
+    docs = Scratch(spark, "mixing").write(docs, "sizes")
+    found = mixing.mix(docs, "doc_id", "size", "members")
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op10_unigram_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram_count.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_token_planes, op5_line_dedup, op6_mixing, op10_unigram_count)}
+ORACLES: dict[str, str] = {"op5_line_dedup": OP5_SQL}

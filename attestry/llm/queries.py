@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import language_id, line_dedup, mixing, token_planes, unigram_count
+from attestry.llm import language_id, line_dedup, mixing, quality, telephony, token_planes, unigram_count, warc
 from attestry.llm.common import Scratch, table
 
 #: One word in the sense of the word-counting operators.
@@ -18,6 +18,13 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    docs = table(spark, sf_dir, "documents").select("doc_id", held.alias("held_out"), "text")
+    labels = table(spark, sf_dir, "labels").where(~held).select("doc_id", F.col("quality").alias("label"))
+    return quality.classify(docs, labels)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
@@ -29,6 +36,22 @@ def op3_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.token_output(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP4_SQL = """
+with own as (
+  select page_id, coalesce(html, '') as payload, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages
+), stored as (
+  select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest) else page_id end as stored from own
+)
+select page_id, payload_bytes, payload_digest, case when stored = page_id then 'response' else 'revisit' end as record_type,
+  case when stored <> page_id then stored end as refers_to
+from stored
+"""
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.when(F.col("n_dropped") == 0, F.coalesce("text", F.lit(""))).otherwise(line_dedup.apply_bitmaps("text", "keep_runs"))
@@ -57,9 +80,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telephony.media_round_trip(table(spark, sf_dir, "documents"))
+
+
 def op10_unigram_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram_count.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_token_planes, op5_line_dedup, op6_mixing, op10_unigram_count)}
-ORACLES: dict[str, str] = {"op5_line_dedup": OP5_SQL}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_language_id, op3_token_planes, op4_warc, op5_line_dedup, op6_mixing, op9_telephony, op10_unigram_count)}
+ORACLES: dict[str, str] = {"op4_warc": OP4_SQL, "op5_line_dedup": OP5_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import decontaminate, language_id, line_dedup, mixing, quality, telephony, token_planes, unigram_count, warc
+from attestry.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing, quality, telephony, token_planes, unigram_count, warc
 from attestry.llm.common import Scratch, table
 
 #: One word in the sense of the word-counting operators.
@@ -80,6 +80,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.jaccard_components(docs, size=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "coverage", "tiles")
 
@@ -92,5 +97,5 @@ def op10_unigram_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram_count.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_language_id, op3_token_planes, op4_warc, op5_line_dedup, op6_mixing, op8_decontaminate, op9_telephony, op10_unigram_count)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_language_id, op3_token_planes, op4_warc, op5_line_dedup, op6_mixing, op7_jaccard_join, op8_decontaminate, op9_telephony, op10_unigram_count)}
 ORACLES: dict[str, str] = {"op4_warc": OP4_SQL, "op5_line_dedup": OP5_SQL}

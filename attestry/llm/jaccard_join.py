@@ -308,13 +308,15 @@ class _Join:
         smallest = rows.where("_comp is not null and doc_id is not null").groupBy("_comp").agg(F.min("doc_id").alias("_least"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
         smallest = self.scratch.write(smallest, "smallest")
         found = rows.join(smallest, "_comp", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("_least", "doc_id")))
-        return found.select(*self.rest, "n_shingles", "component_id")
+        return found.select(*self.rest, "n_shingles", "component_id", F.col("_comp").alias("group_id"))
 
 
-def jaccard_components(docs: DataFrame, size: int, percent: int, text: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int, percent: int, text: str = "text", keep_group: bool = False) -> DataFrame:
     """``docs`` with ``n_shingles`` and ``component_id`` in place of the text; links need ``percent`` / 100 of the union in common.
 
     ``docs`` has a long ``doc_id``; columns named node, check, n_shingles, slice, counts and component_id are replaced.
+    ``keep_group`` adds ``group_id``, the component's own name, which tells rows of one doc_id in different components apart (null: empty set).
     """
-    docs = docs.drop("node", "check", "n_shingles", "slice", "counts", "component_id")
-    return _Join(docs.withColumn("doc_id", F.col("doc_id").cast("long")), size, percent, text).run()
+    docs = docs.drop("node", "check", "n_shingles", "slice", "counts", "component_id", "group_id")
+    found = _Join(docs.withColumn("doc_id", F.col("doc_id").cast("long")), size, percent, text).run()
+    return found if keep_group else found.drop("group_id")

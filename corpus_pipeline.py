@@ -1,8 +1,82 @@
-"""Placeholder until the stages stand."""
+"""A training-corpus pipeline over ``documents``: five stages, each calling one operator of ``attestry.llm``.
 
-STAGES: list = []
+Every stage takes all rows that its predecessor kept, as (spark, docs, sf_dir), and returns a DataFrame; all but the last return the columns of
+``documents``. ``run`` writes each stage's rows as Parquet to the shared folder and reads them back for the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from attestry.llm import decontaminate, jaccard_join, language_id, mixing, token_planes
+from attestry.llm.common import Scratch, table
+from attestry.llm.queries import WORD, tokenizer_path
+
+#: Word n-grams and percentage of the union that near duplicates share.
+NEAR_SIZE, NEAR_PERCENT = 5, 80
+END_ID = 2
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Profiles of the rows that name their language; documents without any recognizable language go."""
+    found = language_id.predict(docs, language_id.train(docs.select("text", "lang")))
+    return found.where(F.col("lang_pred") != "und").select(docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component the row with the smallest doc_id stays (then the smallest text hash, then the smallest row); rows without doc_id stay."""
+    scratch = Scratch(spark, "near_duplicates")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    found = scratch.write(jaccard_join.jaccard_components(rows, NEAR_SIZE, NEAR_PERCENT, keep_group=True), "components")
+    found = found.where("doc_id is not null and group_id is not null")
+    best = found.where("doc_id = component_id").groupBy("group_id").agg(F.min("text_hash").alias("best"), F.count("*").alias("n"))
+    best = scratch.write(best, "best")
+    lost = found.where("doc_id <> component_id").select("doc_id", "text_hash")
+    tied = found.where("doc_id = component_id").join(best.where("n > 1"), "group_id")
+    lost = lost.unionByName(tied.where("text_hash <> best").select("doc_id", "text_hash"))
+    again = tied.where("text_hash = best").select("doc_id", "text_hash").distinct()
+    lost, again = scratch.write(lost.distinct(), "lost"), scratch.write(again, "again")
+    key = [F.col("doc_id"), F.xxhash64("text").alias("text_hash")]
+    marked = docs.select(*docs.columns, key[1]).join(lost, ["doc_id", "text_hash"], "left_anti")
+    once = marked.join(again, ["doc_id", "text_hash"], "left_anti").select(docs.columns)
+    if again.isEmpty():
+        return once
+    repeated = marked.join(again, ["doc_id", "text_hash"], "left_semi").groupBy("doc_id", "text_hash").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return once.unionByName(repeated.select("row.*"))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontaminate.decontaminate(docs, decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))).select(docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    sized = docs.withColumns({"mix_size": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)), "mix_members": F.array("source")})
+    mixed = mixing.mix(sized, "doc_id", "mix_size", "mix_members")
+    return mixed.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(docs.columns)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of all that is left, in ascending doc_id order, read back from their files."""
+    return token_planes.token_output(docs, tokenizer_path("word_bpe_49k.json"), END_ID)
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("token_output", token_stage),
+]
+#: Neither the profiles, nor the mix, nor the tokenizer can be put in SQL; tests/llm holds a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = scratch.write(stage(spark, docs, sf_dir), f"{k}-{name}", "snappy")
+    return docs

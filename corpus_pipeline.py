@@ -38,7 +38,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     again = tied.where("text_hash = best").select("doc_id", "text_hash").distinct()
     lost, again = scratch.write(lost.distinct(), "lost"), scratch.write(again, "again")
     key = [F.col("doc_id"), F.xxhash64("text").alias("text_hash")]
-    marked = docs.select(*docs.columns, key[1]).join(lost, ["doc_id", "text_hash"], "left_anti")
+    marked = docs.select(*docs.columns, key[1]).join(lost.hint("merge"), ["doc_id", "text_hash"], "left_anti")
     once = marked.join(again, ["doc_id", "text_hash"], "left_anti").select(docs.columns)
     if again.isEmpty():
         return once

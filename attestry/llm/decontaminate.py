@@ -186,4 +186,4 @@ def decontaminate(docs: DataFrame, leaks: DataFrame) -> DataFrame:
     """``docs`` without the rows that ``leaks`` names."""
     bad = leaks.select("doc_id", "text_hash").distinct()
     own = docs.withColumn("_text_hash", F.xxhash64("text"))
-    return own.join(bad, own["doc_id"].eqNullSafe(bad["doc_id"]) & (own["_text_hash"] == bad["text_hash"]), "left_anti").drop("_text_hash")
+    return own.join(bad.hint("merge"), own["doc_id"].eqNullSafe(bad["doc_id"]) & (own["_text_hash"] == bad["text_hash"]), "left_anti").drop("_text_hash")

@@ -23,11 +23,14 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), SEPARATORS, " "), r"\s+", " "))
 
 
-@F.pandas_udf("string")
-def fold_unicode(text: pd.Series) -> pd.Series:
+def _folded(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 
 
+def fold_unicode(text: Column) -> Column:
+    return F.pandas_udf(_folded, "string")(text)
+
+
 def normalize_unicode(text: Column) -> Column:
     return normalize(fold_unicode(text))
 
@@ -122,9 +125,7 @@ def coefficient_range(text: Column) -> Column:
 _NEGATIVE = [("dimension", r"\d+(?:\.\d+)?\s*(?:mm|cm|um|μm|mesh|目)\b"), ("range", r"\d+(?:\.\d+)?\s*~\s*\d+(?:\.\d+)?"), ("year", r"\b(?:19|20)\d{2}\b"), ("standard", r"\b(?:gb|iso|en|astm)(?:/t)?\s*\d+"), ("ratio", r"\d+\s*:\s*\d+"), ("temperature", r"\d+(?:\.\d+)?\s*(?:°c|℃)"), ("model", r"\b[a-z]{2,}-?\d+[a-z]+\b"), ("count", r"\d+\s*(?:pcs|pieces?|bags?|rolls?)\b"), ("mass", r"\d+(?:\.\d+)?\s*(?:kg|g|t|lb)\b")]
 
 
-@F.pandas_udf("array<struct<start:int,end:int,value:double,role:string>>")
-def numeric_tokens(text: pd.Series) -> pd.Series:
-    """Numbers of a name with their role; contexts that aren't grades claim their span first, then percentages, then labels."""
+def _numbers(text: pd.Series) -> pd.Series:
     def one(t: str | None) -> list[dict]:
         out, used = [], []
         low = unicodedata.normalize("NFKC", t or "").casefold()
@@ -146,6 +147,11 @@ def numeric_tokens(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
+def numeric_tokens(text: Column | str) -> Column:
+    """Numbers of a name with their role; contexts that aren't grades claim their span first, then percentages, then labels."""
+    return F.pandas_udf(_numbers, "array<struct<start:int,end:int,value:double,role:string>>")(text)
+
+
 def _lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, one bit row at a time."""
     places: dict[str, int] = {}
@@ -158,12 +164,15 @@ def _lcs(a: str, b: str) -> int:
     return len(a) - bin(row).count("1")
 
 
-@F.pandas_udf("double")
-def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """2 * LCS / (length of both); 1 for two empty texts."""
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([1.0 if not x and not y else 2 * _lcs(x, y) / (len(x) + len(y)) for x, y in zip(a.fillna(""), b.fillna(""), strict=True)], dtype=float)
 
 
+def indel_ratio(a: Column, b: Column) -> Column:
+    """2 * LCS / (length of both); 1 for two empty texts."""
+    return F.pandas_udf(_ratio, "double")(a, b)
+
+
 def lexical_score(a: Column, b: Column) -> Column:
     """The larger of the words-and-bigrams Jaccard and half the indel ratio; both texts normalized."""
     return F.greatest(jaccard(F.array_union(tokens(a), bigrams(a)), F.array_union(tokens(b), bigrams(b))), 0.5 * indel_ratio(a, b))

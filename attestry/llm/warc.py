@@ -126,7 +126,7 @@ def write_archives(scratch: Scratch, pages: DataFrame, min_revisit: int = MIN_RE
     stored = own.where((F.col("n_bytes") >= min_revisit) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("stored"), F.count("*").alias("n")).where("n > 1")
     stored = scratch.write(stored.select("digest", "stored"), "stored")
     both = own.join(stored, "digest", "left")
-    refers = F.when((F.col("n_bytes") >= min_revisit) & (F.col("stored") != F.col("page_id")), F.col("stored"))
+    refers = F.when((F.col("n_bytes") >= min_revisit) & ~F.col("stored").eqNullSafe(F.col("page_id")), F.col("stored"))
     both = both.select("page_id", F.when(refers.isNull(), F.col("payload")).otherwise(F.lit(b"")).alias("payload"), "url", "n_bytes", "digest", refers.alias("refers_to"))
 
     def archive(batches):

@@ -53,7 +53,7 @@ def keep_bitmaps(scratch: Scratch, docs: DataFrame, min_chars: int = MIN_CHARS,
     first = ordered.select("h", "slice", "doc_id", F.lag("doc_id").over(stream).alias("before")).where("before is null or before <> doc_id")
     common = first.groupBy("h", "slice").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).groupBy("h").agg(F.sum("n").alias("n"), F.max("last").alias("keeper")).where(F.col("n") >= min_docs)
     common = scratch.write(common.select("h", "keeper"), "common")
-    dropped = hashes.join(common, "h").where(F.col("doc_id") < F.col("keeper"))
+    dropped = hashes.join(common.hint("merge"), "h").where(F.col("doc_id") < F.col("keeper"))
     return scratch.write(dropped.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("place")).alias("dropped")), "dropped")
 
 
@@ -69,7 +69,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     """doc_id, text, n_lines, n_dropped, keep_runs for every row of ``docs`` (doc_id, text)."""
     dropped = keep_bitmaps(Scratch(docs.sparkSession, "line_dedup"), docs.select("doc_id", "text"), min_chars, min_docs)
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.size(lines_of("text")).alias("n_lines"))
-    both = own.join(dropped, ["doc_id", "text_hash"], "left")
+    both = own.join(dropped.hint("merge"), ["doc_id", "text_hash"], "left")  # one plan at every size: what is dropped grows with the corpus
     none = F.array().cast("array<int>")
     both = both.select("doc_id", "text", "n_lines", F.coalesce("dropped", none).alias("dropped"))
     return both.select("doc_id", "text", F.col("n_lines").cast("long").alias("n_lines"), F.size("dropped").cast("long").alias("n_dropped"), keep_runs(F.col("n_lines"), F.col("dropped")).alias("keep_runs"))

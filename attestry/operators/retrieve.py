@@ -43,10 +43,17 @@ def prepare(df: DataFrame, prefix: str) -> DataFrame:
     return df.withColumns({f"{prefix}t_{k}": tokens(F.col(f"{prefix}n_{k}")) for k in COMPARED} | {f"{prefix}t_material": tokens(F.col(f"{prefix}norm"))})
 
 
+def parsed(df: DataFrame, source: str, name: str, parse) -> DataFrame:
+    """``df`` with ``parse`` of a unit column, done once for each distinct text: parsing takes dozens of patterns, spellings are few."""
+    own = df.select(F.col(source).alias("_u")).where("_u is not null").distinct().withColumn(name, parse(F.col("_u")))
+    return df.join(own, F.col(source) == F.col("_u"), "left").drop("_u")
+
+
 def prepare_requests(requests: DataFrame) -> DataFrame:
     """Prefix ``q_``; parsed quantity unit and target unit (the requested one, or kgCO2e by the request's own unit), wanted modules."""
     q = prepare(requests, "q_").withColumn("q_target_unit", F.coalesce("q_target_factor_unit", F.concat(F.lit("kgCO2e/"), F.col("q_quantity_unit"))))
-    return q.withColumns({"q_unit": activity_unit(F.col("q_quantity_unit")), "t_unit": factor_unit(F.col("q_target_unit")), "q_modules": boundary_modules(F.col("q_boundary"))})
+    q = parsed(parsed(q, "q_quantity_unit", "q_unit", activity_unit), "q_target_unit", "t_unit", factor_unit)
+    return q.withColumn("q_modules", boundary_modules(F.col("q_boundary")))
 
 
 def prepare_catalog(catalog: DataFrame) -> DataFrame:
@@ -55,7 +62,7 @@ def prepare_catalog(catalog: DataFrame) -> DataFrame:
     listed = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.coalesce("c_boundary_modules", F.lit("")), r"\|"), lambda m: F.upper(F.trim(m))), lambda m: m != "")))
     declared = F.nullif(normalize(F.coalesce("c_declared_product", F.lit(""))), F.lit(""))
     hashed = F.coalesce(F.col("c_document_sha256"), F.lit("")).rlike("^[0-9a-f]{64}$")
-    return c.withColumns({"c_alias_norm": normalize(F.col("c_alias")), "c_unit": factor_unit(F.col("c_factor_unit")), "c_declared_norm": declared, "c_modules": F.nullif(F.array_join(listed, "|"), F.lit("")), "c_hashed": hashed})
+    return parsed(c, "c_factor_unit", "c_unit", factor_unit).withColumns({"c_alias_norm": normalize(F.col("c_alias")), "c_declared_norm": declared, "c_modules": F.nullif(F.array_join(listed, "|"), F.lit("")), "c_hashed": hashed})
 
 
 def exact_hits(q: DataFrame, c: DataFrame) -> DataFrame:

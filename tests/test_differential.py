@@ -14,9 +14,9 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tabl
 
 def canonical(df):
     def cell(v):
-        if v is None or v != v or str(v) in ("NaT", "<NA>"):
+        if v is None or str(v) in ("NaT", "<NA>", "nan"):
             return "NULL"
-        if isinstance(v, bool) or type(v).__name__ == "bool_":
+        if "bool" in type(v).__name__:
             return str(bool(v))
         return f"{float(v):.6f}" if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
 

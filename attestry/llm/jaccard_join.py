@@ -6,9 +6,10 @@ counters of fixed size summed over all documents, and breaks ties by a seeded ha
 inverted lists; a pair from a list is a candidate only if its sizes allow the similarity and its prefixes meet under every other order too.
 What passes all filters is verified on the exact sets.
 
-Texts with equal word sequences are one node. Components don't need every pair of a large group: in each round every list proposes the
-pairs of one leader with the members outside the leader's component, and links found contract components. When rounds find nothing more,
-or few pairs are left, all remaining pairs between different components of a list are tested, so no link between components is missed.
+Texts with equal word sequences are one node. Components don't need every pair of a large group: in two rounds every list proposes the
+pairs of one leader with the members outside the leader's component, and links found contract components. Then every pair of a list that
+still lies in two components is tested, so no link between components is missed: in lists of few components as pairs; the nodes of longer
+lists are dealt into blocks, and each two blocks meet in one task that filters and verifies with matrix products and returns a forest.
 
 Defined cases: null, empty and blank texts have an empty set and link with nothing; fewer than ``size`` words make one n-gram of the whole
 sequence; a row with a null ``doc_id`` is scored but takes part in no component (null); rows that share a ``doc_id`` are separate rows;
@@ -30,9 +31,10 @@ from pyspark.sql import functions as F
 from attestry.llm.common import Scratch, bounded_batches, utf8
 from attestry.llm.components import components
 
-ORDERS, COUNTERS, SLICES = 3, 1 << 22, 64
+ORDERS, COUNTERS, SLICES = 3, 1 << 25, 64
 LIST_BITS = 1 << 24
-MAX_ROUNDS = 6
+#: Rounds of leaders; components of a list that are paired row by row; nodes and n-grams of one block.
+ROUNDS, SHORT_LIST, BLOCK_NODES, BLOCK_GRAMS = 2, 16, 256, 400_000
 _MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)]
 
 
@@ -85,12 +87,12 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def frequency_classes(rows: DataFrame) -> np.ndarray:
-    """COUNTERS classes (quarter powers of two of the summed counters), one byte each; ``rows`` are slices of task counters."""
+    """COUNTERS classes (the summed counters up to 15, then eighth powers of two), one byte each; ``rows`` are slices of task counters."""
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros(COUNTERS // SLICES, np.int64)
         for x in t["counts"]:
-            total += np.frombuffer(zstandard.decompress(x.as_py()), np.uint32)
-        level = np.minimum(255, np.floor(np.log2(total + 1) * 4)).astype(np.uint8)
+            total += np.frombuffer(zstandard.decompress(x.as_py()), np.uint8)
+        level = np.minimum(255, np.where(total < 16, total, 16 + np.floor((np.log2(np.maximum(total, 16)) - 4) * 8))).astype(np.uint8)
         return pa.table({"slice": t["slice"][:1], "counts": pa.array([level.tobytes()], pa.binary())})
 
     found = rows.select("slice", "counts").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()  # SLICES rows, COUNTERS bytes in all
@@ -118,7 +120,7 @@ class _Join:
         own = self.docs.select(*rest, utf8(self.text).alias("_raw"))
         for seed in range(100):
             def measure(batches, seed=seed):
-                total, schema = np.zeros(COUNTERS, np.uint32), None
+                total, schema = np.zeros(COUNTERS, np.uint8), None
                 for b in batches:
                     rows, hashes = [], []
                     for raw in b.column(len(rest)).to_pylist():
@@ -126,10 +128,9 @@ class _Join:
                         grams = shingles(words, size)
                         rows.append((*node_of(words, seed), len(grams)) if words else (None, None, 0))
                         hashes.append(grams)
-                    at = (_mixed(np.concatenate(hashes), 3) & np.uint64(COUNTERS - 1)).astype(np.int64) if hashes else []
-                    total += np.bincount(at, minlength=COUNTERS).astype(np.uint32) if len(at) > COUNTERS // 8 else 0
-                    if len(at) <= COUNTERS // 8:
-                        np.add.at(total, at, 1)
+                    if rows:
+                        at, n = np.unique((_mixed(np.concatenate(hashes), 3) & np.uint64(COUNTERS - 1)).astype(np.int64), return_counts=True)
+                        total[at] = np.minimum(255, total[at] + n)  # a task's count of 255 is far above any rare n-gram's
                     new = _arrays(rows, [pa.int64(), pa.int64(), pa.int64()], ["node", "check", "n_shingles"])
                     schema = b.schema
                     n = len(rows)
@@ -265,43 +266,101 @@ class _Join:
 
         return self.scratch.write(both.select("a", "b", "a_body", "b_body").mapInArrow(verify, "a long, b long"), f"{name}-links")
 
+    def block_links(self, members: DataFrame, bodies: DataFrame) -> DataFrame:
+        """Forests of all links among nodes that long lists connect; ``members`` has token, node and comp."""
+        size, percent = self.size, self.percent
+        lead = members.groupBy("token").agg(F.min("node").alias("b"))
+        groups = components(self.scratch, members.join(lead, "token").select(F.col("node").alias("a"), "b"), "blocks").withColumnRenamed("root", "group")
+        dealt = groups.join(bodies.select("node", "n"), "node")
+        totals = dealt.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+        dealt = dealt.select("group", "node").join(totals, "group").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("group", "node", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).join(bodies, "node")
+        orders = [f"p{k}" for k in range(1, ORDERS)]
+
+        def shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            """How many members each two sets have in common, from products of incidence matrices."""
+            owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            keep = times[at] > 1  # what one set has alone is in no intersection
+            _, at = np.unique(at[keep], return_inverse=True)
+            owner, out = owner[keep], np.zeros((len(left), len(right)), np.float32)
+            for first in range(0, int(at.max(initial=-1)) + 1, 4096):
+                part = (at >= first) & (at < first + 4096)
+                m = np.zeros((len(sets), 4096), np.float32)
+                m[owner[part], at[part] - first] = 1
+                out += m[left] @ m[right].T
+            return out
+
+        def meet(t: pa.Table) -> pa.Table:
+            nodes, own = t["node"].to_numpy(), t["own"].to_numpy()
+            low, high = t["low"][0].as_py(), t["high"][0].as_py()
+            left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+            n = t["n"].to_numpy().astype(np.int64)
+            a, b = n[left][:, None], n[right][None, :]
+            fits = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (nodes[left][:, None] != nodes[right][None, :])
+            for p in orders:
+                if fits.any():
+                    fits &= shared([np.unique(x) for x in t[p].to_numpy(zero_copy_only=False)], left, right) > 0
+            rows = []
+            if fits.any():
+                common = shared([shingles(zstandard.decompress(x).split(b" "), size) for x in t["body"].to_pylist()], left, right).astype(np.int64)
+                parent: dict[int, int] = {}
+
+                def root(x: int) -> int:
+                    while parent.setdefault(x, x) != x:
+                        parent[x] = parent[parent[x]]
+                        x = parent[x]
+                    return x
+
+                for i, j in zip(*np.nonzero(fits & (100 * common >= percent * (a + b - common))), strict=True):
+                    x, y = root(int(nodes[left[i]])), root(int(nodes[right[j]]))
+                    parent[max(x, y)] = min(x, y)
+                rows = [(x, r) for x in parent if (r := root(x)) != x]
+            return pa.Table.from_batches([_arrays(rows, [pa.int64(), pa.int64()], ["a", "b"])])
+
+        return self.scratch.write(dealt.groupBy("group", "low", "high").applyInArrow(meet, "a long, b long"), "block-links")
+
     def run(self) -> DataFrame:
         self.measured()
         lists = self.listed()
         roots = None
         if not lists.isEmpty():
             bodies = self.candidates(lists)
-            current, tested, roots = lists.withColumn("comp", F.col("node")), None, lists.select("node").distinct().withColumn("root", F.col("node"))
-            for turn in range(MAX_ROUNDS + 1):
-                per = current.groupBy("token", "comp").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("some"))
-                open_lists = per.groupBy("token").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.min_by(F.struct("comp", "some"), F.struct(F.xxhash64("some", F.lit(turn)), "comp")).alias("lead")).where("comps > 1")
-                open_lists = self.scratch.write(open_lists, f"open-{turn}")
-                left = open_lists.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs"), F.sum("n").alias("n")).first()
-                if not left["n"]:
+            roots = self.scratch.write(lists.select("node").distinct().withColumn("root", F.col("node")), "roots")
+            tested = None
+            for turn in range(ROUNDS + 1):
+                current = self.scratch.write(lists.join(roots.withColumnRenamed("root", "comp"), "node"), f"current-{turn}")
+                pick = F.min_by if turn % 2 == 0 else F.max_by
+                per = current.groupBy("token").agg(F.count_distinct("comp").alias("comps"), pick(F.struct("comp", "node"), "node").alias("lead")).where("comps > 1")
+                per = self.scratch.write(per, f"open-{turn}")
+                if per.isEmpty():
                     break
-                last = turn == MAX_ROUNDS or (turn > 1 and left["pairs"] <= 2 * left["n"])
-                members = current.join(open_lists.select("token", "lead"), "token")
-                if last:  # everything that is left, each pair once
-                    members = self.scratch.write(members.select("token", "node", "comp"), f"members-{turn}")
-                    other = members.select("token", F.col("node").alias("b"), F.col("comp").alias("b_comp"))
-                    pairs = members.join(other, "token").where((F.col("node") < F.col("b")) & (F.col("comp") != F.col("b_comp"))).select(F.col("node").alias("a"), "b")
+                if turn < ROUNDS:
+                    pairs = current.join(per, "token").where("comp <> lead.comp").select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
                 else:
-                    pairs = members.where("comp <> lead.comp").select(F.least("node", "lead.some").alias("a"), F.greatest("node", "lead.some").alias("b"))
-                pairs = pairs.distinct()
+                    short = current.join(per.where(F.col("comps") <= SHORT_LIST).select("token"), "token")
+                    # a list of few components may still have many members; then it counts as long
+                    sides = self.scratch.write(short.select("token", "node", "comp"), "short")
+                    sizes = sides.groupBy("token").agg(F.count("*").alias("n"))
+                    long = per.where(F.col("comps") > SHORT_LIST).select("token").unionByName(sizes.where(F.col("n") > 4 * SHORT_LIST).select("token"))
+                    long = self.scratch.write(long, "long")
+                    sides = sides.join(long, "token", "left_anti")
+                    other = sides.select("token", F.col("node").alias("b"), F.col("comp").alias("b_comp"))
+                    pairs = sides.join(other, "token").where((F.col("node") < F.col("b")) & (F.col("comp") != F.col("b_comp"))).select(F.col("node").alias("a"), "b").distinct()
                 if tested is not None:
                     pairs = pairs.join(tested, ["a", "b"], "left_anti")
                 pairs = self.scratch.write(pairs, f"new-{turn}")
                 tested = pairs if tested is None else tested.unionByName(pairs)
                 links = self.links(pairs, bodies, f"round-{turn}")
+                if turn == ROUNDS:
+                    links = links.unionByName(self.block_links(current.join(long, "token"), bodies))
                 named = roots.select(F.col("node").alias("_n"), "root")
                 for side in ("a", "b"):
                     links = links.join(named, links[side] == named["_n"]).drop(side, "_n").withColumnRenamed("root", side)
                 merged = components(self.scratch, links, f"round-{turn}")
                 moved = merged.select(F.col("node").alias("root"), F.col("root").alias("_to"))
                 roots = self.scratch.write(roots.join(moved, "root", "left").select("node", F.coalesce("_to", "root").alias("root")), f"roots-{turn}")
-                if last:
-                    break
-                current = self.scratch.write(lists.join(roots.withColumnRenamed("root", "comp"), "node"), f"current-{turn}")
         rows = self.rows.withColumn("_comp", F.col("node"))
         if roots is not None:
             rows = rows.join(roots.withColumnRenamed("root", "_root"), "node", "left").withColumn("_comp", F.coalesce("_root", "node")).drop("_root")

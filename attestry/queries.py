@@ -182,7 +182,7 @@ x as (select *, case when ambiguous then 'duplicate_parameter' when (reference_a
 select edge_id, reason, round(case when reason is null then greatest(0.0, base_factor - ref) + tgt else base_factor end, 6) as factor, case when reason is null then 'process_adjusted' else 'unadjusted_process_proxy' end as method from x""")
 def process_rebuild(spark: SparkSession, sf: str) -> DataFrame:
     edges = spark.sql(_EDGES.format(str="string").replace("from part", "from {part}"), part=table(spark, sf, "part"))
-    return T.process_rebuild(edges.withColumn("natural_gas_kgce_per_nm3", F.col("natural_gas_kgce_per_nm3"))).select("edge_id", "reason", F.round("factor", 6).alias("factor"), "method")
+    return T.process_rebuild(edges).select("edge_id", "reason", F.round("factor", 6).alias("factor"), "method")
 
 
 @query("select 'E-' || cast(p_partkey as varchar) as edge_id, case when v >= 0 then round(v, 6) end as factor, case when v < 0 then 'negative_result' when v is null then 'parameter_missing' end as reason from (select p_partkey, p_retailprice / 1000.0 - p_size / 25.0 + case when p_size % 9 <> 0 then p_size / 50.0 end + 0.0 as v from part)")

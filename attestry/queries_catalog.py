@@ -64,7 +64,7 @@ def numeric_tokens(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"with {UNITS}, raw as (select distinct upper(quantity_unit) || ' ' as raw from ({domain.REQUEST_SQL})) select raw, canonical, dimension, round(ratio, 9) as ratio, evidence from raw left join unit on key = lower(trim(raw))")
 def unit_parse(spark: SparkSession, sf: str) -> DataFrame:
     raw = domain.requests(spark, sf).select(F.concat(F.upper("quantity_unit"), F.lit(" ")).alias("raw")).distinct()
-    u = X.F.col("u")
+    u = F.col("u")
     return raw.withColumn("u", U.activity_unit(F.col("raw"))).select("raw", u["canonical"].alias("canonical"), u["dimension"].alias("dimension"), F.round(u["ratio"], 9).alias("ratio"), u["evidence"].alias("evidence"))
 
 

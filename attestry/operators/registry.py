@@ -13,20 +13,44 @@ def _edge(text: str, at: int) -> bool:
     return at < 0 or at >= len(text) or not (text[at].isascii() and text[at].isalnum())
 
 
+def _joined(names: DataFrame, active: DataFrame) -> DataFrame:
+    """All occurrences between edges, from an equi-join of names and aliases.
+
+    Between edges, a run of ASCII letters and digits in an alias is a whole run of the name too: an alias' longest one is its key. An alias without any
+    has its first character as key. Runs and single other characters never are the same text.
+    """
+    runs = lambda c: F.regexp_extract_all(c, F.lit("[0-9A-Za-z]+"), F.lit(0))
+    longest = F.array_max(F.transform(runs("alias"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    single = F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.substr(F.col("name"), i, F.lit(1)))
+    keys = F.when(F.length("name") > 0, F.array_distinct(F.concat(runs("name"), F.filter(single, lambda c: ~c.rlike("[0-9A-Za-z]")))))
+    pairs = names.withColumn("key", F.explode(keys)).join(active.withColumn("key", F.coalesce(longest, F.substring("alias", 1, 1))), "key")
+
+    @F.pandas_udf("array<int>")
+    def starts(text: pd.Series, alias: pd.Series) -> pd.Series:
+        def one(t: str, a: str) -> list[int]:
+            out, at = [], t.find(a)
+            while at >= 0:
+                if _edge(t, at - 1) and _edge(t, at + len(a)):
+                    out.append(at)
+                at = t.find(a, at + 1)
+            return out
+
+        return pd.Series([one(t, a) for t, a in zip(text, alias)])
+
+    return pairs.select("name", "alias", "rule_id", F.explode(starts("name", "alias")).alias("start")).select("name", F.struct(F.length("alias").alias("size"), "start", "rule_id").alias("m"))
+
+
 def match_rules(names: DataFrame, rules: DataFrame) -> DataFrame:
     """Spans of active rules in distinct names. names: name; rules: rule_id, alias, status.
 
-    The rule table is small by nature; its size is checked, and it goes to the workers as one automaton. Larger tables are joined on the
-    aliases' first words instead.
+    The rule table is small by nature; its size is checked, and it goes to the workers as one automaton. Larger tables are joined instead, with
+    the same occurrences as a result.
     """
     active = rules.where("status = 'active' and alias <> ''").select("alias", "rule_id").distinct()
     names = names.select("name").distinct()
     listed = active.limit(MAX_RULES + 1).collect()
     if len(listed) > MAX_RULES:
-        words = names.withColumn("word", F.explode(F.array_distinct(F.split("name", " "))))
-        own = words.join(active.withColumn("word", F.get(F.split("alias", " "), F.lit(0))), "word").where("instr(concat(' ', name, ' '), concat(' ', alias, ' ')) > 0")
-        pairs = own.select("name", F.struct(F.length("alias").alias("size"), (F.instr("name", F.col("alias")) - 1).alias("start"), "rule_id").alias("m")).distinct()
-        return _pack(pairs.groupBy("name").agg(F.collect_list("m").alias("ms")))
+        return _pack(_joined(names, active).groupBy("name").agg(F.collect_list("m").alias("ms")))
     aliases = [(r["alias"], r["rule_id"]) for r in listed]
 
     @F.pandas_udf("array<struct<size:int,start:int,rule_id:string>>")

@@ -66,6 +66,16 @@ def test_registry_prefers_long_matches_without_overlap(spark):
     assert rows(registry.best_rule(found)) == [("hot rolled steel sheet", "b")]
 
 
+def test_registry_matches_alike_at_every_size(spark, monkeypatch):
+    names = spark.createDataFrame([(n,) for n in ("string ring", "steel/bolt, steel", "blue anvil, red", "热轧steel板", "热轧板", "a.b a.b", "ring ring ring", "--", "steely", "x😀y", "")], "name string")
+    own = [("r", "ring"), ("s", "steel"), ("t", "anvil"), ("u", "热轧"), ("v", "a.b"), ("w", "ring ring"), ("x", "-"), ("y", "😀"), ("z", "bolt"), ("q", "steel"), ("p", "😀y")]
+    rules = spark.createDataFrame([(i, a, "active") for i, a in own], "rule_id string, alias string, status string")
+    small = rows(registry.match_rules(names, rules))
+    assert ("string ring", "r", 7, 4) in small and ("steel/bolt, steel", "z", 6, 4) in small and ("steel/bolt, steel", "q", 12, 5) in small
+    monkeypatch.setattr(registry, "MAX_RULES", 3)
+    assert rows(registry.match_rules(names, rules)) == small
+
+
 def test_chain_detects_a_change(spark):
     events = spark.createDataFrame([("r", i, f"e{i}") for i in range(6)], "k string, n int, body string")
     links = trace.chain(events, "k", ["n"], trace.entry_text("body"))

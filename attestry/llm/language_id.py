@@ -25,6 +25,8 @@ DIM, N, SEED = 1024, 3, 20_240_229
 MEMO_NGRAMS = 12_288
 #: More languages than this aren't a label column but noise; prototypes stay a few MB.
 MAX_LANGUAGES = 2_000
+#: Distinct scores that a length class needs for a threshold of its own.
+LEAST_SCORES = 80
 
 
 class Profiles:
@@ -175,3 +177,39 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
 def identify(docs: DataFrame, learn_from: Column, dim: int = DIM) -> DataFrame:
     """Learn from the rows that ``learn_from`` marks, predict for all rows."""
     return predict(docs, train(docs.where(learn_from), dim), dim=dim)
+
+
+def length_class(text: str = "text") -> Column:
+    """Whole binary logarithm of a text's length; null and empty texts count as 0."""
+    return F.floor(F.log2(F.greatest(F.length(F.coalesce(F.col(text), F.lit(""))), F.lit(1)))).cast("int")
+
+
+def thresholds(predicted: DataFrame, text: str = "text") -> dict[int, float]:
+    """By length class, the score under which a text is no specimen of its language, from all labelled rows of ``predict``.
+
+    It is the first quartile less three times the distance to the third (at least 1 / sqrt(DIM), what cosines of unrelated vectors vary by), so a
+    minority of junk among the labelled rows moves it little and no fixed share goes. Equal scores count once, as copies of one text would narrow
+    the quartiles. A class with too few of them has the threshold of the next shorter one; the shortest have none.
+    """
+    rows = predicted.where("lang is not null and lang_pred <> 'und'").select(length_class(text).alias("size"), "score").distinct()
+    seen: dict[int, list[tuple[float, int]]] = {}
+    for r in rows.groupBy("size", F.round("score", 3).alias("score")).count().collect():  # at most a thousand a class
+        seen.setdefault(r["size"], []).append((r["score"], r["count"]))
+    out: dict[int, float] = {}
+    last = 0.0
+    for size in range(max(seen, default=-1) + 1):
+        own = sorted(seen.get(size, []))
+        scores, places = np.array([x for x, _ in own]), np.cumsum([n for _, n in own])
+        if own and places[-1] >= LEAST_SCORES:
+            low, high = (scores[np.searchsorted(places, q * places[-1])] for q in (0.25, 0.75))
+            last = max(0.0, float(low - 3 * max(high - low, DIM**-0.5)))
+        out[size] = last
+    return out
+
+
+def recognizable(limits: dict[int, float], text: str = "text") -> Column:
+    """Whether a row of ``predict`` reaches the threshold of its length."""
+    least = F.lit(0.0)
+    for size, limit in sorted(limits.items()):
+        least = F.when(length_class(text) >= size, limit).otherwise(least)
+    return (F.col("lang_pred") != "und") & (F.col("score") >= least)

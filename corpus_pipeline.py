@@ -19,9 +19,10 @@ END_ID = 2
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Profiles of the rows that name their language; documents without any recognizable language go."""
+    """Profiles of the rows that name their language; documents go whose score with every profile is too low for a text of their length."""
     found = language_id.predict(docs, language_id.train(docs.select("text", "lang")))
-    return found.where(F.col("lang_pred") != "und").select(docs.columns)
+    found = Scratch(spark, "language_id").write(found, "found", "snappy")
+    return found.where(language_id.recognizable(language_id.thresholds(found))).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

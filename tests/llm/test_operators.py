@@ -93,6 +93,19 @@ def test_bundle_is_the_sum_of_bound_letters():
     assert (p.bundle(["Ab, c"])[0] == direct).all()
 
 
+def test_pipeline_language_stage_rejects_what_no_profile_knows(spark):
+    import corpus_pipeline
+
+    r = random.Random(9)
+    words = {k: ["".join(r.choice(own) for _ in range(r.randint(2, 6))) for _ in range(120)] for k, own in {"aa": "abcdefgh", "vv": "rstuvwxyz", "new": "ijklmnopq"}.items()}
+    make = lambda k, n: " ".join(r.choice(words[k]) for _ in range(n))
+    clean = [(k, make(k, n)) for k in ("aa", "vv") for n in (60, 80, 100) for _ in range(60)] + [(k, make(k, n)) for k in ("aa", "vv") for n in (1, 2, 4) for _ in range(10)]
+    junk = [(None, make("new", 80)), ("aa", "abcdxq " * 60), (None, "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400))), (None, "12 !"), (None, None)]
+    rows = [(i, t, k, "s", len(t or "")) for i, (k, t) in enumerate(clean + junk)] + [(9000 + i, clean[0][1], "aa", "s", 7) for i in range(500)]
+    kept = {x["doc_id"] for x in corpus_pipeline.language_stage(spark, spark.createDataFrame(rows, EMPTY), "").collect()}
+    assert kept == {x[0] for x in rows} - set(range(len(clean), len(clean) + len(junk)))
+
+
 # ---- quality -----------------------------------------------------------------------------------------------------------------
 def test_quality_held_out(spark):
     good, bad = prose(150, 5), [" ".join(w.upper() + "!!" for w in t.split()) for t in prose(150, 6)]

@@ -37,5 +37,6 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
         labels = scratch.write(labels, f"{name}-labels-{step}")
         edges = _moved(scratch, _moved(scratch, edges, "a", parents), "b", parents).where("a <> b")
         edges = scratch.write(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges-{step}")
+        scratch.drop(f"{name}-parents-{step}", *(f"{name}-parents-{step}-{k}" for k in range(hop)), f"{name}-edges-{step - 1}" if step else f"{name}-edges", *([f"{name}-labels-{step - 1}"] if step else []))
         step += 1
     return labels if labels is not None else scratch.spark.createDataFrame([], "node long, root long")

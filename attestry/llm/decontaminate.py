@@ -1,13 +1,15 @@
 """Benchmark decontamination by greedy string tiling.
 
 Documents and benchmark items become words (letters, digits and underscores, case folded). Seeds are hashes of ``MIN_MATCH`` words in a row
-(all words of a shorter item). A bit set of fixed size of the benchmark's seeds keeps all other document seeds from being shuffled;
-what passes joins the benchmark's seeds, so the benchmark may be of any size. Pairs whose number of shared seeds could reach the
-threshold are tiled: running Karp-Rabin looks for matches of a length that shrinks as it goes, marks the longest first, and no word
-belongs to two tiles. An item counts as found if its tiles cover ``COVERAGE`` of its words, in whatever order they stand in the document.
+(all words of a shorter item). A bit set of bounded size of the benchmark's seeds keeps all other document seeds from being shuffled;
+what passes joins the benchmark's seeds, so the benchmark may be of any size. An item's most frequent seeds are left out of that join as far
+as a document that covers the item must have a rarer one too, so a phrase of every document doesn't pair every document with every item.
+Pairs whose number of shared seeds could reach the threshold are tiled: running Karp-Rabin looks for matches of a length that shrinks as it
+goes, marks the longest first, and no word belongs to two tiles. An item counts as found if its tiles cover ``COVERAGE`` of its words, in
+whatever order they stand in the document.
 
 Defined cases: null and empty texts, and items without words, match nothing; an empty benchmark flags nothing; rows that share a ``doc_id``
-are told apart by their text; a null ``doc_id`` is kept as it is; equal longest matches are taken in order of the item's, then the document's
+are told apart by their text; a null ``doc_id`` or ``item_id`` is kept as it is; equal longest matches are taken in order of the item's, then the document's
 position; repeated rows of either table don't multiply results; other columns are ignored.
 """
 
@@ -20,12 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from attestry.llm.common import Scratch, bounded_batches
+from attestry.llm.common import Scratch, bit_set, bounded_batches, without
 
 MIN_MATCH, COVERAGE, FIRST_LENGTH = 5, 0.7, 20
-#: Bits of the benchmark's seed set; it takes 2 MB whatever the benchmark's size.
-SEED_BITS = 1 << 24
 _WORD = re.compile(rb"[0-9a-z_\x80-\xff]+")
 _MARKS = re.compile("[\x80-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf -⁯　-〿！-／]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -37,16 +38,32 @@ def words_of(text: str | None) -> list[bytes]:
     return _WORD.findall((text if text.isascii() else _MARKS.sub(" ", text)).lower().encode("utf-8", "surrogatepass"))
 
 
-def window_hashes(codes: np.ndarray, length: int) -> np.ndarray:
-    """Polynomial hashes (modulo 2**64) of all runs of ``length`` codes."""
-    n = len(codes) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for i in range(length):
-        out = out * _BASE + codes[i : i + n]
-    out ^= out >> np.uint64(31)
-    return out * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(length)
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse (modulo 2**64), n at least."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((int(_BASE), pow(int(_BASE), -1, 1 << 64))):
+            _POWERS[k] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * n - 1, base, np.uint64)]))
+    return _POWERS
+
+
+class Running:
+    """Karp-Rabin fingerprints of all runs of any length from one pass: sums of codes times powers of the base (modulo 2**64), shifted back."""
+
+    def __init__(self, codes: np.ndarray):
+        self.n = len(codes)
+        power = _powers(self.n + 1)[0]
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * power[: self.n])])
+
+    def hashes(self, length: int) -> np.ndarray:
+        n = self.n - length + 1
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        out = (self.sums[length:] - self.sums[:n]) * _powers(self.n + 1)[1][:n]
+        out ^= out >> np.uint64(31)
+        return out * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(length)
 
 
 def codes_of(words: list[bytes]) -> np.ndarray:
@@ -54,7 +71,7 @@ def codes_of(words: list[bytes]) -> np.ndarray:
 
 
 # ---- tiling ---------------------------------------------------------------------------------------------------------------
-def _matches(pattern: np.ndarray, text: np.ndarray, free_p: np.ndarray, free_t: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+def _matches(pattern: np.ndarray, text: np.ndarray, runs: tuple[Running, Running], free_p: np.ndarray, free_t: np.ndarray, length: int) -> list[tuple[int, int, int]]:
     """Maximal matches of at least ``length`` unmarked words: (length, pattern place, text place)."""
     def starts(codes: np.ndarray, free: np.ndarray) -> np.ndarray:
         run = np.concatenate([[0], np.cumsum(free)])
@@ -63,11 +80,11 @@ def _matches(pattern: np.ndarray, text: np.ndarray, free_p: np.ndarray, free_t:
     if length > len(pattern) or length > len(text):
         return []
     at_p, at_t = starts(pattern, free_p), starts(text, free_t)
-    own = window_hashes(pattern, length)[at_p]
+    own = runs[0].hashes(length)[at_p]
     table: dict[int, list[int]] = {}
     for h, i in zip(own.tolist(), at_p.tolist(), strict=True):
         table.setdefault(h, []).append(i)
-    hashes = window_hashes(text, length)[at_t]
+    hashes = runs[1].hashes(length)[at_t]
     hit = np.isin(hashes, own)
     found, seen = [], set()
     for h, j in zip(hashes[hit].tolist(), at_t[hit].tolist(), strict=True):
@@ -93,9 +110,9 @@ def tile(item: list[bytes], doc: list[bytes], min_match: int = MIN_MATCH) -> lis
     pattern = np.array([ids[w] for w in item], np.uint64)
     text = np.array([ids.get(w, 0) for w in doc], np.uint64)
     free_p, free_t = np.ones(len(item), bool), text > 0
-    tiles, length = [], max(min_match, min(FIRST_LENGTH, len(item)))
+    tiles, length, runs = [], max(min_match, min(FIRST_LENGTH, len(item))), (Running(pattern), Running(text))
     while True:
-        found = _matches(pattern, text, free_p, free_t, length)
+        found = _matches(pattern, text, runs, free_p, free_t, length)
         longest = max(found, default=(0,))[0]
         if longest > 2 * length:
             length = longest
@@ -115,20 +132,25 @@ def tile(item: list[bytes], doc: list[bytes], min_match: int = MIN_MATCH) -> lis
 
 
 # ---- operator -------------------------------------------------------------------------------------------------------------
+def _batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names=names)
+
+
 def item_seeds(benchmark: DataFrame, min_match: int) -> DataFrame:
-    """item_id, its text, its number of words, and its seeds."""
+    """item_id, hash and text of every item, its number of words, and its seeds with the number of places of each."""
     def seeds(batches):
         for b in batches:
             rows = []
-            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for item_id, text, text_hash in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words = words_of(text)
                 if words:
-                    h, times = np.unique(window_hashes(codes_of(words), min(min_match, len(words))), return_counts=True)
-                    rows += [(item, text, len(words), min(min_match, len(words)), s, n) for s, n in zip(h.view(np.int64).tolist(), times.tolist(), strict=True)]
-            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names=["item_id", "item", "n_words", "size", "seed", "times"])
+                    size = min(min_match, len(words))
+                    h, times = np.unique(Running(codes_of(words)).hashes(size), return_counts=True)
+                    rows += [(item_id, text_hash, text, len(words), size, s, n) for s, n in zip(h.view(np.int64).tolist(), times.tolist(), strict=True)]
+            yield _batch(rows, [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32()], ["item_id", "item_hash", "item", "n_words", "size", "seed", "times"])
 
-    return benchmark.select(F.col("item_id").cast("long"), "text").distinct().mapInArrow(seeds, "item_id long, item string, n_words int, size int, seed long, times int")
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().withColumn("item_hash", F.xxhash64("text"))
+    return rows.mapInArrow(seeds, "item_id long, item_hash long, item string, n_words int, size int, seed long, times int")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
@@ -138,52 +160,57 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH
     scratch = Scratch(spark, "decontaminate")
     seeds = scratch.write(item_seeds(benchmark, min_match), "seeds")
     sizes = sorted(r["size"] for r in seeds.select("size").distinct().collect())  # min_match values at most
-    bits = np.zeros(SEED_BITS, bool)
-    for r in seeds.select((F.col("seed").bitwiseAND(F.lit(SEED_BITS - 1))).alias("bit")).distinct().toLocalIterator():  # SEED_BITS values at most
-        bits[r["bit"]] = True
-    shared = spark.sparkContext.broadcast(np.packbits(bits))
+    bits = bit_set(seeds.select("seed"))
 
     def probe(batches):
-        known = np.unpackbits(shared.value).view(bool)
         for b in batches:
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                codes = codes_of(words_of(text))
-                hit = [h[known[h & np.uint64(SEED_BITS - 1)]] for h in (window_hashes(codes, k) for k in sizes)]
+                runs = Running(codes_of(words_of(text)))
+                hit = [h[bits.value.test(h)] for h in (runs.hashes(k).view(np.int64) for k in sizes)]
                 if any(map(len, hit)):
-                    rows.append((doc, text, np.unique(np.concatenate(hit)).view(np.int64)))
-            kinds = [pa.int64(), pa.string(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 3, kinds, strict=True)], names=["doc_id", "text", "seeds"])
+                    rows.append((doc, text, np.unique(np.concatenate(hit))))
+            yield _batch(rows, [pa.int64(), pa.string(), pa.list_(pa.int64())], ["doc_id", "text", "seeds"])
 
-    hits = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").mapInArrow(probe, "doc_id long, text string, seeds array<long>") if sizes else spark.createDataFrame([], "doc_id long, text string, seeds array<long>")
+    hits = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").mapInArrow(probe, "doc_id long, text string, seeds array<long>")
     hits = scratch.write(hits.withColumn("text_hash", F.xxhash64("text")), "hits")
-    pairs = hits.select("doc_id", "text_hash", F.explode("seeds").alias("seed")).join(seeds.select("seed", "item_id", "n_words", "size", "times"), "seed")
-    shares = pairs.groupBy("doc_id", "text_hash", "item_id", "n_words", "size").agg(F.sum("times").alias("n"))
-    shares = shares.where(F.col("n") * F.col("size") >= coverage * F.col("n_words")).select("doc_id", "text_hash", "item_id")
-    shares = scratch.write(shares, "pairs")
-    same = [F.col("p.doc_id").eqNullSafe(F.col("h.doc_id")), F.col("p.text_hash") == F.col("h.text_hash")]
-    texts = shares.alias("p").join(hits.dropDuplicates(["doc_id", "text_hash"]).alias("h"), same).select("p.doc_id", "p.text_hash", "p.item_id", "h.text")
-    texts = texts.join(seeds.groupBy("item_id", "item").agg(F.count("*").alias("_n")).drop("_n"), "item_id").select("doc_id", "text_hash", "item_id", "text", "item")
+    own = hits.select("doc_id", "text_hash", F.explode("seeds").alias("seed"))
+
+    # A document that covers an item has seeds of it in this many places; so it has one of those that are left without the most frequent few.
+    often = own.groupBy("seed").agg(F.count("*").alias("often"))
+    least = F.ceil(coverage * F.col("n_words") / F.col("size") - 1e-9)
+    upto = F.sum("times").over(Window.partitionBy("item_id", "item_hash").orderBy(F.desc("often"), "seed").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rare = seeds.drop("item").join(often, "seed").withColumn("upto", upto).where(F.col("upto") >= least)
+    pairs = own.join(rare.select("seed", "item_id", "item_hash"), "seed").select("doc_id", "text_hash", "item_id", "item_hash").distinct()
+    pairs = scratch.write(pairs, "pairs")
+    same = lambda a, b, key, digest: F.col(f"{a}.{key}").eqNullSafe(F.col(f"{b}.{key}")) & (F.col(f"{a}.{digest}") == F.col(f"{b}.{digest}"))
+    items = seeds.select("item_id", "item_hash", "item").distinct()
+    texts = pairs.alias("p").join(hits.dropDuplicates(["doc_id", "text_hash"]).alias("h"), same("p", "h", "doc_id", "text_hash")).join(items.alias("i"), same("p", "i", "item_id", "item_hash"))
+    texts = texts.select("p.doc_id", "p.text_hash", "p.item_id", "h.text", "h.seeds", "i.item")
 
     def cover(batches):
         for b in batches:
             rows, own = [], (None, [])
-            for doc, text_hash, item_id, text, item in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc, text_hash, item_id, text, found, item in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words = words_of(item)
+                size = min(min_match, len(words))
+                # overlapping seeds in tiles of k words: k - size + 1, so at least a share of 1 / size of the words
+                if np.isin(Running(codes_of(words)).hashes(size).view(np.int64), np.array(found, np.int64)).sum() * size < coverage * len(words):
+                    continue
                 if own[0] != text:
                     own = text, words_of(text)
-                words = words_of(item)
                 tiles = tile(words, own[1], min_match)
                 share = sum(t[2] for t in tiles) / len(words)
                 if share >= coverage:
                     rows.append((doc, text_hash, item_id, round(share, 6), len(tiles)))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=["doc_id", "text_hash", "item_id", "coverage", "tiles"])
+            yield _batch(rows, [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32()], ["doc_id", "text_hash", "item_id", "coverage", "tiles"])
 
-    return scratch.write(texts.mapInArrow(cover, "doc_id long, text_hash long, item_id long, coverage double, tiles int").distinct(), "leaks")
+    leaks = scratch.write(texts.mapInArrow(cover, "doc_id long, text_hash long, item_id long, coverage double, tiles int").distinct(), "leaks")
+    scratch.drop("hits", "pairs", "seeds")
+    return leaks
 
 
 def decontaminate(docs: DataFrame, leaks: DataFrame) -> DataFrame:
     """``docs`` without the rows that ``leaks`` names."""
-    bad = leaks.select("doc_id", "text_hash").distinct()
-    own = docs.withColumn("_text_hash", F.xxhash64("text"))
-    return own.join(bad.hint("merge"), own["doc_id"].eqNullSafe(bad["doc_id"]) & (own["_text_hash"] == bad["text_hash"]), "left_anti").drop("_text_hash")
+    bad = leaks.select(F.struct("doc_id", "text_hash").alias("key")).distinct()
+    return without(docs, F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")), bad)

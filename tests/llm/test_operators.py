@@ -87,10 +87,29 @@ def test_language_profiles(spark):
 
 def test_bundle_is_the_sum_of_bound_letters():
     p = language_id.Profiles(64)
-    codes = p.letters("Ab, c")
-    assert codes.tolist() == [0, ord("a"), ord("b"), 0, ord("c"), 0]
+    codes, owner = p.letters(["Ab, c", "", "."])
+    assert [p.points[c] for c in codes] == [0, ord("a"), ord("b"), 0, ord("c"), 0, 0, 0] and owner.tolist() == [0] * 6 + [1, 2]
+    codes = codes[:6]
     direct = sum(np.roll(p.symbol(a), 2) * np.roll(p.symbol(b), 1) * p.symbol(c) for a, b, c in zip(codes.tolist(), codes.tolist()[1:], codes.tolist()[2:]))
     assert (p.bundle(["Ab, c"])[0] == direct).all()
+    # a small alphabet's n-grams are counted in a table, those of a large one are sorted; both give the same sums
+    texts = prose(20, 3) + ["日本語 テスト", "", "é" * 9]
+    wide = language_id.Profiles(64)
+    wide.letters(["".join(map(chr, range(0x4E00, 0x4F00)))])
+    assert len(wide.points) > 1 << language_id.BITS >= len(p.points)
+    assert (p.bundle(texts) == wide.bundle(texts)).all()
+    assert (p.total(p.grams(texts)[0]) == p.bundle(texts).sum(0)).all()
+
+
+def test_more_languages_than_a_block(spark, monkeypatch):
+    r = random.Random(8)
+    letters = ["abcde", "fghij", "klmno", "pqrst", "uvwxy"]
+    texts = [" ".join("".join(r.choice(letters[i % 5]) for _ in range(5)) for _ in range(30)) for i in range(40)] + ["", None]
+    docs = frame(spark, texts, lang=[f"l{i % 5}" for i in range(40)] + [None] * 2)
+    one = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in language_id.identify(docs, F.lit(True)).collect()}
+    monkeypatch.setattr(language_id.Prototypes.blocks, "__defaults__", (2,))
+    assert {x["doc_id"]: (x["lang_pred"], x["score"]) for x in language_id.identify(docs, F.lit(True)).collect()} == one
+    assert one[3][0] == "l3" and one[40] == ("und", 0.0)
 
 
 def test_pipeline_language_stage_rejects_what_no_profile_knows(spark):
@@ -224,8 +243,11 @@ def test_jaccard_components_equal_brute_force(spark, monkeypatch, seed, short):
     monkeypatch.setattr(jaccard_join, "SHORT_LIST", short)  # with 2, most lists take the way through blocks
     monkeypatch.setattr(jaccard_join, "BLOCK_NODES", 5)
     texts = near_copies(seed) + prose(20, seed + 50) + [None, "", " ", "one", "ONE", "two words", "A b\tc d"]
-    docs = spark.createDataFrame([(i + 3, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, node string")
-    found = {tuple(r) for r in jaccard_join.jaccard_components(docs, 4, 85).collect()}
+    names = ["node", "row", "_least", "prefix", "comp", "n_shingles"]
+    docs = spark.createDataFrame([(i + 3, t, *names) for i, t in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    found = jaccard_join.jaccard_components(docs, 4, 85)
+    assert found.columns == ["doc_id", *names[:-1], "n_shingles", "component_id"] and found.where("node = 'node' and comp = 'comp' and _least = '_least'").count() == len(texts)
+    found = {tuple(r) for r in found.select("doc_id", "n_shingles", "component_id").collect()}
     assert found == brute_components([(i + 3, t) for i, t in enumerate(texts)], 4, 85)
 
 
@@ -243,13 +265,22 @@ def test_components(spark):
     assert found == {(i, 0) for i in range(31)} | {(i, 100) for i in (100, 101, 102, 200)}
 
 
-@settings(max_examples=50, deadline=None)
-@given(st.integers(1, 400), st.integers(1, 400), st.integers(50, 100))
-def test_prefix_length_loses_no_pair(a, b, percent):
-    a, b = min(a, b), max(a, b)
-    need = -(-percent * (a + b) // (100 + percent))  # least overlap that reaches the similarity
-    if need <= a:
-        assert jaccard_join.prefix_length(a, percent) >= a - need + 1 and jaccard_join.prefix_length(b, percent) >= b - need + 1
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 60), st.integers(0, 20), st.integers(0, 20), st.integers(50, 100), st.randoms())
+def test_prefixes_lose_no_pair(common, left, right, percent, r):
+    """Under any order, linked sets share as much of their prefixes as the filters ask for."""
+    if 100 * common < percent * (common + left + right):
+        return
+    grams = list(range(common + left + right))
+    r.shuffle(grams)
+    both, a, b = grams[:common], grams[: common + left], grams[:common] + grams[common + left :]
+    order = {g: r.random() for g in grams}
+    assert common >= max(jaccard_join.needed(len(a), percent), jaccard_join.needed(len(b), percent))
+    first = lambda x, least: set(sorted(x, key=order.get)[: jaccard_join.prefix_length(len(x), percent, least)])
+    assert first(a, 1) & first(b, 1) <= set(both) and first(a, 1) & first(b, 1)
+    least = lambda x: jaccard_join.shared_least(len(x), percent)
+    for x in (a, b):
+        assert len(first(a, least(a)) & first(b, least(b))) >= jaccard_join.shared_least(jaccard_join.needed(len(x), percent), percent)
 
 
 # ---- decontamination -----------------------------------------------------------------------------------------------------------
@@ -282,17 +313,41 @@ def test_tiling_covers_like_the_definition(item, doc, least):
     assert abs(sum(k for _, _, k in tiles) - brute_tiles(item, doc, least)) <= max(0, len(item) // 3)  # ties may fall either way
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.permutations(range(24)), st.lists(st.integers(1, 23), max_size=4), st.integers(0, 9), st.randoms())
+def test_tiling_without_ties_is_the_definition(item, cuts, junk, r):
+    """Distinct words in pieces, moved about: every match is one place of each side, so the tiles are those of the definition."""
+    ends = sorted({0, 24, *cuts})
+    pieces = [item[a:b] for a, b in zip(ends, ends[1:], strict=False)] + [[100 + k] for k in range(junk)]
+    r.shuffle(pieces)
+    word = lambda x: [b"w%d" % k for k in x]
+    doc = word([k for p in pieces for k in p])
+    for least in (1, 3, 5):
+        assert sum(k for _, _, k in decontaminate.tile(word(item), doc, least)) == brute_tiles(word(item), doc, least)
+
+
+def test_running_fingerprints_equal_the_direct_ones():
+    codes = np.random.default_rng(5).integers(1, 2**32, 300).astype(np.uint64)
+    codes[200:240] = codes[20:60]
+    runs = decontaminate.Running(codes)
+    for length in (1, 5, 40, 300, 301):
+        found = runs.hashes(length)
+        pieces = [codes[i : i + length].tobytes() for i in range(300 - length + 1)]
+        assert len(found) == len(pieces) and len(set(zip(found.tolist(), pieces, strict=True))) == len(set(pieces)) == len(set(found.tolist()))
+
+
 def test_leaks(spark):
     items = prose(6, 30, 30)
     docs = prose(20, 31, 200)
     w = items[0].split()
     docs += [docs[0] + " " + items[1].upper().replace(" ", ", ") + " end", " ".join(w[20:] + docs[1].split()[:9] + w[10:20] + w[:10]), items[2][: len(items[2]) // 3], None, "", items[3]]
     d = spark.createDataFrame([(i, t, "x") for i, t in enumerate(docs)] + [(25, items[3], "x"), (None, items[4], "x")], "doc_id long, text string, seed string")
-    b = spark.createDataFrame(list(enumerate(items)) + [(90, ""), (91, None), (92, "q w")], "item_id long, text string")
+    b = spark.createDataFrame(list(enumerate(items))[:5] + [(None, items[5]), (90, ""), (91, None), (92, "q w")], "item_id long, text string")
+    d = d.unionByName(spark.createDataFrame([(26, docs[2] + " " + items[5], "x")], d.schema)).withColumn("_text_hash", F.lit("clash"))
     leaks = decontaminate.find_leaks(d, b)
-    assert {(r["doc_id"], r["item_id"]) for r in leaks.collect()} == {(20, 1), (21, 0), (25, 3), (None, 4)}
+    assert {(r["doc_id"], r["item_id"]) for r in leaks.collect()} == {(20, 1), (21, 0), (25, 3), (None, 4), (26, None)}
     left = decontaminate.decontaminate(d, leaks)
-    assert left.count() == 23 and left.where("doc_id is null or doc_id in (20, 21, 25)").count() == 0
+    assert left.count() == 23 and left.where("doc_id is null or doc_id in (20, 21, 25, 26)").count() == 0 and left.columns == d.columns
     assert decontaminate.find_leaks(d, b.limit(0)).count() == 0 and decontaminate.find_leaks(d.limit(0), b).count() == 0
 
 

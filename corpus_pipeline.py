@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.llm import decontaminate, jaccard_join, language_id, mixing, token_planes
-from attestry.llm.common import Scratch, table
+from attestry.llm.common import Scratch, cleared, table, without
 from attestry.llm.queries import WORD, tokenizer_path
 
 #: Word n-grams and percentage of the union that near duplicates share.
@@ -20,9 +20,10 @@ END_ID = 2
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Profiles of the rows that name their language; documents go whose score with every profile is too low for a text of their length."""
-    found = language_id.predict(docs, language_id.train(docs.select("text", "lang")))
-    found = Scratch(spark, "language_id").write(found, "found", "snappy")
-    return found.where(language_id.recognizable(language_id.thresholds(found))).select(docs.columns)
+    scratch = Scratch(spark, "language_id")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text", "lang")
+    found = scratch.write(language_id.predict(rows, language_id.train(docs.select("text", "lang"))), "found", "snappy")
+    return found.where(language_id.recognizable(language_id.thresholds(found))).select("row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,33 +31,32 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     scratch = Scratch(spark, "near_duplicates")
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     found = scratch.write(jaccard_join.jaccard_components(rows, NEAR_SIZE, NEAR_PERCENT, keep_group=True), "components")
-    found = found.where("doc_id is not null and group_id is not null")
-    best = found.where("doc_id = component_id").groupBy("group_id").agg(F.min("text_hash").alias("best"), F.count("*").alias("n"))
-    best = scratch.write(best, "best")
-    lost = found.where("doc_id <> component_id").select("doc_id", "text_hash")
-    tied = found.where("doc_id = component_id").join(best.where("n > 1"), "group_id")
-    lost = lost.unionByName(tied.where("text_hash <> best").select("doc_id", "text_hash"))
-    again = tied.where("text_hash = best").select("doc_id", "text_hash").distinct()
-    lost, again = scratch.write(lost.distinct(), "lost"), scratch.write(again, "again")
-    key = [F.col("doc_id"), F.xxhash64("text").alias("text_hash")]
-    marked = docs.select(*docs.columns, key[1]).join(lost.hint("merge"), ["doc_id", "text_hash"], "left_anti")
-    once = marked.join(again, ["doc_id", "text_hash"], "left_anti").select(docs.columns)
+    found = found.where("doc_id is not null and group_id is not null").withColumn("key", F.struct("doc_id", "text_hash"))
+    per = found.groupBy("group_id").agg(F.min("key").alias("best"), F.count("*").alias("n")).where("n > 1")
+    per = scratch.write(per, "groups")
+    marked = found.select("group_id", "key").join(per, "group_id")
+    lost = scratch.write(marked.where("key <> best").select("key").distinct(), "lost")
+    # the best row's doc_id and text may stand in several rows; one of them stays
+    again = scratch.write(marked.where("key = best").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "again")
+    key = F.struct(F.col("doc_id"), F.xxhash64("text").alias("text_hash"))
+    once = without(without(docs, key, lost), key, again)
     if again.isEmpty():
         return once
-    repeated = marked.join(again, ["doc_id", "text_hash"], "left_semi").groupBy("doc_id", "text_hash").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    repeated = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key")).join(again, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return once.unionByName(repeated.select("row.*"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
-    return decontaminate.decontaminate(docs, decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))).select(docs.columns)
+    return decontaminate.decontaminate(docs, decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    sized = docs.withColumns({"mix_size": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)), "mix_members": F.array("source")})
-    mixed = mixing.mix(sized, "doc_id", "mix_size", "mix_members")
-    return mixed.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(docs.columns)
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", size.alias("size"), F.array("source").alias("members"))
+    mixed = mixing.mix(rows, "doc_id", "size", "members")
+    return mixed.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,8 +76,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "pipeline")
+    """Every stage's rows are written before its scratch tables and its predecessor's rows go."""
+    scratch, before = Scratch(spark, "pipeline"), None
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = scratch.write(stage(spark, docs, sf_dir), f"{k}-{name}", "snappy")
+        with cleared():
+            docs = scratch.write(stage(spark, docs, sf_dir), f"{k}-{name}", "snappy")
+        if before:
+            scratch.drop(before)
+        before = f"{k}-{name}"
     return docs

@@ -6,6 +6,8 @@ built-in, in one Arrow UDF meant for distinct strings.
 
 from __future__ import annotations
 
+import difflib
+import json
 import re
 import unicodedata
 
@@ -13,8 +15,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters that separate words: brackets, slash, underscore, bar, comma, semicolon, colon, middle dot and dashes.
-SEPARATORS = r"[\[\](){}/\\_|,;:·\-–—]+"
+#: Characters that separate words: brackets, slash, underscore, bar, comma, semicolon, colon, middle dot and dashes (no backslash).
+SEPARATORS = r"[\[\](){}/_|,;:·\-–—]+"
 # Spellings of a product form that mean the same.
 FORM_SYNONYMS = {"纤维": "fiber", "fibre": "fiber", "钢纤维": "fiber"}
 
@@ -72,11 +74,22 @@ def dimension_score(wanted: Column, observed: Column) -> Column:
     return F.when((q == "") | (o == ""), 0.5).when(q == o, 1.0).when(filled & subset, 0.8).when(filled & (jaccard(a, b) >= 0.35), 0.65).otherwise(0.0)
 
 
-def prepared_score(q: Column, o: Column, q_words: Column, o_words: Column) -> Column:
-    """``dimension_score`` of normal forms (null if blank) and their words, which a caller has computed once a row."""
-    filled = (F.size(q_words) > 0) & (F.size(o_words) > 0)
-    subset = (F.size(F.array_except(q_words, o_words)) == 0) | (F.size(F.array_except(o_words, q_words)) == 0)
-    return F.when(q.isNull() | o.isNull(), 0.5).when(q == o, 1.0).when(filled & subset, 0.8).when(filled & (jaccard(q_words, o_words) >= 0.35), 0.65).otherwise(0.0)
+def normal_sql(x: str) -> str:
+    """``normalize`` as the text of an expression."""
+    return f"trim(regexp_replace(regexp_replace(lower({x}), r'{SEPARATORS}', ' '), r'\\s+', ' '))"
+
+
+def words_sql(x: str) -> str:
+    """``tokens`` of a normal form as the text of an expression; null has none."""
+    return f"array_distinct(filter(regexp_extract_all(coalesce({x}, ''), '([a-z0-9]+)', 1), t -> length(t) > 1))"
+
+
+def prepared_score(q: str, o: str, q_words: str, o_words: str) -> str:
+    """``dimension_score`` of normal forms (null if blank) and their words, which a caller has computed once a row, as the text of an expression."""
+    filled = f"size({q_words}) > 0 and size({o_words}) > 0"
+    subset = f"(size(array_except({q_words}, {o_words})) = 0 or size(array_except({o_words}, {q_words})) = 0)"
+    share = f"size(array_intersect({q_words}, {o_words})) / size(array_union({q_words}, {o_words}))"
+    return f"case when {q} is null or {o} is null then 0.5D when {q} = {o} then 1D when {filled} and {subset} then 0.8D when {filled} and {share} >= 0.35D then 0.65D else 0D end"
 
 
 def word_contains(text: Column, word: Column) -> Column:
@@ -91,11 +104,22 @@ def canonical_form(form: Column) -> Column:
     return F.coalesce(F.try_element_at(known, own), F.nullif(own, F.lit("")))
 
 
+#: A token of the bearer scheme: letters, digits and -._~+/ once or more, then any number of = (RFC 6750, section 2.1).
+TOKEN68 = r"[0-9A-Za-z._~+/-]+=*"
+#: Texts to hide, in this order, and their marks: values of authorization fields, bearer tokens, URLs, loopback, private and link-local addresses.
+REDACTIONS = [
+    (r"(?i)\b(authorization)[ \t]*[:=][^\r\n,;]*", "$1: [redacted]"),
+    (rf"(?i)\b(bearer) +{TOKEN68}", "$1 [redacted]"),
+    (r"https?://[^ \t\r\n\"'<>]+", "[url]"),
+    (r"\b(?:10|127|192\.168|169\.254|172\.(?:1[6-9]|2[0-9]|3[01]))(?:\.[0-9]{1,3}){2,3}\b", "[address]"),
+    (r"(?i)\b(?:f[cd][0-9a-f]{2}|fe[89ab][0-9a-f]):[0-9a-f:]+", "[address]"),
+]
+
+
 def redact(text: Column) -> Column:
-    """Bearer tokens, URLs and private addresses replaced by marks."""
-    text = F.regexp_replace(text, r"(?i)bearer\s+[a-z0-9._~+/=-]+", "Bearer [redacted]")
-    text = F.regexp_replace(text, r"https?://[^\s\"'<>]+", "[url]")
-    return F.regexp_replace(text, r"\b(?:10|127|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))(?:\.[0-9]{1,3}){2,3}\b", "[address]")
+    for pattern, mark in REDACTIONS:
+        text = F.regexp_replace(text, pattern, mark)
+    return text
 
 
 def slug(text: Column) -> Column:
@@ -176,3 +200,77 @@ def indel_ratio(a: Column, b: Column) -> Column:
 def lexical_score(a: Column, b: Column) -> Column:
     """The larger of the words-and-bigrams Jaccard and half the indel ratio; both texts normalized."""
     return F.greatest(jaccard(F.array_union(tokens(a), bigrams(a)), F.array_union(tokens(b), bigrams(b))), 0.5 * indel_ratio(a, b))
+
+
+def material_terms(text: Column) -> Column:
+    """Words of three letters or more outside the CJK block, and all pairs of neighbours among its characters."""
+    own = normalize(F.coalesce(text, F.lit("")))
+    words = F.filter(F.split(own, " "), lambda w: F.length(w) >= 3)
+    cjk = F.regexp_replace(own, "[^\u4e00-\u9fff]", "")
+    return F.array_distinct(F.concat(words, bigrams(cjk)))
+
+
+def plain_label(text: Column) -> Column:
+    """Words of digits, Latin letters and CJK characters, one blank between them."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^0-9a-z\u3400-\u9fff]+", " "))
+
+
+def compact_label(text: Column) -> Column:
+    """``plain_label`` without the blanks, for the narrower CJK block."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^0-9a-z\u4e00-\u9fff]+", "")
+
+
+def discovery_fold(text: Column) -> Column:
+    """Hyphens and underscores as blanks, one blank between words."""
+    return F.trim(F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), "-_", "  "), r"\s+", " "))
+
+
+#: Identifiers that may be repeated in answers and logs.
+SAFE_ID = "^[A-Za-z0-9][A-Za-z0-9._:-]{0,127}$"
+
+
+def safe_id(value: Column, fallback: Column) -> Column:
+    """The caller's identifier if it is harmless, else ``fallback`` (an opaque one)."""
+    own = F.trim(F.coalesce(value, F.lit("")))
+    return F.when(own.rlike(SAFE_ID), own).otherwise(fallback)
+
+
+def _walk(value, depth: int = 0):
+    """Every (key or None, value, depth) of a parsed JSON text."""
+    yield None, value, depth
+    for key, child in value.items() if isinstance(value, dict) else ((None, x) for x in value) if isinstance(value, list) else ():
+        if key is not None:
+            yield key, child, depth + 1
+        yield from _walk(child, depth + 1)
+
+
+def _parse(t: str | None):
+    try:
+        return json.loads(t or "null")
+    except ValueError:
+        return None
+
+
+def all_keys(text: Column) -> Column:
+    """Distinct keys of a JSON text at any depth, sorted; texts that aren't JSON have none."""
+    return F.pandas_udf(lambda s: s.map(lambda t: sorted({k for k, _, _ in _walk(_parse(t)) if k is not None})), "array<string>")(text)
+
+
+def json_complexity(text: Column) -> Column:
+    """struct(depth, records, longest): how deep a JSON text nests, how many objects it has, and its longest list; null if it isn't JSON."""
+    def one(t: str | None):
+        if t is None or (_parse(t) is None and t.strip() != "null"):
+            return None
+        nodes = [(v, d) for k, v, d in _walk(_parse(t)) if k is None]
+        return {"depth": max(d for _, d in nodes), "records": sum(isinstance(v, dict) for v, _ in nodes), "longest": max((len(v) for v, _ in nodes if isinstance(v, list)), default=0)}
+
+    return F.pandas_udf(lambda s: pd.DataFrame([one(t) or {"depth": None, "records": None, "longest": None} for t in s], columns=["depth", "records", "longest"]).astype("Int64"), "depth long, records long, longest long")(text)
+
+
+def challenge_score(a: Column, b: Column) -> Column:
+    """Three parts of the matching-blocks ratio and one of the words' Jaccard."""
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, p, q, autojunk=False).ratio() for p, q in zip(x.fillna(""), y.fillna(""), strict=True)], dtype=float)
+
+    words = lambda t: F.array_distinct(F.split(t, " "))
+    return 0.75 * F.pandas_udf(ratio, "double")(a, b) + 0.25 * jaccard(words(a), words(b))

@@ -1,4 +1,4 @@
-"""Unit syntax and conversion plans as column expressions over two small constant maps."""
+"""Unit syntax and conversion plans over two small constant maps. Arguments are column names or SQL expressions; each function makes one expression."""
 
 from __future__ import annotations
 
@@ -19,49 +19,61 @@ IMPACT = [("kgco2e", 1.0), ("kgco2eq", 1.0), ("gco2e", 0.001), ("tco2e", 1000.0)
 QUALIFIERS = ("product", "produit", "产品")
 
 
-def _lookup(key: Column, rows: list[tuple[str, Column]]) -> Column:
-    return F.try_element_at(F.create_map(*[x for k, v in rows for x in (F.lit(k), v)]), key)
+def _sql(value) -> str:
+    return str(value).lower() if isinstance(value, bool) else f"double({value!r})" if isinstance(value, float) else "'" + value.replace("'", "''") + "'"
 
 
-def activity_unit(text: Column) -> Column:
-    """struct(canonical, dimension, ratio, evidence), null if unsupported."""
-    key = F.regexp_replace(F.lower(text), r"\s+", "")
-    for _ in range(3):
-        key = F.regexp_replace(key, r"^\((.*)\)$", "$1")
-    key = F.regexp_replace(key, "[*·.]", "")
-    return _lookup(key, [(k, F.struct(F.lit(c).alias("canonical"), F.lit(d).alias("dimension"), F.lit(r).alias("ratio"), F.lit(e).alias("evidence"))) for k, c, d, r, e in ACTIVITY])
+_UNITS = "map(" + ", ".join(f"{_sql(k)}, named_struct('canonical', {_sql(c)}, 'dimension', {_sql(d)}, 'ratio', {_sql(r)}, 'evidence', {_sql(e)})" for k, c, d, r, e in ACTIVITY) + ")"
+_IMPACTS = "map(" + ", ".join(f"{_sql(k)}, {_sql(v)}" for k, v in IMPACT) + ")"
+#: What stands between the halves of a factor unit: a slash, the word per, or per right after a carbon dioxide equivalent.
+_BETWEEN = r"(?i)\s*/\s*|\s+per\s+|(?<=co[2₂]e|co[2₂]eq|co[2₂]-eq)per"
 
 
-def impact_ratio(text: Column) -> Column:
-    return _lookup(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(text), "₂", "2"), "-", ""), r"\s+", ""), [(k, F.lit(v)) for k, v in IMPACT])
+def _bare(x: str) -> str:
+    """Lower case without blanks and multiplication marks, and without brackets around the whole."""
+    key = f"regexp_replace(lower({x}), r'[\\s*·.]+', '')"
+    return f"if(length(regexp_extract({key}, r'^\\(*', 0)) = length(regexp_extract({key}, r'\\)*$', 0)), btrim({key}, '()'), {key})"
 
 
-_SLASH, _PER, _COMPACT = r"^\s*(.+?)\s*/\s*(.+?)\s*$", r"(?i)^\s*(.+?)\s+per\s+(.+?)\s*$", r"(?i)^\s*(.+?co(?:2|₂)(?:e|eq|-eq))per(.+?)\s*$"
+def _unit(x: str) -> str:
+    return f"try_element_at({_UNITS}, {_bare(x)})"
 
 
-def factor_unit(text: Column) -> Column:
-    """struct(impact, qualifier, canonical, dimension, ratio, evidence); null if either half is unsupported."""
-    def part(i: int) -> Column:
-        return F.coalesce(*[F.nullif(F.regexp_extract(text, p, i), F.lit("")) for p in (_SLASH, _PER, _COMPACT)])
+def activity_unit(x: str) -> Column:
+    """struct(canonical, dimension, ratio, evidence) of a column or SQL expression, null if unsupported."""
+    return F.expr(_unit(x))
 
-    whole = F.regexp_replace(part(2), r"\s+", "")
-    qualifier = F.nullif(F.lower(F.regexp_extract(whole, f"(?i)({'|'.join(QUALIFIERS)})$", 1)), F.lit(""))
-    unit = activity_unit(F.regexp_replace(whole, f"(?i)({'|'.join(QUALIFIERS)})$", ""))
-    impact = impact_ratio(part(1))
-    return F.when(impact.isNotNull() & unit.isNotNull(), F.struct(impact.alias("impact"), qualifier.alias("qualifier"), unit["canonical"].alias("canonical"), unit["dimension"].alias("dimension"), unit["ratio"].alias("ratio"), unit["evidence"].alias("evidence")))
 
+def factor_unit(x: str) -> Column:
+    """struct(impact, qualifier, canonical, dimension, ratio, evidence); null if either half is unsupported.
 
-def activity_plan(source: Column, target: Column, evidence: Column | None = None) -> Column:
-    """struct(multiplier, reason) between parsed units. ``evidence`` is a struct(source_canonical_unit, target_canonical_unit, multiplier) or null."""
-    conditioned = (source["dimension"] == "VOLUME") & (target["dimension"] == "VOLUME") & (source["evidence"] != target["evidence"])
-    given = F.lit(None).cast("double") if evidence is None else F.when((evidence["source_canonical_unit"] == source["canonical"]) & (evidence["target_canonical_unit"] == target["canonical"]), evidence["multiplier"])
-    reason = F.when(source.isNull() | target.isNull(), SYNTAX).when(source["dimension"] != target["dimension"], MISMATCH).when((source["canonical"] != target["canonical"]) & conditioned & given.isNull(), EVIDENCE)
-    value = F.when(source["canonical"] == target["canonical"], F.lit(1.0)).when(conditioned, given).otherwise(source["ratio"] / target["ratio"])
-    return F.struct(F.when(reason.isNull(), value).alias("multiplier"), reason.alias("reason"))
+    The text is split once; a qualifier of the reference product is cut off the second half, and both halves are looked up. Lambdas name what has
+    been found so far, so that no step is written out twice.
+    """
+    halves = f"array(split(trim({x}), r'{_BETWEEN}', 2))"
+    bottom = f"transform({halves}, h -> struct(try_element_at({_IMPACTS}, translate({_bare('get(h, 0)')}, '₂-', '2')) as impact, {_bare('get(h, 1)')} as bottom))"
+    cut = f"transform({bottom}, b -> struct(b.impact as impact, b.bottom as bottom, nullif(regexp_extract(b.bottom, '({'|'.join(QUALIFIERS)})$', 1), '') as qualifier))"
+    unit = f"transform({cut}, c -> struct(c.impact as impact, c.qualifier as qualifier, {_unit("substr(c.bottom, 1, length(c.bottom) - length(coalesce(c.qualifier, '')))")} as unit))"
+    fields = ", ".join(f"u.unit.{k} as {k}" for k in ("canonical", "dimension", "ratio", "evidence"))
+    return F.expr(f"get(transform({unit}, u -> if(u.impact is not null and u.unit is not null, struct(u.impact as impact, u.qualifier as qualifier, {fields}), null)), 0)")
 
 
-def factor_plan(source: Column, target: Column, evidence: Column | None = None) -> Column:
+def _steps(s: str, t: str, e: str | None) -> tuple[str, str]:
+    """Reason and multiplier of a step between two parsed units."""
+    conditioned = f"({s}.dimension = 'VOLUME' and {t}.dimension = 'VOLUME' and {s}.evidence <> {t}.evidence)"
+    given = f"if({e}.source_canonical_unit = {s}.canonical and {e}.target_canonical_unit = {t}.canonical, {e}.multiplier, null)" if e else "cast(null as double)"
+    reason = f"case when {s} is null or {t} is null then '{SYNTAX}' when {s}.dimension <> {t}.dimension then '{MISMATCH}' when {s}.canonical <> {t}.canonical and {conditioned} and {given} is null then '{EVIDENCE}' end"
+    return reason, f"case when {s}.canonical = {t}.canonical then double(1) when {conditioned} then {given} else {s}.ratio / {t}.ratio end"
+
+
+def activity_plan(source: str, target: str, evidence: str | None = None) -> Column:
+    """struct(multiplier, reason) between parsed units. ``evidence`` names a struct(source_canonical_unit, target_canonical_unit, multiplier), null without any."""
+    reason, value = _steps(source, target, evidence)
+    return F.expr(f"struct(if(({reason}) is null, {value}, null) as multiplier, {reason} as reason)")
+
+
+def factor_plan(source: str, target: str, evidence: str | None = None) -> Column:
     """struct(multiplier, reason) between parsed factor units; an unsupported source unit has the catalogue's own code."""
-    plan = activity_plan(source, target, evidence)
-    reason = F.when(source.isNull(), CATALOG).when(target.isNull(), SYNTAX).otherwise(plan["reason"])
-    return F.struct(F.when(reason.isNull(), source["impact"] / target["impact"] / plan["multiplier"]).alias("multiplier"), reason.alias("reason"))
+    reason, value = _steps(source, target, evidence)
+    reason = f"case when {source} is null then '{CATALOG}' when {target} is null then '{SYNTAX}' else {reason} end"
+    return F.expr(f"struct(if(({reason}) is null, {source}.impact / {target}.impact / ({value}), null) as multiplier, {reason} as reason)")

@@ -1,6 +1,7 @@
 """Qualification gates on a joined (request, record) frame: a status column each, and the ordered exclusion codes.
 
-Statuses are the words pass, mismatch and unknown, never null; what an unknown means depends on the gate.
+Statuses are the words pass, mismatch and unknown, never null; what an unknown means depends on the gate. Gates are texts of expressions: the whole
+set is parsed and analysed at once.
 """
 
 from __future__ import annotations
@@ -8,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.functions.text import blank
 from attestry.functions.units import factor_plan
 from attestry.operators.retrieve import boundary_key
 
@@ -20,92 +20,85 @@ NON_MATERIAL = ("energy", "transport", "process", "waste")
 GATES = ("identity", "kind", "subject", "quality", "indicator", "declared", "boundary", "unit", "geography", "year")
 
 
-def identity_gate() -> tuple[Column, Column]:
-    """Status and hard exclusion: entities must not differ; a direct hit without entities needs an equal name or reviewed alias."""
-    q, c = F.col("q_base_entity_id"), F.col("c_base_entity_id")
-    product = F.col("q_product_entity_id").isNotNull() & F.col("c_product_entity_id").isNotNull() & (F.col("q_product_entity_id") != F.col("c_product_entity_id"))
-    missing = F.col("q_product_entity_id").isNotNull() & F.col("c_product_entity_id").isNull()
-    base = q.isNotNull() & c.isNotNull() & (q != c)
-    unproved = F.when(F.col("channel") == "related", q.isNull() | c.isNull()).otherwise(F.lit(False))
-    codes = F.array_compact(F.array(F.when(base, F.lit("base_entity_id_mismatch")), F.when(unproved, F.lit("identity_proof_missing")), F.when(product, F.lit("product_entity_id_mismatch")), F.when(missing, F.lit("product_entity_id_missing"))))
-    status = F.when(F.size(codes) > 0, MISMATCH).when(c.isNotNull() | F.col("channel").isin("exact", "synonym"), PASS).otherwise(UNKNOWN)
-    return status, codes
 
 
-def kind_gate() -> Column:
-    kind = F.col("c_factor_kind")
-    return F.when(kind == "emission_limit", MISMATCH).when(kind.isin(*LIFECYCLE, *OPERATIONAL), PASS).otherwise(UNKNOWN)
+def _in(values) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
-def subject_gate() -> Column:
-    needed = F.try_element_at(F.create_map(*[F.lit(x) for kv in OPERATIONAL.items() for x in kv]), F.coalesce("c_factor_kind", F.lit("")))
-    q, c = F.col("q_subject_type"), F.col("c_subject_type")
+def _blank(x: str) -> str:
+    return f"({x} is null or trim(cast({x} as string)) = '')"
+
+
+#: What an operational kind needs as its subject, null for other kinds.
+_NEEDED = "case c_factor_kind " + " ".join(f"when '{k}' then '{v}'" for k, v in OPERATIONAL.items()) + " end"
+#: Entity codes: entities must not differ; a related hit needs both entities.
+_IDENTITY = [
+    ("base_entity_id_mismatch", "q_base_entity_id <> c_base_entity_id"),
+    ("identity_proof_missing", "channel = 'related' and (q_base_entity_id is null or c_base_entity_id is null)"),
+    ("product_entity_id_mismatch", "q_product_entity_id <> c_product_entity_id"),
+    ("product_entity_id_missing", "q_product_entity_id is not null and c_product_entity_id is null"),
+]
+
+
+def identity_gate() -> str:
+    return f"case when {' or '.join(f'coalesce({t}, false)' for _, t in _IDENTITY)} then 'mismatch' when c_base_entity_id is not null or channel in ('exact', 'synonym') then 'pass' else 'unknown' end"
+
+
+def kind_gate() -> str:
+    return f"case when c_factor_kind = 'emission_limit' then 'mismatch' when c_factor_kind in {_in([*LIFECYCLE, *OPERATIONAL])} then 'pass' else 'unknown' end"
+
+
+def subject_gate() -> str:
     return (
-        F.when(needed.isNotNull() & (c != needed), MISMATCH)
-        .when(needed.isNotNull() & (q == "unknown"), UNKNOWN)
-        .when((q == "unknown") & c.isin(*NON_MATERIAL), UNKNOWN)
-        .when((q != "unknown") & (c != "unknown") & (q != c), MISMATCH)
-        .when(c == "unknown", UNKNOWN)
-        .otherwise(PASS)
+        f"case when {_NEEDED} is not null and c_subject_type <> {_NEEDED} then 'mismatch' when {_NEEDED} is not null and q_subject_type = 'unknown' then 'unknown' "
+        f"when q_subject_type = 'unknown' and c_subject_type in {_in(NON_MATERIAL)} then 'unknown' when q_subject_type <> 'unknown' and c_subject_type <> 'unknown' and q_subject_type <> c_subject_type then 'mismatch' "
+        "when c_subject_type = 'unknown' then 'unknown' else 'pass' end"
     )
 
 
-def quality_gate() -> Column:
-    status = F.col("c_source_quality_status")
-    hashed = F.col("c_hashed")
-    return F.when(~F.col("c_admission_eligible") | (status == "REJECTED"), MISMATCH).when(status == "NEEDS_REVIEW", UNKNOWN).when(~hashed, UNKNOWN).otherwise(PASS)
+def quality_gate() -> str:
+    return "case when not c_admission_eligible or c_source_quality_status = 'REJECTED' then 'mismatch' when c_source_quality_status = 'NEEDS_REVIEW' or not c_hashed then 'unknown' else 'pass' end"
 
 
-def indicator_gate() -> Column:
-    i = F.col("c_indicator")
-    return F.when(i.isin("GWP-total", "gwp-total"), PASS).when(blank(i), UNKNOWN).otherwise(MISMATCH)
+def indicator_gate() -> str:
+    return f"case when c_indicator in ('GWP-total', 'gwp-total') then 'pass' when {_blank('c_indicator')} then 'unknown' else 'mismatch' end"
 
 
-def declared_gate() -> Column:
+def declared_gate() -> str:
     """Before the rule on product qualifiers."""
-    d = F.col("c_declared_norm")
-    return F.when(d.isNull(), UNKNOWN).when((d == F.col("q_norm")) | (F.col("channel") == "synonym"), PASS).otherwise(MISMATCH)
+    return "case when c_declared_norm is null then 'unknown' when c_declared_norm = q_norm or channel = 'synonym' then 'pass' else 'mismatch' end"
 
 
 def boundary_gate() -> Column:
-    wanted, observed, own = F.col("q_modules"), F.col("c_modules"), boundary_key(F.coalesce("c_boundary", F.lit("")))
-    same = (own == boundary_key(F.col("q_boundary"))) | ((wanted == "A1|A2|A3") & own.isin("a1-a3", "a1–a3", "cradle-to-gate"))
-    return F.when(wanted.isNull(), MISMATCH).when(observed.isNotNull(), F.when(observed == wanted, PASS).otherwise(MISMATCH)).when(own != "", F.when(same, PASS).otherwise(MISMATCH)).otherwise(UNKNOWN)
+    own = boundary_key("coalesce(c_boundary, '')")
+    same = f"({own} = {boundary_key('q_boundary')} or (q_modules = 'A1|A2|A3' and {own} in ('a1-a3', 'a1–a3', 'cradle-to-gate')))"
+    return F.expr(f"case when q_modules is null then 'mismatch' when c_modules is not null then if(c_modules = q_modules, 'pass', 'mismatch') when {own} = '' then 'unknown' when {same} then 'pass' else 'mismatch' end")
 
 
-def value_gate(q: str, c: str) -> Column:
-    wanted, own = F.col(q).cast("string"), F.col(c).cast("string")
-    return F.when(blank(wanted) | blank(own), UNKNOWN).when(wanted == own, PASS).otherwise(MISMATCH)
+def value_gate(q: str, c: str) -> str:
+    return f"case when {_blank(q)} or {_blank(c)} then 'unknown' when cast({q} as string) = cast({c} as string) then 'pass' else 'mismatch' end"
 
 
 def qualify(hits: DataFrame) -> DataFrame:
     """Hits with their unit ``plan``, gate columns ``g_*``, ``exclusions``, ``primary_exclusion`` and ``eligible``.
 
-    A mass factor for a counted quantity passes the unit gate when the target was derived: the reference flow is resolved later.
+    A mass factor for a count, or for a volume of a stated form, passes the unit gate when the target was derived: the reference flow is resolved later.
     """
-    hits = hits.withColumn("plan", factor_plan(F.col("c_unit"), F.col("t_unit")))
-    bridge = (F.col("plan.reason") == "UNIT_DIMENSION_MISMATCH") & F.col("q_target_factor_unit").isNull() & (F.col("t_unit.dimension") == "COUNT") & (F.col("c_unit.dimension") == "MASS")
-    identity, identity_codes = identity_gate()
-    hits = hits.withColumns({"flow_bridge": F.coalesce(bridge, F.lit(False)), "g_identity": identity, "identity_codes": identity_codes, "g_kind": kind_gate(), "g_subject": subject_gate(), "g_quality": quality_gate(), "g_indicator": indicator_gate(), "declared_first": declared_gate(), "g_boundary": boundary_gate(), "g_geography": value_gate("q_geography", "c_geography"), "g_year": value_gate("q_year", "c_year")})
-    qualified = F.coalesce(F.col("c_unit.qualifier").isNotNull(), F.lit(False)) & (F.col("declared_first") != PASS)
-    hits = hits.withColumn("unit_unproved", qualified)
+    hits = hits.withColumn("plan", factor_plan("c_unit", "t_unit", "q_unit_conversion_evidence"))
+    bridge = f"plan.reason = 'UNIT_DIMENSION_MISMATCH' and q_target_factor_unit is null and c_unit.dimension = 'MASS' and (t_unit.dimension = 'COUNT' or (t_unit.dimension = 'VOLUME' and not {_blank('q_product_form')}))"
+    firsts = {"flow_bridge": f"coalesce({bridge}, false)", "g_identity": identity_gate(), "g_kind": kind_gate(), "g_subject": subject_gate(), "g_quality": quality_gate(), "g_indicator": indicator_gate(), "declared_first": declared_gate(), "g_geography": value_gate("q_geography", "c_geography"), "g_year": value_gate("q_year", "c_year")}
+    hits = hits.withColumns({k: F.expr(v) for k, v in firsts.items()} | {"g_boundary": boundary_gate()}).withColumn("unit_unproved", F.expr("c_unit.qualifier is not null and declared_first <> 'pass'"))
     hits = hits.withColumns({
-        "g_declared": F.when(F.col("unit_unproved") & F.col("c_declared_norm").isNull(), MISMATCH).otherwise(F.col("declared_first")),
-        "g_unit": F.when(F.col("plan.reason").isin("CATALOG_FACTOR_UNIT_INVALID", "UNIT_SYNTAX_UNSUPPORTED"), MISMATCH).when(F.col("unit_unproved"), UNKNOWN).when(F.col("flow_bridge") | F.col("plan.reason").isNull(), PASS).otherwise(MISMATCH),
+        "g_declared": F.expr("if(unit_unproved and c_declared_norm is null, 'mismatch', declared_first)"),
+        "g_unit": F.expr("case when plan.reason in ('CATALOG_FACTOR_UNIT_INVALID', 'UNIT_SYNTAX_UNSUPPORTED') then 'mismatch' when unit_unproved then 'unknown' when flow_bridge or plan.reason is null then 'pass' else 'mismatch' end"),
     })
-    operational = F.coalesce(F.col("c_factor_kind"), F.lit("")).isin(*OPERATIONAL)
-    code = lambda test, name: F.when(test, F.lit(name) if isinstance(name, str) else name)
-    exclusions = F.array_distinct(F.array_compact(F.concat(F.col("identity_codes"), F.array(
-        code(F.col("g_kind") == MISMATCH, "factor_kind_mismatch"),
-        code((F.col("g_subject") != PASS) & ((F.col("q_subject_type") != "unknown") | operational | F.col("c_subject_type").isin(*NON_MATERIAL)), "subject_type_mismatch"),
-        code(F.col("g_quality") != PASS, "source_quality_not_admissible"),
-        code(F.col("g_indicator") == MISMATCH, "indicator_mismatch"),
-        code(F.col("g_declared") == MISMATCH, "declared_product_mismatch"),
-        code(F.col("g_boundary") == MISMATCH, "boundary_mismatch"),
-        code(F.col("g_geography") == MISMATCH, "geography_mismatch"),
-        code(F.col("g_year") == MISMATCH, "year_mismatch"),
-        code(F.col("unit_unproved"), "unit_qualifier_requires_validation"),
-        code(F.col("g_unit") == MISMATCH, F.col("plan.reason")),
-    ))))
-    hits = hits.withColumn("exclusions", exclusions)
-    return hits.withColumns({"eligible": F.size("exclusions") == 0, "primary_exclusion": F.get("exclusions", F.lit(0))}).drop("declared_first", "identity_codes")
+    codes = [
+        *_IDENTITY, ("factor_kind_mismatch", "g_kind = 'mismatch'"),
+        ("subject_type_mismatch", f"g_subject <> 'pass' and (q_subject_type <> 'unknown' or coalesce(c_factor_kind, '') in {_in(OPERATIONAL)} or c_subject_type in {_in(NON_MATERIAL)})"),
+        ("source_quality_not_admissible", "g_quality <> 'pass'"), ("indicator_mismatch", "g_indicator = 'mismatch'"), ("declared_product_mismatch", "g_declared = 'mismatch'"), ("boundary_mismatch", "g_boundary = 'mismatch'"),
+        ("geography_mismatch", "g_geography = 'mismatch'"), ("year_mismatch", "g_year = 'mismatch'"), ("unit_qualifier_requires_validation", "unit_unproved"),
+    ]
+    listed = ", ".join([*(f"if({t}, '{k}', null)" for k, t in codes), "if(g_unit = 'mismatch', plan.reason, null)", "if(c_conflict, 'CONFLICTING_DUPLICATE_SOURCE_ID', null)"])
+    hits = hits.withColumn("exclusions", F.expr(f"array_compact(array({listed}))"))
+    return hits.withColumns({"eligible": F.expr("size(exclusions) = 0"), "primary_exclusion": F.expr("get(exclusions, 0)")}).drop("declared_first")

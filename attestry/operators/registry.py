@@ -2,82 +2,31 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_RULES = 100_000
 
+def match_rules(names: DataFrame, rules: DataFrame) -> DataFrame:
+    """Spans of active rules in distinct names. names: name; rules: rule_id, alias, status. One plan, whatever the number of rules.
 
-def _edge(text: str, at: int) -> bool:
-    return at < 0 or at >= len(text) or not (text[at].isascii() and text[at].isalnum())
-
-
-def _joined(names: DataFrame, active: DataFrame) -> DataFrame:
-    """All occurrences between edges, from an equi-join of names and aliases.
-
-    Between edges, a run of ASCII letters and digits in an alias is a whole run of the name too: an alias' longest one is its key. An alias without any
-    has its first character as key. Runs and single other characters never are the same text.
+    An alias counts wherever no ASCII letter or digit stands next to it. Names and aliases meet in an equi-join: between such edges, a run of ASCII
+    letters and digits in an alias is a whole run of the name too, so an alias' longest run is its key; an alias without any has its first character
+    as key. Runs and single other characters never are the same text. A name's places are then looked through for the aliases it met.
     """
+    active = rules.where("status = 'active' and alias <> ''").select("alias", "rule_id").distinct()
+    names = names.select("name").where("name <> ''").distinct()
     runs = lambda c: F.regexp_extract_all(c, F.lit("[0-9A-Za-z]+"), F.lit(0))
     longest = F.array_max(F.transform(runs("alias"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     single = F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.substr(F.col("name"), i, F.lit(1)))
-    keys = F.when(F.length("name") > 0, F.array_distinct(F.concat(runs("name"), F.filter(single, lambda c: ~c.rlike("[0-9A-Za-z]")))))
+    keys = F.array_distinct(F.concat(runs("name"), F.filter(single, lambda c: ~c.rlike("[0-9A-Za-z]"))))
     pairs = names.withColumn("key", F.explode(keys)).join(active.withColumn("key", F.coalesce(longest, F.substring("alias", 1, 1))), "key")
 
-    @F.pandas_udf("array<int>")
-    def starts(text: pd.Series, alias: pd.Series) -> pd.Series:
-        def one(t: str, a: str) -> list[int]:
-            out, at = [], t.find(a)
-            while at >= 0:
-                if _edge(t, at - 1) and _edge(t, at + len(a)):
-                    out.append(at)
-                at = t.find(a, at + 1)
-            return out
-
-        return pd.Series([one(t, a) for t, a in zip(text, alias)])
-
-    return pairs.select("name", "alias", "rule_id", F.explode(starts("name", "alias")).alias("start")).select("name", F.struct(F.length("alias").alias("size"), "start", "rule_id").alias("m"))
-
-
-def match_rules(names: DataFrame, rules: DataFrame) -> DataFrame:
-    """Spans of active rules in distinct names. names: name; rules: rule_id, alias, status.
-
-    The rule table is small by nature; its size is checked, and it goes to the workers as one automaton. Larger tables are joined instead, with
-    the same occurrences as a result.
-    """
-    active = rules.where("status = 'active' and alias <> ''").select("alias", "rule_id").distinct()
-    names = names.select("name").distinct()
-    listed = active.limit(MAX_RULES + 1).collect()
-    if len(listed) > MAX_RULES:
-        return _pack(_joined(names, active).groupBy("name").agg(F.collect_list("m").alias("ms")))
-    aliases = [(r["alias"], r["rule_id"]) for r in listed]
-
-    @F.pandas_udf("array<struct<size:int,start:int,rule_id:string>>")
-    def find(text: pd.Series) -> pd.Series:
-        import ahocorasick
-
-        by_alias: dict[str, list[str]] = {}
-        for alias, rule in aliases:
-            by_alias.setdefault(alias, []).append(rule)
-        automaton = ahocorasick.Automaton()
-        for alias, own in by_alias.items():
-            automaton.add_word(alias, (len(alias), sorted(own)))
-        automaton.make_automaton()
-
-        def one(t: str) -> list[dict]:
-            out = []
-            for end, (n, own) in automaton.iter(t):
-                start = end - n + 1
-                if _edge(t, start - 1) and _edge(t, end + 1):
-                    out += [{"size": n, "start": start, "rule_id": r} for r in own]
-            return out
-
-        return text.map(one)
-
-    if not aliases:
-        return names.where("false").select("name", F.lit("").alias("rule_id"), F.lit(0).alias("start"), F.lit(0).alias("size"))
-    return _pack(names.select("name", find("name").alias("ms")))
+    size, padded = F.length("alias"), F.concat(F.lit(" "), F.col("name"), F.lit(" "))
+    free = lambda at: ~F.substr(padded, at, F.lit(1)).rlike("[0-9A-Za-z]")
+    here = lambda i: (F.substr(F.col("name"), i + 1, size) == F.col("alias")) & free(i + 1) & free(i + size + 2)
+    starts = F.when(F.length("name") >= size, F.filter(F.sequence(F.lit(0), F.length("name") - size), here))
+    found = pairs.select("name", size.alias("size"), "rule_id", F.explode(starts).alias("start"))
+    return _pack(found.groupBy("name").agg(F.collect_list(F.struct("size", "start", "rule_id")).alias("ms")))
 
 
 def _pack(found: DataFrame) -> DataFrame:

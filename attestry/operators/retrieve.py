@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from attestry.functions.text import bigrams, lexical_score, normalize, tokens
+from attestry.functions.text import bigrams, fold_unicode, grade_percent, lexical_score, normal_sql, tokens, words_sql
 from attestry.functions.units import activity_unit, factor_unit
 
 CHANNELS = ("exact", "synonym", "related")
@@ -19,50 +19,60 @@ MODULES = {"a1": "A1", "a2": "A2", "a3": "A3", "a1-a3": "A1|A2|A3", "a1–a3": "
 MIN_LEXICAL, LEXICAL_TOP = 0.35, 5
 
 
-def boundary_key(boundary: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(boundary)), r"\s+", "-")
+def boundary_key(x: str) -> str:
+    return f"regexp_replace(lower(trim({x})), r'\\s+', '-')"
 
 
-def boundary_modules(boundary: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in MODULES.items() for x in kv]), boundary_key(F.coalesce(boundary, F.lit(""))))
-
-
-def prefixed(df: DataFrame, prefix: str) -> DataFrame:
-    return df.select([F.col(c).alias(f"{prefix}{c}") for c in df.columns])
+def boundary_modules(x: str) -> Column:
+    pairs = ", ".join(f"'{v}'" for kv in MODULES.items() for v in kv)
+    return F.expr(f"try_element_at(map({pairs}), {boundary_key(f"coalesce({x}, '')")})")
 
 
 #: Text columns that are compared dimension by dimension.
 COMPARED = ("production_process", "product_form", "composition", "geography", "boundary")
 
 
-def prepare(df: DataFrame, prefix: str) -> DataFrame:
-    """Columns prefixed, and for every compared text its normal form (null if blank) and its words, computed once a row, before any join."""
-    df = prefixed(df, prefix)
-    clean = {f"{prefix}n_{k}": F.nullif(normalize(F.coalesce(F.col(f"{prefix}{k}").cast("string"), F.lit(""))), F.lit("")) for k in COMPARED}
-    df = df.withColumns(clean | {f"{prefix}norm": normalize(F.col(f"{prefix}material_name"))})
-    return df.withColumns({f"{prefix}t_{k}": tokens(F.col(f"{prefix}n_{k}")) for k in COMPARED} | {f"{prefix}t_material": tokens(F.col(f"{prefix}norm"))})
-
+def prepare(df: DataFrame, prefix: str, names: tuple[str, ...], more: dict[str, str]) -> DataFrame:
+    """Columns prefixed; for every compared text its normal form (null if blank) and its words, computed once a row, before any join.
 
-def parsed(df: DataFrame, source: str, name: str, parse) -> DataFrame:
-    """``df`` with ``parse`` of a unit column, done once for each distinct text: parsing takes dozens of patterns, spellings are few."""
-    own = df.select(F.col(source).alias("_u")).where("_u is not null").distinct().withColumn(name, parse(F.col("_u")))
-    return df.join(own, F.col(source) == F.col("_u"), "left").drop("_u")
+    ``names`` are first put in compatibility form with cases folded, for which Spark has no function: one Arrow step over these columns.
+    """
+    df = df.withColumns({name: fold_unicode(F.col(name)) for name in names})
+    clean = [f"nullif({normal_sql(f"coalesce(cast({k} as string), '')")}, '') as {prefix}n_{k}" for k in COMPARED]
+    df = df.selectExpr(*[f"`{c}` as {prefix}{c}" for c in df.columns], *clean, f"{normal_sql('material_name')} as {prefix}norm", *[f"{x} as {prefix}{k}" for k, x in more.items()])
+    return df.selectExpr("*", *[f"{words_sql(f'{prefix}n_{k}')} as {prefix}t_{k}" for k in COMPARED], f"{words_sql(f'{prefix}norm')} as {prefix}t_material")
 
 
 def prepare_requests(requests: DataFrame) -> DataFrame:
-    """Prefix ``q_``; parsed quantity unit and target unit (the requested one, or kgCO2e by the request's own unit), wanted modules."""
-    q = prepare(requests, "q_").withColumn("q_target_unit", F.coalesce("q_target_factor_unit", F.concat(F.lit("kgCO2e/"), F.col("q_quantity_unit"))))
-    q = parsed(parsed(q, "q_quantity_unit", "q_unit", activity_unit), "q_target_unit", "t_unit", factor_unit)
-    return q.withColumn("q_modules", boundary_modules(F.col("q_boundary")))
+    """Prefix ``q_``; parsed quantity unit and target unit (the requested one, or kgCO2e by the request's own unit), wanted modules, grade, evidence."""
+    more = {"target_unit": "coalesce(target_factor_unit, concat('kgCO2e/', quantity_unit))"}
+    if "unit_conversion_evidence" not in requests.columns:
+        more["unit_conversion_evidence"] = "cast(null as struct<source_canonical_unit:string,target_canonical_unit:string,multiplier:double>)"
+    q = prepare(requests, "q_", ("material_name",), more)
+    return q.withColumns({"q_unit": activity_unit("q_quantity_unit"), "t_unit": factor_unit("q_target_unit"), "q_modules": boundary_modules("q_boundary"), "q_grade": grade_percent(F.col("q_composition"))})
 
 
 def prepare_catalog(catalog: DataFrame) -> DataFrame:
-    """Prefix ``c_``; parsed factor unit, normal alias and declared product, canonical module set."""
-    c = prepare(catalog, "c_")
-    listed = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.coalesce("c_boundary_modules", F.lit("")), r"\|"), lambda m: F.upper(F.trim(m))), lambda m: m != "")))
-    declared = F.nullif(normalize(F.coalesce("c_declared_product", F.lit(""))), F.lit(""))
-    hashed = F.coalesce(F.col("c_document_sha256"), F.lit("")).rlike("^[0-9a-f]{64}$")
-    return parsed(c, "c_factor_unit", "c_unit", factor_unit).withColumns({"c_alias_norm": normalize(F.col("c_alias")), "c_declared_norm": declared, "c_modules": F.nullif(F.array_join(listed, "|"), F.lit("")), "c_hashed": hashed})
+    """Prefix ``c_``; parsed factor unit, normal alias and declared product, canonical module set, and what gates say of the record alone.
+
+    ``conflict``, if the catalogue has it (see ``single``), marks ids that stand for several records.
+    """
+    more = {
+        "alias_norm": normal_sql("alias"),
+        "declared_norm": f"nullif({normal_sql("coalesce(declared_product, '')")}, '')",
+        "modules": "nullif(array_join(array_sort(array_distinct(filter(transform(split(coalesce(boundary_modules, ''), r'\\|'), m -> upper(trim(m))), m -> m <> ''))), '|'), '')",
+        "hashed": "coalesce(document_sha256, '') rlike '^[0-9a-f]{64}$'",
+    }
+    if "conflict" not in catalog.columns:
+        more["conflict"] = "false"
+    return prepare(catalog, "c_", ("material_name", "alias"), more).withColumn("c_unit", factor_unit("c_factor_unit"))
+
+
+def single(catalog: DataFrame, key: str = "source_id") -> DataFrame:
+    """One row a key with ``copies`` and ``conflict``: whether rows of the key differ in content. Such keys may not stand for any of their rows."""
+    per = catalog.select(F.col(key).alias("key"), F.struct(*catalog.columns).alias("row"), F.sha2(F.to_json(F.struct(*sorted(catalog.columns)), {"ignoreNullFields": "false"}), 256).alias("digest"))
+    per = per.groupBy("key").agg(F.min_by("row", "digest").alias("row"), F.count("*").alias("copies"), (F.min("digest") != F.max("digest")).alias("conflict"))
+    return per.select("row.*", "copies", "conflict")
 
 
 def exact_hits(q: DataFrame, c: DataFrame) -> DataFrame:
@@ -80,19 +90,20 @@ def related_hits(q: DataFrame, c: DataFrame) -> DataFrame:
 
 
 def retrieve(requests: DataFrame, catalog: DataFrame) -> DataFrame:
-    """All hits of all channels, each (request, record) once, from one join on tagged keys.
+    return met(prepare_requests(requests), prepare_catalog(catalog))
+
+
+def met(q: DataFrame, c: DataFrame) -> DataFrame:
+    """All hits of all channels, each (request, record) once, from one join of prepared requests and records on tagged keys.
 
     A name key finds exact and synonym hits; an entity key finds related ones and yields to a name key of the same pair.
     """
-    q, c = prepare_requests(requests), prepare_catalog(catalog)
-    key = lambda kind, col: F.struct(F.lit(kind).alias("kind"), F.col(col).alias("key"))
-    q = q.withColumn("k", F.explode(F.array(key("name", "q_norm"), key("entity", "q_base_entity_id")))).where("k.key is not null")
-    c = c.withColumn("k", F.explode(F.array_distinct(F.array(key("name", "c_norm"), key("name", "c_alias_norm"), key("entity", "c_base_entity_id"))))).where("k.key is not null")
-    both = q.withColumns({"kind": F.col("k.kind"), "key": F.col("k.key")}).drop("k").join(c.withColumns({"kind": F.col("k.kind"), "key": F.col("k.key")}).drop("k"), ["kind", "key"])
-    exact, synonym = F.coalesce(F.col("q_norm") == F.col("c_norm"), F.lit(False)), F.coalesce(F.col("q_norm") == F.col("c_alias_norm"), F.lit(False))
-    product = F.col("q_product_entity_id").isNull() | F.coalesce(F.col("q_product_entity_id") == F.col("c_product_entity_id"), F.lit(False))
-    both = both.where((F.col("kind") == "name") | (product & ~exact & ~synonym))
-    return both.withColumn("channel", F.when(exact, "exact").when(synonym, "synonym").otherwise("related")).drop("kind", "key")
+    q = q.withColumn("key", F.expr("explode(filter(array(concat('n:', q_norm), concat('e:', q_base_entity_id)), k -> k is not null))"))
+    c = c.withColumn("key", F.expr("explode(array_distinct(filter(array(concat('n:', c_norm), concat('n:', c_alias_norm), concat('e:', c_base_entity_id)), k -> k is not null)))"))
+    exact, synonym = "coalesce(q_norm = c_norm, false)", "coalesce(q_norm = c_alias_norm, false)"
+    product = "(q_product_entity_id is null or coalesce(q_product_entity_id = c_product_entity_id, false))"
+    both = q.join(c, "key").where(f"key like 'n:%' or ({product} and not {exact} and not {synonym})")
+    return both.withColumn("channel", F.expr(f"case when {exact} then 'exact' when {synonym} then 'synonym' else 'related' end")).drop("key")
 
 
 def conflict_free(catalog: DataFrame, key: str, digest: str) -> DataFrame:
@@ -101,25 +112,30 @@ def conflict_free(catalog: DataFrame, key: str, digest: str) -> DataFrame:
     return per.where("low = high").select("row.*", "copies")
 
 
-def conflicts(catalog: DataFrame, key: str, digest: str) -> DataFrame:
-    per = catalog.groupBy(key).agg(F.count("*").alias("copies"), F.count_distinct(digest).alias("versions"))
-    return per.where("versions > 1")
+def lexical_features(name: Column) -> Column:
+    """What two names with a lexical score of ``MIN_LEXICAL`` or more have in common at least one of: words, bigrams, and in short names bigrams that skip a letter.
+
+    A Jaccard of 0.35 needs a common word or bigram. An indel ratio of 0.7 needs a common subsequence of k letters in a + b <= 2k / 0.7; of its k - 1
+    steps one skips at most (a + b - 2k) / (k - 1) letters in both names together. That is none for k >= 8, so a bigram is shared, and at most one
+    for k of 2 to 7, so two letters are next to each other in one name and at most one apart in the other. There a + b <= 20, and as k is no more than
+    the shorter name, no name is longer than 13. With k = 1 both names are the same letter.
+    """
+    n, own = F.length(name), F.array_union(tokens(name), bigrams(name))
+    skips = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.concat(F.substr(name, i, F.lit(1)), F.substr(name, i + 2, F.lit(1))))
+    return F.when((n >= 3) & (n <= 13), F.array_union(own, skips)).when(n == 1, F.array(name)).otherwise(own)
 
 
-def lexical_observations(left: DataFrame, right: DataFrame, id_left: str, id_right: str, name_left: str, name_right: str) -> DataFrame:
+def lexical_observations(left: DataFrame, right: DataFrame, id_left: str, id_right: str, name_left: str, name_right: str, admitted: DataFrame | None = None) -> DataFrame:
     """Top observations by lexical score of at least ``MIN_LEXICAL``; both names normalized and distinct.
 
-    A score that high needs a Jaccard of 0.35, so a shared word or bigram, or an indel ratio of 0.7, so lengths within a factor of
-    0.7 / 1.3 and at least one shared bigram or a very short name. The candidates are an equi-join on features, not a cross product.
+    Candidates come from an equi-join on ``lexical_features``, not from a cross product, and from names whose lengths allow the score.
+    ``admitted`` (a_id, b_id) are pairs that a channel has found already; they are left out before the top is cut.
     """
-    a = left.select(F.col(id_left).alias("a_id"), F.col(name_left).alias("a"))
-    b = right.select(F.col(id_right).alias("b_id"), F.col(name_right).alias("b"))
-    def features(name: str):
-        own = F.array_union(tokens(F.col(name)), bigrams(F.col(name)))
-        letters = F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.concat(F.lit("1:"), F.substr(F.col(name), i, F.lit(1))))
-        return F.when(F.length(name) <= 6, F.array_union(own, letters)).otherwise(own)
-
-    pairs = a.withColumn("f", F.explode(features("a"))).join(b.withColumn("f", F.explode(features("b"))), "f").groupBy("a_id", "a", "b_id", "b").agg(F.count("*").alias("shared"))
+    a = left.select(F.col(id_left).alias("a_id"), F.col(name_left).alias("a")).where("a <> ''")
+    b = right.select(F.col(id_right).alias("b_id"), F.col(name_right).alias("b")).where("b <> ''")
+    pairs = a.withColumn("f", F.explode(lexical_features(F.col("a")))).join(b.withColumn("f", F.explode(lexical_features(F.col("b")))), "f").select("a_id", "a", "b_id", "b").distinct()
+    if admitted is not None:
+        pairs = pairs.join(admitted.select("a_id", "b_id"), ["a_id", "b_id"], "left_anti")
     scored = pairs.withColumn("score", F.round(lexical_score(F.col("a"), F.col("b")), 6)).where(F.col("score") >= MIN_LEXICAL)
     w = Window.partitionBy("a_id").orderBy(F.desc("score"), "b_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= LEXICAL_TOP).select("a_id", "b_id", "score", "rank")

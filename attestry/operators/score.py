@@ -1,15 +1,17 @@
-"""Dimension scores, weighted score, evidence coverage, gaps, strength, tier and confidence of candidates."""
+"""Dimension scores, weighted score, evidence coverage, gaps, plan execution, strength, tier and confidence of candidates.
 
-from __future__ import annotations
+Formulas are texts of expressions over the joined frame, so that a whole stage is parsed and analysed at once.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from attestry.functions.text import blank, prepared_score
+from attestry.functions.text import prepared_score
 from attestry.functions.units import activity_plan
+from attestry.operators.qualify import LIFECYCLE, OPERATIONAL, _blank, _in
 
 # Weights of the seven dimensions for direct hits and proxies by material category; source quality by type; type order.
 DIRECT = {"material": 0.25, "process": 0.20, "form": 0.10, "composition": 0.15, "geography": 0.10, "time": 0.10, "boundary": 0.10}
@@ -22,92 +24,83 @@ PROXY = {
 QUALITY = {"supplier": 0.55, "local_database": 0.9, "epd": 0.9, "literature": 0.7, "external_database": 0.75}
 TYPES = {"direct_exact": 0, "direct_alias": 1, "unit_converted": 2, "reference_flow_converted": 3, "process_adjusted": 4, "grade_exact_anchor": 4, "grade_interpolated": 5, "grade_proxy": 6, "unadjusted_process_proxy": 7, "class_technical_proxy": 8, "class_generic_proxy": 9}
 MIN_SCORE = 0.65
+DIRECT_TYPES = ("direct_exact", "direct_alias", "unit_converted")
 PAIRS = {"material": ("q_material_name", "c_material_name"), "process": ("q_production_process", "c_production_process"), "form": ("q_product_form", "c_product_form"), "composition": ("q_composition", "c_composition"), "geography": ("q_geography", "c_geography"), "time": ("q_year", "c_year"), "boundary": ("q_boundary", "c_boundary")}
+#: The least gap severity that forbids a selection, by type.
+HARD = "((g.type = 'PROCESS_VARIANT' and g.severity >= 0.8D) or g.type = 'GRADE_COMPOSITION')"
+
+
+def lookup(values: dict, key: str, default) -> str:
+    return f"case {key} " + " ".join(f"when '{k}' then {v!r}{'D' if isinstance(v, float) else ''}" for k, v in values.items()) + f" else {default!r}{'D' if isinstance(default, float) else ''} end"
 
 
-def lookup(values: dict, key: Column, default) -> Column:
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key), F.lit(default))
+def time_score(q: str = "q_year", c: str = "c_year") -> str:
+    return f"case when {q} is null and {c} is null then 1D when {q} is null or {c} is null then 0.5D when {q} = {c} then 1D when abs({q} - {c}) <= 3 then 0.8D when abs({q} - {c}) <= 10 then 0.5D else 0.2D end"
 
 
-def time_score(q: Column, c: Column) -> Column:
-    apart = F.abs(q - c)
-    return F.when(q.isNull() & c.isNull(), 1.0).when(q.isNull() | c.isNull(), 0.5).when(apart == 0, 1.0).when(apart <= 3, 0.8).when(apart <= 10, 0.5).otherwise(0.2)
+def material_score() -> str:
+    inside = "q_norm <> '' and (instr(c_norm, q_norm) > 0 or instr(q_norm, c_norm) > 0)"
+    return f"case when q_base_entity_id = c_base_entity_id or q_norm = c_norm then 1D when {inside} then 0.8D else {prepared_score('q_norm', 'c_norm', 'q_t_material', 'c_t_material')} end"
 
 
-def material_score() -> Column:
-    inside = (F.instr(F.col("c_norm"), F.col("q_norm")) > 0) | (F.instr(F.col("q_norm"), F.col("c_norm")) > 0)
-    return F.when(F.col("q_base_entity_id") == F.col("c_base_entity_id"), 1.0).when(F.col("q_norm") == F.col("c_norm"), 1.0).when((F.col("q_norm") != "") & inside, 0.8).otherwise(prepared_score(F.col("q_norm"), F.col("c_norm"), F.col("q_t_material"), F.col("c_t_material")))
+def _where(test: str | None, cols: dict[str, str]) -> dict[str, Column]:
+    """Expressions that are worked out only where ``test`` holds."""
+    return {k: F.expr(f"if({test}, {x}, null)" if test else x) for k, x in cols.items()}
 
 
-def with_dimensions(df: DataFrame) -> DataFrame:
-    cols = {f"d_{k}": prepared_score(F.col(f"q_n_{q[2:]}"), F.col(f"c_n_{c[2:]}"), F.col(f"q_t_{q[2:]}"), F.col(f"c_t_{c[2:]}")) for k, (q, c) in PAIRS.items() if k not in ("material", "time")}
-    return df.withColumns(cols | {"d_material": material_score(), "d_time": time_score(F.col("q_year"), F.col("c_year"))})
+def with_dimensions(df: DataFrame, test: str | None = None) -> DataFrame:
+    cols = {f"d_{k}": prepared_score(f"q_n_{q[2:]}", f"c_n_{c[2:]}", f"q_t_{q[2:]}", f"c_t_{c[2:]}") for k, (q, c) in PAIRS.items() if k not in ("material", "time")}
+    return df.withColumns(_where(test, cols | {"d_material": material_score(), "d_time": time_score()}))
 
 
-def weighted_score(weights: dict[str, float] = DIRECT) -> Column:
-    return F.round(reduce(lambda a, b: a + b, (F.lit(w) * F.col(f"d_{k}") for k, w in weights.items())), 6)
+def weighted_score(weights: dict[str, float] = DIRECT) -> str:
+    return "round(" + " + ".join(f"{w!r}D * d_{k}" for k, w in weights.items()) + ", 6)"
 
 
-def proxy_score(category: Column) -> Column:
+def proxy_score(category: str) -> str:
     """The score under the weights of the material category."""
-    out = weighted_score(PROXY["default"])
-    for name, weights in PROXY.items():
-        if name != "default":
-            out = F.when(category == name, weighted_score(weights)).otherwise(out)
-    return out
+    return f"case {category} " + " ".join(f"when '{k}' then {weighted_score(w)}" for k, w in PROXY.items() if k != "default") + f" else {weighted_score(PROXY['default'])} end"
 
 
-def evidence_coverage(weights: dict[str, float] = DIRECT) -> Column:
-    both = lambda k: ~blank(F.col(PAIRS[k][0])) & ~blank(F.col(PAIRS[k][1]))
-    return F.round(reduce(lambda a, b: a + b, (F.when(both(k), w).otherwise(0.0) for k, w in weights.items())) / sum(weights.values()), 6)
+def evidence_coverage(weights: dict[str, float] = DIRECT) -> str:
+    both = lambda k: f"not {_blank(PAIRS[k][0])} and not {_blank(PAIRS[k][1])}"
+    return "round((" + " + ".join(f"if({both(k)}, {w!r}D, 0D)" for k, w in weights.items()) + f") / {sum(weights.values())!r}D, 6)"
 
 
-def missing_evidence() -> Column:
-    out = []
-    for k, (q, c) in PAIRS.items():
-        out += [F.when(blank(F.col(q)), F.lit(f"missing_target_{k}")), F.when(blank(F.col(c)), F.lit(f"missing_source_{k}"))]
-    return F.array_compact(F.array(*out))
+def missing_evidence() -> str:
+    """Names of the fields that either side lacks, in a fixed order."""
+    sides = [(f"missing_{side}_{k}", c) for k, pair in PAIRS.items() for side, c in zip(("target", "source"), pair, strict=True)]
+    return "array_compact(array(" + ", ".join(f"if({_blank(c)}, '{name}', null)" for name, c in sides) + "))"
 
 
-def gap(kind: str, severity, test: Column) -> Column:
-    return F.when(test, F.struct(F.lit(kind).alias("type"), (severity if isinstance(severity, Column) else F.lit(float(severity))).alias("severity")))
+def _plain(c: str) -> str:
+    return f"replace(lower({c}), ' ', '')"
 
 
-def _different(q: str, c: str) -> Column:
-    q, c = F.col(f"q_n_{q[2:]}"), F.col(f"c_n_{c[2:]}")
-    return q.isNotNull() & c.isNotNull() & (q != c)
+def _different(k: str) -> str:
+    q, c = (f"{side}_n_{PAIRS[k][0][2:]}" for side in "qc")
+    return f"({q} is not null and {c} is not null and {q} <> {c})"
 
 
-def _absent(q: str, c: str) -> Column:
-    return F.col(f"q_n_{q[2:]}").isNotNull() & F.col(f"c_n_{c[2:]}").isNull()
+def _absent(k: str) -> str:
+    q, c = (f"{side}_n_{PAIRS[k][0][2:]}" for side in "qc")
+    return f"({q} is not null and {c} is null)"
 
 
-def gaps() -> Column:
+def gaps() -> str:
     """Ordered gaps (type, severity) of a candidate."""
-    apart = F.abs(F.col("q_year") - F.col("c_year"))
-    later = F.when(apart <= 3, 0.3).otherwise(F.least(F.lit(1.0), F.lit(0.5) + (apart - 3) / F.lit(14.0)))
-    plain = lambda c: F.regexp_replace(F.lower(F.col(c)), " ", "")
-    own = F.col("q_unit")
-    target = F.when(F.col("flow_bridge"), F.col("c_unit.dimension")).otherwise(F.col("t_unit.dimension"))
-    target_name = F.when(F.col("flow_bridge"), F.col("c_unit.canonical")).otherwise(F.col("t_unit.canonical"))
-    return F.array_compact(F.array(
-        gap("UNIT_SCALE", 0.1, (plain("c_factor_unit") != plain("q_target_unit")) & (F.col("c_unit.dimension") == F.col("t_unit.dimension"))),
-        gap("UNIT_SCALE", 0.1, (own["canonical"] != target_name) & (own["dimension"] == target)),
-        gap("REFERENCE_FLOW", 1.0, (own["canonical"] != target_name) & (own["dimension"] != target)),
-        gap("PROCESS_VARIANT", 0.8, _different("q_production_process", "c_production_process")),
-        gap("PROCESS_VARIANT", 0.5, _absent("q_production_process", "c_production_process")),
-        gap("GRADE_COMPOSITION", 0.7, _different("q_composition", "c_composition")),
-        gap("GRADE_COMPOSITION", 0.5, _absent("q_composition", "c_composition")),
-        gap("MATERIAL_ABSENT", 1.0, (F.col("channel") == "related") & ~(_different("q_production_process", "c_production_process") | _absent("q_production_process", "c_production_process") | _different("q_composition", "c_composition") | _absent("q_composition", "c_composition"))),
-        gap("BOUNDARY", 0.7, _different("q_boundary", "c_boundary")),
-        gap("BOUNDARY", 0.4, _absent("q_boundary", "c_boundary")),
-        gap("GEOGRAPHY", 1.0, _different("q_geography", "c_geography")),
-        gap("GEOGRAPHY", 0.5, _absent("q_geography", "c_geography")),
-        gap("TEMPORAL", later, F.col("q_year").isNotNull() & F.col("c_year").isNotNull() & (F.col("q_year") != F.col("c_year"))),
-        gap("TEMPORAL", 0.5, F.col("q_year").isNotNull() & F.col("c_year").isNull()),
-        gap("FORM", 0.5, _different("q_product_form", "c_product_form")),
-        gap("FORM", 0.3, _absent("q_product_form", "c_product_form")),
-    ))
+    later = "if(abs(q_year - c_year) <= 3, 0.3D, least(1D, 0.5D + (abs(q_year - c_year) - 3) / 14D))"
+    target = lambda field: f"if(flow_bridge, c_unit.{field}, t_unit.{field})"
+    other = f"q_unit.canonical <> {target('canonical')}"
+    rows = [
+        ("UNIT_SCALE", "0.1D", f"{_plain('c_factor_unit')} <> {_plain('q_target_unit')} and c_unit.dimension = t_unit.dimension"),
+        ("UNIT_SCALE", "0.1D", f"{other} and q_unit.dimension = {target('dimension')}"), ("REFERENCE_FLOW", "1D", f"{other} and q_unit.dimension <> {target('dimension')}"),
+        ("PROCESS_VARIANT", "0.8D", _different("process")), ("PROCESS_VARIANT", "0.5D", _absent("process")), ("GRADE_COMPOSITION", "0.7D", _different("composition")), ("GRADE_COMPOSITION", "0.5D", _absent("composition")),
+        ("MATERIAL_ABSENT", "1D", f"channel = 'related' and not ({' or '.join(f(k) for k in ('process', 'composition') for f in (_different, _absent))})"),
+        ("BOUNDARY", "0.7D", _different("boundary")), ("BOUNDARY", "0.4D", _absent("boundary")), ("GEOGRAPHY", "1D", _different("geography")), ("GEOGRAPHY", "0.5D", _absent("geography")),
+        ("TEMPORAL", later, "q_year is not null and c_year is not null and q_year <> c_year"), ("TEMPORAL", "0.5D", "q_year is not null and c_year is null"), ("FORM", "0.5D", _different("form")), ("FORM", "0.3D", _absent("form")),
+    ]
+    return "array_compact(array(" + ", ".join(f"if({t}, struct('{k}' as type, {s} as severity), null)" for k, s, t in rows) + "))"
 
 
 #: Steps in the planner's order and the gap that asks for each.
@@ -115,62 +108,69 @@ STEPS = [("unit_scale", "UNIT_SCALE"), ("reference_flow", "REFERENCE_FLOW"), ("p
 
 
 def resolution_plan(gap_column: str) -> Column:
-    types = F.transform(F.col(gap_column), lambda g: g["type"])
-    return F.array_compact(F.array(*[F.when(F.array_contains(types, kind), F.lit(step)) for step, kind in STEPS]))
+    return F.expr("array_compact(array(" + ", ".join(f"if(exists({gap_column}, g -> g.type = '{kind}'), '{step}', null)" for step, kind in STEPS) + "))")
 
 
-def source_quality() -> Column:
-    base = lookup(QUALITY, F.col("c_source_type"), 0.6)
-    documented = ~blank(F.col("c_boundary"))
-    bonus = F.when(F.col("c_verified"), 0.15).otherwise(0.0) + F.when(F.col("c_audited"), 0.15).otherwise(0.0) + F.when(documented, 0.10).otherwise(0.0)
-    return F.when(F.col("c_source_type") == "supplier", F.least(F.lit(0.95), base + bonus)).otherwise(base)
+def source_quality() -> str:
+    base = lookup(QUALITY, "c_source_type", 0.6)
+    return f"if(c_source_type = 'supplier', least(0.95D, {base} + if(c_verified, 0.15D, 0D) + if(c_audited, 0.15D, 0D) + if({_blank('c_boundary')}, 0D, 0.1D)), {base})"
 
 
-def strength(score: Column, coverage: Column, quality: Column, steps: Column, assumptions: Column, severity: Column) -> Column:
-    signal = F.greatest(F.lit(0.0), F.lit(1.0) - 0.12 * steps - 0.06 * assumptions)
-    total = 0.45 * score + 0.30 * coverage + 0.15 * quality + 0.10 * signal - F.least(F.lit(0.25), 0.05 * severity)
-    return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)), 6)
+def strength(score: str, coverage: str, quality: str, steps: str, assumptions: str, severity: str) -> str:
+    signal = f"greatest(0D, 1D - 0.12D * ({steps}) - 0.06D * ({assumptions}))"
+    total = f"0.45D * {score} + 0.3D * {coverage} + 0.15D * ({quality}) + 0.1D * {signal} - least(0.25D, 0.05D * {severity})"
+    return f"round(least(1D, greatest(0D, {total})), 6)"
 
 
-def tier() -> Column:
-    kinds = F.col("c_factor_kind").isin("lifecycle_factor", "epd_indicator", "derived_proxy_factor", "energy_factor", "combustion_factor", "transport_factor")
-    incomplete = blank(F.col("c_declared_product")) | (blank(F.col("c_boundary")) & blank(F.col("c_boundary_modules")))
+def tier(least_score: float = MIN_SCORE) -> str:
+    incomplete = f"{_blank('c_declared_product')} or ({_blank('c_boundary')} and {_blank('c_boundary_modules')})"
     usable = ("reference_flow_converted", "process_adjusted", "grade_interpolated", "class_technical_proxy")
     return (
-        F.when(incomplete | ~F.coalesce(kinds, F.lit(False)) | ~F.coalesce(F.col("c_indicator").isin("GWP-total", "gwp-total"), F.lit(False)), "REFERENCE_ONLY")
-        .when(F.col("score") < MIN_SCORE, "REFERENCE_ONLY")
-        .when(F.col("resolution_type").isin("direct_exact", "direct_alias", "unit_converted"), F.when(F.exists("gaps", lambda g: g["severity"] >= 0.5), "USABLE_WITH_ASSUMPTIONS").otherwise("PRIMARY_RECOMMENDATION"))
-        .when(F.col("resolution_type") == "grade_exact_anchor", "PRIMARY_RECOMMENDATION")
-        .when(F.col("resolution_type").isin(*usable), "USABLE_WITH_ASSUMPTIONS")
-        .otherwise("REFERENCE_ONLY")
+        f"case when {incomplete} or not coalesce(c_factor_kind in {_in([*LIFECYCLE, *OPERATIONAL])}, false) or not coalesce(c_indicator in ('GWP-total', 'gwp-total'), false) or score < {least_score!r}D then 'REFERENCE_ONLY' "
+        f"when resolution_type in {_in(DIRECT_TYPES)} then if(exists(gaps, g -> g.severity >= 0.5D), 'USABLE_WITH_ASSUMPTIONS', 'PRIMARY_RECOMMENDATION') "
+        f"when resolution_type = 'grade_exact_anchor' then 'PRIMARY_RECOMMENDATION' when resolution_type in {_in(usable)} then 'USABLE_WITH_ASSUMPTIONS' else 'REFERENCE_ONLY' end"
     )
 
 
-def candidates(qualified: DataFrame) -> DataFrame:
-    """Eligible hits whose quantity reaches the target unit, with converted values, scores, gaps, strength and tier."""
-    df = with_dimensions(qualified.where(F.col("eligible") & (F.col("flow_bridge") | (F.col("q_unit.dimension") == F.col("t_unit.dimension")))))
-    quantity = F.when(~F.col("flow_bridge"), F.col("q_quantity") * activity_plan(F.col("q_unit"), F.col("t_unit"))["multiplier"])
-    value = F.when(F.col("flow_bridge"), F.col("c_factor_value")).otherwise(F.col("c_factor_value") * F.col("plan.multiplier"))
-    plain = lambda c: F.regexp_replace(F.lower(F.col(c)), " ", "")
-    kind = F.when(F.col("channel") == "synonym", "direct_alias").when(F.col("channel") == "related", "class_generic_proxy").when(~F.col("flow_bridge") & (plain("c_factor_unit") != plain("q_target_unit")), "unit_converted").otherwise("direct_exact")
-    df = df.withColumns({"factor": value, "resolved_quantity": quantity, "score": weighted_score(), "coverage": evidence_coverage(), "resolution_type": kind, "gaps": gaps()})
-    df = df.withColumns({"total": F.col("factor") * F.col("resolved_quantity") * F.col("t_unit.impact"), "severity": F.aggregate("gaps", F.lit(0.0), lambda a, g: a + g["severity"]), "steps": F.when(F.col("resolution_type") == "unit_converted", 1).otherwise(0)})
-    df = df.withColumns({"strength": strength(F.col("score"), F.col("coverage"), source_quality(), F.col("steps"), F.lit(0), F.col("severity")), "tier": tier(), "candidate_id": F.concat(F.lit("resolved:"), F.col("c_source_id"))})
-    return df
+#: What makes a qualified hit a candidate: its quantity reaches the target unit, or a reference flow may take it there.
+ADMITTED = "eligible and (flow_bridge or q_unit.dimension = t_unit.dimension)"
+
+
+def valued(df: DataFrame, test: str | None = None) -> DataFrame:
+    """Hits with dimensions, score, coverage, gaps, the converted factor and the quantity in its unit; null where ``test`` doesn't hold."""
+    df = with_dimensions(df, test).withColumn("moved", activity_plan("q_unit", "t_unit", "q_unit_conversion_evidence"))
+    kind = f"case when channel = 'synonym' then 'direct_alias' when channel = 'related' then 'class_generic_proxy' when not flow_bridge and {_plain('c_factor_unit')} <> {_plain('q_target_unit')} then 'unit_converted' else 'direct_exact' end"
+    cols = {"factor": "if(flow_bridge, c_factor_value, c_factor_value * plan.multiplier)", "resolved_quantity": "if(flow_bridge, null, q_quantity * moved.multiplier)", "impact": "if(flow_bridge, c_unit.impact, t_unit.impact)", "score": weighted_score(), "coverage": evidence_coverage(), "resolution_type": kind, "gaps": gaps()}
+    df = df.withColumns(_where(test, cols)).drop("moved")
+    return df.withColumns({"steps": F.expr("if(resolution_type = 'unit_converted', 1, 0)"), "assumptions": F.expr("cast(array() as array<string>)"), "candidate_id": F.expr("concat('resolved:', c_source_id)")})
+
 
+def finished(df: DataFrame, least_score: float = MIN_SCORE) -> DataFrame:
+    """Totals, severity, strength and tier, after all steps."""
+    df = df.withColumns({"total": F.expr("factor * resolved_quantity * impact"), "severity": F.expr("aggregate(gaps, 0D, (a, g) -> a + g.severity)"), "hard": F.expr(f"exists(gaps, g -> {HARD})")})
+    return df.withColumns({"strength": F.expr(strength("score", "coverage", source_quality(), "steps", "size(assumptions)", "severity")), "tier": F.expr(tier(least_score))})
 
-def applicability(gap_column: str = "gaps") -> tuple[Column, Column]:
+
+def candidates(qualified: DataFrame, least_score: float = MIN_SCORE) -> DataFrame:
+    """Eligible hits whose quantity reaches the target unit, with converted values, scores, gaps, strength and tier, before any step but units."""
+    return finished(valued(qualified.where(ADMITTED)), least_score)
+
+
+def applicability() -> tuple[str, str]:
     """Class (0 to 2) and size of the largest geography or time gap."""
-    own = F.transform(F.filter(gap_column, lambda g: g["type"].isin("GEOGRAPHY", "TEMPORAL")), lambda g: g["severity"])
-    worst = F.coalesce(F.array_max(own), F.lit(0.0))
-    return F.when(F.size(own) == 0, 0).when(worst >= 0.5, 2).otherwise(1), worst
+    worst = "coalesce(array_max(transform(filter(gaps, g -> g.type in ('GEOGRAPHY', 'TEMPORAL')), g -> g.severity)), 0D)"
+    return f"case when not exists(gaps, g -> g.type in ('GEOGRAPHY', 'TEMPORAL')) then 0 when {worst} >= 0.5D then 2 else 1 end", worst
 
 
-def rank(df: DataFrame) -> DataFrame:
-    """Candidates with their place under the nine keys."""
+def rank_keys() -> list[str]:
+    """The nine keys, all ascending."""
     kind, worst = applicability()
-    order = [lookup(TYPES, F.col("resolution_type"), 9).asc(), kind.asc(), worst.asc(), F.coalesce("c_priority_rank", F.lit(100)).asc(), F.desc("strength"), F.desc("score"), F.desc("coverage"), F.asc("c_source_id"), F.asc("candidate_id")]
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy("q_request_id").orderBy(*order)))
+    return [lookup(TYPES, "resolution_type", 9), kind, worst, "coalesce(c_priority_rank, 100)", "-strength", "-score", "-coverage", "size(assumptions)", "c_source_id", "candidate_id"]
+
+
+def rank(df: DataFrame) -> DataFrame:
+    """Candidates with their place under the nine keys (and the candidate id)."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy("q_request_id").orderBy(*[F.expr(k) for k in rank_keys()])))
 
 
 def top_k(ranked: DataFrame, most: int = 50) -> DataFrame:

@@ -29,9 +29,9 @@ def chain(events: DataFrame, key: str, order: list[str], content: Column) -> Dat
     return flat.select("key", (F.col("place") + 1).alias("revision"), *[F.col(f"x.es.{c}").alias(c) for c in order], F.col("x.es.content").alias("content"), F.col("x.links.previous").alias("previous_hash"), F.col("x.links.hash").alias("entry_hash"))
 
 
-def verify(entries: DataFrame) -> DataFrame:
-    """Per key: entries, whether revisions have no gap, every entry names its predecessor, and its hash covers its content."""
-    w = Window.partitionBy("key").orderBy("revision")
+def verify(entries: DataFrame, ties: list[str] = ()) -> DataFrame:
+    """Per key: entries, whether revisions have no gap, every entry names its predecessor, and its hash covers its content. ``ties`` order equal revisions."""
+    w = Window.partitionBy("key").orderBy("revision", *ties)
     checked = entries.withColumns({"place": F.row_number().over(w), "before": F.coalesce(F.lag("entry_hash").over(w), F.lit(GENESIS))})
     good = F.sha2(F.concat(F.col("previous_hash"), F.lit("|"), F.col("content")), 256) == F.col("entry_hash")
     return checked.groupBy("key").agg(F.count("*").alias("entries"), F.bool_and(F.col("place") == F.col("revision")).alias("gapless"), F.bool_and(F.col("before") == F.col("previous_hash")).alias("linked"), F.bool_and(good).alias("hashed"))

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CATALOG_SQL = """
 select 'P-' || cast(p_partkey as string) as source_id, p_name || ' ' || p_brand || ' ' || p_type as material_name,
   p_brand || ' ' || p_name || ' ' || p_type as alias, p_retailprice / 1000.0 as factor_value,
-  case p_size % 7 when 0 then 'kgCO2e/kg' when 1 then 'kg CO2-eq/t' when 2 then 'gCO2e/kg' when 3 then 'kgCO2e/kWh' when 4 then 'kgCO2e per tkm' when 5 then 'kgCO2e/t product' else 'points/kg' end as factor_unit,
+  case p_size % 9 when 0 then 'kgCO2e/kg' when 1 then 'kg CO2-eq/t' when 2 then 'gCO2e/kg' when 3 then 'kgCO2e/kWh' when 4 then 'kgCO2e per tkm' when 5 then 'kgCO2e/t product' when 6 then 'points/kg' when 7 then 'kgCO2e/Nm3' else 'kgCO2e / m3' end as factor_unit,
   case p_size % 9 when 0 then 'emission_limit' when 1 then 'unclassified' when 2 then 'energy_factor' when 3 then 'epd_indicator' else 'lifecycle_factor' end as factor_kind,
   case p_type when 'ECONOMY' then 'raw_material' when 'SMALL' then 'finished_product' when 'MEDIUM' then 'energy' when 'PROMO' then 'transport' when 'STANDARD' then 'raw_material' else 'unknown' end as subject_type,
-  split_part(p_name, ' ', 1) as production_process, split_part(p_name, ' ', 2) as product_form,
+  case split_part(p_name, ' ', 1) when 'blue' then 'Primary' when 'red' then 'secondary recycling' else split_part(p_name, ' ', 1) end as production_process, split_part(p_name, ' ', 2) as product_form,
   case when p_size % 5 = 0 then cast(p_size as string) || '%' end as composition,
   case when p_size % 7 = 0 then cast(null as int) else 2015 + p_size % 10 end as year,
   case p_partkey % 5 when 0 then 'AFRICA' when 1 then 'AMERICA' when 2 then 'ASIA' when 3 then 'EUROPE' else cast(null as string) end as geography,
@@ -31,13 +32,14 @@ from part
 REQUEST_SQL = """
 select 'R-' || cast(o.o_orderkey as string) as request_id,
   case when o.o_orderkey % 4 = 3 then p.p_brand || ' ' || p.p_name || ' ' || p.p_type else p.p_name || ' ' || p.p_brand || ' ' || p.p_type end as material_name,
-  l.quantity as quantity, case o.o_orderkey % 6 when 0 then 'kg' when 1 then 't' when 2 then 'kWh' when 3 then 'piece' when 4 then 'lb' else 'stone' end as quantity_unit,
+  l.quantity as quantity, case o.o_orderkey % 8 when 0 then 'kg' when 1 then 't' when 2 then 'kWh' when 3 then 'piece' when 4 then 'lb' when 5 then 'stone' when 6 then 'm3' else 'Nm3' end as quantity_unit,
   case when o.o_orderkey % 7 = 0 then 'kgCO2e/t' end as target_factor_unit,
   case o.o_orderstatus when 'O' then 'A1' when 'F' then 'cradle-to-gate' else 'A2' end as boundary,
   case when o.o_orderkey % 3 = 0 then cast(null as int) else 2015 + cast(o.o_orderkey % 10 as int) end as year,
   case o.o_orderkey % 9 when 0 then 'ASIA' when 1 then 'EUROPE' else cast(null as string) end as geography,
   case when o.o_orderkey % 5 = 0 then split_part(p.p_name, ' ', 1) end as production_process,
-  case when o.o_orderkey % 8 = 0 then split_part(p.p_name, ' ', 2) end as product_form, cast(null as string) as composition,
+  case when o.o_orderkey % 8 = 0 then split_part(p.p_name, ' ', 2) end as product_form, case when o.o_orderkey % 12 = 0 then cast(45 + o.o_orderkey % 60 as string) || '%' end as composition,
+  case when o.o_orderkey % 3 = 1 then 'Nm3' end as evidence_source, case when o.o_orderkey % 3 = 1 then 'm3' end as evidence_target, case when o.o_orderkey % 3 = 1 then 0.95 end as evidence_multiplier,
   case o.o_orderkey % 10 when 0 then 'raw_material' when 1 then 'energy' else 'unknown' end as subject_type,
   p.p_name || '|' || p.p_brand as base_entity_id, case when o.o_orderkey % 2 = 0 then p.p_type end as product_entity_id,
   1 + cast(o.o_orderkey % 5 as int) as top_k
@@ -46,16 +48,45 @@ join part p on p.p_partkey = l.partkey
 """
 
 
-def _run(spark: SparkSession, sf_dir: str, sql: str, names: tuple[str, ...]) -> DataFrame:
-    frames = {}
+#: Scenarios of pieces, and process parameters of records.
+FLOW_SQL = "select p_name || ' ' || p_brand || ' ' || p_type as material, 'piece' as unit, 'F-' || cast(p_partkey as string) as record_id, case when p_size % 5 = 0 then 0.0 else p_size / 10.0 end as mass_per_unit from part where p_size % 3 = 0"
+EDGE_SQL = """select '{0}' || cast(p_partkey as string) as edge_id, p_retailprice / 500.0 as base_factor, p_size % 6 <> 0 as includes_process, p_size % 19 = 0 as ambiguous,
+  cast(100 + p_size * 4 as double) as reference_total_energy_kgce_per_t, cast(0.25 as double) as reference_electricity_share, cast(0.75 as double) as reference_natural_gas_share,
+  cast(80 + p_size * 3 as double) as target_total_energy_kgce_per_t, case when p_size % 13 = 0 then cast(0.75 as double) else cast(0.5 as double) end as target_electricity_share, cast(0.5 as double) as target_natural_gas_share,
+  cast(0.125 as double) as electricity_kgce_per_kwh, cast(0.5 as double) as electricity_ef_kgco2e_per_kwh, case when p_size % 17 = 0 then cast(0 as double) else cast(1.25 as double) end as natural_gas_kgce_per_nm3, cast(2.0 as double) as natural_gas_ef_kgco2e_per_nm3,
+  case when p_size % 4 = 0 then cast(0.25 as double) end as reference_additional_process, case when p_size % 8 = 0 then cast(0.5 as double) when p_size % 8 = 4 then cast(0.125 as double) when p_size % 23 = 0 then cast(0.5 as double) end as target_additional_process from part"""
+
+
+def frame(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
+    """A statement over the named tables; it sees them as views that last as long as it takes to read it."""
     for name in names:
-        frames[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spark.sql(sql.replace("from part", "from {part}").replace("join part", "join {part}").replace("from orders", "from {orders}").replace("from lineitem", "from {lineitem}"), **frames)
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+    try:
+        return spark.sql(sql)
+    finally:
+        for name in names:
+            spark.catalog.dropTempView(name)
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, CATALOG_SQL, ("part",))
+    return frame(spark, sf_dir, CATALOG_SQL, "part")
+
+
+def catalog_with_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some records twice, and some ids that stand for two different records."""
+    c = catalog(spark, sf_dir)
+    return c.unionByName(c.where("grade % 23 = 0")).unionByName(c.where("grade % 19 = 0").withColumn("factor_value", F.col("factor_value") + 1))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, REQUEST_SQL, ("part", "orders", "lineitem"))
+    q = frame(spark, sf_dir, REQUEST_SQL, "part", "orders", "lineitem")
+    evidence = F.when(F.col("evidence_source").isNotNull(), F.struct(F.col("evidence_source").alias("source_canonical_unit"), F.col("evidence_target").alias("target_canonical_unit"), F.col("evidence_multiplier").cast("double").alias("multiplier")))
+    return q.withColumn("unit_conversion_evidence", evidence).drop("evidence_source", "evidence_target", "evidence_multiplier")
+
+
+def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, sf_dir, FLOW_SQL, "part")
+
+
+def edges(spark: SparkSession, sf_dir: str, prefix: str = "P-") -> DataFrame:
+    return frame(spark, sf_dir, EDGE_SQL.format(prefix), "part")

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from attestry.functions.units import ACTIVITY, IMPACT
-from attestry.plans.domain import CATALOG_SQL, REQUEST_SQL
+from attestry.plans.domain import CATALOG_SQL, EDGE_SQL, FLOW_SQL, REQUEST_SQL
 
 
 def _norm(x: str) -> str:
-    return f"trim(regexp_replace(regexp_replace(lower({x}), '[\\[\\](){{}}/\\\\_|,;:·\\-–—]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace(regexp_replace(lower({x}), '[\\[\\](){{}}/_|,;:·\\-–—]+', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
 def _dim(q: str, c: str) -> str:
@@ -34,7 +34,7 @@ def _factor(name: str, column: str, source: str) -> str:
 {name}_split as (select raw,
   case when regexp_matches(raw, '^\\s*.+?\\s*/\\s*.+?\\s*$') then regexp_extract(raw, '^\\s*(.+?)\\s*/\\s*(.+?)\\s*$', 1) else regexp_extract(raw, '(?i)^\\s*(.+?)\\s+per\\s+(.+?)\\s*$', 1) end as top,
   case when regexp_matches(raw, '^\\s*.+?\\s*/\\s*.+?\\s*$') then regexp_extract(raw, '^\\s*(.+?)\\s*/\\s*(.+?)\\s*$', 2) else regexp_extract(raw, '(?i)^\\s*(.+?)\\s+per\\s+(.+?)\\s*$', 2) end as bottom from {name}_raw),
-{name} as (select s.raw, i.ratio as impact, case when regexp_matches(lower(replace(bottom, ' ', '')), 'product$') then 'product' end as qualifier, u.canonical, u.dimension, u.ratio
+{name} as (select s.raw, i.ratio as impact, case when regexp_matches(lower(replace(bottom, ' ', '')), 'product$') then 'product' end as qualifier, u.canonical, u.dimension, u.ratio, u.evidence
   from {name}_split s join impact i on i.key = replace(replace(lower(top), '-', ''), ' ', '')
   join unit u on u.key = replace(replace(replace(regexp_replace(lower(replace(bottom, ' ', '')), 'product$', ''), '*', ''), '·', ''), '.', ''))"""
 
@@ -61,6 +61,7 @@ _EXCLUDE = [
     ("source_quality_not_admissible", "g_quality <> 'pass'"), ("indicator_mismatch", "g_indicator = 'mismatch'"), ("declared_product_mismatch", "g_declared = 'mismatch'"), ("boundary_mismatch", "g_boundary = 'mismatch'"),
     ("geography_mismatch", "g_geography = 'mismatch'"), ("year_mismatch", "g_year = 'mismatch'"), ("unit_qualifier_requires_validation", "unproved"),
     ("CATALOG_FACTOR_UNIT_INVALID", "g_unit = 'mismatch' and plan_reason = 'CATALOG_FACTOR_UNIT_INVALID'"), ("UNIT_SYNTAX_UNSUPPORTED", "g_unit = 'mismatch' and plan_reason = 'UNIT_SYNTAX_UNSUPPORTED'"), ("UNIT_DIMENSION_MISMATCH", "g_unit = 'mismatch' and plan_reason = 'UNIT_DIMENSION_MISMATCH'"),
+    ("UNIT_CONVERSION_EVIDENCE_REQUIRED", "g_unit = 'mismatch' and plan_reason = 'UNIT_CONVERSION_EVIDENCE_REQUIRED'"), ("CONFLICTING_DUPLICATE_SOURCE_ID", "c_conflict"),
 ]
 _GAPS = [
     ("UNIT_SCALE", "0.1", "replace(lower(c_factor_unit), ' ', '') <> replace(lower(q_target_unit), ' ', '') and c_dim = t_dim"),
@@ -78,9 +79,11 @@ GAP_TEXT = "concat_ws('|', " + ", ".join(f"case when gap_{i} is not null then '{
 _QUALITY = "case c_source_type when 'supplier' then least(0.95, 0.55 + case when c_verified then 0.15 else 0.0 end + case when c_audited then 0.15 else 0.0 end + case when " + f"not {_blank('c_boundary')}" + " then 0.10 else 0.0 end) when 'local_database' then 0.9 when 'epd' then 0.9 when 'literature' then 0.7 when 'external_database' then 0.75 else 0.6 end"
 HARD = f"(coalesce(gap_3, 0) >= 0.8 or {_OF('GRADE_COMPOSITION')[0]} is not null or {_OF('GRADE_COMPOSITION')[1]} is not null)"
 
-CORE = f"""
+def _core(conflict: str) -> str:
+    """The chain up to ranked candidates; ``conflict`` tells which ids stand for several records."""
+    return f"""
 with {UNITS}, {IMPACTS},
-cat as ({CATALOG_SQL}), req as ({REQUEST_SQL}),
+cat as (select *, {conflict} as conflict from ({CATALOG_SQL})), req as ({REQUEST_SQL}),
 cn as (select *, {_norm('material_name')} as norm, {_norm('alias')} as alias_norm from cat),
 qn as (select *, {_norm('material_name')} as norm, coalesce(target_factor_unit, 'kgCO2e/' || quantity_unit) as target_unit from req),
 pair as (
@@ -91,19 +94,19 @@ pair as (
 ),{_factor('cunit', 'factor_unit', 'cat')},{_factor('tunit', 'target_unit', 'qn')},
 hit as (
   select p.request_id, p.source_id, p.channel, q.material_name as q_name, q.norm as q_norm, q.quantity, q.quantity_unit, q.target_factor_unit as q_target, q.target_unit as q_target_unit, q.boundary as q_boundary, q.year as q_year, q.geography as q_geography,
-    q.production_process as q_process, q.product_form as q_form, q.composition as q_composition, q.subject_type as q_subject, q.base_entity_id as q_base, q.product_entity_id as q_product, q.top_k,
+    q.production_process as q_process, q.product_form as q_form, q.composition as q_composition, q.subject_type as q_subject, q.base_entity_id as q_base, q.product_entity_id as q_product, q.top_k, q.evidence_source, q.evidence_target, q.evidence_multiplier,
     c.material_name as c_name, c.norm as c_norm, c.factor_value, c.factor_unit as c_factor_unit, c.factor_kind as c_kind, c.subject_type as c_subject, c.production_process as c_process, c.product_form as c_form, c.composition as c_composition, c.year as c_year, c.geography as c_geography,
-    c.boundary as c_boundary, c.boundary_modules as c_modules, c.source_quality_status as c_status, c.admission_eligible as c_admitted, c.indicator as c_indicator, c.declared_product as c_declared, c.base_entity_id as c_base, c.product_entity_id as c_product, c.source_type as c_source_type, c.verified as c_verified, c.audited as c_audited, c.document_sha256 as c_hash, c.priority_rank as c_priority,
-    cu.impact as c_impact, cu.qualifier as c_qualifier, cu.canonical as c_canonical, cu.dimension as c_dim, cu.ratio as c_ratio, tu.impact as t_impact, tu.canonical as t_canonical, tu.dimension as t_dim, tu.ratio as t_ratio,
+    c.boundary as c_boundary, c.boundary_modules as c_modules, c.source_quality_status as c_status, c.admission_eligible as c_admitted, c.indicator as c_indicator, c.declared_product as c_declared, c.base_entity_id as c_base, c.product_entity_id as c_product, c.source_type as c_source_type, c.verified as c_verified, c.audited as c_audited, c.document_sha256 as c_hash, c.priority_rank as c_priority, c.conflict as c_conflict, c.series_id as c_series, c.provider as c_provider,
+    cu.impact as c_impact, cu.qualifier as c_qualifier, cu.canonical as c_canonical, cu.dimension as c_dim, cu.ratio as c_ratio, cu.evidence as c_ev, tu.evidence as t_ev, tu.impact as t_impact, tu.canonical as t_canonical, tu.dimension as t_dim, tu.ratio as t_ratio,
     u.canonical as u_canonical, u.dimension as u_dim, u.ratio as u_ratio,
     {', '.join(f'{_dim(q, c)} as d_{k}' for k, (q, c) in _D.items())}
   from pair p join qn q on q.request_id = p.request_id join cn c on c.source_id = p.source_id
   left join cunit cu on cu.raw = c.factor_unit left join tunit tu on tu.raw = q.target_unit left join unit u on u.key = lower(q.quantity_unit)
 ),
 planned as (
-  select *, case when c_dim is null then 'CATALOG_FACTOR_UNIT_INVALID' when t_dim is null then 'UNIT_SYNTAX_UNSUPPORTED' when c_dim <> t_dim then 'UNIT_DIMENSION_MISMATCH' end as plan_reason,
-    case when c_dim = t_dim then c_impact / t_impact / (case when c_canonical = t_canonical then 1.0 else c_ratio / t_ratio end) end as multiplier,
-    coalesce(q_target is null and t_dim = 'COUNT' and c_dim = 'MASS', false) as bridge,
+  select *, case when c_dim is null then 'CATALOG_FACTOR_UNIT_INVALID' when t_dim is null then 'UNIT_SYNTAX_UNSUPPORTED' when c_dim <> t_dim then 'UNIT_DIMENSION_MISMATCH' when c_dim = 'VOLUME' and c_ev <> t_ev and not coalesce(evidence_source = c_canonical and evidence_target = t_canonical, false) then 'UNIT_CONVERSION_EVIDENCE_REQUIRED' end as plan_reason,
+    case when c_dim = t_dim then c_impact / t_impact / (case when c_canonical = t_canonical then 1.0 when c_dim = 'VOLUME' and c_ev <> t_ev then case when evidence_source = c_canonical and evidence_target = t_canonical then cast(evidence_multiplier as double) end else c_ratio / t_ratio end) end as multiplier,
+    coalesce(q_target is null and c_dim = 'MASS' and (t_dim = 'COUNT' or (t_dim = 'VOLUME' and not {_blank('q_form')})), false) as bridge,
     case when {_blank('c_declared')} then 'unknown' when {_norm('c_declared')} = q_norm or channel = 'synonym' then 'pass' else 'mismatch' end as declared_first,
     {_MODULES.format('q_boundary')} as wanted,
     (select string_agg(m, '|' order by m) from (select distinct upper(trim(m)) as m from unnest(string_split(coalesce(c_modules, ''), '|')) as t(m)) where m <> '') as observed
@@ -143,19 +146,60 @@ scored as (
 cand as (
   select *, {GAP_SUM} as severity, case when channel = 'synonym' then 'direct_alias' when channel = 'related' then 'class_generic_proxy' when not bridge and replace(lower(c_factor_unit), ' ', '') <> replace(lower(q_target_unit), ' ', '') then 'unit_converted' else 'direct_exact' end as resolution_type,
     case when bridge then factor_value else factor_value * multiplier end as factor, case when not bridge then quantity * (case when u_canonical = t_canonical then 1.0 else u_ratio / t_ratio end) end as resolved_quantity
+      , 'resolved:' || source_id as candidate_id
   from scored where exclusions = '' and (bridge or u_dim = t_dim)
 ),
-strong as (
-  select *, factor * resolved_quantity * t_impact as total,
-    round(least(1.0, greatest(0.0, cast(0.45 as double) * score + cast(0.30 as double) * coverage + cast(0.15 as double) * cast({_QUALITY} as double) + cast(0.10 as double) * greatest(0.0, 1.0 - cast(0.12 as double) * (case when resolution_type = 'unit_converted' then 1 else 0 end)) - least(0.25, cast(0.05 as double) * severity))), 6) as strength,
+{_ranked('strong', 'ranked', 'cand', 'case when resolution_type = \'unit_converted\' then 1 else 0 end', '0')}
+"""
+
+
+_TYPE_RANK = "case resolution_type when 'direct_exact' then 0 when 'direct_alias' then 1 when 'unit_converted' then 2 when 'reference_flow_converted' then 3 when 'process_adjusted' then 4 when 'grade_exact_anchor' then 4 when 'grade_interpolated' then 5 when 'grade_proxy' then 6 when 'unadjusted_process_proxy' then 7 else 9 end"
+
+
+def _ranked(strong: str, ranked: str, source: str, steps: str, assumptions: str) -> str:
+    """Totals, strength, tier and place of the candidates in ``source``."""
+    return f"""{strong} as (
+  select *, factor * resolved_quantity * case when bridge then c_impact else t_impact end as total,
+    round(least(1.0, greatest(0.0, cast(0.45 as double) * score + cast(0.30 as double) * coverage + cast(0.15 as double) * cast({_QUALITY} as double) + cast(0.10 as double) * greatest(0.0, 1.0 - cast(0.12 as double) * ({steps}) - cast(0.06 as double) * ({assumptions})) - least(0.25, cast(0.05 as double) * severity))), 6) as strength,
     case when {_blank('c_declared')} or ({_blank('c_boundary')} and {_blank('c_modules')}) or c_kind not in ('lifecycle_factor', 'epd_indicator', 'derived_proxy_factor', 'energy_factor', 'combustion_factor', 'transport_factor') or c_indicator is null or c_indicator not in ('GWP-total', 'gwp-total') or score < 0.65 then 'REFERENCE_ONLY'
-      when resolution_type in ('direct_exact', 'direct_alias', 'unit_converted') then case when greatest({', '.join(f'coalesce(gap_{i}, 0.0)' for i in range(len(_GAPS)))}) >= 0.5 then 'USABLE_WITH_ASSUMPTIONS' else 'PRIMARY_RECOMMENDATION' end else 'REFERENCE_ONLY' end as tier,
-    case resolution_type when 'direct_exact' then 0 when 'direct_alias' then 1 when 'unit_converted' then 2 else 9 end as type_rank,
-    greatest({', '.join(f'coalesce({g}, 0.0)' for g in _OF('GEOGRAPHY') + _OF('TEMPORAL'))}) as app_worst,
-    {HARD} as hard
-  from cand
+      when resolution_type in ('direct_exact', 'direct_alias', 'unit_converted') then case when greatest({', '.join(f'coalesce(gap_{i}, 0.0)' for i in range(len(_GAPS)))}) >= 0.5 then 'USABLE_WITH_ASSUMPTIONS' else 'PRIMARY_RECOMMENDATION' end
+      when resolution_type = 'grade_exact_anchor' then 'PRIMARY_RECOMMENDATION' when resolution_type in ('reference_flow_converted', 'process_adjusted', 'grade_interpolated') then 'USABLE_WITH_ASSUMPTIONS' else 'REFERENCE_ONLY' end as tier,
+    {_TYPE_RANK} as type_rank, greatest({', '.join(f'coalesce({g}, 0.0)' for g in _OF('GEOGRAPHY') + _OF('TEMPORAL'))}) as app_worst, {HARD} as hard
+  from {source}
 ),
-ranked as (
-  select *, row_number() over (partition by request_id order by type_rank, case when app_worst = 0 then 0 when app_worst >= 0.5 then 2 else 1 end, app_worst, coalesce(c_priority, 100), strength desc, score desc, coverage desc, source_id) as rank from strong
+{ranked} as (
+  select *, row_number() over (partition by request_id order by type_rank, case when app_worst = 0 then 0 when app_worst >= 0.5 then 2 else 1 end, app_worst, coalesce(c_priority, 100), strength desc, score desc, coverage desc, {assumptions}, source_id, candidate_id) as rank from {strong}
 )
 """
+
+
+CORE = _core("false")
+
+_ROUTE_EDGES = f"edge0 as ({EDGE_SQL.format('P-')}), edge1 as (select *, " + ", ".join(
+    f"{side}_total_energy_kgce_per_t * {side}_electricity_share / electricity_kgce_per_kwh * electricity_ef_kgco2e_per_kwh / 1000.0 + case when natural_gas_kgce_per_nm3 > 0 then {side}_total_energy_kgce_per_t * {side}_natural_gas_share / natural_gas_kgce_per_nm3 * natural_gas_ef_kgco2e_per_nm3 / 1000.0 end + coalesce({side}_additional_process, 0) as {side}_route"
+    for side in ("reference", "target")
+) + """ from edge0), edge as (select edge_id, reference_route, target_route, case when ambiguous then 'duplicate_parameter' when (reference_additional_process is null) <> (target_additional_process is null) then 'additional_process_one_sided' when natural_gas_kgce_per_nm3 <= 0 then 'parameter_not_positive' when abs(target_electricity_share + target_natural_gas_share - 1.0) > 1e-6 then 'shares_do_not_sum_to_one' when not includes_process then 'inclusion_not_proved' end as reason from edge1)"""
+_MEMBER = f"""member as (
+  select c.source_id, c.series_id, c.provider, {_norm('c.production_process')} as process, u.dimension, coalesce((select string_agg(m, '|' order by m) from (select distinct upper(trim(m)) as m from unnest(string_split(coalesce(c.boundary_modules, ''), '|')) as t(m)) where m <> ''), {_MODULES.format('c.boundary')}, '') as modules,
+    cast(c.grade as double) as grade, c.factor_value * u.impact / u.ratio as base, {_norm('c.declared_product')} as declared
+  from cat c join cunit u on u.raw = c.factor_unit
+  where c.admission_eligible and c.source_quality_status = 'VERIFIED' and regexp_full_match(coalesce(c.document_sha256, ''), '[0-9a-f]{{64}}') and c.indicator in ('GWP-total', 'gwp-total') and c.factor_kind in ('lifecycle_factor', 'epd_indicator', 'derived_proxy_factor', 'energy_factor', 'combustion_factor', 'transport_factor') and c.grade > 0 and c.grade <= 100 and not c.conflict and not {_blank('c.declared_product')}
+)"""
+_SAME = "m.series_id = s.c_series and m.provider = s.c_provider and m.process = s.own_process and m.dimension = s.c_dim and m.modules = coalesce(s.observed, s.own_modules, '') and (contains(m.declared, s.own_declared) or contains(s.own_declared, m.declared))"
+
+#: The whole resolver: the chain with duplicates in the catalogue, then flows, routes, grades, and the pool.
+STEPPED = _core("grade % 19 = 0") + f""", {_ROUTE_EDGES}, {_MEMBER},
+flow as (select {_norm('material')} as norm, record_id, cast(mass_per_unit as double) as mass from ({FLOW_SQL}) where mass_per_unit > 0),
+p1 as (select c.* exclude (candidate_id), f.record_id, f.mass, bridge and f.record_id is null as flow_missing, case when bridge then c_dim else t_dim end as x_dim, case when bridge then c_ratio else t_ratio end as x_ratio, case when bridge then c_impact else t_impact end as x_impact from cand c left join flow f on c.bridge and f.norm = c.q_norm and c.u_canonical = 'item'),
+p2 as (select p1.* replace (case when mass is not null then quantity * mass / c_ratio else resolved_quantity end as resolved_quantity, case when mass is not null then 'reference_flow_converted' else resolution_type end as resolution_type, case when mass is null then gap_2 end as gap_2),
+    'resolved:' || source_id || case when record_id is not null then ':' || record_id else '' end as candidate_1, case when mass is not null then 1 else 0 end + case when resolution_type = 'unit_converted' then 1 else 0 end as steps_1, not flow_missing and (gap_3 is not null or gap_4 is not null) as asked, factor * x_impact / x_ratio - e.reference_route as upstream, e.edge_id as edge_id, e.reason as edge_reason, e.target_route from p1 left join edge e on e.edge_id = p1.source_id),
+p3 as (select *, asked and edge_id is not null and x_dim = 'MASS' and edge_reason is null and upstream >= -1e-12 as adjusted from p2),
+p4 as (select * replace (case when adjusted then (greatest(0.0, upstream) + target_route) * x_ratio / x_impact else factor end as factor, case when adjusted then round(score + cast(0.2 as double) * (1 - d_process), 6) else score end as score, case when adjusted then 'process_adjusted' when asked then 'unadjusted_process_proxy' else resolution_type end as resolution_type, case when not adjusted then gap_3 end as gap_3, case when not adjusted then gap_4 end as gap_4),
+    steps_1 + case when adjusted then 1 else 0 end as steps_2, not flow_missing and (gap_5 is not null or gap_6 is not null) as graded, {_norm("coalesce(cast(c_process as varchar), '')")} as own_process, {_MODULES.format('c_boundary')} as own_modules, coalesce(nullif({_norm("coalesce(c_declared, '')")}, ''), c_norm) as own_declared, try_cast(replace(q_composition, '%', '') as double) as raw_grade from p3),
+p5 as (select *, case when graded and raw_grade > 0 and raw_grade <= 100 then raw_grade end as q_grade from p4),
+p6 as (select s.*, (select max(m.grade) from member m where {_SAME} and m.grade <= s.q_grade) as lower_grade, (select min(m.grade) from member m where {_SAME} and m.grade >= s.q_grade) as upper_grade, (select min_by(m.base, (abs(m.grade - s.q_grade), m.source_id)) from member m where {_SAME} and s.q_grade is not null) as near_base from p5 s),
+p7 as (select s.*, (select min_by(m.base, m.source_id) from member m where {_SAME} and m.grade = s.lower_grade) as low_base, (select min_by(m.base, m.source_id) from member m where {_SAME} and m.grade = s.upper_grade) as high_base, case when not graded then null when lower_grade = upper_grade then 'exact' when lower_grade is not null and upper_grade is not null then 'interpolated' else 'nearest' end as method from p6 s),
+p8 as (select * replace (case when graded then coalesce(case method when 'exact' then low_base when 'interpolated' then low_base + (q_grade - lower_grade) / (upper_grade - lower_grade) * (high_base - low_base) else near_base end * x_ratio / x_impact, factor) else factor end as factor, case method when 'exact' then 'grade_exact_anchor' when 'interpolated' then 'grade_interpolated' when 'nearest' then 'grade_proxy' else resolution_type end as resolution_type, case when coalesce(method, '') not in ('exact', 'interpolated') then gap_5 end as gap_5, case when coalesce(method, '') not in ('exact', 'interpolated') then gap_6 end as gap_6),
+    candidate_1 || case method when 'exact' then ':grade-exact' when 'interpolated' then ':grade-interpolated' when 'nearest' then ':grade-proxy' else '' end as candidate_id, steps_2 + case when method = 'interpolated' then 1 else 0 end as steps_3, case when method in ('interpolated', 'nearest') then 1 else 0 end as assumed from p7),
+p9 as (select * replace ({GAP_SUM} as severity) from p8 where not flow_missing),
+{_ranked('strong2', 'pool', 'p9', 'steps_3', 'assumed')}"""

@@ -14,7 +14,7 @@ from attestry.operators import score as S
 from attestry.operators import trace as X
 from attestry.operators import transform as T
 from attestry.plans import domain
-from attestry.plans.oracle_core import CORE, GAP_TEXT
+from attestry.plans.oracle_core import CORE, GAP_TEXT, STEPPED
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -107,7 +107,8 @@ def ambiguity(spark: SparkSession, sf: str) -> DataFrame:
     return D.ambiguity(ranked(spark, sf)).select(F.col("q_request_id").alias("request_id"), F.array_join("ambiguous", "|").alias("ambiguous"))
 
 
-_REASONS = ", why as (select request_id, concat_ws('|', case when bool_or(contains(exclusions, 'UNIT_SYNTAX_UNSUPPORTED')) then 'UNIT_SYNTAX_UNSUPPORTED' end, case when bool_or(contains(exclusions, 'CATALOG_FACTOR_UNIT_INVALID')) then 'CATALOG_FACTOR_UNIT_INVALID' end, case when bool_or(contains(exclusions, 'UNIT_DIMENSION_MISMATCH')) then 'UNIT_DIMENSION_MISMATCH' end, case when bool_or(g_quality = 'unknown' and c_status = 'VERIFIED' and not regexp_full_match(coalesce(c_hash, ''), '[0-9a-f]{64}')) then 'SOURCE_DOCUMENT_HASH_REQUIRED' end) as reasons from qual group by request_id)"
+_CODES = "concat_ws('|', case when bool_or(contains(exclusions, 'UNIT_SYNTAX_UNSUPPORTED')) then 'UNIT_SYNTAX_UNSUPPORTED' end, case when bool_or(contains(exclusions, 'CATALOG_FACTOR_UNIT_INVALID')) then 'CATALOG_FACTOR_UNIT_INVALID' end, case when bool_or(contains(exclusions, 'UNIT_DIMENSION_MISMATCH')) then 'UNIT_DIMENSION_MISMATCH' end, case when bool_or(contains(exclusions, 'UNIT_CONVERSION_EVIDENCE_REQUIRED')) then 'UNIT_CONVERSION_EVIDENCE_REQUIRED' end, case when bool_or(g_quality = 'unknown' and c_status = 'VERIFIED' and not regexp_full_match(coalesce(c_hash, ''), '[0-9a-f]{64}')) then 'SOURCE_DOCUMENT_HASH_REQUIRED' end)"
+_REASONS = f", why as (select request_id, {_CODES} as reasons from qual group by request_id)"
 
 
 @query(CORE + _REASONS + " select request_id, reasons from why where reasons <> ''")
@@ -120,21 +121,59 @@ def funnel(spark: SparkSession, sf: str) -> DataFrame:
     return D.funnel(Q.qualify(hits(spark, sf))).withColumnRenamed("q_request_id", "request_id")
 
 
-@query(CORE + _AMBIGUOUS + _REASONS + """, own as (
-  select request_id, count(*) filter (not hard and tier <> 'REFERENCE_ONLY') as selectable, count(*) filter (not hard and tier = 'REFERENCE_ONLY') as reviewable, count(*) filter (hard) as rejected,
-    count(*) filter (coalesce(gap_3, 0) >= 0.8) as process_conflicts, count(*) filter (gap_5 is not null or gap_6 is not null) as grade_conflicts, min_by(source_id, rank) filter (not hard and tier <> 'REFERENCE_ONLY') as first_source from ranked group by request_id
-), counts as (
-  select request_id, count(*) as hits, count(*) filter (exclusions = '') as eligible, bool_or(contains(exclusions, 'CATALOG_FACTOR_UNIT_INVALID')) as bad_catalog, bool_or(contains(exclusions, 'UNIT_DIMENSION_MISMATCH')) as mismatch from qual group by request_id
-), all_of as (
-  select q.request_id, u.key is null or t.raw is null as bad_unit, coalesce(hits, 0) as hits, coalesce(eligible, 0) as eligible, coalesce(bad_catalog, false) as bad_catalog, coalesce(mismatch, false) as mismatch, coalesce(selectable, 0) as selectable, coalesce(reviewable, 0) as reviewable,
-    coalesce(rejected, 0) as rejected, coalesce(process_conflicts, 0) as process_conflicts, coalesce(grade_conflicts, 0) as grade_conflicts, first_source, coalesce(ambiguous, '') as ambiguous, coalesce(reasons, '') as reasons
-  from qn q left join unit u on u.key = lower(q.quantity_unit) left join tunit t on t.raw = q.target_unit left join counts c on c.request_id = q.request_id left join own o on o.request_id = q.request_id left join vague v on v.request_id = q.request_id left join why w on w.request_id = q.request_id
+def evaluated(spark: SparkSession, sf: str) -> DataFrame:
+    return D.evaluated(domain.requests(spark, sf), domain.catalog_with_duplicates(spark, sf), domain.flows(spark, sf), domain.edges(spark, sf))
+
+
+@query(STEPPED + "select request_id, source_id, candidate_id, rank, resolution_type, round(factor, 9) as factor, round(total, 6) as total, strength, tier, hard from pool")
+def candidate_pool(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates after their steps, ranked."""
+    return D.candidate_pool(evaluated(spark, sf)).select(ids("candidate_id", "rank", "resolution_type", F.round("factor", 9).alias("factor"), F.round("total", 6).alias("total"), "strength", "tier", "hard"))
+
+
+@query(STEPPED + "select request_id, source_id, candidate_id, round(factor, 9) as factor, round(resolved_quantity, 6) as resolved_quantity, resolution_type, score, steps_3 as steps, assumed as assumptions, method as grade_method, case when not asked or adjusted then null when edge_id is null then 'parameter_missing' when x_dim <> 'MASS' then 'reference_unit' when edge_reason is not null then edge_reason else 'negative_upstream' end as process_reason from p8 where not flow_missing and (steps_3 > 0 or asked or graded)")
+def resolution_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """What flows, routes and grades made of the candidates that asked for them."""
+    asked = F.expr("pooled and (steps > 0 or process_reason is not null or resolution_type = 'process_adjusted' or grade_method is not null)")
+    return evaluated(spark, sf).where(asked).select(ids("candidate_id", F.round("factor", 9).alias("factor"), F.round("resolved_quantity", 6).alias("resolved_quantity"), "resolution_type", "score", "steps", F.size("assumptions").alias("assumptions"), "grade_method", "process_reason"))
+
+
+_SUBJECT = "bool_or(q_subject = 'unknown' and (coalesce(c_kind, '') in ('energy_factor', 'combustion_factor', 'transport_factor') or c_subject in ('energy', 'transport', 'process', 'waste')))"
+_GAPPED = ", routed as (select request_id, count(distinct case own_process when 'primary' then 'primary' when 'secondary recycling' then 'secondary' end) filter (q_base is not null and q_product is null and not flow_missing) > 1 as route_gap, bool_or(flow_missing) as flow_wanted from p8 group by request_id), subjects as (select request_id, " + _SUBJECT + " as subject_gap from qual group by request_id), gapped as (select s.request_id, subject_gap, coalesce(route_gap, false) as route_gap, coalesce(flow_wanted, false) as flow_wanted from subjects s left join routed r on r.request_id = s.request_id)"
+
+
+@query(STEPPED + _GAPPED + " select request_id, concat_ws('|', case when subject_gap then 'subject_type' end, case when route_gap then 'route' end) as gaps from gapped where subject_gap or route_gap")
+def request_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    return D.request_gaps(evaluated(spark, sf)).select(F.col("q_request_id").alias("request_id"), F.array_join("gaps", "|").alias("gaps"))
+
+
+@query(f"with one as ({domain.CATALOG_SQL}) select source_id, case when grade % 23 = 0 then 3 else 2 end as copies from one where grade % 19 = 0")
+def external_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    return D.external_conflicts(domain.catalog_with_duplicates(spark, sf))
+
+
+@query(STEPPED + _GAPPED + ", vague as (select request_id, " + ", ".join(f"max(case when {q} is null then 1 else 0 end) = 1 and count(distinct {c}) > 1 as x_{f}" for f, q, c in (("production_process", "q_process", "nullif(c_process, '')"), ("product_form", "q_form", "nullif(c_form, '')"), ("geography", "q_geography", "nullif(c_geography, '')"), ("year", "q_year", "c_year"))) + f" from pool where not hard group by request_id), why as (select request_id, {_CODES} as early, bool_or(contains(exclusions, 'CONFLICTING_DUPLICATE_SOURCE_ID')) as conflict, count(*) as hits, count(*) filter (exclusions = '') as eligible from qual group by request_id)" + """, own as (
+  select request_id, count(*) as candidates, count(*) filter (not hard and tier <> 'REFERENCE_ONLY') as selectable, count(*) filter (not hard and tier = 'REFERENCE_ONLY') as reviewable, count(*) filter (hard) as rejected, bool_or(coalesce(gap_3, 0) >= 0.8) as process_conflict, bool_or(gap_5 is not null or gap_6 is not null) as grade_conflict,
+    min_by(source_id, rank) filter (not hard and tier <> 'REFERENCE_ONLY') as first_source, min_by(resolution_type, rank) filter (not hard and tier <> 'REFERENCE_ONLY') as first_type, min_by(coalesce(total, -1), rank) filter (not hard and tier <> 'REFERENCE_ONLY') as first_total from pool group by request_id
+), a as (
+  select q.request_id, u.key is null or t.raw is null as bad_unit, q.quantity_unit, coalesce(hits, 0) as hits, coalesce(eligible, 0) as eligible, coalesce(conflict, false) as conflict, coalesce(early, '') as early0, coalesce(candidates, 0) as candidates, coalesce(selectable, 0) as selectable, coalesce(reviewable, 0) as reviewable, coalesce(rejected, 0) as rejected,
+    coalesce(process_conflict, false) as process_conflict, coalesce(grade_conflict, false) as grade_conflict, first_source, first_type, nullif(first_total, -1) as first_total, coalesce(subject_gap, false) as subject_gap, coalesce(route_gap, false) as route_gap, coalesce(flow_wanted, false) as flow_wanted,
+    coalesce(x_production_process, false) as xp, coalesce(x_product_form, false) as xf, coalesce(x_geography, false) as xg, coalesce(x_year, false) as xy
+  from qn q left join unit u on u.key = lower(q.quantity_unit) left join tunit t on t.raw = q.target_unit left join why w on w.request_id = q.request_id left join own o on o.request_id = q.request_id left join vague v on v.request_id = q.request_id left join gapped g on g.request_id = q.request_id
+), b as (
+  select *, subject_gap or route_gap as gap, case when bad_unit and not contains(early0, 'UNIT_SYNTAX_UNSUPPORTED') then concat_ws('|', 'UNIT_SYNTAX_UNSUPPORTED', nullif(early0, '')) else early0 end as early,
+    case when subject_gap or route_gap then '' else concat_ws('|', case when xp then 'production_process' end, case when xf then 'product_form' end, case when xg then 'geography' end, case when xy then 'year' end) end as ambiguous from a
+), c as (
+  select *, concat_ws('|', case when subject_gap then 'subject_type' end, case when route_gap then 'route' end, case when flow_wanted and not gap then case lower(quantity_unit) when 'piece' then 'mass_per_piece|dimensions+density' when 'm3' then 'density' else 'mass_per_' || lower(quantity_unit) end end, nullif(ambiguous, '')) as required,
+    concat_ws('|', nullif(early, ''), case when hits > 0 and eligible = 0 and early = '' and not gap then 'ADMISSION_REJECTED' end, case when conflict then 'CONFLICTING_DUPLICATE_SOURCE_ID' end, case when grade_conflict then 'GRADE_SPECIFICATION_CONFLICT' end,
+      case when not gap and xp then 'PROCESS_REQUIRED' end, case when not gap and xf then 'PRODUCT_FORM_REQUIRED' end, case when not gap and xg then 'GEOGRAPHY_REQUIRED' end, case when not gap and xy then 'YEAR_REQUIRED' end) as reasons, selectable > 0 and ambiguous = '' and not gap and not bad_unit as ready, not bad_unit and (reviewable > 0 or (ambiguous <> '' and selectable > 0)) as shown from b
 )
-select request_id, case when selectable > 0 and ambiguous = '' and not bad_unit then 'recommendation_ready' when bad_unit or mismatch or bad_catalog then 'unresolved' when ambiguous <> '' then 'more_input_needed' when reviewable > 0 then 'reference_review_required'
-  when process_conflicts > 0 then 'process_model_required' when grade_conflicts > 0 then 'unresolved' when rejected > 0 then 'process_model_required' when hits > 0 and eligible = 0 then 'unresolved' else 'supplier_data_required' end as status,
-  reasons, case when selectable > 0 and ambiguous = '' and not bad_unit then first_source end as first_source, hits, eligible, rejected, ambiguous as required_fields from all_of""")
+select request_id, reasons, required as required_fields, hits, eligible, candidates, rejected, case when ready then first_source end as first_source, case when ready then first_type end as first_type, case when ready then round(first_total, 6) end as first_total,
+  case when ready then 'recommendation_ready' when contains(reasons, 'EVIDENCE_REQUIRED') then 'more_input_needed' when contains(reasons, 'UNIT_SYNTAX') or contains(reasons, 'UNIT_DIMENSION') or contains(reasons, 'CATALOG_FACTOR') or conflict then 'unresolved' when required <> '' then 'more_input_needed' when shown then 'reference_review_required' when process_conflict then 'process_model_required' when grade_conflict then 'unresolved' when rejected > 0 then 'process_model_required' when hits > 0 and eligible = 0 then 'unresolved' else 'supplier_data_required' end as status,
+  case when ready then null when contains(reasons, 'EVIDENCE_REQUIRED') then 'more_input' when contains(reasons, 'UNIT_SYNTAX') or contains(reasons, 'UNIT_DIMENSION') then 'unresolved' when contains(reasons, 'CATALOG_FACTOR') or conflict then 'data_governance' when required <> '' then 'more_input' when shown then 'data_governance' when process_conflict then 'process_model' when grade_conflict then 'data_governance' when rejected > 0 then 'process_model' when hits > 0 and eligible = 0 then 'data_governance' else 'supplier_data' end as follow_up from c""")
 def terminal_status(spark: SparkSession, sf: str) -> DataFrame:
-    return D.decide(domain.requests(spark, sf), domain.catalog(spark, sf))
+    found = D.decide(domain.requests(spark, sf), domain.catalog_with_duplicates(spark, sf), domain.flows(spark, sf), domain.edges(spark, sf))
+    return found.withColumn("first_total", F.round("first_total", 6))
 
 
 # ---- transformations --------------------------------------------------------------------------------------------------------
@@ -143,14 +182,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 _CAT = f"with cat as ({domain.CATALOG_SQL}), req as ({domain.REQUEST_SQL}) "
-_SCENARIO = "select p_name || ' ' || p_brand || ' ' || p_type as material, 'piece' as unit, 'F-' || cast(p_partkey as {str}) as record_id, case when p_size % 5 = 0 then 0.0 else p_size / 10.0 end as mass_per_unit from part where p_size % 3 = 0"
-
-
-@query(_CAT + f", flow as ({_SCENARIO.format(str='varchar')}) select request_id as activity_id, record_id, round(case when mass_per_unit > 0 then quantity * mass_per_unit end, 6) as mass, round(case when mass_per_unit > 0 then quantity * mass_per_unit * 2.5 end, 6) as total, case when not coalesce(mass_per_unit > 0, false) then 'mass_per_' || quantity_unit end as required from req left join flow on material_name = material and quantity_unit = unit where quantity_unit in ('piece', 'lb')")
+@query(_CAT + f", flow as ({domain.FLOW_SQL}) select request_id as activity_id, record_id, round(case when mass_per_unit > 0 then quantity * mass_per_unit end, 6) as mass, round(case when mass_per_unit > 0 then quantity * mass_per_unit * 2.5 end, 6) as total, case when not coalesce(mass_per_unit > 0, false) then 'mass_per_' || quantity_unit end as required from req left join flow on material_name = material and quantity_unit = unit where quantity_unit in ('piece', 'lb')")
 def reference_flow(spark: SparkSession, sf: str) -> DataFrame:
     acts = domain.requests(spark, sf).where("quantity_unit in ('piece', 'lb')").select(F.col("request_id").alias("activity_id"), F.col("material_name").alias("material"), F.col("quantity_unit").alias("unit"), "quantity", F.lit(2.5).alias("factor"))
-    flows = spark.sql(_SCENARIO.format(str="string").replace("from part", "from {part}"), part=table(spark, sf, "part"))
-    return T.reference_flow(acts, flows).select("activity_id", "record_id", F.round("mass", 6).alias("mass"), F.round("total", 6).alias("total"), "required")
+    return T.reference_flow(acts, domain.flows(spark, sf)).select("activity_id", "record_id", F.round("mass", 6).alias("mass"), F.round("total", 6).alias("total"), "required")
 
 
 _GRADE = "tgt as (select 'T-' || cast(p_partkey as varchar) as target_id, p_brand as series_id, 45.0 + cast(p_partkey % 130 as double) / 2.0 as grade from part), anchor as (select series_id, source_id, cast(grade as double) as g, factor_value as f from cat where grade % 4 <> 1), one as (select series_id, g, min(source_id) as sid, min_by(f, source_id) as f from anchor where g > 0 and g <= 100 group by series_id, g), near as (select t.target_id, t.series_id, t.grade, max(case when g <= t.grade then g end) as low, min(case when g >= t.grade then g end) as high from tgt t left join one o on o.series_id = t.series_id group by all), pick as (select n.*, l.sid as lsid, l.f as lf, h.sid as hsid, h.f as hf, (select min_by(sid, (abs(o.g - n.grade), sid)) from one o where o.series_id = n.series_id) as nsid, (select min_by(f, (abs(o.g - n.grade), sid)) from one o where o.series_id = n.series_id) as nf from near n left join one l on l.series_id = n.series_id and l.g = n.low left join one h on h.series_id = n.series_id and h.g = n.high)"
@@ -169,20 +204,12 @@ def grade_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return T.nearest_anchors(domain.catalog(spark, sf).select("source_id", "series_id", "grade")).drop("grade")
 
 
-_EDGES = """select 'E-' || cast(p_partkey as {str}) as edge_id, p_retailprice / 500.0 as base_factor, p_size % 6 <> 0 as includes_process, p_size % 19 = 0 as ambiguous,
-  cast(100 + p_size * 4 as double) as reference_total_energy_kgce_per_t, cast(0.25 as double) as reference_electricity_share, cast(0.75 as double) as reference_natural_gas_share,
-  cast(80 + p_size * 3 as double) as target_total_energy_kgce_per_t, case when p_size % 13 = 0 then cast(0.75 as double) else cast(0.5 as double) end as target_electricity_share, cast(0.5 as double) as target_natural_gas_share,
-  cast(0.125 as double) as electricity_kgce_per_kwh, cast(0.5 as double) as electricity_ef_kgco2e_per_kwh, case when p_size % 17 = 0 then cast(0 as double) else cast(1.25 as double) end as natural_gas_kgce_per_nm3, cast(2.0 as double) as natural_gas_ef_kgco2e_per_nm3,
-  case when p_size % 4 = 0 then cast(0.25 as double) end as reference_additional_process, case when p_size % 8 = 0 then cast(0.5 as double) when p_size % 8 = 4 then cast(0.125 as double) when p_size % 23 = 0 then cast(0.5 as double) end as target_additional_process from part"""
-
-
-@query(f"with e as ({_EDGES.format(str='varchar')})" + """, r as (select *, reference_total_energy_kgce_per_t * reference_electricity_share / electricity_kgce_per_kwh * electricity_ef_kgco2e_per_kwh / 1000.0 + case when natural_gas_kgce_per_nm3 > 0 then reference_total_energy_kgce_per_t * reference_natural_gas_share / natural_gas_kgce_per_nm3 * natural_gas_ef_kgco2e_per_nm3 / 1000.0 end + coalesce(reference_additional_process, 0) as ref,
+@query(f"with e as ({domain.EDGE_SQL.format('E-')})" + """, r as (select *, reference_total_energy_kgce_per_t * reference_electricity_share / electricity_kgce_per_kwh * electricity_ef_kgco2e_per_kwh / 1000.0 + case when natural_gas_kgce_per_nm3 > 0 then reference_total_energy_kgce_per_t * reference_natural_gas_share / natural_gas_kgce_per_nm3 * natural_gas_ef_kgco2e_per_nm3 / 1000.0 end + coalesce(reference_additional_process, 0) as ref,
   target_total_energy_kgce_per_t * target_electricity_share / electricity_kgce_per_kwh * electricity_ef_kgco2e_per_kwh / 1000.0 + case when natural_gas_kgce_per_nm3 > 0 then target_total_energy_kgce_per_t * target_natural_gas_share / natural_gas_kgce_per_nm3 * natural_gas_ef_kgco2e_per_nm3 / 1000.0 end + coalesce(target_additional_process, 0) as tgt from e),
 x as (select *, case when ambiguous then 'duplicate_parameter' when (reference_additional_process is null) <> (target_additional_process is null) then 'additional_process_one_sided' when natural_gas_kgce_per_nm3 <= 0 then 'parameter_not_positive' when abs(target_electricity_share + target_natural_gas_share - 1.0) > 1e-6 then 'shares_do_not_sum_to_one' when not includes_process then 'inclusion_not_proved' when base_factor - ref < -1e-12 then 'negative_upstream' end as reason from r)
 select edge_id, reason, round(case when reason is null then greatest(0.0, base_factor - ref) + tgt else base_factor end, 6) as factor, case when reason is null then 'process_adjusted' else 'unadjusted_process_proxy' end as method from x""")
 def process_rebuild(spark: SparkSession, sf: str) -> DataFrame:
-    edges = spark.sql(_EDGES.format(str="string").replace("from part", "from {part}"), part=table(spark, sf, "part"))
-    return T.process_rebuild(edges).select("edge_id", "reason", F.round("factor", 6).alias("factor"), "method")
+    return T.process_rebuild(domain.edges(spark, sf, "E-")).select("edge_id", "reason", F.round("factor", 6).alias("factor"), "method")
 
 
 @query("select 'E-' || cast(p_partkey as varchar) as edge_id, case when v >= 0 then round(v, 6) end as factor, case when v < 0 then 'negative_result' when v is null then 'parameter_missing' end as reason from (select p_partkey, p_retailprice / 1000.0 - p_size / 25.0 + case when p_size % 9 <> 0 then p_size / 50.0 end + 0.0 as v from part)")
@@ -207,8 +234,7 @@ _QREQ = "select 'E-' || cast(p_partkey as {str}) as edge_id, p_name || p_brand a
 
 @query(f"with q as ({_QUOTA.format(str='varchar')}), r as ({_QREQ.format(str='varchar')}), a as (select product, count(*) as n1, min(record_id) as r1, min_by(value, record_id) as v1 from q group by product), b as (select head, process, count(*) as n2, min(record_id) as r2, min_by(value, record_id) as v2 from q group by head, process) select edge_id, case when coalesce(n1, n2, 0) = 1 then coalesce(r1, r2) end as record_id, case when coalesce(n1, n2, 0) = 1 then case when n1 is not null then v1 else v2 end end as value, case when coalesce(n1, n2, 0) = 0 then 'none' when coalesce(n1, n2) > 1 then 'ambiguous' when n1 is not null then 'product' else 'route' end as matched_by from r left join a using (product) left join b using (head, process)")
 def quota_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    part = table(spark, sf, "part")
-    run = lambda q: spark.sql(q.format(str="string").replace("from part", "from {part}"), part=part)
+    run = lambda q: domain.frame(spark, sf, q.format(str="string"), "part")
     return V.quota_with_fallback(run(_QREQ), run(_QUOTA))
 
 
@@ -229,7 +255,7 @@ _SCOPE = "select p_partkey as id, p_brand as ref_head, p_type as ref_process, p_
 @query(f"with s as ({_SCOPE.format(str='varchar')}), e as (select p_partkey as edge, p_brand as ref_head, p_type as ref_process, cast(p_size as varchar) as reference_id from part where p_size > 25) select edge, id, value from e join s using (ref_head, ref_process) where scope_ref = '' or scope_ref = reference_id")
 def scoped_parameters(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part")
-    rows = spark.sql(_SCOPE.format(str="string").replace("from part", "from {part}"), part=part).withColumns({"target_head": F.lit("t"), "target_process": F.lit("p")})
+    rows = domain.frame(spark, sf, _SCOPE.format(str="string"), "part").withColumns({"target_head": F.lit("t"), "target_process": F.lit("p")})
     edges = part.where("p_size > 25").select(F.col("p_partkey").alias("edge"), F.col("p_brand").alias("ref_head"), F.col("p_type").alias("ref_process"), F.col("p_size").cast("string").alias("reference_id"), F.lit("t").alias("target_head"), F.lit("p").alias("target_process"))
     return V.scoped_parameters(edges, rows).select("edge", "id", "value")
 
@@ -271,9 +297,13 @@ def hash_chain(spark: SparkSession, sf: str) -> DataFrame:
     return _chain(spark, sf).select("key", "revision", "event_id", "previous_hash", "entry_hash")
 
 
-@query("select user_id as key, count(*) as entries, true as gapless, true as linked, true as hashed from events group by user_id")
+@query(_CHAIN + ", d as (select user_id, case when event_id % 61 = 0 then revision + 1 else revision end as revision, event_id, case when event_id % 41 = 0 then 'forged' else event_type end as event_type, case when event_id % 53 = 0 then repeat('f', 64) else previous_hash end as previous_hash, entry_hash from c join e using (user_id, revision, event_id)), v as (select *, row_number() over w as place, coalesce(lag(entry_hash) over w, repeat('0', 64)) as before, sha256(previous_hash || '|' || event_id || chr(31) || event_type) as own from d window w as (partition by user_id order by revision, event_id)) select user_id as key, count(*) as entries, bool_and(place = revision) as gapless, bool_and(before = previous_hash) as linked, bool_and(own = entry_hash) as hashed from v group by user_id")
 def trace_verify(spark: SparkSession, sf: str) -> DataFrame:
-    return X.verify(_chain(spark, sf))
+    """Verification of chains of which some are damaged: forged contents, cut links, skipped revisions."""
+    c, n = _chain(spark, sf), F.col("event_id")
+    forged = F.when(n % 41 == 0, F.concat_ws("\x1f", n.cast("string"), F.lit("forged"))).otherwise(F.col("content"))
+    damaged = c.withColumns({"content": forged, "previous_hash": F.when(n % 53 == 0, F.lit("f" * 64)).otherwise(F.col("previous_hash")), "revision": F.when(n % 61 == 0, F.col("revision") + 1).otherwise(F.col("revision"))})
+    return X.verify(damaged, ["event_id"])
 
 
 @query("select event_id, sha256(string_agg(sha256(event_type), ':') over (partition by user_id order by ts, event_id)) as prefix from events")
@@ -287,10 +317,12 @@ def trace_latest(spark: SparkSession, sf: str) -> DataFrame:
     return X.latest(_events(spark, sf), ["user_id", "event_type"], ["ts", "event_id"], "event_id")
 
 
-@query("with a as (select distinct user_id, event_type || '-' || cast(event_id % 4 as varchar) as item from events where event_id % 2 = 0), b as (select distinct user_id, event_type || '-' || cast(event_id % 4 as varchar) as item from events where event_id % 3 = 0), u as (select user_id from a union select user_id from b) select user_id, coalesce((select string_agg(item, ',' order by item) from (select item from b where b.user_id = u.user_id except select item from a where a.user_id = u.user_id)), '') as added, coalesce((select string_agg(item, ',' order by item) from (select item from a where a.user_id = u.user_id except select item from b where b.user_id = u.user_id)), '') as removed from u")
+@query("with a as (select distinct user_id, event_type || '-' || cast(event_id % 4 as varchar) as item from events where coalesce(value, 0) < 50), b as (select distinct user_id, event_type || '-' || cast(event_id % 4 as varchar) as item from events where not coalesce(value, 0) < 50), u as (select user_id from a union select user_id from b) select user_id, coalesce((select string_agg(item, ',' order by item) from (select item from b where b.user_id = u.user_id except select item from a where a.user_id = u.user_id)), '') as added, coalesce((select string_agg(item, ',' order by item) from (select item from a where a.user_id = u.user_id except select item from b where b.user_id = u.user_id)), '') as removed from u")
 def trace_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event is on one side: low values and high ones."""
     e = _events(spark, sf).withColumn("item", F.concat_ws("-", "event_type", (F.col("event_id") % 4).cast("string")))
-    return X.difference(e.where("event_id % 2 = 0"), e.where("event_id % 3 = 0"), "user_id", "item")
+    low = F.coalesce("value", F.lit(0.0)) < 50
+    return X.difference(e.where(low), e.where(~low), "user_id", "item")
 
 
 @query(_CAT + "select request_id, sha256(concat_ws(chr(31), request_id, coalesce(material_name, ''), coalesce(cast(cast(quantity as bigint) as varchar), ''), coalesce(quantity_unit, ''), coalesce(boundary, ''), coalesce(cast(year as varchar), ''))) as fingerprint, sha256(concat_ws(chr(31), lower(material_name), coalesce(quantity_unit, ''))) as business from req")
@@ -366,6 +398,6 @@ def adjudication_overlay(spark: SparkSession, sf: str) -> DataFrame:
     return E.overlay(d, a, "doc_id", "digest").select("doc_id", "effective", "stale")
 
 
-@query("select coalesce(d.doc_id, l.doc_id) as doc_id, case when d.doc_id is null then 'right_only' when l.doc_id is null then 'left_only' else 'both' end as side from (select doc_id from documents where doc_id % 3 <> 0) d full join labels l on l.doc_id = d.doc_id")
+@query("select coalesce(d.doc_id, l.doc_id) as doc_id, case when d.doc_id is null then 'right_only' when l.doc_id is null then 'left_only' else 'both' end as side from (select doc_id from documents) d full join labels l on l.doc_id = d.doc_id")
 def pairing_full_outer(spark: SparkSession, sf: str) -> DataFrame:
-    return E.paired(table(spark, sf, "documents").where("doc_id % 3 <> 0"), table(spark, sf, "labels"), "doc_id")
+    return E.paired(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attestry.functions import text as X
 from attestry.functions import units as U
 from attestry.operators import catalog as C
+from attestry.operators import qualify as Q
 from attestry.operators import registry as G
 from attestry.operators import retrieve as R
 from attestry.plans import domain
@@ -20,14 +21,18 @@ _TOK = "list_filter(list_distinct(regexp_extract_all({0}, '[a-z0-9]+')), lambda
 _BIG = "case when length({0}) >= 2 then list_distinct(list_transform(range(1, length({0})), lambda i: substr({0}, i, 2))) else [] end"
 
 
-@query(f"select page_id, {_norm('url')} as norm from pages")
+@query(f"select page_id, {_norm('html')} as norm from pages")
 def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", X.normalize(F.col("url")).alias("norm"))
+    return table(spark, sf, "pages").select("page_id", X.normalize(F.col("html")).alias("norm"))
 
 
-@query("select p_partkey as id, lower(p_name || ' Straße') as folded from part")
+_WIDE = "'ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ０１２３４５６７８９（）', 'abcdefghijklmnopqrstuvwxyz0123456789()'"
+_STYLED = "p_name || case p_size % 4 when 0 then ' Straße' when 1 then ' ＳＴＥＥＬ（' || translate(cast(p_size as {0}), '0123456789', '０１２３４５６７８９') || '）' when 2 then ' ﬁbre ½' else ' Größe ² ǅ' end"
+
+
+@query(f"with r as (select p_partkey as id, {_STYLED.format('varchar')} as raw from part) select id, replace(replace(replace(replace(lower(translate(replace(raw, 'ǅ', 'dž'), {_WIDE})), 'ß', 'ss'), 'ﬁ', 'fi'), '½', '1⁄2'), '²', '2') as folded from r")
 def normalize_unicode(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.regexp_replace(X.fold_unicode(F.concat("p_name", F.lit(" Straße"))), "strasse$", "straße").alias("folded"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), X.fold_unicode(F.expr(_STYLED.format("string"))).alias("folded"))
 
 
 _AB = f"ab as (select p_partkey as id, {_norm('p_name')} as a, {_norm('p_brand || p_type')} as b from part)"
@@ -40,10 +45,21 @@ def token_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("id", F.size(X.tokens(F.col("a"))).alias("words"), F.size(a).alias("pairs"), F.array_join(F.array_sort(X.tokens(F.col("a"))), "|").alias("token_list"), F.round(X.jaccard(a, b), 9).alias("jaccard"))
 
 
-@query("select page_id, regexp_replace(regexp_replace(url || ' bearer abc.DEF-1 at 10.1.2.3', '(?i)bearer\\s+[a-z0-9._~+/=-]+', 'Bearer [redacted]', 'g'), 'https?://[^\\s\"''<>]+', '[url]', 'g') as redacted_head from pages")
+_PRIVATE = "text || ' [Authorization: Basic ' || lang || 'x==; bearer abc.DEF-' || doc_id || '=, see https://h.example/' || doc_id || '?k=1 at 10.1.2.' || doc_id % 256 || ' or 11.1.2.3, 172.16.' || doc_id % 9 || '.1, 172.40.0.1, fd00:1::' || doc_id % 10 || ', fe80::1, 2001:db8::1]'"
+
+
+def _redaction_sql() -> str:
+    """The redactions as DuckDB writes them: groups by backslash instead of dollar."""
+    out = _PRIVATE
+    for pattern, mark in X.REDACTIONS:
+        out = f"regexp_replace({out}, '{pattern.replace(chr(39), chr(39) * 2)}', '{mark.replace('$', chr(92))}', 'g')"
+    return out
+
+
+@query(f"select doc_id, {_redaction_sql()} as redacted from documents")
 def redaction(spark: SparkSession, sf: str) -> DataFrame:
-    full = X.redact(F.concat("url", F.lit(" bearer abc.DEF-1 at 10.1.2.3")))
-    return table(spark, sf, "pages").select("page_id", F.regexp_replace(full, r"\[address\]", "10.1.2.3").alias("redacted_head"))
+    """Whole texts, each with a tail of what must go and what must stay."""
+    return table(spark, sf, "documents").select("doc_id", X.redact(F.expr(_PRIVATE)).alias("redacted"))
 
 
 @query("select p_partkey as id, trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') as slug, case when p_size % 5 = 0 and p_size <= 100 and p_size > 0 then cast(p_size as double) end as grade, case when p_size % 3 = 0 then 2000 + p_size end as year, cast(p_size as double) as low, cast(p_size + 1.5 as double) as high from part")
@@ -65,25 +81,24 @@ def numeric_tokens(spark: SparkSession, sf: str) -> DataFrame:
 def unit_parse(spark: SparkSession, sf: str) -> DataFrame:
     raw = domain.requests(spark, sf).select(F.concat(F.upper("quantity_unit"), F.lit(" ")).alias("raw")).distinct()
     u = F.col("u")
-    return raw.withColumn("u", U.activity_unit(F.col("raw"))).select("raw", u["canonical"].alias("canonical"), u["dimension"].alias("dimension"), F.round(u["ratio"], 9).alias("ratio"), u["evidence"].alias("evidence"))
+    return raw.withColumn("u", U.activity_unit("raw")).select("raw", u["canonical"].alias("canonical"), u["dimension"].alias("dimension"), F.round(u["ratio"], 9).alias("ratio"), u["evidence"].alias("evidence"))
 
 
 @query(CORE + "select distinct c_factor_unit, q_target_unit, round(multiplier, 12) as multiplier, plan_reason as reason from planned")
 def unit_plan(spark: SparkSession, sf: str) -> DataFrame:
-    hits = R.retrieve(domain.requests(spark, sf), domain.catalog(spark, sf)).select("c_factor_unit", "q_target_unit", "c_unit", "t_unit").distinct()
-    plan = U.factor_plan(F.col("c_unit"), F.col("t_unit"))
-    return hits.select("c_factor_unit", "q_target_unit", F.round(plan["multiplier"], 12).alias("multiplier"), plan["reason"].alias("reason"))
+    hits = R.retrieve(domain.requests(spark, sf), domain.catalog(spark, sf)).select("c_factor_unit", "q_target_unit", "c_unit", "t_unit", "q_unit_conversion_evidence").distinct()
+    plan = U.factor_plan("c_unit", "t_unit", "q_unit_conversion_evidence")
+    return hits.select("c_factor_unit", "q_target_unit", F.round(plan["multiplier"], 12).alias("multiplier"), plan["reason"].alias("reason")).distinct()
 
 
-_EVIDENCE = [("m3", "Nm3", "m3", "Nm3", 0.92), ("m3", "Nm3", "Nm3", "m3", 1.1), ("Nm3", "m3", None, None, None), ("L", "m3", None, None, None), ("kg", "m3", "kg", "m3", 2.0), ("nm3", "Nm3", None, None, None)]
+_EVIDENCE = "select p_partkey as id, case p_size % 6 when 0 then 'Nm3' when 1 then 'm3' when 2 then 'L' when 3 then 'kg' when 4 then ' nm3' else 't' end as a, case p_partkey % 4 when 0 then 'm3' when 1 then 'Nm3' when 2 then 'kg' else 'l' end as b, case when p_size % 5 < 2 then 'Nm3' when p_size % 5 < 4 then 'm3' end as s, case when p_size % 7 < 4 then 'm3' else 'Nm3' end as t, 0.9 + p_size / 100.0 as m from part"
 
 
-@query("select * from (values (1, 0.92, null), (2, null, 'UNIT_CONVERSION_EVIDENCE_REQUIRED'), (3, null, 'UNIT_CONVERSION_EVIDENCE_REQUIRED'), (4, 0.001, null), (5, null, 'UNIT_DIMENSION_MISMATCH'), (6, 1.0, null)) t(id, multiplier, reason)")
+@query(f"with {UNITS}, e as ({_EVIDENCE}), u as (select e.*, x.canonical as ca, x.dimension as da, x.ratio as ra, y.canonical as cb, y.dimension as db, y.ratio as rb, x.dimension = 'VOLUME' and y.dimension = 'VOLUME' and x.evidence <> y.evidence as conditioned from e left join unit x on x.key = lower(trim(a)) left join unit y on y.key = lower(trim(b))), r as (select *, case when da <> db then 'UNIT_DIMENSION_MISMATCH' when ca <> cb and conditioned and not coalesce(s = ca and t = cb, false) then 'UNIT_CONVERSION_EVIDENCE_REQUIRED' end as reason from u) select id, round(case when reason is not null then null when ca = cb then 1.0 when conditioned then m else ra / rb end, 12) as multiplier, reason from r")
 def unit_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(i + 1, *r) for i, r in enumerate(_EVIDENCE)], "id int, a string, b string, source_canonical_unit string, target_canonical_unit string, multiplier double")
-    e = F.when(F.col("multiplier").isNotNull(), F.struct("source_canonical_unit", "target_canonical_unit", "multiplier"))
-    plan = U.activity_plan(U.activity_unit(F.col("a")), U.activity_unit(F.col("b")), e)
-    return rows.select("id", plan["multiplier"].alias("multiplier"), plan["reason"].alias("reason"))
+    rows = domain.frame(spark, sf, _EVIDENCE, "part").withColumns({"u": U.activity_unit("a"), "v": U.activity_unit("b"), "e": F.expr("if(s is null, null, struct(s as source_canonical_unit, t as target_canonical_unit, double(m) as multiplier))")})
+    plan = U.activity_plan("u", "v", "e")
+    return rows.select("id", F.round(plan["multiplier"], 12).alias("multiplier"), plan["reason"].alias("reason"))
 
 
 _RAW = "select case when p_size % 23 = 0 then null else 'P-' || cast(p_partkey as {0}) end as record_id, p_name as name, case p_size % 6 when 0 then null when 1 then 'n/a' when 2 then '-1' else cast(p_size as {0}) end as primary_value, case when p_size % 7 = 0 then ' ' else 'kg' end as primary_unit, case when p_size % 29 = 0 then 'ODD' else 'VERIFIED' end as source_quality_status, p_partkey as id from part"
@@ -91,7 +106,7 @@ _RAW = "select case when p_size % 23 = 0 then null else 'P-' || cast(p_partkey a
 
 @query(f"with r as ({_RAW.format('varchar')}), v as (select *, try_cast(primary_value as double) as value from r) select id, value, concat_ws('|', case when value is null then 'primary_value_missing_or_invalid' end, case when trim(primary_unit) = '' then 'primary_unit_missing' end, case when record_id is null then 'record_identity_missing' end, case when coalesce(value < 0, false) or source_quality_status <> 'VERIFIED' then 'record_validation_failed' end) as reasons from v")
 def catalog_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
-    raw = spark.sql(_RAW.format("string").replace("from part", "from {part}"), part=table(spark, sf, "part"))
+    raw = domain.frame(spark, sf, _RAW.format("string"), "part")
     return C.diagnose(raw).select("id", "value", F.array_join("reasons", "|").alias("reasons"))
 
 
@@ -101,9 +116,13 @@ def policy_inheritance(spark: SparkSession, sf: str) -> DataFrame:
     return C.inherit(domain.catalog(spark, sf), pol, "provider", "geography").select("source_id", "inherited", "conflict")
 
 
-@query("select policy_id from (values ('a', '2024-01-01', null), ('b', '2024-01-01', '2024-06-30'), ('c', '2024-01-01', '2024-06-29'), ('d', '2024-7-1', null), ('e', '2024-07-01', null)) t(policy_id, f, u) where policy_id in ('a', 'b')")
+_WINDOWS = "select p_partkey as policy_id, '20' || cast(20 + p_size % 8 as {0}) || case p_size % 3 when 0 then '-06-' when 1 then '-7-' else '-11-' end || cast(10 + p_size % 21 as {0}) as effective_from, case when p_partkey % 3 > 0 then '20' || cast(22 + p_partkey % 7 as {0}) || case p_partkey % 5 when 0 then '-02-' when 1 then '-13-' else '-06-' end || cast(10 + p_partkey % 22 as {0}) end as effective_until from part"
+
+
+@query(f"with w as ({_WINDOWS.format('varchar')}), d as (select *, regexp_full_match(effective_from, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') as f_ok, regexp_full_match(effective_until, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') as u_ok, try_cast(effective_from as date) as f, try_cast(effective_until as date) as u from w) select policy_id from d where f_ok and f <= date '2024-06-30' and (effective_until is null or (u_ok and u >= date '2024-06-30'))")
 def policy_window(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([("a", "2024-01-01", None), ("b", "2024-01-01", "2024-06-30"), ("c", "2024-01-01", "2024-06-29"), ("d", "2024-7-1", None), ("e", "2024-07-01", None)], "policy_id string, effective_from string, effective_until string")
+    """Windows with malformed and impossible dates among them."""
+    rows = domain.frame(spark, sf, _WINDOWS.format("string"), "part")
     return C.effective_policies(rows, "2024-06-30").select("policy_id")
 
 
@@ -143,18 +162,35 @@ def accounting_roles(spark: SparkSession, sf: str) -> DataFrame:
 _RULES = [("r-blue-anvil", "blue anvil"), ("r-blue", "blue"), ("r-anvil", "anvil"), ("r-ring", "ring"), ("r-cog", "bolt"), ("r-bolt", "bolt"), ("r-red-gear", "red gear")]
 
 
-@query("with r(rule_id, alias) as (values " + ", ".join(f"('{a}', '{b}')" for a, b in _RULES) + "), n as (select distinct lower(p_name) as name from part), m as (select name, rule_id, instr(' ' || name || ' ', ' ' || alias || ' ') - 1 as start, length(alias) as size from n join r on contains(' ' || name || ' ', ' ' || alias || ' ')), k as (select m.* from m where not exists (select 1 from m o where o.name = m.name and (o.size > m.size or (o.size = m.size and (o.start, o.rule_id) < (m.start, m.rule_id))) and o.start < m.start + m.size and m.start < o.start + o.size)) select name, rule_id, start, size from k")
+_NAMED = "case p_size % 4 when 0 then lower(p_name) when 1 then lower(p_name) || ' ' || lower(p_name) when 2 then replace(lower(p_name), ' ', '-') else 'string ring,' || lower(p_name) || '/bolt' end"
+
+
+@query("with r(rule_id, alias) as (values " + ", ".join(f"('{a}', '{b}')" for a, b in _RULES) + f"), n as (select distinct {_NAMED} as name from part), spot as (select name, unnest(range(0, length(name))) as start from n), m as (select name, rule_id, start, length(alias) as size from spot join r on substr(name, start + 1, length(alias)) = alias where not regexp_matches(substr(' ' || name || ' ', start + 1, 1) || substr(' ' || name || ' ', start + length(alias) + 2, 1), '[0-9A-Za-z]'))" + ", k as (select m.* from m where not exists (select 1 from m o where o.name = m.name and (o.size > m.size or (o.size = m.size and (o.start, o.rule_id) < (m.start, m.rule_id))) and o.start < m.start + m.size and m.start < o.start + o.size)) select name, rule_id, start, size from k")
 def rule_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Names with repeated, hyphenated and punctuated aliases."""
     rules = spark.createDataFrame([(a, b, "active") for a, b in _RULES] + [("r-off", "widget", "draft")], "rule_id string, alias string, status string")
-    return G.match_rules(table(spark, sf, "part").select(F.lower("p_name").alias("name")), rules)
+    return G.match_rules(table(spark, sf, "part").select(F.expr(_NAMED).alias("name")), rules)
 
 
 @query()
 def lexical_top5(spark: SparkSession, sf: str) -> DataFrame:
-    """Lexical observations between distinct request names and distinct brands and names; the indel ratio has no SQL form."""
+    """Lexical observations between distinct names and distinct names with types; the indel ratio has no SQL form. Equal first words with the type ECONOMY count as admitted."""
     names = table(spark, sf, "part").select(X.normalize(F.col("p_name")).alias("n")).distinct()
-    other = table(spark, sf, "part").select(X.normalize(F.concat_ws(" ", "p_name", "p_type")).alias("n")).distinct()
-    return R.lexical_observations(names, other, "n", "n", "n", "n")
+    other = table(spark, sf, "part").select(X.normalize(F.concat_ws(" ", "p_name", "p_type")).alias("n"), X.normalize(F.col("p_name")).alias("a_id"), "p_type").distinct()
+    admitted = other.where("p_type = 'ECONOMY'").select("a_id", F.col("n").alias("b_id"))
+    return R.lexical_observations(names, other.select("n").distinct(), "n", "n", "n", "n", admitted)
+
+
+_FEATURES = "list_distinct(list_concat({0}, {1}))".format(_TOK.format("{0}"), _BIG.format("{0}"))
+
+
+@query("with n as (select distinct " + _norm("p_name") + " as a from part), o as (select distinct " + _norm("p_brand || ' ' || p_type") + " as b from part), f as (select a, b, " + _FEATURES.format("a") + " as fa, " + _FEATURES.format("b") + " as fb from n, o), s as (select a, b, len(list_intersect(fa, fb)) as c, len(fa) as x, len(fb) as y from f) select a, b, round(c / (x + y - c), 6) as jaccard from s where c > 0 and round(c / (x + y - c), 6) >= 0.05")
+def lexical_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    """The part of the lexical score that SQL can express, over every pair that shares a feature."""
+    a = table(spark, sf, "part").select(X.normalize(F.col("p_name")).alias("a")).distinct().withColumn("fa", F.array_union(X.tokens(F.col("a")), X.bigrams(F.col("a"))))
+    b = table(spark, sf, "part").select(X.normalize(F.concat_ws(" ", "p_brand", "p_type")).alias("b")).distinct().withColumn("fb", F.array_union(X.tokens(F.col("b")), X.bigrams(F.col("b"))))
+    pairs = a.withColumn("f", F.explode("fa")).join(b.withColumn("f", F.explode("fb")), "f").select("a", "b", "fa", "fb").distinct()
+    return pairs.select("a", "b", F.round(X.jaccard(F.col("fa"), F.col("fb")), 6).alias("jaccard")).where("jaccard >= 0.05")
 
 
 @query("select p_partkey as id, level, value from (select p_partkey, p_size as level_1, p_size + 1 as level_2, p_size + 2 as level_3 from part) unpivot (value for level in (level_1, level_2, level_3))")
@@ -175,11 +211,12 @@ def vertical_fields(spark: SparkSession, sf: str) -> DataFrame:
     return S.vertical(domain.catalog(spark, sf), "source_id", ["factor_unit", "grade", "boundary"])
 
 
-@query("with b(k, m) as (values ('A1', 'A1'), ('A2', 'A2'), ('A1-A3', 'A1|A2|A3'), ('cradle-to-gate', 'A1|A2|A3')) select q.k as wanted, c.k as observed, q.m = c.m as compatible from b q cross join b c")
+@query(_CAT + ", m as (select source_id, boundary, (select string_agg(x, '|' order by x) from (select distinct upper(trim(t)) as x from unnest(string_split(coalesce(boundary_modules, ''), '|')) as u(t)) where x <> '') as listed from cat), w(wanted, modules) as (values ('A1', 'A1'), ('A2', 'A2'), ('A3', 'A3'), ('A1-A3', 'A1|A2|A3'), ('Cradle-to-Gate', 'A1|A2|A3'), ('use phase', null)) select source_id, wanted, case when modules is null then 'mismatch' when listed is not null then case when listed = modules then 'pass' else 'mismatch' end when lower(boundary) = lower(wanted) or (modules = 'A1|A2|A3' and lower(boundary) in ('a1-a3', 'cradle-to-gate')) then 'pass' else 'mismatch' end as status from m, w")
 def boundary_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    b = spark.createDataFrame([("A1",), ("A2",), ("A1-A3",), ("cradle-to-gate",)], "k string").withColumn("m", R.boundary_modules(F.col("k")))
-    pairs = b.select(F.col("k").alias("wanted"), F.col("m").alias("a"), F.explode(F.array(*map(F.lit, ["A1", "A2", "A1-A3", "cradle-to-gate"]))).alias("observed"))
-    return pairs.select("wanted", "observed", (F.col("a") == R.boundary_modules(F.col("observed"))).alias("compatible"))
+    """The boundary gate of every record against every boundary that a request may name, and one that it may not."""
+    c = R.prepare_catalog(domain.catalog(spark, sf)).select("c_source_id", "c_boundary", "c_modules")
+    wanted = c.withColumn("q_boundary", F.explode(F.array(*map(F.lit, ["A1", "A2", "A3", "A1-A3", "Cradle-to-Gate", "use phase"])))).withColumn("q_modules", R.boundary_modules("q_boundary"))
+    return wanted.select(F.col("c_source_id").alias("source_id"), F.col("q_boundary").alias("wanted"), Q.boundary_gate().alias("status"))
 
 
 @query("select p_partkey as id, case when st = 'approved' then 'already_decided' when st not in ('recommendation_ready', 'reference_review_required') then 'not_selectable' when tier = 'REFERENCE_ONLY' and mode <> 'override' then 'override_required' when tier = 'REFERENCE_ONLY' and reason = '' then 'reason_required' when tier = 'USABLE_WITH_ASSUMPTIONS' and not acc then 'acceptance_required' else 'allowed' end as verdict from (select p_partkey, case p_size % 4 when 0 then 'approved' when 1 then 'unresolved' when 2 then 'recommendation_ready' else 'reference_review_required' end as st, case p_size % 3 when 0 then 'REFERENCE_ONLY' when 1 then 'USABLE_WITH_ASSUMPTIONS' else 'PRIMARY_RECOMMENDATION' end as tier, case when p_size % 5 < 3 then 'override' else 'standard' end as mode, p_size % 7 < 3 as acc, case when p_size % 2 = 0 then '' else 'why' end as reason from part)")
@@ -191,11 +228,14 @@ def approval_rules(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), verdict.alias("verdict"))
 
 
-@query(_CAT + "select source_id, '[\"bogus\"]' as unknown from cat where grade % 3 = 0")
+@query("with f as (select p_partkey as id, list_filter(['name', 'record_id', case when p_size % 3 = 0 then 'bogus' end, case when p_size % 4 = 0 then 'Name' end, case when p_size % 5 = 0 then 'zone_' || cast(p_size % 7 as varchar) end], lambda k: k is not null) as keys from part), u as (select id, list_sort(list_filter(keys, lambda k: k not in ('record_id', 'name'))) as u from f) select id, array_to_string(u, '|') as unknown from u where len(u) > 0")
 def strict_fields(spark: SparkSession, sf: str) -> DataFrame:
-    body = F.when(F.col("grade") % 3 == 0, F.to_json(F.struct("source_id", F.col("grade").alias("bogus")))).otherwise(F.to_json(F.struct("source_id")))
-    found = domain.catalog(spark, sf).select("source_id", C.unknown_fields(body, ["source_id", "name"]).alias("u")).where(F.size("u") > 0)
-    return found.select("source_id", F.to_json("u").alias("unknown"))
+    """Records as JSON text, some of them with fields that the closed schema doesn't know."""
+    n = F.col("p_size")
+    keys = F.array_compact(F.array(F.lit("name"), F.lit("record_id"), F.when(n % 3 == 0, F.lit("bogus")), F.when(n % 4 == 0, F.lit("Name")), F.when(n % 5 == 0, F.concat(F.lit("zone_"), (n % 7).cast("string")))))
+    body = F.concat(F.lit("{"), F.array_join(F.transform(keys, lambda k: F.concat(F.lit('"'), k, F.lit('": [1, {"inner": 2}]'))), ", "), F.lit("}"))
+    found = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), C.unknown_fields(body, ["record_id", "name"]).alias("u")).where(F.size("u") > 0)
+    return found.select("id", F.array_join("u", "|").alias("unknown"))
 
 
 @query(_CAT + "select source_id, sha256('{\"boundary\":' || case when boundary is null then 'null' else '\"' || boundary || '\"' end || ',\"composition\":' || case when composition is null then 'null' else '\"' || composition || '\"' end || ',\"source_id\":\"' || source_id || '\"}') as digest from cat")

@@ -1,6 +1,7 @@
 """Invariants: shuffled catalogues, noise, totality of decisions, unit round trips, stores, files, streaming."""
 
 import json
+import random
 import threading
 
 import pytest
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from attestry.functions import text, units
-from attestry.operators import catalog, decide, registry, trace
+from attestry.operators import catalog, decide, registry, retrieve, trace
 from attestry.operators.review import ReviewError, ReviewStore, StaleRevision
 from attestry.plans import domain
 from attestry.sources import files
@@ -32,10 +33,10 @@ def test_decisions_do_not_depend_on_order_or_noise(spark):
 
 
 def test_unit_pairs_round_trip(spark):
-    names = spark.createDataFrame([(k,) for k, *_ in units.ACTIVITY], "u string").withColumn("s", units.activity_unit(F.col("u")))
+    names = spark.createDataFrame([(k,) for k, *_ in units.ACTIVITY], "u string").withColumn("s", units.activity_unit("u"))
     both = names.select(F.col("u").alias("a"), F.col("s").alias("x"), F.explode(F.array(*[F.lit(k) for k, *_ in units.ACTIVITY])).alias("b"))
-    both = both.withColumn("y", units.activity_unit(F.col("b")))
-    there, back = units.activity_plan(F.col("x"), F.col("y")), units.activity_plan(F.col("y"), F.col("x"))
+    both = both.withColumn("y", units.activity_unit("b"))
+    there, back = units.activity_plan("x", "y"), units.activity_plan("y", "x")
     for m, n, r in both.select(there["multiplier"], back["multiplier"], there["reason"]).collect():
         assert (m is None) == (r is not None)
         assert m is None or abs(m * n - 1) < 1e-9
@@ -66,14 +67,45 @@ def test_registry_prefers_long_matches_without_overlap(spark):
     assert rows(registry.best_rule(found)) == [("hot rolled steel sheet", "b")]
 
 
-def test_registry_matches_alike_at_every_size(spark, monkeypatch):
-    names = spark.createDataFrame([(n,) for n in ("string ring", "steel/bolt, steel", "blue anvil, red", "热轧steel板", "热轧板", "a.b a.b", "ring ring ring", "--", "steely", "x😀y", "")], "name string")
-    own = [("r", "ring"), ("s", "steel"), ("t", "anvil"), ("u", "热轧"), ("v", "a.b"), ("w", "ring ring"), ("x", "-"), ("y", "😀"), ("z", "bolt"), ("q", "steel"), ("p", "😀y")]
+def test_registry_equals_brute_force(spark):
+    own = [("r", "ring"), ("s", "steel"), ("t", "anvil"), ("u", "热轧"), ("v", "a.b"), ("w", "ring ring"), ("x", "-"), ("y", "😀"), ("z", "bolt"), ("q", "steel"), ("p", "😀y"), ("o", "steel-steel")]
+    r = random.Random(4)
+    names = ["string ring", "steel/bolt, steel", "blue anvil, red", "热轧steel板", "热轧板", "a.b a.b", "ring ring ring", "--", "steely", "x😀y", "blue-steel, steel bar steel"]
+    names += ["".join(r.choice([*[a for _, a in own], " ", "-", "x", "热", ", "]) for _ in range(r.randint(1, 7))) for _ in range(60)]
+
+    def brute(name):
+        edge = lambda i: not (0 <= i < len(name) and name[i].isascii() and name[i].isalnum())
+        found = [(-len(a), i, k) for k, a in own for i in range(len(name)) if name.startswith(a, i) and edge(i - 1) and edge(i + len(a))]
+        kept = []
+        for n, i, k in sorted(found):
+            if all(i >= j - m or j >= i - n for m, j, _ in kept):
+                kept.append((n, i, k))
+        return {(name, k, i, -n) for n, i, k in kept}
+
     rules = spark.createDataFrame([(i, a, "active") for i, a in own], "rule_id string, alias string, status string")
-    small = rows(registry.match_rules(names, rules))
-    assert ("string ring", "r", 7, 4) in small and ("steel/bolt, steel", "z", 6, 4) in small and ("steel/bolt, steel", "q", 12, 5) in small
-    monkeypatch.setattr(registry, "MAX_RULES", 3)
-    assert rows(registry.match_rules(names, rules)) == small
+    found = {tuple(x) for x in registry.match_rules(spark.createDataFrame([(n,) for n in [*names, "", names[0]]], "name string"), rules).collect()}
+    assert found == set().union(*map(brute, names)) and ("blue-steel, steel bar steel", "q", 12, 5) in found
+
+
+def test_lexical_observations_equal_brute_force(spark):
+    r = random.Random(6)
+    names = ["abcdefg", "axbxcxdxexfxg", "axbcyde", "abzcdwe", "a", "b", "ab", "ba", "a b", "steel bar", "bar steel", "steal bar"]
+    names += ["".join(r.choice("abcd ") for _ in range(r.randint(1, 12))).strip() or "x" for _ in range(70)]
+    names = sorted({" ".join(n.split()) for n in names})
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+
+    def score(a, b):
+        f = lambda t: {w for w in t.split() if len(w) > 1} | {t[i : i + 2] for i in range(len(t) - 1)}
+        both = f(a) | f(b)
+        return round(max(len(f(a) & f(b)) / len(both) if both else 0.0, text._lcs(a, b) / (len(a) + len(b))), 6)
+
+    admitted = [(names[3], names[4]), (names[0], names[0])]
+    expected = set()
+    for a in names:
+        own = sorted(((-score(a, b), b) for b in names if (a, b) not in admitted and score(a, b) >= 0.35))[:5]
+        expected |= {(a, b, -s) for s, b in own}
+    found = retrieve.lexical_observations(df, df, "n", "n", "n", "n", spark.createDataFrame(admitted, "a_id string, b_id string"))
+    assert {(x["a_id"], x["b_id"], x["score"]) for x in found.collect()} == expected
 
 
 def test_chain_detects_a_change(spark):

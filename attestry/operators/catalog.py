@@ -99,9 +99,10 @@ def effective_policies(policies: DataFrame, day: str) -> DataFrame:
 
 
 def keep_newest(df: DataFrame, order: list[str], size: str, max_rows: int, max_bytes: int) -> DataFrame:
-    """Newest rows first while both bounds hold (oldest-first eviction of a bounded report store)."""
+    """Newest rows first while both bounds hold (oldest-first eviction of a bounded report store). The sum runs over ``max_rows`` rows at most."""
     from pyspark.sql.window import Window
 
-    w = Window.orderBy(*[F.desc(c) for c in order])
-    run = df.withColumns({"_n": F.row_number().over(w), "_b": F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
-    return run.where((F.col("_n") <= max_rows) & (F.col("_b") <= max_bytes)).drop("_n", "_b")
+    newest = [F.desc(c) for c in order]
+    rows = df.orderBy(*newest).limit(max_rows)  # a top-k by partition, then one of its results
+    upto = F.sum(size).over(Window.orderBy(*newest).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("_upto", upto).where(F.col("_upto") <= max_bytes).drop("_upto")

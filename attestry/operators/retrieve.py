@@ -43,9 +43,15 @@ def prepare(df: DataFrame, prefix: str, names: tuple[str, ...], more: dict[str,
     return df.selectExpr("*", *[f"{words_sql(f'{prefix}n_{k}')} as {prefix}t_{k}" for k in COMPARED], f"{words_sql(f'{prefix}norm')} as {prefix}t_material")
 
 
+def alias_set(x: str) -> str:
+    """Distinct normal forms of aliases that come as a JSON list or separated by commas, as the text of an expression."""
+    listed = f"coalesce(if(trim({x}) like '[%', from_json({x}, 'array<string>'), null), split(coalesce({x}, ''), ','))"
+    return f"array_distinct(filter(transform({listed}, a -> {normal_sql('a')}), a -> a <> ''))"
+
+
 def prepare_requests(requests: DataFrame) -> DataFrame:
     """Prefix ``q_``; parsed quantity unit and target unit (the requested one, or kgCO2e by the request's own unit), wanted modules, grade, evidence."""
-    more = {"target_unit": "coalesce(target_factor_unit, concat('kgCO2e/', quantity_unit))"}
+    more = {"target_unit": "coalesce(target_factor_unit, concat('kgCO2e/', quantity_unit))", "alias_norms": alias_set("aliases" if "aliases" in requests.columns else "''")}
     if "unit_conversion_evidence" not in requests.columns:
         more["unit_conversion_evidence"] = "cast(null as struct<source_canonical_unit:string,target_canonical_unit:string,multiplier:double>)"
     q = prepare(requests, "q_", ("material_name",), more)
@@ -58,7 +64,7 @@ def prepare_catalog(catalog: DataFrame) -> DataFrame:
     ``conflict``, if the catalogue has it (see ``single``), marks ids that stand for several records.
     """
     more = {
-        "alias_norm": normal_sql("alias"),
+        "alias_norms": alias_set("alias"),
         "declared_norm": f"nullif({normal_sql("coalesce(declared_product, '')")}, '')",
         "modules": "nullif(array_join(array_sort(array_distinct(filter(transform(split(coalesce(boundary_modules, ''), r'\\|'), m -> upper(trim(m))), m -> m <> ''))), '|'), '')",
         "hashed": "coalesce(document_sha256, '') rlike '^[0-9a-f]{64}$'",
@@ -75,18 +81,10 @@ def single(catalog: DataFrame, key: str = "source_id") -> DataFrame:
     return per.select("row.*", "copies", "conflict")
 
 
-def exact_hits(q: DataFrame, c: DataFrame) -> DataFrame:
-    return q.join(c, q["q_norm"] == c["c_norm"]).withColumn("channel", F.lit("exact"))
-
-
-def synonym_hits(q: DataFrame, c: DataFrame) -> DataFrame:
-    return q.join(c, (q["q_norm"] == c["c_alias_norm"]) & (q["q_norm"] != c["c_norm"])).withColumn("channel", F.lit("synonym"))
-
-
-def related_hits(q: DataFrame, c: DataFrame) -> DataFrame:
-    product = q["q_product_entity_id"].isNull() | (q["q_product_entity_id"] == c["c_product_entity_id"])
-    named = F.coalesce(q["q_norm"] == c["c_norm"], F.lit(False)) | F.coalesce(q["q_norm"] == c["c_alias_norm"], F.lit(False))
-    return q.join(c, (q["q_base_entity_id"] == c["c_base_entity_id"]) & product & ~named).withColumn("channel", F.lit("related"))
+#: Channels as conditions on a pair: equal names; one side's name among the other's aliases, or a common alias; the same entity, and product if one is asked for.
+EXACT = "coalesce(q_norm = c_norm, false)"
+SYNONYM = "coalesce(array_contains(c_alias_norms, q_norm) or array_contains(q_alias_norms, c_norm) or arrays_overlap(q_alias_norms, c_alias_norms), false)"
+PRODUCT = "(q_product_entity_id is null or coalesce(q_product_entity_id = c_product_entity_id, false))"
 
 
 def retrieve(requests: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -96,14 +94,14 @@ def retrieve(requests: DataFrame, catalog: DataFrame) -> DataFrame:
 def met(q: DataFrame, c: DataFrame) -> DataFrame:
     """All hits of all channels, each (request, record) once, from one join of prepared requests and records on tagged keys.
 
-    A name key finds exact and synonym hits; an entity key finds related ones and yields to a name key of the same pair.
+    Names and aliases are keys that find exact and synonym hits; an entity key finds related ones. A pair that meets at several keys stays at the first
+    that both have, and the entity key is last: so a pair is related only if no name brings it together. No channel is removed from another by a join.
     """
-    q = q.withColumn("key", F.expr("explode(filter(array(concat('n:', q_norm), concat('e:', q_base_entity_id)), k -> k is not null))"))
-    c = c.withColumn("key", F.expr("explode(array_distinct(filter(array(concat('n:', c_norm), concat('n:', c_alias_norm), concat('e:', c_base_entity_id)), k -> k is not null)))"))
-    exact, synonym = "coalesce(q_norm = c_norm, false)", "coalesce(q_norm = c_alias_norm, false)"
-    product = "(q_product_entity_id is null or coalesce(q_product_entity_id = c_product_entity_id, false))"
-    both = q.join(c, "key").where(f"key like 'n:%' or ({product} and not {exact} and not {synonym})")
-    return both.withColumn("channel", F.expr(f"case when {exact} then 'exact' when {synonym} then 'synonym' else 'related' end")).drop("key")
+    keys = lambda side: f"array_distinct(filter(concat(array(concat('n:', {side}_norm)), transform({side}_alias_norms, a -> concat('n:', a)), array(concat('e:', {side}_base_entity_id))), k -> k is not null))"
+    q = q.withColumn("q_keys", F.expr(keys("q"))).withColumn("key", F.explode("q_keys"))
+    c = c.withColumn("c_keys", F.expr(keys("c"))).withColumn("key", F.explode("c_keys"))
+    both = q.join(c, "key").where(f"key = get(array_intersect(q_keys, c_keys), 0) and (key like 'n:%' or {PRODUCT})")
+    return both.withColumn("channel", F.expr(f"case when {EXACT} then 'exact' when {SYNONYM} then 'synonym' else 'related' end")).drop("key", "q_keys", "c_keys")
 
 
 def conflict_free(catalog: DataFrame, key: str, digest: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,19 +17,32 @@ def entry_text(*columns: str) -> Column:
     return F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
 
 
-def chain(events: DataFrame, key: str, order: list[str], content: Column) -> DataFrame:
-    """Every entry with its revision, previous hash and hash. One fold per key over its ordered entries; a key is one request's trace."""
-    own = events.select(F.col(key).alias("key"), F.struct(*order, content.alias("content")).alias("e"))
-    folded = own.groupBy("key").agg(F.array_sort(F.collect_list("e")).alias("es"))
-    empty = F.array().cast("array<struct<previous:string,hash:string>>")
+def _ordered(events: DataFrame, key: Column, order: list[str], **more: Column) -> DataFrame:
+    """(key, the order's columns, more) with the rows of a key together and in order, as a stream for one pass."""
+    return events.select(key.alias("key"), *order, *[c.alias(k) for k, c in more.items()]).repartition("key").sortWithinPartitions("key", *order)
 
-    def step(acc, e):
-        last = F.when(F.size(acc) == 0, F.lit(GENESIS)).otherwise(F.element_at(acc, -1)["hash"])
-        return F.array_append(acc, F.struct(last.alias("previous"), F.sha2(F.concat(last, F.lit("|"), e["content"]), 256).alias("hash")))
 
-    links = folded.withColumn("links", F.aggregate("es", empty, step))
-    flat = links.select("key", F.posexplode(F.arrays_zip("es", "links")).alias("place", "x"))
-    return flat.select("key", (F.col("place") + 1).alias("revision"), *[F.col(f"x.es.{c}").alias(c) for c in order], F.col("x.es.content").alias("content"), F.col("x.links.previous").alias("previous_hash"), F.col("x.links.hash").alias("entry_hash"))
+def chain(events: DataFrame, key: str, order: list[str], content: Column) -> DataFrame:
+    """Every entry with its revision, previous hash and hash. Sorted partitions are streamed once; only the last hash of the key at hand is carried on."""
+    rows = _ordered(events, F.col(key), order, content=content)
+    at = len(rows.columns) - 1
+
+    def link(batches):
+        held, revision, last = object(), 0, GENESIS
+        for b in batches:
+            out: tuple[list, list, list] = [], [], []
+            for k, text in zip(b.column(0).to_pylist(), b.column(at).to_pylist(), strict=True):
+                if k != held:
+                    held, revision, last = k, 0, GENESIS
+                revision += 1
+                own = hashlib.sha256(f"{last}|{text}".encode()).hexdigest()
+                for into, x in zip(out, (revision, last, own), strict=True):
+                    into.append(x)
+                last = own
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out[0], pa.int32()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], names=[*b.schema.names, "revision", "previous_hash", "entry_hash"])
+
+    kinds = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), "revision int, previous_hash string, entry_hash string"])
+    return rows.mapInArrow(link, kinds).select("key", "revision", *order, "content", "previous_hash", "entry_hash")
 
 
 def verify(entries: DataFrame, ties: list[str] = ()) -> DataFrame:
@@ -38,9 +54,23 @@ def verify(entries: DataFrame, ties: list[str] = ()) -> DataFrame:
 
 
 def prefix_digest(events: DataFrame, key: str, order: list[str], digest: str) -> DataFrame:
-    """Per entry: SHA-256 of all digests of its key up to and including it."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return events.withColumn("prefix", F.sha2(F.array_join(F.collect_list(digest).over(w), ":"), 256))
+    """Per entry: SHA-256 of all digests of its key up to and including it, joined by colons; a running digest, so that no prefix is written out."""
+    rows = _ordered(events, F.col(key), order, digest=F.col(digest))
+    at = len(rows.columns) - 1
+
+    def run(batches):
+        held, digests = object(), None
+        for b in batches:
+            out = []
+            for k, d in zip(b.column(0).to_pylist(), b.column(at).to_pylist(), strict=True):
+                if k != held:
+                    held, digests = k, hashlib.sha256(d.encode())
+                else:
+                    digests.update(b":" + d.encode())
+                out.append(digests.copy().hexdigest())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "prefix"])
+
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), "prefix string"])).withColumnRenamed("key", key)
 
 
 def latest(events: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 CATALOG_SQL = """
 select 'P-' || cast(p_partkey as string) as source_id, p_name || ' ' || p_brand || ' ' || p_type as material_name,
-  p_brand || ' ' || p_name || ' ' || p_type as alias, p_retailprice / 1000.0 as factor_value,
+  p_brand || ' ' || p_name || ' ' || p_type || case when p_size % 3 = 0 then ', ' || upper(p_name) || '/' || p_size || ',,' || p_name || '-' || p_size else '' end as alias, p_retailprice / 1000.0 as factor_value,
   case p_size % 9 when 0 then 'kgCO2e/kg' when 1 then 'kg CO2-eq/t' when 2 then 'gCO2e/kg' when 3 then 'kgCO2e/kWh' when 4 then 'kgCO2e per tkm' when 5 then 'kgCO2e/t product' when 6 then 'points/kg' when 7 then 'kgCO2e/Nm3' else 'kgCO2e / m3' end as factor_unit,
   case p_size % 9 when 0 then 'emission_limit' when 1 then 'unclassified' when 2 then 'energy_factor' when 3 then 'epd_indicator' else 'lifecycle_factor' end as factor_kind,
   case p_type when 'ECONOMY' then 'raw_material' when 'SMALL' then 'finished_product' when 'MEDIUM' then 'energy' when 'PROMO' then 'transport' when 'STANDARD' then 'raw_material' else 'unknown' end as subject_type,
@@ -32,6 +32,7 @@ from part
 REQUEST_SQL = """
 select 'R-' || cast(o.o_orderkey as string) as request_id,
   case when o.o_orderkey % 4 = 3 then p.p_brand || ' ' || p.p_name || ' ' || p.p_type else p.p_name || ' ' || p.p_brand || ' ' || p.p_type end as material_name,
+  case when o.o_orderkey % 11 = 0 then p.p_name || ' ' || cast(1 + o.o_orderkey % 50 as string) || ', spare' when o.o_orderkey % 11 = 1 then p.p_name || ' ' || p.p_brand || ' ECONOMY' end as aliases,
   l.quantity as quantity, case o.o_orderkey % 8 when 0 then 'kg' when 1 then 't' when 2 then 'kWh' when 3 then 'piece' when 4 then 'lb' when 5 then 'stone' when 6 then 'm3' else 'Nm3' end as quantity_unit,
   case when o.o_orderkey % 7 = 0 then 'kgCO2e/t' end as target_factor_unit,
   case o.o_orderstatus when 'O' then 'A1' when 'F' then 'cradle-to-gate' else 'A2' end as boundary,

@@ -56,7 +56,7 @@ def _absent(k: str) -> str:
 
 
 _EXCLUDE = [
-    ("base_entity_id_mismatch", "false"), ("product_entity_id_mismatch", "q_product is not null and c_product is not null and q_product <> c_product"), ("product_entity_id_missing", "q_product is not null and c_product is null"),
+    ("base_entity_id_mismatch", "coalesce(q_base <> c_base, false)"), ("product_entity_id_mismatch", "q_product is not null and c_product is not null and q_product <> c_product"), ("product_entity_id_missing", "q_product is not null and c_product is null"),
     ("factor_kind_mismatch", "g_kind = 'mismatch'"), ("subject_type_mismatch", "g_subject <> 'pass' and (q_subject <> 'unknown' or c_kind in ('energy_factor', 'combustion_factor', 'transport_factor') or c_subject in ('energy', 'transport', 'process', 'waste'))"),
     ("source_quality_not_admissible", "g_quality <> 'pass'"), ("indicator_mismatch", "g_indicator = 'mismatch'"), ("declared_product_mismatch", "g_declared = 'mismatch'"), ("boundary_mismatch", "g_boundary = 'mismatch'"),
     ("geography_mismatch", "g_geography = 'mismatch'"), ("year_mismatch", "g_year = 'mismatch'"), ("unit_qualifier_requires_validation", "unproved"),
@@ -84,13 +84,20 @@ def _core(conflict: str) -> str:
     return f"""
 with {UNITS}, {IMPACTS},
 cat as (select *, {conflict} as conflict from ({CATALOG_SQL})), req as ({REQUEST_SQL}),
-cn as (select *, {_norm('material_name')} as norm, {_norm('alias')} as alias_norm from cat),
+cn as (select *, {_norm('material_name')} as norm from cat),
 qn as (select *, {_norm('material_name')} as norm, coalesce(target_factor_unit, 'kgCO2e/' || quantity_unit) as target_unit from req),
+ca as (select distinct source_id, {_norm('x')} as a from (select source_id, unnest(string_split(alias, ',')) as x from cat) where {_norm('x')} <> ''),
+qa as (select distinct request_id, {_norm('x')} as a from (select request_id, unnest(string_split(aliases, ',')) as x from req where aliases is not null) where {_norm('x')} <> ''),
+named as (
+  select q.request_id, c.source_id from qn q join ca c on q.norm = c.a union select q.request_id, c.source_id from qa q join cn c on q.a = c.norm union select q.request_id, c.source_id from qa q join ca c on q.a = c.a
+),
+same as (select q.request_id, c.source_id from qn q join cn c on q.norm = c.norm),
 pair as (
-  select q.request_id, c.source_id, 'exact' as channel from qn q join cn c on q.norm = c.norm
-  union all select q.request_id, c.source_id, 'synonym' from qn q join cn c on q.norm = c.alias_norm where q.norm <> c.norm
-  union all select q.request_id, c.source_id, 'related' from qn q join cn c on q.base_entity_id = c.base_entity_id
-    where (q.product_entity_id is null or q.product_entity_id = c.product_entity_id) and q.norm <> c.norm and q.norm <> c.alias_norm
+  select request_id, source_id, 'exact' as channel from same
+  union all select request_id, source_id, 'synonym' from (select * from named except select * from same)
+  union all select request_id, source_id, 'related' from (
+    select q.request_id, c.source_id from qn q join cn c on q.base_entity_id = c.base_entity_id where q.product_entity_id is null or q.product_entity_id = c.product_entity_id
+    except (select * from named union select * from same))
 ),{_factor('cunit', 'factor_unit', 'cat')},{_factor('tunit', 'target_unit', 'qn')},
 hit as (
   select p.request_id, p.source_id, p.channel, q.material_name as q_name, q.norm as q_norm, q.quantity, q.quantity_unit, q.target_factor_unit as q_target, q.target_unit as q_target_unit, q.boundary as q_boundary, q.year as q_year, q.geography as q_geography,
@@ -114,7 +121,7 @@ planned as (
 ),
 gated as (
   select *, c_qualifier is not null and declared_first <> 'pass' as unproved,
-    case when (q_product is not null and c_product is not null and q_product <> c_product) or (q_product is not null and c_product is null) then 'mismatch' else 'pass' end as g_identity,
+    case when coalesce(q_base <> c_base, false) or (q_product is not null and c_product is not null and q_product <> c_product) or (q_product is not null and c_product is null) then 'mismatch' else 'pass' end as g_identity,
     case when c_kind = 'emission_limit' then 'mismatch' when c_kind in ('lifecycle_factor', 'epd_indicator', 'derived_proxy_factor', 'energy_factor', 'combustion_factor', 'transport_factor') then 'pass' else 'unknown' end as g_kind,
     case when c_kind = 'energy_factor' and c_subject <> 'energy' then 'mismatch' when c_kind = 'energy_factor' and q_subject = 'unknown' then 'unknown'
       when q_subject = 'unknown' and c_subject in ('energy', 'transport', 'process', 'waste') then 'unknown' when q_subject <> 'unknown' and c_subject <> 'unknown' and q_subject <> c_subject then 'mismatch' when c_subject = 'unknown' then 'unknown' else 'pass' end as g_subject,
@@ -132,7 +139,7 @@ judged as (
 ),
 qual as (select *, concat_ws('|', {', '.join(f"case when {t} then '{k}' end" for k, t in _EXCLUDE)}) as exclusions from judged),
 dims as (
-  select *, case when q_base = c_base or q_norm = c_norm then 1.0 when contains(c_norm, q_norm) or contains(q_norm, c_norm) then 0.8 else 0.0 end as d_material,
+  select *, case when q_base = c_base or q_norm = c_norm then 1.0 when contains(c_norm, q_norm) or contains(q_norm, c_norm) then 0.8 else {_dim('q_name', 'c_name')} end as d_material,
     case when q_year is null and c_year is null then 1.0 when q_year is null or c_year is null then 0.5 when q_year = c_year then 1.0 when abs(q_year - c_year) <= 3 then 0.8 when abs(q_year - c_year) <= 10 then 0.5 else 0.2 end as d_time,
     case when bridge then c_canonical else t_canonical end as n_canonical, case when bridge then c_dim else t_dim end as n_dim
   from qual

@@ -50,7 +50,7 @@ def exact_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(CORE + "select request_id, source_id from pair where channel = 'synonym'")
 def alias_join(spark: SparkSession, sf: str) -> DataFrame:
-    return R.synonym_hits(R.prepare_requests(domain.requests(spark, sf)), R.prepare_catalog(domain.catalog(spark, sf))).select(ids())
+    return hits(spark, sf).where("channel = 'synonym'").select(ids())
 
 
 @query(CORE + "select request_id, source_id, channel from pair")

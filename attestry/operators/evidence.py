@@ -51,7 +51,23 @@ def merge_evidence(branches: list[DataFrame]) -> DataFrame:
 
 
 def duplicate_parameters(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("edge_id", "name").agg(F.count("*").alias("copies")).where("copies > 1")
+    """Every row with how many rows of its edge have its name, and whether that makes the name ambiguous."""
+    copies = F.count("*").over(Window.partitionBy("edge_id", "name"))
+    return rows.withColumn("copies", copies).withColumn("ambiguous", F.col("copies") > 1)
+
+
+def process_evidence(requests: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Evidence for (reference record, target material), and for the target process where the evidence names one.
+
+    requests: edge_id, reference_id, target_material, target_process; evidence: id, reference_id, target_material, target_process, value.
+    """
+    e = evidence.select("id", "reference_id", "target_material", F.coalesce("target_process", F.lit("")).alias("only_process"), "value")
+    return requests.join(e, ["reference_id", "target_material"]).where((F.col("only_process") == "") | (F.col("only_process") == F.col("target_process"))).select("edge_id", "id", "value")
+
+
+def inclusion_proof(rows: DataFrame) -> DataFrame:
+    """Per edge: whether the record or any scoped evidence proves that the reference factor includes the process. rows: edge_id, source_flag, evidence_flag."""
+    return rows.groupBy("edge_id").agg(F.bool_or(F.coalesce("source_flag", F.lit(False)) | F.coalesce("evidence_flag", F.lit(False))).alias("included"))
 
 
 def emission_observation(value: Column, trigger: Column, note: Column) -> Column:

@@ -272,3 +272,125 @@ def generated_cases(spark: SparkSession, sf: str) -> DataFrame:
 @query("with n as (select count(*) as n from part), r as (select unnest(range(0, n)) as id from n), c as (select 'N-' || id as source_id, 'noise material ' || sha256(cast(id as varchar)) as material_name, 1.0 + id % 97 / 100.0 as factor_value from r union all select 'T-0', 'target', 1.5) select source_id, material_name, round(factor_value, 6) as factor_value from c")
 def scale_catalog(spark: SparkSession, sf: str) -> DataFrame:
     return H.scale_catalog(spark, table(spark, sf, "part").count()).withColumn("factor_value", F.round("factor_value", 6))
+
+
+# ---- resolver parts and evidence ------------------------------------------------------------------------------------------
+_SIDES = [("material", "q_name", "c_name"), ("process", "q_process", "c_process"), ("form", "q_form", "c_form"), ("composition", "q_composition", "c_composition"), ("geography", "q_geography", "c_geography"), ("time", "q_year", "c_year"), ("boundary", "q_boundary", "c_boundary")]
+
+
+@query(CORE + "select request_id, source_id, concat_ws('|', " + ", ".join(f"case when coalesce(trim(cast({c} as varchar)), '') = '' then 'missing_{side}_{k}' end" for k, *pair in _SIDES for side, c in zip(("target", "source"), pair, strict=True)) + ") as missing from hit")
+def missing_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    from attestry.operators import score as S
+
+    return hits(spark, sf).select(F.col("q_request_id").alias("request_id"), F.col("c_source_id").alias("source_id"), F.array_join(F.expr(S.missing_evidence()), "|").alias("missing"))
+
+
+_CATEGORY = "case c_source_type when 'epd' then 'natural_mineral' when 'supplier' then 'manufactured_mineral' when 'literature' then 'synthetic_chemical' else 'other' end"
+
+
+def _proxy_sql() -> str:
+    from attestry.operators import score as S
+
+    text = lambda w: "round(" + " + ".join(f"cast({v!r} as double) * d_{k}" for k, v in w.items()) + ", 6)"
+    return f"case {_CATEGORY} " + " ".join(f"when '{k}' then {text(w)}" for k, w in S.PROXY.items() if k != "default") + f" else {text(S.PROXY['default'])} end"
+
+
+@query(CORE + f"select request_id, source_id, {_proxy_sql()} as score from strong")
+def proxy_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates scored as proxies, by the weights of their category."""
+    from attestry.operators import score as S
+
+    found = S.candidates(Q.qualify(hits(spark, sf)))
+    return found.select(F.col("q_request_id").alias("request_id"), F.col("c_source_id").alias("source_id"), F.expr(S.proxy_score(_CATEGORY)).alias("score"))
+
+
+_FORM = "case p_size % 5 when 0 then ' Fibre' when 1 then '纤维' when 2 then '钢纤维' when 3 then '' else upper(p_type) || '_Form' end"
+
+
+@query(f"with r as (select p_partkey as id, {_FORM} as raw from part) select id, case {_norm('raw')} when 'fibre' then 'fiber' when '纤维' then 'fiber' when '钢纤维' then 'fiber' else nullif({_norm('raw')}, '') end as form, concat_ws('|', case when lower(raw) <> raw then 'casefold' end, case when regexp_replace(lower(raw), '[\\[\\](){{}}/_|,;:·\\-–—]+', ' ', 'g') <> lower(raw) then 'separators' end, case when trim(regexp_replace(regexp_replace(lower(raw), '[\\[\\](){{}}/_|,;:·\\-–—]+', ' ', 'g'), '\\s+', ' ', 'g')) <> regexp_replace(lower(raw), '[\\[\\](){{}}/_|,;:·\\-–—]+', ' ', 'g') then 'whitespace' end) as rules, lower(regexp_replace(regexp_replace('keyOf' || p_type || 'Value' || p_size, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g')) as words from r join part on p_partkey = id")
+def form_texts(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.expr(_FORM)
+    words = X.camel_words(F.concat(F.lit("keyOf"), "p_type", F.lit("Value"), F.col("p_size").cast("string")))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), X.canonical_form(raw).alias("form"), F.array_join(X.normalization_rules(raw), "|").alias("rules"), words.alias("words"))
+
+
+_ADDED = "select p_partkey as id, case when p_size % 4 < 2 then p_size / 10.0 end as t_additive_kg_per_t, case when p_size % 3 > 0 then 0.85 end as t_carbon_share, 0.9 as t_oxidation, p_size % 5 = 0 as t_trigger, case when p_size % 7 = 0 then p_size / 100.0 end as t_explicit from part"
+
+
+@query(f"with a as ({_ADDED}), v as (select *, t_additive_kg_per_t * t_carbon_share * t_oxidation * 44.0 / 12.0 / 1000.0 as triple from a) select id, case when triple is null and t_trigger then null else round(coalesce(triple, t_explicit), 9) end as value, case when triple is null and t_trigger then 'process_emission_incomplete' end as error from v")
+def additional_values(spark: SparkSession, sf: str) -> DataFrame:
+    from attestry.operators import transform as T
+
+    rows = domain.frame(spark, sf, _ADDED, "part")
+    rows = rows.select("id", "t_trigger", *[F.col(c).cast("double").alias(c) for c in rows.columns if c not in ("id", "t_trigger")]).withColumn("x", T.additional_value("t"))
+    return rows.select("id", F.round("x.value", 9).alias("value"), "x.error")
+
+
+_PARAMS = "select p_partkey as id, p_partkey % 300 as edge_id, p_type as name, p_size % 9 = 0 as source_flag, case when p_size % 2 = 0 then p_size % 11 = 0 end as evidence_flag from part"
+
+
+@query(f"with r as ({_PARAMS}) select id, count(*) over (partition by edge_id, name) as copies, count(*) over (partition by edge_id, name) > 1 as ambiguous from r")
+def duplicate_parameters(spark: SparkSession, sf: str) -> DataFrame:
+    from attestry.operators import evidence as V
+
+    return V.duplicate_parameters(domain.frame(spark, sf, _PARAMS, "part").select("id", "edge_id", "name")).select("id", "copies", "ambiguous")
+
+
+@query(f"with r as ({_PARAMS}) select edge_id, bool_or(coalesce(source_flag, false) or coalesce(evidence_flag, false)) as included from r group by edge_id")
+def inclusion_proof(spark: SparkSession, sf: str) -> DataFrame:
+    from attestry.operators import evidence as V
+
+    return V.inclusion_proof(domain.frame(spark, sf, _PARAMS, "part"))
+
+
+_PROFILE = "select p_partkey as id, p_brand as head, p_type as process, p_size % 6 > 0 as active, p_size % 7 > 0 as runtime_eligible, case when p_size % 10 = 0 then 'X AMBIGUOUS_DUPLICATE' else 'OK' end as allocation_status, p_size % 3 as quota_level from part"
+
+
+@query(f"with r as ({_PROFILE}) select s_suppkey as edge, id from supplier join r on head = 'Brand#' || (11 + s_suppkey % 5) and process = case s_suppkey % 3 when 0 then 'ECONOMY' when 1 then 'SMALL' else 'PROMO' end where active and runtime_eligible and allocation_status not like '%AMBIGUOUS_DUPLICATE%' and quota_level in (0, s_suppkey % 3)")
+def energy_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    from attestry.operators import evidence as V
+
+    n = F.col("s_suppkey")
+    wanted = table(spark, sf, "supplier").select(n.alias("edge"), F.concat(F.lit("Brand#"), (11 + n % 5).cast("string")).alias("head"), F.when(n % 3 == 0, "ECONOMY").when(n % 3 == 1, "SMALL").otherwise("PROMO").alias("process"), F.array(F.lit(0).cast("long"), (n % 3).cast("long")).alias("levels"))
+    rows = domain.frame(spark, sf, _PROFILE, "part").withColumn("quota_level", F.col("quota_level").cast("long"))
+    return V.profiles(wanted, rows).select("edge", "id")
+
+
+_EVID = "select p_partkey as id, p_brand as reference_id, p_type as target_material, case when p_size % 3 > 0 then split_part(p_name, ' ', 1) end as target_process, p_retailprice as value from part where p_size > 20"
+
+
+@query(f"with e as ({_EVID}), q as (select p_partkey as edge_id, p_brand as reference_id, p_type as target_material, split_part(p_name, ' ', 1) as target_process from part where p_size < 6) select edge_id, id, value from q join e using (reference_id, target_material) where coalesce(e.target_process, '') = '' or e.target_process = q.target_process")
+def process_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    from attestry.operators import evidence as V
+
+    q = table(spark, sf, "part").where("p_size < 6").select(F.col("p_partkey").alias("edge_id"), F.col("p_brand").alias("reference_id"), F.col("p_type").alias("target_material"), F.split("p_name", " ")[0].alias("target_process"))
+    return V.process_evidence(q, domain.frame(spark, sf, _EVID, "part"))
+
+
+_DOC = "'{\"source_id\": ' || case when p_size % 9 = 0 then 'null' else '\"D-' || p_partkey || '\"' end || ', \"factor_value\": \"' || case p_size % 5 when 0 then '-1' when 1 then 'x' else cast(p_size as string) end || '\", \"factor_unit\": \"' || case when p_size % 4 = 0 then '' else 'kgCO2e/kg' end || '\", \"indicator\": \"' || case when p_size % 7 = 0 then 'ODP' else 'GWP-total' end || '\"' || case when p_size = 13 then '' else '}' end"
+
+
+@query("select p_partkey as doc, concat_ws('|', case when p_size % 9 = 0 then 'identity' end, case when p_size % 5 < 2 then 'value' end, case when p_size % 4 = 0 then 'unit' end, case when p_size % 7 = 0 then 'indicator' end) as reasons from part where p_size <> 13 union all select p_partkey, 'identity|value|unit|indicator' from part where p_size = 13")
+def extracted_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Structured documents, some of them incomplete, invalid or cut short."""
+    from attestry.sources import files
+
+    docs = domain.frame(spark, sf, f"select p_partkey as doc, {_DOC} as text from part", "part")
+    return files.extract_document(docs).select("doc", F.array_join("reasons", "|").alias("reasons"))
+
+
+@query("with s as (select p_partkey as id, lower(p_name) as n, lower(p_brand || ' ' || p_type) as a from part), t(term) as (values ('blue bolt'), ('brand#13'), ('small'), ('brand#11 economy extra')) select distinct id from s, t where n = term or a = term or (len(string_split(term, ' ')) >= 2 and (contains(n, term) or contains(a, term))) or (len(string_split(n, ' ')) >= 2 and contains(term, n)) or (len(string_split(a, ' ')) >= 2 and contains(term, a))")
+def discovery(spark: SparkSession, sf: str) -> DataFrame:
+    from attestry.sources import files
+
+    snapshot = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("material_name"), F.array(F.concat_ws(" ", "p_brand", "p_type")).alias("aliases"))
+    return files.discover(snapshot, F.array(*map(F.lit, ["blue bolt", "brand#13", "small", "brand#11 economy extra"]))).select("id")
+
+
+@query("with c as (select p_name as source_id, p_size as v from part where p_size < 20 union all select p_brand, p_size from part where p_size < 20 union all select p_name, p_size from part where p_size > 45) select source_id, count(*) as copies from c group by 1 having count(*) > 1")
+def combined_catalogs(spark: SparkSession, sf: str) -> DataFrame:
+    from attestry.sources import files
+
+    p = table(spark, sf, "part")
+    own = lambda c, test: p.where(test).select(F.col(c).alias("source_id"), "p_size")
+    return files.combined([own("p_name", "p_size < 20"), own("p_brand", "p_size < 20"), own("p_name", "p_size > 45")], "source_id")[1]

@@ -1,5 +1,6 @@
 """Invariants: shuffled catalogues, noise, totality of decisions, unit round trips, stores, files, streaming."""
 
+import difflib
 import json
 import random
 import threading
@@ -9,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from attestry import __main__ as cli
 from attestry.functions import text, units
 from attestry.operators import catalog, decide, registry, retrieve, trace
 from attestry.operators.review import ReviewError, ReviewStore, StaleRevision
@@ -140,6 +142,45 @@ def test_review_store_compare_and_set():
     assert store.decide_latest("s", approve=True, mode="override", reason="seen")["approve"]
 
 
+def test_review_log_survives(tmp_path):
+    path = str(tmp_path / "log")
+    store = ReviewStore(path)
+    store.save("r", "recommendation_ready", "PRIMARY_RECOMMENDATION", "c")
+    store.save("s", "unresolved", "", None)
+    store.decide("r", 1, True)
+    with open(path, "ab") as log:
+        log.write(b'{"request_id": "t", "entr')  # a crash in the middle of a line
+    again = ReviewStore(path)
+    assert again.revision("r") == 2 and again.decide("r", 2, True) and again.lock("r")["candidate"] == "c"
+    with pytest.raises(ReviewError):
+        again.revision("t")
+    assert ReviewStore(path).lock("r") == again.lock("r")
+    damaged = open(path, "rb").read().replace(b"unresolved", b"unresolvex")
+    open(path, "wb").write(damaged)
+    with pytest.raises(ReviewError):
+        ReviewStore(path)
+
+
+def test_command_line(spark, tmp_path):
+    domain.requests(spark, SF).limit(15).write.parquet(str(tmp_path / "q"))
+    domain.catalog(spark, SF).write.parquet(str(tmp_path / "c"))
+    domain.flows(spark, SF).write.parquet(str(tmp_path / "f"))
+    cli.main(["resolve", str(tmp_path / "q"), str(tmp_path / "c"), str(tmp_path / "out"), "--flows", str(tmp_path / "f")], spark)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 15
+    with pytest.raises(SystemExit):
+        cli.main(["query", "nothing", SF, str(tmp_path / "x")], spark)
+
+
+def test_json_and_matching_blocks(spark):
+    df = spark.createDataFrame([('{"a": [{"b": 1}, [2, 3, 4]], "a": 2}', "abcd efgh", "efgh abcd"), ("[]", "", ""), ("no json", "x", "y"), (None, None, "y")], "t string, a string, b string")
+    shape = [tuple(r) for r in df.select(text.json_complexity(F.col("t")).alias("x")).select("x.*").collect()]
+    assert shape == [(0 + 1, 1, 0), (0, 0, 0), (None, None, None), (None, None, None)]
+    assert [r[0] for r in df.select(text.all_keys(F.col("t"))).collect()] == [["a"], [], [], []]
+    score = [r[0] for r in df.select(text.challenge_score(F.coalesce("a", F.lit("")), F.col("b"))).collect()]
+    ratio = difflib.SequenceMatcher(None, "abcd efgh", "efgh abcd", autojunk=False).ratio()
+    assert score[0] == pytest.approx(0.75 * ratio + 0.25) and score[1] == 1.0 and score[2] == 0.0
+
+
 def test_catalog_files(spark, tmp_path):
     body = {"catalog_version": "1", "database": {"name": "d", "sha256": "x"}, "records": [{"record_id": "a", "name": "n", "primary_value": 1.5, "primary_unit": "kg", "source_quality_status": "VERIFIED"}, {"code": "b", "name": "m", "primary_value": "bad", "primary_unit": ""}]}
     (tmp_path / "c.json").write_text(json.dumps(body))
@@ -154,7 +195,10 @@ def test_catalog_files(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "out/candidates")).count() == 3
     assert files.manifest(spark, str(tmp_path / "c.json")).first()["bytes"] == len(json.dumps(body))
     files.write_energy({"quota": decisions}, f"file://{tmp_path}/energy")
-    assert files.read_energy(spark, f"file://{tmp_path}/energy", ["quota"])["quota"].count() == 2
+    files.write_energy({"quota": decisions.limit(1)}, f"file://{tmp_path}/energy")
+    assert files.read_energy(spark, f"file://{tmp_path}/energy", ["quota"])["quota"].count() == 1
+    (tmp_path / "energy").rename(tmp_path / "energy.old")  # as if a writer had stopped between its renames
+    assert files.read_energy(spark, f"file://{tmp_path}/energy", ["quota"])["quota"].count() == 1
 
 
 def test_stream_equals_batch(spark, tmp_path):

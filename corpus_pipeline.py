@@ -21,9 +21,11 @@ END_ID = 2
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Profiles of the rows that name their language; documents go whose score with every profile is too low for a text of their length."""
     scratch = Scratch(spark, "language_id")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text", "lang")
+    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*rest).alias("row"), "text", "lang")
     found = scratch.write(language_id.predict(rows, language_id.train(docs.select("text", "lang"))), "found", "snappy")
-    return found.where(language_id.recognizable(language_id.thresholds(found))).select("row.*")
+    kept = found.where(language_id.recognizable(language_id.thresholds(found)))
+    return kept.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

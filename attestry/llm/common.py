@@ -12,13 +12,12 @@ import uuid
 from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes that one Arrow batch hands to a Python worker at most (a single longer row still passes whole).
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
-#: A bit set has eight bits a value, and no more than 2**MOST_BITS (8 MB) whatever the data.
+#: A bit set has no more than 2**MOST_BITS bits (8 MB), whatever the data.
 LEAST_BITS, MOST_BITS = 16, 26
 #: Spark's setting that removes an execution's shuffle files at its end.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -94,10 +93,10 @@ class BitSet:
         return (self.words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
-def bit_set(values: DataFrame):
-    """A broadcast ``BitSet`` of one column of (hashed) longs; bits are united in the executors, 2**20 longs at most reach the driver."""
+def bit_set(values: DataFrame, each: int = 16):
+    """A broadcast ``BitSet`` of one column of (hashed) longs, ``each`` bits a value; bits are united in the executors, 2**20 longs at most reach the driver."""
     spark, column = values.sparkSession, values.columns[0]
-    bits = min(MOST_BITS, max(LEAST_BITS, (8 * values.count()).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, (each * values.count()).bit_length()))
     at = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
     words = values.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(`{column}` & 63L as int))").alias("bit"))
     found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
@@ -113,10 +112,7 @@ def without(docs: DataFrame, key: Column, bad: DataFrame) -> DataFrame:
     """
     bits = bit_set(bad.select(F.xxhash64(bad.columns[0])))
 
-    @F.pandas_udf("boolean")
-    def maybe(h: pd.Series) -> pd.Series:
-        return pd.Series(bits.value.test(h.to_numpy()))
-
+    maybe = F.pandas_udf(lambda h: type(h)(bits.value.test(h.to_numpy())), "boolean")  # pandas is imported by the workers that need it alone
     rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"))
     hit = maybe(F.xxhash64("key"))
     inside = rows.where(hit).join(bad.select(F.col(bad.columns[0]).alias("key")), "key", "left_anti")

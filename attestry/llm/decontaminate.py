@@ -160,7 +160,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH
     scratch = Scratch(spark, "decontaminate")
     seeds = scratch.write(item_seeds(benchmark, min_match), "seeds")
     sizes = sorted(r["size"] for r in seeds.select("size").distinct().collect())  # min_match values at most
-    bits = bit_set(seeds.select("seed"))
+    bits = bit_set(seeds.select("seed"), 1 << 13)  # a text has thousands of seeds; few may pass by chance
 
     def probe(batches):
         for b in batches:

@@ -27,7 +27,7 @@ MEMO_NGRAMS = 12_288
 #: Prototypes of one pass over the texts; with more languages, predict() makes more passes.
 BLOCK_LANGUAGES = 2_000
 #: Characters and texts that are counted together; n-grams that training gathers before it adds them up.
-GROUP_CHARS, GROUP_TEXTS, GATHERED = 200_000, 512, 4 << 20
+GROUP_CHARS, GROUP_TEXTS, GATHERED = 200_000, 512, 1 << 20
 #: Bits of a symbol's number: n-grams of the first 2**BITS symbols have a place in a table, others are sorted.
 BITS = 7
 #: Distinct scores that a length class needs for a threshold of its own.

@@ -30,7 +30,7 @@ from attestry.llm.common import Scratch, bounded_batches, partitions
 
 MAGIC, BLOCK_IDS, SEGMENT_IDS = b"TPL1", 1 << 16, 1 << 18
 #: Distinct words whose ids a worker remembers.
-MEMO_WORDS = 400_000
+MEMO_WORDS, MEMO_CHARS = 400_000, 16 << 20
 
 
 # ---- format ---------------------------------------------------------------------------------------------------------------
@@ -50,7 +50,7 @@ def _join(planes: np.ndarray, n: int) -> np.ndarray:
 def encode_segment(ids: np.ndarray, planes: int = 4, block_ids: int = BLOCK_IDS) -> bytes:
     if planes not in (4, 32):
         raise ValueError("planes is 4 (bytes) or 32 (bits)")
-    press, body, lengths = zstandard.ZstdCompressor(level=1), [MAGIC + struct.pack("<BIQ", planes, block_ids, len(ids))], []
+    press, body, lengths = zstandard.ZstdCompressor(level=1, write_checksum=True), [MAGIC + struct.pack("<BIQ", planes, block_ids, len(ids))], []
     for at in range(0, len(ids), block_ids):
         for plane in _split(ids[at : at + block_ids], planes):
             packed = press.compress(plane.tobytes()) if plane.any() else b""
@@ -80,7 +80,13 @@ def decode_segment(blob: bytes, first: int = 0, count: int | None = None) -> np.
         rows = np.zeros((planes, width), np.uint8)
         for p in range(planes):
             if lengths[b, p]:
-                rows[p] = np.frombuffer(press.decompress(blob[ends[b, p] - lengths[b, p] : ends[b, p]], max_output_size=width), np.uint8)
+                try:
+                    plane = press.decompress(blob[ends[b, p] - lengths[b, p] : ends[b, p]], max_output_size=width)
+                except zstandard.ZstdError as e:  # frames carry a checksum
+                    raise ValueError(f"plane {p} of block {b} is damaged") from e
+                if len(plane) != width:
+                    raise ValueError(f"plane {p} of block {b} has {len(plane)} bytes, not {width}")
+                rows[p] = np.frombuffer(plane, np.uint8)
         out.append(_join(rows, size))
     skip = first // block_ids * block_ids
     return np.concatenate(out)[first - skip : last - skip]
@@ -110,12 +116,15 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {}
+        self.held = 0
 
     def learn(self, words: set[str]) -> None:
-        if len(self.memo) > MEMO_WORDS:
+        if len(self.memo) > MEMO_WORDS or self.held > MEMO_CHARS:
             self.memo.clear()
+            self.held = 0
             return
         new = [w for w in words if w not in self.memo]
+        self.held += sum(map(len, new))
         for at in range(0, len(new), 5000):
             part = new[at : at + 5000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)

@@ -24,7 +24,8 @@ from attestry.llm.common import bounded_batches
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-MEMO_SEGMENTS = 400_000
+#: Distinct segments that a worker keeps, and their characters in all.
+MEMO_SEGMENTS, MEMO_CHARS = 400_000, 16 << 20
 
 
 class Vocabulary(dict):
@@ -34,6 +35,7 @@ class Vocabulary(dict):
         import ahocorasick
 
         super().__init__()
+        self.held = 0
         self.byte_fallback = byte_fallback
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
         self.single = {p for p, _ in pieces if len(p) == 1}
@@ -73,8 +75,10 @@ class Vocabulary(dict):
         return score[n], count[n]
 
     def __missing__(self, segment: str) -> int:
-        if len(self) > MEMO_SEGMENTS:
+        if len(self) > MEMO_SEGMENTS or self.held > MEMO_CHARS:
             self.clear()
+            self.held = 0
+        self.held += len(segment)
         found = self[segment] = self.solve(segment.replace(" ", SPACE))[1]
         return found
 

@@ -7,10 +7,10 @@ maximum flow is the successive shortest path method. The flow fixes how many tok
 seeded hash order, whole, and a few documents at the boundary are fitted to what is left.
 
 Only patterns reach the driver (``MAX_PATTERNS`` at most, else an error); documents are counted in ``BUCKETS`` hash buckets a pattern,
-and one task sees no more than one pattern's boundary buckets.
+and one task sees keys and sizes of no more than one pattern's boundary buckets, no texts.
 
 Defined cases: a document without sources is never taken; a null source is a source of its own, last in order; a size of null is 0;
-equal hashes are ordered by id and size; repeated rows are separate documents; an empty table gives an empty mix.
+equal hashes are ordered by id, size and a hash of the whole row; repeated rows are separate documents; an empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -102,11 +102,13 @@ def source_order(names: set[str | None]) -> list[str | None]:
     return sorted((x for x in names if x is not None)) + [None] * (None in names)
 
 
-def _fit(group: pa.Table, out: pa.Schema) -> pa.Table:
-    """One pattern's boundary documents in seeded order: those that fit go in, then the one that brings the sum nearest."""
-    order = pc.sort_indices(group, [(c, "ascending") for c in ("_hash", "_id", "_size")])
-    group = group.take(order)
-    sizes, left = group["_size"].to_numpy(), float(group["_left"][0].as_py())
+_KEY = ("hash", "id", "size", "tie", "turn")
+
+
+def _fit(group: pa.Table) -> pa.Table:
+    """One pattern's boundary documents (keys and sizes alone) in seeded order: those that fit go in, then the one that brings the sum nearest."""
+    group = group.take(pc.sort_indices(group, [(c, "ascending") for c in _KEY]))
+    sizes, left = group["size"].to_numpy(), float(group["left"][0].as_py())
     more = np.zeros(len(sizes), np.int32)
     for i, s in enumerate(sizes):
         if s <= left:
@@ -116,20 +118,19 @@ def _fit(group: pa.Table, out: pa.Schema) -> pa.Table:
         i = rest[np.abs(sizes[rest] - left).argmin()]
         if abs(sizes[i] - left) < left:
             more[i] = 1
-    copies = pc.add(group["_base"], pa.array(more))
-    return group.set_column(group.schema.get_field_index("copies"), "copies", pc.cast(copies, pa.int32())).select(out.names)
+    return group.select(["pattern", *_KEY]).append_column("more", pa.array(more))
 
 
 def mix(docs: DataFrame, id_col: str, size_col: str, members_col: str, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, copies: int = MAX_COPIES, seed: int = SEED) -> DataFrame:
     """``docs`` with ``copies`` (0 to ``copies``), ``source_size`` and ``target``.
 
     Sources in code point order weigh ``weights``, repeating, and share ``share`` of all sizes. ``source_size`` and ``target`` are those
-    of the document's first source. Columns of these names are replaced; names that begin with ``_`` are reserved.
+    of the document's first source. Columns of these names are replaced; others are kept, whatever their names.
     """
     spark = docs.sparkSession
-    docs = docs.drop("copies", "source_size", "target")
+    names_kept = [c for c in docs.columns if c.lower() not in ("copies", "source_size", "target")]
     pattern = F.to_json(F.sort_array(F.array_distinct(F.coalesce(members_col, F.array().cast("array<string>"))), asc=False))
-    docs = docs.withColumns({"_pattern": pattern, "_size": F.coalesce(F.col(size_col).cast("long"), F.lit(0)), "_id": F.col(id_col), "_hash": F.xxhash64(F.lit(seed), F.col(id_col))}).withColumn("_bucket", F.pmod("_hash", F.lit(BUCKETS)).cast("int"))
+    docs = docs.select(F.struct(*names_kept).alias("row"), pattern.alias("_pattern"), F.coalesce(F.col(size_col).cast("long"), F.lit(0)).alias("_size"), F.col(id_col).cast("string").alias("_id"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("_hash")).withColumn("_bucket", F.pmod("_hash", F.lit(BUCKETS)).cast("int"))
     by_bucket = docs.groupBy("_pattern", "_bucket").agg(F.sum("_size").alias("sum"), F.count("*").alias("n"))
 
     found = docs.groupBy("_pattern").agg(F.sum("_size").alias("size")).orderBy("_pattern").limit(MAX_PATTERNS + 1).collect()
@@ -160,11 +161,19 @@ def mix(docs: DataFrame, id_col: str, size_col: str, members_col: str, weights:
     kind = T.StructType([T.StructField("_pattern", T.StringType()), T.StructField("_from", T.IntegerType()), T.StructField("_to", T.IntegerType()), T.StructField("_before", T.LongType())])
     plans = F.broadcast(plans.join(spark.createDataFrame([tuple(r) for r in edges], kind), "_pattern", "left"))
 
-    all_docs = docs.join(plans, "_pattern").withColumn("copies", F.lit(0)).withColumn("_left", F.col("_rest") - F.col("_before"))
+    all_docs = docs.join(plans, "_pattern")
     inside = F.coalesce(F.col("_bucket").between(F.col("_from"), F.col("_to")) & (F.col("_rest") > 0), F.lit(False))
-    kept = [c for c in docs.columns if not c.startswith("_")] + ["copies", "source_size", "target"]
-    plain = all_docs.where(~inside).withColumn("copies", (F.col("_base") + F.when((F.col("_rest") > 0) & (F.col("_bucket") < F.coalesce("_from", F.lit(BUCKETS))), 1).otherwise(0)).cast("int"))
-    out = plain.select(kept)
-    arrow = pa.schema([(c, pa.null()) for c in kept])
-    fitted = all_docs.where(inside).groupBy("_pattern").applyInArrow(lambda t: _fit(t, arrow), out.schema)
-    return out.unionByName(fitted)
+    extra = F.when((F.col("_rest") > 0) & (F.col("_bucket") < F.coalesce("_from", F.lit(BUCKETS))), 1).otherwise(0)
+    columns = lambda more: [*(F.col("row").getField(c).alias(c) for c in names_kept), (F.col("_base") + more).cast("int").alias("copies"), "source_size", "target"]
+    plain = all_docs.where(~inside).select(columns(extra))
+    # boundary documents: keys and sizes are fitted; equal keys are told apart by what the rows hold, and equal rows by their turn
+    key = {"pattern": "_pattern", "hash": "_hash", "id": "_id", "size": "_size", "tie": F.xxhash64(F.to_json("row"))}
+    rows = all_docs.where(inside).select("row", "_base", "source_size", "target", (F.col("_rest") - F.col("_before")).alias("left"), *[(F.col(c) if isinstance(c, str) else c).alias(k) for k, c in key.items()])
+    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
+    slim = rows.select("pattern", *_KEY, "left")
+    kinds = ", ".join(f"{k} {dict(slim.dtypes)[k]}" for k in ("pattern", *_KEY))
+    fitted = slim.groupBy("pattern").applyInArrow(_fit, f"{kinds}, more int").select(*[F.col(k).alias(f"f_{k}") for k in ("pattern", *_KEY)], "more")
+    same = F.lit(True)
+    for k in ("pattern", *_KEY):
+        same = same & F.col(k).eqNullSafe(F.col(f"f_{k}"))
+    return plain.unionByName(rows.join(fitted, same).select(columns(F.col("more"))))

@@ -49,6 +49,10 @@ def test_segment_damage():
     blob[-14] ^= 1
     with pytest.raises(ValueError):
         token_planes.decode_segment(bytes(blob))
+    blob = token_planes.encode_segment(np.random.default_rng(1).integers(0, 50_000, 3000).astype("<u4"), 4, 1000)
+    for at in range(17, int.from_bytes(blob[-8:], "little"), 97):
+        with pytest.raises(ValueError):
+            token_planes.decode_segment(blob[:at] + bytes([blob[at] ^ 4]) + blob[at + 1 :])
 
 
 def test_token_output_equals_the_tokenizer(spark):
@@ -129,7 +133,7 @@ def test_pipeline_language_stage_rejects_what_no_profile_knows(spark):
 def test_quality_held_out(spark):
     good, bad = prose(150, 5), [" ".join(w.upper() + "!!" for w in t.split()) for t in prose(150, 6)]
     texts = [x for pair in zip(good, bad) for x in pair] + [None, "", "x" * 60_000]
-    docs = spark.createDataFrame([(i, t, True) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean")
+    docs = spark.createDataFrame([(i, t, True, "clash", "clash") for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean, stats string, score string")
     labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(200)], "doc_id long, label int")
     found = {r["doc_id"]: r for r in quality.classify(docs, labels).collect()}
     assert len(found) == 303 and all(0 <= r["score"] <= 1 for r in found.values())
@@ -416,6 +420,14 @@ def test_to_pcm_and_payloads(spark):
         raw = (texts[r["doc_id"]] or "").encode()
         padded = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        media = telephony.wav(telephony.MULAW, 8000, padded)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        mu, al = ([int(table[x]) for x in padded] for table in (telephony.mulaw_table(), telephony.alaw_table()))
+        slow = [x for k in range(0, len(padded), 64) for x in slow_adpcm(padded[k : k + 64])]
+        pcm = np.rint(np.array(mu, float).reshape(-1, 4).mean(1)).astype("<i2")
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(mu, mu[1:]))
+        square = lambda v: sum(x * x for x in v)
+        assert r["feature"] == f"samples={len(mu)};energy={square(mu)};crossings={crossings};peak={max(map(abs, mu))};alaw={square(al)};adpcm={square(slow)};pcm={len(pcm)}:{zlib.crc32(pcm.tobytes()):08x}"
 
 
 # ---- unigram counts --------------------------------------------------------------------------------------------------------------
@@ -436,6 +448,15 @@ def test_public_vocabulary(spark):
     path = tokenizer_path("piece_bpe_32k.model")
     v = unigram_count.vocabulary(path)
     assert v.additive
+    from tokenizers import Tokenizer, models, normalizers
+
+    pieces = unigram_count.sentencepiece_pieces(path)
+    t = Tokenizer(models.Unigram([("<unk>", 0.0), *pieces, *((f"<0x{i:02X}>", 0.0) for i in range(256))], 0, True))
+    t.normalizer = normalizers.Sequence([normalizers.Prepend("▁"), normalizers.Replace(" ", "▁")])
+    v.unknown = min(0.0, *(s for _, s in pieces)) - 10.0
+    for x in [x for x in ODD if x] + prose(5):
+        assert v.count(x) == len(t.encode(x, add_special_tokens=False).ids), x[:40]
+    v = unigram_count.Vocabulary(pieces)
     docs = frame(spark, ODD + prose(10))
     for r, t in zip(unigram_count.token_counts(docs, path).orderBy("doc_id").collect(), ODD + prose(10)):
         assert r["n_tokens"] == (v.solve((" " + t).replace(" ", "▁"))[1] if t else 0)

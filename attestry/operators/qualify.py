@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions.units import factor_plan
-from attestry.operators.retrieve import boundary_key
 
 PASS, MISMATCH, UNKNOWN = "pass", "mismatch", "unknown"
 # Operational kinds with their subjects; other kinds that count as lifecycle factors; subjects a request must confirm.
@@ -71,9 +70,8 @@ def declared_gate() -> str:
 
 
 def boundary_gate() -> Column:
-    own = boundary_key("coalesce(c_boundary, '')")
-    same = f"({own} = {boundary_key('q_boundary')} or (q_modules = 'A1|A2|A3' and {own} in ('a1-a3', 'a1–a3', 'cradle-to-gate')))"
-    return F.expr(f"case when q_modules is null then 'mismatch' when c_modules is not null then if(c_modules = q_modules, 'pass', 'mismatch') when {own} = '' then 'unknown' when {same} then 'pass' else 'mismatch' end")
+    same = "(c_boundary_key = q_boundary_key or (q_modules = 'A1|A2|A3' and c_boundary_key in ('a1-a3', 'a1–a3', 'cradle-to-gate')))"
+    return F.expr(f"case when q_modules is null then 'mismatch' when c_modules is not null then if(c_modules = q_modules, 'pass', 'mismatch') when c_boundary_key = '' then 'unknown' when {same} then 'pass' else 'mismatch' end")
 
 
 def value_gate(q: str, c: str) -> str:

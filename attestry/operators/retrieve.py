@@ -51,7 +51,7 @@ def alias_set(x: str) -> str:
 
 def prepare_requests(requests: DataFrame) -> DataFrame:
     """Prefix ``q_``; parsed quantity unit and target unit (the requested one, or kgCO2e by the request's own unit), wanted modules, grade, evidence."""
-    more = {"target_unit": "coalesce(target_factor_unit, concat('kgCO2e/', quantity_unit))", "alias_norms": alias_set("aliases" if "aliases" in requests.columns else "''")}
+    more = {"target_unit": "coalesce(target_factor_unit, concat('kgCO2e/', quantity_unit))", "alias_norms": alias_set("aliases" if "aliases" in requests.columns else "''"), "boundary_key": boundary_key("boundary")}
     if "unit_conversion_evidence" not in requests.columns:
         more["unit_conversion_evidence"] = "cast(null as struct<source_canonical_unit:string,target_canonical_unit:string,multiplier:double>)"
     q = prepare(requests, "q_", ("material_name",), more)
@@ -65,6 +65,7 @@ def prepare_catalog(catalog: DataFrame) -> DataFrame:
     """
     more = {
         "alias_norms": alias_set("alias"),
+        "boundary_key": boundary_key("coalesce(boundary, '')"),
         "declared_norm": f"nullif({normal_sql("coalesce(declared_product, '')")}, '')",
         "modules": "nullif(array_join(array_sort(array_distinct(filter(transform(split(coalesce(boundary_modules, ''), r'\\|'), m -> upper(trim(m))), m -> m <> ''))), '|'), '')",
         "hashed": "coalesce(document_sha256, '') rlike '^[0-9a-f]{64}$'",

@@ -214,8 +214,8 @@ def vertical_fields(spark: SparkSession, sf: str) -> DataFrame:
 @query(_CAT + ", m as (select source_id, boundary, (select string_agg(x, '|' order by x) from (select distinct upper(trim(t)) as x from unnest(string_split(coalesce(boundary_modules, ''), '|')) as u(t)) where x <> '') as listed from cat), w(wanted, modules) as (values ('A1', 'A1'), ('A2', 'A2'), ('A3', 'A3'), ('A1-A3', 'A1|A2|A3'), ('Cradle-to-Gate', 'A1|A2|A3'), ('use phase', null)) select source_id, wanted, case when modules is null then 'mismatch' when listed is not null then case when listed = modules then 'pass' else 'mismatch' end when lower(boundary) = lower(wanted) or (modules = 'A1|A2|A3' and lower(boundary) in ('a1-a3', 'cradle-to-gate')) then 'pass' else 'mismatch' end as status from m, w")
 def boundary_matrix(spark: SparkSession, sf: str) -> DataFrame:
     """The boundary gate of every record against every boundary that a request may name, and one that it may not."""
-    c = R.prepare_catalog(domain.catalog(spark, sf)).select("c_source_id", "c_boundary", "c_modules")
-    wanted = c.withColumn("q_boundary", F.explode(F.array(*map(F.lit, ["A1", "A2", "A3", "A1-A3", "Cradle-to-Gate", "use phase"])))).withColumn("q_modules", R.boundary_modules("q_boundary"))
+    c = R.prepare_catalog(domain.catalog(spark, sf)).select("c_source_id", "c_boundary_key", "c_modules")
+    wanted = c.withColumn("q_boundary", F.explode(F.array(*map(F.lit, ["A1", "A2", "A3", "A1-A3", "Cradle-to-Gate", "use phase"])))).withColumns({"q_modules": R.boundary_modules("q_boundary"), "q_boundary_key": F.expr(R.boundary_key("q_boundary"))})
     return wanted.select(F.col("c_source_id").alias("source_id"), F.col("q_boundary").alias("wanted"), Q.boundary_gate().alias("status"))
 
 

@@ -49,18 +49,17 @@ _UPPER = frozenset(range(65, 91))
 
 
 def statistics_table(scratch: Scratch, docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``stats`` (array of double) in place of the text, written to the shared folder."""
+    """(row, doc_id, stats): the columns of ``docs`` but the text, its doc_id, and its statistics (array of double), written to the shared folder."""
     bounded_batches(docs.sparkSession)
-    rest = [c for c in docs.columns if c != text]
-    types = dict(docs.dtypes)
-    rows = docs.select(*rest, utf8(text).alias("_raw"))
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != text]).alias("row"), "doc_id", utf8(text).alias("raw"))
+    types = dict(rows.dtypes)
 
     def measure(batches):
         for b in batches:
-            stats = [statistics(x) for x in b.column(len(rest)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(stats, pa.list_(pa.float64()))], names=[*rest, "stats"])
+            stats = [statistics(x) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(stats, pa.list_(pa.float64()))], names=["row", "doc_id", "stats"])
 
-    return scratch.write(rows.mapInArrow(measure, ", ".join([f"`{c}` {types[c]}" for c in rest] + ["stats array<double>"])), "stats")
+    return scratch.write(rows.mapInArrow(measure, f"row {types['row']}, doc_id {types['doc_id']}, stats array<double>"), "stats")
 
 
 class Model:
@@ -161,20 +160,20 @@ def fit(rows: DataFrame, features: int = FEATURES) -> Model:
 
 
 def score(rows: DataFrame, model: Model) -> DataFrame:
-    """``rows`` with ``score`` and ``predicted`` in place of ``stats``."""
-    rest = [c for c in rows.columns if c not in ("stats", "score", "predicted")]
-    types = dict(rows.dtypes)
+    """The columns of ``row`` with ``score`` and ``predicted`` (columns of these names are replaced)."""
+    inner = [f.name for f in rows.schema["row"].dataType.fields]
 
     def apply(batches):
         for b in batches:
-            z = model.features(_matrix(b.column(len(rest))))
+            z = model.features(_matrix(b.column(1)))
             s = model.calibrated(model.raw(z) if model.weights else np.zeros(len(z)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*rest, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["row", "score", "predicted"])
 
-    return rows.select(*rest, "stats").mapInArrow(apply, ", ".join([f"`{c}` {types[c]}" for c in rest] + ["score double", "predicted int"]))
+    found = rows.select("row", "stats").mapInArrow(apply, f"row {dict(rows.dtypes)['row']}, score double, predicted int")
+    return found.select(*[F.col("row").getField(c).alias(c) for c in inner if c.lower() not in ("score", "predicted")], "score", "predicted")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Score ``docs`` (doc_id, text, further columns) after learning from ``labels`` (doc_id, label)."""
+    """Score ``docs`` (doc_id, text, further columns of any names) after learning from ``labels`` (doc_id, label)."""
     table = statistics_table(Scratch(docs.sparkSession, "quality"), docs)
     return score(table, fit(table.select("doc_id", "stats").join(labels.select("doc_id", "label"), "doc_id")))

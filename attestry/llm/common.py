@@ -85,24 +85,39 @@ class Scratch:
 class BitSet:
     """Which longs may be in a set: no false negatives. Its size is bounded; a full one lets everything through."""
 
-    def __init__(self, words: np.ndarray):
-        self.words, self.mask = words, np.int64(len(words) * 64 - 1)
+    def __init__(self, words: np.ndarray, probes: int = 1):
+        self.words, self.mask, self.probes = words, np.int64(len(words) * 64 - 1), probes
 
-    def test(self, values: np.ndarray) -> np.ndarray:
-        at = values & self.mask
+    def _holds(self, at: np.ndarray) -> np.ndarray:
         return (self.words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
+    def test(self, values: np.ndarray) -> np.ndarray:
+        found = self._holds(values & self.mask)
+        for k in range(1, self.probes):
+            left = np.flatnonzero(found)
+            found[left] = self._holds(values[left] + k * (values[left] >> 32 | 1) & self.mask)
+        return found
+
 
-def bit_set(values: DataFrame, each: int = 16):
-    """A broadcast ``BitSet`` of one column of (hashed) longs, ``each`` bits a value; bits are united in the executors, 2**20 longs at most reach the driver."""
+def bit_set(values: DataFrame, each: int = 16, probes: int = 1, most_bits: int = MOST_BITS):
+    """A broadcast ``BitSet`` of one column of (hashed) longs, ``each`` bits a value up to 2**``most_bits``, of which ``probes`` are set and asked for.
+
+    Bits are united in the executors; 2**(``most_bits`` - 6) longs at most reach the driver.
+    """
     spark, column = values.sparkSession, values.columns[0]
-    bits = min(MOST_BITS, max(LEAST_BITS, (each * values.count()).bit_length()))
-    at = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
-    words = values.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(`{column}` & 63L as int))").alias("bit"))
+    bits = min(most_bits, max(LEAST_BITS, (each * values.count()).bit_length()))
+    mask = F.lit((1 << bits) - 1)
+    low = F.col(column).bitwiseAND(mask)
+    if probes > 1:
+        step = F.shiftright(F.col(column), 32).bitwiseOR(F.lit(1).cast("long"))
+        values = values.select(F.explode(F.array(low, *((low + k * step).bitwiseAND(mask) for k in range(1, probes)))).alias("at"))
+    else:
+        values = values.select(low.alias("at"))
+    words = values.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63L as int))").alias("bit"))
     found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << bits - 6, np.uint64)
     out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    return spark.sparkContext.broadcast(BitSet(out))
+    return spark.sparkContext.broadcast(BitSet(out, probes))
 
 
 def without(docs: DataFrame, key: Column, bad: DataFrame) -> DataFrame:

@@ -50,27 +50,6 @@ def perturb(catalog: DataFrame, key: str, patch: dict[str, Column], noise: int)
     return patched.unionByName(copies)
 
 
-#: Keyword classes in order; the first that matches wins.
-MATERIAL_CLASSES = [("metal", "(metal|steel|alumin|copper|iron)"), ("mineral", "(mineral|ore|stone|sand|clay)"), ("energy", "(electric|power|fuel|gas)"), ("transport", "(truck|rail|ship|freight)"), ("chemical", "(acid|chemical|resin|polymer)")]
-
-
-def material_class(name: Column, classes: list[tuple[str, str]] = MATERIAL_CLASSES) -> Column:
-    own, out = normalize(name), F.lit("unclassified")
-    for label, pattern in reversed(classes):
-        out = F.when(own.rlike(pattern), label).otherwise(out)
-    return out
-
-
-def class_proxies(requests: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Requests (request_id, class_name, family) with records whose words include the class or family.
-
-    Containment at word boundaries becomes an equi-join on words; multi-word classes are checked on their first word, then in full.
-    """
-    words = catalog.withColumn("hay", normalize(F.concat_ws(" ", "material_name", "class", "family_name"))).withColumn("word", F.explode(F.array_distinct(F.split("hay", " "))))
-    wanted = requests.withColumn("needle", F.explode(F.array_compact(F.array(F.nullif(normalize("class_name"), F.lit("")), F.nullif(normalize("family"), F.lit("")))))).withColumn("word", F.get(F.split("needle", " "), F.lit(0)))
-    return wanted.join(words, "word").where(word_contains(F.col("hay"), F.col("needle"))).select("request_id", "source_id").distinct()
-
-
 def accounting(name: Column) -> Column:
     """Array of (role, module): what an input counts as, with A1 for materials and A3 for energy and process inputs."""
     own = normalize(name)

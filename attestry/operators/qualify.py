@@ -94,7 +94,7 @@ def qualify(hits: DataFrame) -> DataFrame:
     codes = [
         *_IDENTITY, ("factor_kind_mismatch", "g_kind = 'mismatch'"),
         ("subject_type_mismatch", f"g_subject <> 'pass' and (q_subject_type <> 'unknown' or coalesce(c_factor_kind, '') in {_in(OPERATIONAL)} or c_subject_type in {_in(NON_MATERIAL)})"),
-        ("source_quality_not_admissible", "g_quality <> 'pass'"), ("indicator_mismatch", "g_indicator = 'mismatch'"), ("declared_product_mismatch", "g_declared = 'mismatch'"), ("boundary_mismatch", "g_boundary = 'mismatch'"),
+        ("source_quality_not_admissible", "g_quality <> 'pass'"), ("indicator_mismatch", "g_indicator = 'mismatch'"), ("declared_product_mismatch", "g_declared = 'mismatch' and channel <> 'proxy'"), ("boundary_mismatch", "g_boundary = 'mismatch'"),
         ("geography_mismatch", "g_geography = 'mismatch'"), ("year_mismatch", "g_year = 'mismatch'"), ("unit_qualifier_requires_validation", "unit_unproved"),
     ]
     listed = ", ".join([*(f"if({t}, '{k}', null)" for k, t in codes), "if(g_unit = 'mismatch', plan.reason, null)", "if(c_conflict, 'CONFLICTING_DUPLICATE_SOURCE_ID', null)"])

@@ -52,6 +52,7 @@ def alias_set(x: str) -> str:
 def prepare_requests(requests: DataFrame) -> DataFrame:
     """Prefix ``q_``; parsed quantity unit and target unit (the requested one, or kgCO2e by the request's own unit), wanted modules, grade, evidence."""
     more = {"target_unit": "coalesce(target_factor_unit, concat('kgCO2e/', quantity_unit))", "alias_norms": alias_set("aliases" if "aliases" in requests.columns else "''"), "boundary_key": boundary_key("boundary")}
+    more["allowed"] = "allowed_products" if "allowed_products" in requests.columns else "if(product_entity_id is null, cast(array() as array<string>), array(product_entity_id))"
     if "unit_conversion_evidence" not in requests.columns:
         more["unit_conversion_evidence"] = "cast(null as struct<source_canonical_unit:string,target_canonical_unit:string,multiplier:double>)"
     q = prepare(requests, "q_", ("material_name",), more)
@@ -82,10 +83,10 @@ def single(catalog: DataFrame, key: str = "source_id") -> DataFrame:
     return per.select("row.*", "copies", "conflict")
 
 
-#: Channels as conditions on a pair: equal names; one side's name among the other's aliases, or a common alias; the same entity, and product if one is asked for.
+#: Channels as conditions on a pair: equal names; one side's name among the other's aliases, or a common alias; the same entity, and one of the products that the request allows, if it names any.
 EXACT = "coalesce(q_norm = c_norm, false)"
 SYNONYM = "coalesce(array_contains(c_alias_norms, q_norm) or array_contains(q_alias_norms, c_norm) or arrays_overlap(q_alias_norms, c_alias_norms), false)"
-PRODUCT = "(q_product_entity_id is null or coalesce(q_product_entity_id = c_product_entity_id, false))"
+PRODUCT = "(size(q_allowed) = 0 or coalesce(array_contains(q_allowed, c_product_entity_id), false))"
 
 
 def retrieve(requests: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -39,8 +39,9 @@ def time_score(q: str = "q_year", c: str = "c_year") -> str:
 
 
 def material_score() -> str:
-    inside = "q_norm <> '' and (instr(c_norm, q_norm) > 0 or instr(q_norm, c_norm) > 0)"
-    return f"case when q_base_entity_id = c_base_entity_id or q_norm = c_norm then 1D when {inside} then 0.8D else {prepared_score('q_norm', 'c_norm', 'q_t_material', 'c_t_material')} end"
+    """1 for the same entity, or the record's name among the request's names (its own and its aliases); 0.8 if one of these holds the other."""
+    inside = lambda n: f"({n} <> '' and (instr(c_norm, {n}) > 0 or instr({n}, c_norm) > 0))"
+    return f"case when q_base_entity_id = c_base_entity_id or q_norm = c_norm or array_contains(q_alias_norms, c_norm) then 1D when {inside('q_norm')} or exists(q_alias_norms, a -> {inside('a')}) then 0.8D else {prepared_score('q_norm', 'c_norm', 'q_t_material', 'c_t_material')} end"
 
 
 def _where(test: str | None, cols: dict[str, str]) -> dict[str, Column]:
@@ -48,9 +49,10 @@ def _where(test: str | None, cols: dict[str, str]) -> dict[str, Column]:
     return {k: F.expr(f"if({test}, {x}, null)" if test else x) for k, x in cols.items()}
 
 
-def with_dimensions(df: DataFrame, test: str | None = None) -> DataFrame:
+def with_dimensions(df: DataFrame, test: str | None = None, proxy: bool = False) -> DataFrame:
+    """The seven dimensions; a proxy has been found by its class, so its material counts in full."""
     cols = {f"d_{k}": prepared_score(f"q_n_{q[2:]}", f"c_n_{c[2:]}", f"q_t_{q[2:]}", f"c_t_{c[2:]}") for k, (q, c) in PAIRS.items() if k not in ("material", "time")}
-    return df.withColumns(_where(test, cols | {"d_material": material_score(), "d_time": time_score()}))
+    return df.withColumns(_where(test, cols | {"d_material": "1D" if proxy else material_score(), "d_time": time_score()}))
 
 
 def weighted_score(weights: dict[str, float] = DIRECT) -> str:
@@ -62,6 +64,11 @@ def proxy_score(category: str) -> str:
     return f"case {category} " + " ".join(f"when '{k}' then {weighted_score(w)}" for k, w in PROXY.items() if k != "default") + f" else {weighted_score(PROXY['default'])} end"
 
 
+def proxy_coverage(category: str) -> str:
+    """The evidence coverage under the weights of the material category."""
+    return f"case {category} " + " ".join(f"when '{k}' then {evidence_coverage(w)}" for k, w in PROXY.items() if k != "default") + f" else {evidence_coverage(PROXY['default'])} end"
+
+
 def evidence_coverage(weights: dict[str, float] = DIRECT) -> str:
     both = lambda k: f"not {_blank(PAIRS[k][0])} and not {_blank(PAIRS[k][1])}"
     return "round((" + " + ".join(f"if({both(k)}, {w!r}D, 0D)" for k, w in weights.items()) + f") / {sum(weights.values())!r}D, 6)"
@@ -96,7 +103,7 @@ def gaps() -> str:
         ("UNIT_SCALE", "0.1D", f"{_plain('c_factor_unit')} <> {_plain('q_target_unit')} and c_unit.dimension = t_unit.dimension"),
         ("UNIT_SCALE", "0.1D", f"{other} and q_unit.dimension = {target('dimension')}"), ("REFERENCE_FLOW", "1D", f"{other} and q_unit.dimension <> {target('dimension')}"),
         ("PROCESS_VARIANT", "0.8D", _different("process")), ("PROCESS_VARIANT", "0.5D", _absent("process")), ("GRADE_COMPOSITION", "0.7D", _different("composition")), ("GRADE_COMPOSITION", "0.5D", _absent("composition")),
-        ("MATERIAL_ABSENT", "1D", f"channel = 'related' and not ({' or '.join(f(k) for k in ('process', 'composition') for f in (_different, _absent))})"),
+        ("MATERIAL_ABSENT", "1D", f"channel = 'proxy' or channel = 'related' and not ({' or '.join(f(k) for k in ('process', 'composition') for f in (_different, _absent))})"),
         ("BOUNDARY", "0.7D", _different("boundary")), ("BOUNDARY", "0.4D", _absent("boundary")), ("GEOGRAPHY", "1D", _different("geography")), ("GEOGRAPHY", "0.5D", _absent("geography")),
         ("TEMPORAL", later, "q_year is not null and c_year is not null and q_year <> c_year"), ("TEMPORAL", "0.5D", "q_year is not null and c_year is null"), ("FORM", "0.5D", _different("form")), ("FORM", "0.3D", _absent("form")),
     ]
@@ -136,13 +143,18 @@ def tier(least_score: float = MIN_SCORE) -> str:
 ADMITTED = "eligible and (flow_bridge or q_unit.dimension = t_unit.dimension)"
 
 
-def valued(df: DataFrame, test: str | None = None) -> DataFrame:
-    """Hits with dimensions, score, coverage, gaps, the converted factor and the quantity in its unit; null where ``test`` doesn't hold."""
-    df = with_dimensions(df, test).withColumn("moved", activity_plan("q_unit", "t_unit", "q_unit_conversion_evidence"))
+def valued(df: DataFrame, test: str | None = None, proxy: bool = False) -> DataFrame:
+    """Hits with dimensions, score, coverage, gaps, the converted factor and the quantity in its unit; null where ``test`` doesn't hold.
+
+    A ``proxy`` is weighed by its class' category; it is a technical one if its process is comparable, else a generic one.
+    """
+    df = with_dimensions(df, test, proxy).withColumn("moved", activity_plan("q_unit", "t_unit", "q_unit_conversion_evidence"))
     kind = f"case when channel = 'synonym' then 'direct_alias' when channel = 'related' then 'class_generic_proxy' when not flow_bridge and {_plain('c_factor_unit')} <> {_plain('q_target_unit')} then 'unit_converted' else 'direct_exact' end"
     cols = {"factor": "if(flow_bridge, c_factor_value, c_factor_value * plan.multiplier)", "resolved_quantity": "if(flow_bridge, null, q_quantity * moved.multiplier)", "impact": "if(flow_bridge, c_unit.impact, t_unit.impact)", "score": weighted_score(), "coverage": evidence_coverage(), "resolution_type": kind, "gaps": gaps()}
+    if proxy:
+        cols |= {"score": proxy_score("q_class.category"), "coverage": proxy_coverage("q_class.category"), "resolution_type": "if(d_process >= 0.65D, 'class_technical_proxy', 'class_generic_proxy')"}
     df = df.withColumns(_where(test, cols)).drop("moved")
-    return df.withColumns({"steps": F.expr("if(resolution_type = 'unit_converted', 1, 0)"), "assumptions": F.expr("cast(array() as array<string>)"), "candidate_id": F.expr("concat('resolved:', c_source_id)")})
+    return df.withColumns({"steps": F.expr("if(resolution_type = 'unit_converted', 1, 0)"), "assumptions": F.expr("cast(array() as array<string>)"), "candidate_id": F.expr(f"concat('{'proxy' if proxy else 'resolved'}:', c_source_id)")})
 
 
 def finished(df: DataFrame, least_score: float = MIN_SCORE) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestry.operators.identity import Registry
+
 CATALOG_SQL = """
 select 'P-' || cast(p_partkey as string) as source_id, p_name || ' ' || p_brand || ' ' || p_type as material_name,
   p_brand || ' ' || p_name || ' ' || p_type || case when p_size % 3 = 0 then ', ' || upper(p_name) || '/' || p_size || ',,' || p_name || '-' || p_size else '' end as alias, p_retailprice / 1000.0 as factor_value,
@@ -58,6 +60,37 @@ EDGE_SQL = """select '{0}' || cast(p_partkey as string) as edge_id, p_retailpric
   case when p_size % 4 = 0 then cast(0.25 as double) end as reference_additional_process, case when p_size % 8 = 0 then cast(0.5 as double) when p_size % 8 = 4 then cast(0.125 as double) when p_size % 23 = 0 then cast(0.5 as double) end as target_additional_process from part"""
 
 
+#: Records and requests of another kind: half the records name no entity but a family, and a half of the requests a material that no record is called.
+FAMILY_CATALOG_SQL = f"""select source_id, material_name, alias, factor_value, factor_unit, factor_kind, subject_type, production_process, product_form, composition, year, geography, series_id, provider, grade, boundary, boundary_modules, source_quality_status, admission_eligible, indicator, declared_product,
+  case when grade % 2 = 0 then base_entity_id end as base_entity_id, product_entity_id, source_type, verified, audited, document_sha256, priority_rank, case when split_part(split_part(material_name, ' ', 2), ' ', 1) in ('bolt', 'gear') then 'Metals / parts' when split_part(material_name, ' ', 2) in ('plate', 'rod') then 'manufactured-minerals' when split_part(material_name, ' ', 2) = 'ring' then 'Polymers' end as family, 'of ' || provider as material_class from ({CATALOG_SQL})"""
+FAMILY_REQUEST_SQL = f"""select request_id, case when kind = 1 then 'special steel item' when kind = 2 then 'fused ' || split_part(material_name, ' ', 2) || ' block' when kind = 4 then 'Polymer sheet, ' || split_part(material_name, ' ', 1) else material_name end as material_name, case when kind in (1, 2, 4) then null else aliases end as aliases,
+  quantity, quantity_unit, target_factor_unit, boundary, year, geography, production_process, product_form, composition, evidence_source, evidence_target, evidence_multiplier, subject_type, case when kind in (1, 2, 4) then null else base_entity_id end as base_entity_id, case when kind in (1, 2, 4) then null else product_entity_id end as product_entity_id, top_k
+from (select *, cast(split_part(request_id, '-', 2) as bigint) % 6 as kind from ({REQUEST_SQL}))"""
+
+#: Rule tables over the names of ``part``: entities by name and brand, products by name, families by noun, a composite, a metal; and names to resolve.
+_NOUN = "split_part(p_name, ' ', 2)"
+MATERIAL_RULES_SQL = f"""
+select distinct 'a.' || p_name || '|' || p_brand as rule_id, 'active' as status, array(p_name || ' ' || p_brand, p_brand || ' ' || p_name) as aliases, p_name || '|' || p_brand as entity_id, 'ENGINEERED_MATERIAL' as entity_type, {_NOUN} as head_material,
+  {_NOUN} || '_products' as family, 'manufactured_mineral' as category, cast(null as string) as formula, cast(null as string) as product_entity_id, 'family.' || {_NOUN} as product_family_id, cast(null as string) as route, cast(0.9 as double) as confidence, cast(array() as array<string>) as constituents from part
+union all select distinct 'p.' || p_name, 'active', array(p_name, replace(p_name, ' ', '')), 'ent.' || {_NOUN}, case when p_name like 'hot %' then 'ALLOY' else 'ENGINEERED_MATERIAL' end, {_NOUN}, {_NOUN} || '_products', 'metal', cast(null as string), 'prod.' || p_name, 'family.' || {_NOUN}, case when p_name like 'old %' then 'secondary_recycling' end, cast(0.8 as double), cast(array() as array<string>) from part
+union all select distinct 'f.' || {_NOUN}, 'active', array({_NOUN}), 'ent.' || {_NOUN}, 'PRODUCT_FAMILY', {_NOUN}, {_NOUN} || '_products', 'metal', cast(null as string), cast(null as string), 'family.' || {_NOUN}, cast(null as string), cast(0.7 as double), cast(array() as array<string>) from part
+union all select distinct 'c.' || p_name, 'active', array(p_name), 'mix.' || p_name, 'COMPOSITE', {_NOUN}, 'mixed', 'metal', cast(null as string), 'prod.mix.' || p_name, 'family.mixed', cast(null as string), cast(0.6 as double), array('ent.' || {_NOUN}, 'ent.filler') from part where p_name like 'large %'
+union all select distinct 'd.' || p_brand, 'draft', array(p_brand), 'ent.draft', 'ALLOY', 'draft', 'draft', 'metal', cast(null as string), cast(null as string), cast(null as string), cast(null as string), cast(0.5 as double), cast(array() as array<string>) from part
+union all select distinct 's.steel', 'active', array('steel', '钢'), 'mat.element.iron', 'ELEMENTAL_METAL', 'steel', 'steel_products', 'metal', 'Fe', cast(null as string), 'family.steel', cast(null as string), cast(0.9 as double), cast(array() as array<string>) from part
+union all select distinct 's.aluminium', 'active', array('aluminium'), 'mat.element.aluminium', 'ELEMENTAL_METAL', 'aluminium', 'aluminium_products', 'metal', 'Al', cast(null as string), 'family.aluminium_products', cast(null as string), cast(0.9 as double), cast(array() as array<string>) from part
+"""
+PROCESS_RULES_SQL = "select distinct 'x.' || split_part(p_name, ' ', 1) as rule_id, 'active' as status, array(split_part(p_name, ' ', 1)) as aliases, split_part(p_name, ' ', 1) || ' rolling' as process from part where p_name like 'hot %' or p_name like 'cold %'"
+FORM_RULES_SQL = "select distinct 'y.' || p_type as rule_id, 'active' as status, array(lower(p_type), lower(p_type) || ' form') as aliases, lower(p_type) as product_form from part union all select distinct 'y.fiber', 'active', array('fiber', 'fibre', '纤维'), 'fiber' from part"
+SCHEMA_SQL = f"select distinct 'grade.' || {_NOUN} as schema_id, 'active' as status, 10 as priority, array('ent.' || {_NOUN}) as entity_ids, 'component.' || {_NOUN} as basis, array(cast(70 as double), cast(80 as double), cast(90 as double), cast(95 as double)) as labels, cast(array() as array<string>) as prefixes from part union all select distinct 'label.' || {_NOUN}, 'active', 20, array('ent.' || {_NOUN}), 'component.' || {_NOUN}, array(cast(85 as double), cast(92 as double)), array('wfa', 'ar') from part where p_name like 'old %'"
+NAMED_SQL = f"""
+select p_partkey as id, case p_size % 16 when 0 then p_name when 1 then p_name || ' ' || p_brand || ' ' || p_type when 2 then p_name || ' and ring' when 3 then {_NOUN} || ' / ' || lower(p_type) || ' form' when 4 then p_name || ' ' || p_size
+  when 5 then p_name || ' ' || (60 + p_size) || '%' when 6 then 'F80 ' || p_name when 7 then p_name || ' 20mm 25kg 2024' when 8 then 'steel fiber ' || p_size when 9 then 'steel fibre copper plated' when 10 then 'heat steel 446 fiber' when 11 then 'aluminium metal'
+  when 12 then p_name || ' SiC ' || p_size when 13 then p_name || ' wfa-' || (80 + p_partkey % 20) || ' alloy' when 14 then 'unknown thing ' || p_size else '钢纤维 ' || p_name || ' 70 80' end as material_name,
+  case when p_partkey % 3 = 0 then p_type end as product_form, case when p_partkey % 5 = 0 then p_size || '%' when p_partkey % 5 = 1 then 'grade ' || p_size end as composition, case when p_partkey % 4 = 0 then split_part(p_name, ' ', 1) when p_partkey % 4 = 1 then 'as cast' end as production_process
+from part
+"""
+
+
 def frame(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
     """A statement over the named tables; it sees them as views that last as long as it takes to read it."""
     for name in names:
@@ -79,8 +112,12 @@ def catalog_with_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.unionByName(c.where("grade % 23 = 0")).unionByName(c.where("grade % 19 = 0").withColumn("factor_value", F.col("factor_value") + 1))
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = frame(spark, sf_dir, REQUEST_SQL, "part", "orders", "lineitem")
+def family_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, sf_dir, FAMILY_CATALOG_SQL, "part")
+
+
+def requests(spark: SparkSession, sf_dir: str, sql: str = REQUEST_SQL) -> DataFrame:
+    q = frame(spark, sf_dir, sql, "part", "orders", "lineitem")
     evidence = F.when(F.col("evidence_source").isNotNull(), F.struct(F.col("evidence_source").alias("source_canonical_unit"), F.col("evidence_target").alias("target_canonical_unit"), F.col("evidence_multiplier").cast("double").alias("multiplier")))
     return q.withColumn("unit_conversion_evidence", evidence).drop("evidence_source", "evidence_target", "evidence_multiplier")
 
@@ -91,3 +128,11 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str, prefix: str = "P-") -> DataFrame:
     return frame(spark, sf_dir, EDGE_SQL.format(prefix), "part")
+
+
+def registry(spark: SparkSession, sf_dir: str) -> Registry:
+    return Registry(*(frame(spark, sf_dir, sql, "part") for sql in (MATERIAL_RULES_SQL, PROCESS_RULES_SQL, FORM_RULES_SQL, SCHEMA_SQL)))
+
+
+def named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, sf_dir, NAMED_SQL, "part")

@@ -125,12 +125,6 @@ def evaluated(spark: SparkSession, sf: str) -> DataFrame:
     return D.evaluated(domain.requests(spark, sf), domain.catalog_with_duplicates(spark, sf), domain.flows(spark, sf), domain.edges(spark, sf))
 
 
-@query(STEPPED + "select request_id, source_id, candidate_id, rank, resolution_type, round(factor, 9) as factor, round(total, 6) as total, strength, tier, hard from pool")
-def candidate_pool(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidates after their steps, ranked."""
-    return D.candidate_pool(evaluated(spark, sf)).select(ids("candidate_id", "rank", "resolution_type", F.round("factor", 9).alias("factor"), F.round("total", 6).alias("total"), "strength", "tier", "hard"))
-
-
 @query(STEPPED + "select request_id, source_id, candidate_id, round(factor, 9) as factor, round(resolved_quantity, 6) as resolved_quantity, resolution_type, score, steps_3 as steps, assumed as assumptions, method as grade_method, case when not asked or adjusted then null when edge_id is null then 'parameter_missing' when x_dim <> 'MASS' then 'reference_unit' when edge_reason is not null then edge_reason else 'negative_upstream' end as process_reason from p8 where not flow_missing and (steps_3 > 0 or asked or graded)")
 def resolution_steps(spark: SparkSession, sf: str) -> DataFrame:
     """What flows, routes and grades made of the candidates that asked for them."""
@@ -142,6 +136,12 @@ _SUBJECT = "bool_or(q_subject = 'unknown' and (coalesce(c_kind, '') in ('energy_
 _GAPPED = ", routed as (select request_id, count(distinct case own_process when 'primary' then 'primary' when 'secondary recycling' then 'secondary' end) filter (q_base is not null and q_product is null and not flow_missing) > 1 as route_gap, bool_or(flow_missing) as flow_wanted from p8 group by request_id), subjects as (select request_id, " + _SUBJECT + " as subject_gap from qual group by request_id), gapped as (select s.request_id, subject_gap, coalesce(route_gap, false) as route_gap, coalesce(flow_wanted, false) as flow_wanted from subjects s left join routed r on r.request_id = s.request_id)"
 
 
+@query(STEPPED + _GAPPED + " select p.request_id, source_id, candidate_id, rank, resolution_type, round(factor, 9) as factor, round(total, 6) as total, strength, case when subject_gap or route_gap then 'REFERENCE_ONLY' else tier end as tier, hard from pool p join gapped g on g.request_id = p.request_id")
+def candidate_pool(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates after their steps, ranked."""
+    return D.candidate_pool(evaluated(spark, sf)).select(ids("candidate_id", "rank", "resolution_type", F.round("factor", 9).alias("factor"), F.round("total", 6).alias("total"), "strength", "tier", "hard"))
+
+
 @query(STEPPED + _GAPPED + " select request_id, concat_ws('|', case when subject_gap then 'subject_type' end, case when route_gap then 'route' end) as gaps from gapped where subject_gap or route_gap")
 def request_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return D.request_gaps(evaluated(spark, sf)).select(F.col("q_request_id").alias("request_id"), F.array_join("gaps", "|").alias("gaps"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attestry.functions import text as X
 from attestry.functions import units as U
 from attestry.operators import catalog as C
+from attestry.operators import proxy as P
 from attestry.operators import qualify as Q
 from attestry.operators import registry as G
 from attestry.operators import retrieve as R
@@ -138,18 +139,22 @@ def perturbation(spark: SparkSession, sf: str) -> DataFrame:
     return C.perturb(c, "source_id", {"factor_value": F.col("factor_value") * 2}, 2)
 
 
-@query("select s_suppkey as id, case when regexp_matches(lower(s_name || ' ' || w), '(metal|steel|alumin|copper|iron)') then 'metal' when regexp_matches(lower(w), '(mineral|ore|stone|sand|clay)') then 'mineral' when regexp_matches(lower(w), '(electric|power|fuel|gas)') then 'energy' when regexp_matches(lower(w), '(truck|rail|ship|freight)') then 'transport' when regexp_matches(lower(w), '(acid|chemical|resin|polymer)') then 'chemical' else 'unclassified' end as class from (select *, case s_suppkey % 7 when 0 then 'Steel' when 1 then 'Iron-ore' when 2 then 'quartz SAND' when 3 then 'Electric power' when 4 then 'rail freight' when 5 then 'nitric acid' else 'wood' end as w from supplier)")
+_CLASSED = "select s_suppkey as id, lower(s_name) || case s_suppkey % 7 when 0 then ' stainless steel' when 1 then ' iron ore' when 2 then ' sand' when 3 then ' 电熔 block' when 4 then ' resin' when 5 then ' 玻璃' else ' wood' end as name, case s_suppkey % 5 when 0 then '99% copper' when 1 then 'polymer blend' when 2 then 'ceramic' when 3 then 'oak' end as composition, case s_suppkey % 3 when 0 then 'sintered' when 1 then 'quarried' end as process from supplier"
+
+
+@query(f"with s as ({_CLASSED}), t as (select id, name, coalesce(composition, '') as c, name || ' / ' || coalesce(composition, '') as nc, name || ' / ' || coalesce(process, '') as np from s) select id, name, case when regexp_matches(nc, 'steel|metal|alumin(i)?um|copper|钢|金属|铝|铜') then 'metals' when regexp_matches(nc, 'polymer|plastic|resin') then 'polymers' when regexp_matches(np, 'fused|sintered|calcined|电熔|烧结|煅烧') then 'manufactured minerals' when regexp_matches(np, 'mining|quarried|ore|矿|开采') then 'natural minerals' when regexp_matches(nc, 'glass|ceramic|玻璃|陶瓷|硅酸铝') then 'inorganics' when c <> '' then c else 'unknown' end as family, case when regexp_matches(nc, 'steel|metal|alumin(i)?um|copper|钢|金属|铝|铜') then 'metal' when regexp_matches(nc, 'polymer|plastic|resin') then 'synthetic_chemical' when regexp_matches(np, 'fused|sintered|calcined|电熔|烧结|煅烧') then 'manufactured_mineral' when regexp_matches(np, 'mining|quarried|ore|矿|开采') then 'natural_mineral' when regexp_matches(nc, 'glass|ceramic|玻璃|陶瓷|硅酸铝') then 'manufactured_mineral' else 'unknown' end as category from t")
 def material_class(spark: SparkSession, sf: str) -> DataFrame:
-    words = F.array(*map(F.lit, ["Steel", "Iron-ore", "quartz SAND", "Electric power", "rail freight", "nitric acid", "wood"]))
-    s = table(spark, sf, "supplier")
-    return s.select(F.col("s_suppkey").alias("id"), C.material_class(F.concat_ws(" ", "s_name", F.get(words, (F.col("s_suppkey") % 7).cast("int")))).alias("class"))
+    """Classes by what stands in the name, the composition or the process."""
+    s = domain.frame(spark, sf, _CLASSED, "supplier")
+    return s.select("id", F.expr(P.material_class("name", "composition", "process")).alias("c")).select("id", "c.name", "c.family", "c.category")
 
 
-@query(_CAT + ", r as (select distinct production_process as class_name, product_form as family from cat where provider = 'prov-1') select class_name as request_id, source_id from r join cat c on contains(' ' || lower(c.material_name) || ' ', ' ' || lower(r.class_name) || ' ') group by all")
+@query(_CAT + ", r as (select distinct production_process as class_name, product_form as family from cat) select class_name || '/' || family as request_id, source_id from r join cat c on contains(lower(c.material_name), lower(r.class_name)) or contains(lower(c.material_name), lower(family)) or contains(lower(c.series_id), lower(family))")
 def proxy_contains(spark: SparkSession, sf: str) -> DataFrame:
+    """Records whose name or family holds a request's class or family anywhere."""
     c = domain.catalog(spark, sf)
-    wanted = c.where("provider = 'prov-1'").select(F.col("production_process").alias("class_name")).distinct().withColumns({"request_id": F.col("class_name"), "family": F.lit(None).cast("string")})
-    return C.class_proxies(wanted, c.select("source_id", "material_name", F.lit(None).cast("string").alias("class"), F.lit(None).cast("string").alias("family_name")))
+    wanted = c.select(F.col("production_process").alias("class_name"), F.col("product_form").alias("family")).distinct().withColumn("request_id", F.concat_ws("/", "class_name", "family"))
+    return P.class_proxies(wanted, c.select("source_id", "material_name", F.lit(None).cast("string").alias("class"), F.col("series_id").alias("family_name")))
 
 
 @query("with n as (select s_suppkey as id, case s_suppkey % 4 when 0 then 'steel scrap' when 1 then 'electric steam' when 2 then 'truck fuel' else 'clay' end as w from supplier), e as (select id, 'energy_input' as role, 'A3' as module from n where regexp_matches(w, '(electric|power|fuel|gas|steam)') union all select id, 'transport_input', 'A2' from n where regexp_matches(w, '(truck|rail|ship|freight)') union all select id, 'waste_output', 'A3' from n where regexp_matches(w, '(waste|scrap|slag)')) select * from e union all select id, 'raw_material', 'A1' from n where id not in (select id from e)")

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from attestry import queries, queries_catalog, queries_ledger  # noqa: F401
+from attestry import queries, queries_catalog, queries_identity, queries_ledger  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -2,7 +2,7 @@
 
 Documents and benchmark items become words (letters, digits and underscores, case folded). Seeds are hashes of ``MIN_MATCH`` words in a row
 (all words of a shorter item). A bit set of bounded size of the benchmark's seeds keeps all other document seeds from being shuffled;
-what passes joins the benchmark's seeds, so the benchmark may be of any size. An item's most frequent seeds are left out of that join as far
+what passes joins the benchmark's seeds, so the benchmark may be of any size. Seeds travel without texts; a text moves once, if it has a candidate. An item's most frequent seeds are left out of that join as far
 as a document that covers the item must have a rarer one too, so a phrase of every document doesn't pair every document with every item.
 Pairs whose number of shared seeds could reach the threshold are tiled: running Karp-Rabin looks for matches of a length that shrinks as it
 goes, marks the longest first, and no word belongs to two tiles. An item counts as found if its tiles cover ``COVERAGE`` of its words, in
@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from attestry.llm.common import Scratch, bit_set, bounded_batches, without
+from attestry.llm.common import Scratch, bit_set, bounded_batches, partitions, without
 
 MIN_MATCH, COVERAGE, FIRST_LENGTH = 5, 0.7, 20
+#: Bits a value of the bit set of seeds, how many of them are set, and 2**bits at most: one seed in 70,000 passes by chance, up to 20 million seeds.
+SEED_BITS, SEED_PROBES, SEED_MOST_BITS = 24, 12, 29
 _WORD = re.compile(rb"[0-9a-z_\x80-\xff]+")
 _MARKS = re.compile("[\x80-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf -⁯　-〿！-／]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -136,21 +138,24 @@ def _batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names=names)
 
 
-def item_seeds(benchmark: DataFrame, min_match: int) -> DataFrame:
-    """item_id, hash and text of every item, its number of words, and its seeds with the number of places of each."""
+def items_of(benchmark: DataFrame) -> DataFrame:
+    """Distinct items: item_id, item_hash, item."""
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).distinct().withColumn("item_hash", F.xxhash64("item"))
+
+
+def item_seeds(items: DataFrame, min_match: int) -> DataFrame:
+    """Of every item its number of words, and its seeds with the number of places of each; the text itself stays behind."""
     def seeds(batches):
         for b in batches:
-            rows = []
-            for item_id, text, text_hash in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for item_id, item_hash, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words = words_of(text)
                 if words:
                     size = min(min_match, len(words))
                     h, times = np.unique(Running(codes_of(words)).hashes(size), return_counts=True)
-                    rows += [(item_id, text_hash, text, len(words), size, s, n) for s, n in zip(h.view(np.int64).tolist(), times.tolist(), strict=True)]
-            yield _batch(rows, [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32()], ["item_id", "item_hash", "item", "n_words", "size", "seed", "times"])
+                    fixed = [pa.array(np.full(len(h), v, np.int32)) for v in (len(words), size)]
+                    yield pa.RecordBatch.from_arrays([pa.array([item_id] * len(h), pa.int64()), pa.array(np.full(len(h), item_hash)), *fixed, pa.array(h.view(np.int64)), pa.array(times.astype(np.int32))], names=["item_id", "item_hash", "n_words", "size", "seed", "times"])
 
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().withColumn("item_hash", F.xxhash64("text"))
-    return rows.mapInArrow(seeds, "item_id long, item_hash long, item string, n_words int, size int, seed long, times int")
+    return items.select("item_id", "item_hash", "item").mapInArrow(seeds, "item_id long, item_hash long, n_words int, size int, seed long, times int")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
@@ -158,55 +163,70 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "decontaminate")
-    seeds = scratch.write(item_seeds(benchmark, min_match), "seeds")
+    items = items_of(benchmark)
+    seeds = scratch.write(item_seeds(items, min_match), "seeds")
     sizes = sorted(r["size"] for r in seeds.select("size").distinct().collect())  # min_match values at most
-    bits = bit_set(seeds.select("seed"), 1 << 13)  # a text has thousands of seeds; few may pass by chance
+    bits = bit_set(seeds.select("seed").distinct(), SEED_BITS, SEED_PROBES, SEED_MOST_BITS)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").withColumn("text_hash", F.xxhash64("text"))
 
     def probe(batches):
         for b in batches:
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc, text_hash, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 runs = Running(codes_of(words_of(text)))
                 hit = [h[bits.value.test(h)] for h in (runs.hashes(k).view(np.int64) for k in sizes)]
                 if any(map(len, hit)):
-                    rows.append((doc, text, np.unique(np.concatenate(hit))))
-            yield _batch(rows, [pa.int64(), pa.string(), pa.list_(pa.int64())], ["doc_id", "text", "seeds"])
+                    rows.append((doc, text_hash, np.unique(np.concatenate(hit))))
+            yield _batch(rows, [pa.int64(), pa.int64(), pa.list_(pa.int64())], ["doc_id", "text_hash", "seeds"])
 
-    hits = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").mapInArrow(probe, "doc_id long, text string, seeds array<long>")
-    hits = scratch.write(hits.withColumn("text_hash", F.xxhash64("text")), "hits")
+    hits = scratch.write(docs.select("doc_id", "text_hash", "text").mapInArrow(probe, "doc_id long, text_hash long, seeds array<long>"), "hits")
     own = hits.select("doc_id", "text_hash", F.explode("seeds").alias("seed"))
 
     # A document that covers an item has seeds of it in this many places; so it has one of those that are left without the most frequent few.
     often = own.groupBy("seed").agg(F.count("*").alias("often"))
     least = F.ceil(coverage * F.col("n_words") / F.col("size") - 1e-9)
     upto = F.sum("times").over(Window.partitionBy("item_id", "item_hash").orderBy(F.desc("often"), "seed").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rare = seeds.drop("item").join(often, "seed").withColumn("upto", upto).where(F.col("upto") >= least)
+    rare = seeds.join(often, "seed").withColumn("upto", upto).where(F.col("upto") >= least)
     pairs = own.join(rare.select("seed", "item_id", "item_hash"), "seed").select("doc_id", "text_hash", "item_id", "item_hash").distinct()
     pairs = scratch.write(pairs, "pairs")
-    same = lambda a, b, key, digest: F.col(f"{a}.{key}").eqNullSafe(F.col(f"{b}.{key}")) & (F.col(f"{a}.{digest}") == F.col(f"{b}.{digest}"))
-    items = seeds.select("item_id", "item_hash", "item").distinct()
-    texts = pairs.alias("p").join(hits.dropDuplicates(["doc_id", "text_hash"]).alias("h"), same("p", "h", "doc_id", "text_hash")).join(items.alias("i"), same("p", "i", "item_id", "item_hash"))
-    texts = texts.select("p.doc_id", "p.text_hash", "p.item_id", "h.text", "h.seeds", "i.item")
+
+    # One row with the text of each document that has a candidate, then one an item of it: no text is copied for every pair.
+    wanted = scratch.write(pairs.select("doc_id", "text_hash").distinct(), "wanted")
+    key = F.xxhash64("doc_id", "text_hash")
+    near = bit_set(wanted.select(key), SEED_BITS, SEED_PROBES, SEED_MOST_BITS)
+    maybe = F.pandas_udf(lambda h: type(h)(near.value.test(h.to_numpy())), "boolean")
+    same = lambda a, b, k, digest: F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) & (F.col(f"{a}.{digest}") == F.col(f"{b}.{digest}"))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    texts = docs.where(maybe(key)).alias("d").join(wanted.alias("w"), same("d", "w", "doc_id", "text_hash"), "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    texts = texts.select("doc_id", "text_hash", none("long", "item_id"), none("string", "item"), "text")
+    asked = pairs.alias("p").join(items.alias("i"), same("p", "i", "item_id", "item_hash")).select("p.doc_id", "p.text_hash", "p.item_id", "i.item", none("string", "text"))
+    rows = texts.unionByName(asked).withColumn("of_item", F.col("item").isNotNull()).repartition(partitions(spark), "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "of_item")
 
     def cover(batches):
+        doc: list[bytes] = []
+        seen: dict[int, np.ndarray] = {}  # the document's runs of words, by size
         for b in batches:
-            rows, own = [], (None, [])
-            for doc, text_hash, item_id, text, found, item in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            out = []
+            for doc_id, text_hash, item_id, item, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if item is None:
+                    doc, seen = words_of(text), {}
+                    continue
                 words = words_of(item)
                 size = min(min_match, len(words))
+                if size not in seen:
+                    seen[size] = np.unique(Running(codes_of(doc)).hashes(size))
                 # overlapping seeds in tiles of k words: k - size + 1, so at least a share of 1 / size of the words
-                if np.isin(Running(codes_of(words)).hashes(size).view(np.int64), np.array(found, np.int64)).sum() * size < coverage * len(words):
+                if np.isin(Running(codes_of(words)).hashes(size), seen[size]).sum() * size < coverage * len(words):
                     continue
-                if own[0] != text:
-                    own = text, words_of(text)
-                tiles = tile(words, own[1], min_match)
+                tiles = tile(words, doc, min_match)
                 share = sum(t[2] for t in tiles) / len(words)
                 if share >= coverage:
-                    rows.append((doc, text_hash, item_id, round(share, 6), len(tiles)))
-            yield _batch(rows, [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32()], ["doc_id", "text_hash", "item_id", "coverage", "tiles"])
+                    out.append((doc_id, text_hash, item_id, round(share, 6), len(tiles)))
+            yield _batch(out, [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32()], ["doc_id", "text_hash", "item_id", "coverage", "tiles"])
 
-    leaks = scratch.write(texts.mapInArrow(cover, "doc_id long, text_hash long, item_id long, coverage double, tiles int").distinct(), "leaks")
-    scratch.drop("hits", "pairs", "seeds")
+    found = rows.select("doc_id", "text_hash", "item_id", "item", "text").mapInArrow(cover, "doc_id long, text_hash long, item_id long, coverage double, tiles int")
+    leaks = scratch.write(found.distinct(), "leaks")
+    scratch.drop("hits", "pairs", "wanted", "seeds")
     return leaks
 
 

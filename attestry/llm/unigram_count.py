@@ -26,6 +26,10 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Distinct segments that a worker keeps, and their characters in all.
 MEMO_SEGMENTS, MEMO_CHARS = 400_000, 16 << 20
+#: Longer segments are not kept.
+MEMO_LENGTH = 1000
+#: The segments of a longer text aren't listed before they are counted.
+LISTED_CHARS = 1 << 20
 
 
 class Vocabulary(dict):
@@ -46,6 +50,7 @@ class Vocabulary(dict):
         if pieces:
             self.automaton.make_automaton()
         self.empty = not pieces
+        self.longest = max((len(p) for p, _ in pieces), default=1)
         used = set("".join(p for p, _ in pieces))
         crossing = any(a != SPACE and b == SPACE for p, _ in pieces for a, b in zip(p, p[1:], strict=False))
         self.additive = byte_fallback and not crossing and all(float(s).is_integer() for _, s in pieces)
@@ -53,28 +58,32 @@ class Vocabulary(dict):
         self.segments = re.compile(f" *[^ {cut}]+|[{cut}]| +" if cut else " *[^ ]+| +")
 
     def solve(self, text: str) -> tuple[float, int]:
-        """Best score and its number of pieces for one normalized text."""
-        n = len(text)
-        score, count, ended_unknown = [0.0] + [None] * n, [0] * (n + 1), [False] * (n + 1)
-        by_end: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        if not self.empty:
-            for end, (length, s) in self.automaton.iter(text):
-                by_end[end + 1].append((length, s))
+        """Best score and its number of pieces for one normalized text; only as many places are held as the longest piece reaches back."""
+        n, wide = len(text), self.longest + 1
+        score, count, unknown = [0.0] * wide, [0] * wide, [False] * wide  # rings, by end
+        matches = iter(()) if self.empty else self.automaton.iter(text)
+        ahead = next(matches, None)
         for end in range(1, n + 1):
-            best = None
-            for length, s in sorted(by_end[end], reverse=True):
-                found = score[end - length] + s
+            own = []
+            while ahead is not None and ahead[0] == end - 1:
+                own.append(ahead[1])
+                ahead = next(matches, None)
+            best, pieces, stepped = None, 0, False
+            for length, s in sorted(own, reverse=True):
+                found = score[(end - length) % wide] + s
                 if best is None or found > best:
-                    best, count[end] = found, count[end - length] + 1
-            c = text[end - 1]
-            if c not in self.single and (best is None or score[end - 1] + self.unknown > best):
-                best, ended_unknown[end] = score[end - 1] + self.unknown, True
-                more = len(c.encode("utf-8", "surrogatepass")) if self.byte_fallback else int(not ended_unknown[end - 1])
-                count[end] = count[end - 1] + more
-            score[end] = best
-        return score[n], count[n]
+                    best, pieces = found, count[(end - length) % wide] + 1
+            c, before = text[end - 1], (end - 1) % wide
+            if c not in self.single and (best is None or score[before] + self.unknown > best):
+                best, stepped = score[before] + self.unknown, True
+                more = len(c.encode("utf-8", "surrogatepass")) if self.byte_fallback else int(not unknown[before])
+                pieces = count[before] + more
+            score[end % wide], count[end % wide], unknown[end % wide] = best, pieces, stepped
+        return score[n % wide], count[n % wide]
 
     def __missing__(self, segment: str) -> int:
+        if len(segment) > MEMO_LENGTH:
+            return self.solve(segment.replace(" ", SPACE))[1]
         if len(self) > MEMO_SEGMENTS or self.held > MEMO_CHARS:
             self.clear()
             self.held = 0
@@ -88,7 +97,10 @@ class Vocabulary(dict):
         text = " " + text  # the tokenizer's dummy prefix
         if not self.additive:
             return self.solve(text.replace(" ", SPACE))[1]
-        return sum(map(self.__getitem__, self.segments.findall(text.replace(SPACE, " "))))
+        text = text.replace(SPACE, " ")
+        if len(text) <= LISTED_CHARS:
+            return sum(map(self.__getitem__, self.segments.findall(text)))
+        return sum(self[m[0]] for m in self.segments.finditer(text))
 
 
 def sentencepiece_pieces(path: str) -> list[tuple[str, float]]:

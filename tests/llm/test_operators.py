@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from attestry.llm import components, decontaminate, jaccard_join, language_id, line_dedup, mixing, quality, telephony, token_planes, unigram_count, warc
+from attestry.llm import components, decontaminate, fill_in_middle, jaccard_join, language_id, line_dedup, mixing, packing, quality, spelling, telephony, token_planes, unigram_count, warc
 from attestry.llm.common import Scratch
 from attestry.llm.queries import WORD, tokenizer_path
 
@@ -492,3 +493,217 @@ def test_word_pattern_equals_bytes_split(spark):
     texts = ["a b c", "\x1c x\x0b y\x85z", "", " "]
     found = spark.createDataFrame([(t,) for t in texts], "t string").select(F.regexp_count("t", F.lit(WORD))).collect()
     assert [r[0] for r in found] == [len(t.encode().split()) for t in texts]
+
+
+# ---- packing -------------------------------------------------------------------------------------------------------------------
+def slow_squares(batches, room):
+    """The rule by its definition: every choice's sum of squares over all gaps, one piece a batch."""
+    open_, opened = dict.fromkeys(range(1, room + 1), 0), 0
+    for length, n in batches:
+        assert n == 1
+        best = None
+        for gap in [g for g in range(length, room) if open_[g]] + [room]:
+            then = dict(open_)
+            if gap < room:
+                then[gap] -= 1
+            if gap > length:
+                then[gap - length] += 1
+            key = (sum(v * v for g, v in then.items() if g < room), gap)
+            if best is None or key < best[0]:
+                best = (key, gap, then)
+        opened, open_ = opened + (best[1] == room), best[2]
+    return opened
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.integers(1, 24), max_size=60))
+def test_squares_follow_the_definition(lengths):
+    room = 24
+    counts = np.bincount(np.array(lengths, int), minlength=room + 1)
+    slots, opened = packing.sum_of_squares(counts, room)
+    rest = np.append(counts[:room], 0)
+    assert opened == slow_squares(list(packing._batches(rest, packing.BATCHES, packing.SEED)) if rest.any() else [], room) + counts[room]
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.integers(0, 5000), min_size=30, max_size=30), st.sampled_from([7, 50, 1 << 17]))
+def test_slots_hold_every_piece_once(counts, most):
+    room = len(counts)
+    counts = np.array([0, *counts])
+    slots, opened = packing.sum_of_squares(counts, room, most)
+    filled = {}
+    for length, rank, n, first, offset in slots.tolist():
+        for k in range(n) if n < 50 else (0, n - 1):
+            filled.setdefault(first + k, []).append((offset, length))
+    for length in range(1, room + 1):
+        own = slots[slots[:, 0] == length]
+        assert own[:, 2].sum() == counts[length] and (own[:, 1] == np.cumsum(own[:, 2]) - own[:, 2]).all()
+    assert (slots[:, 2] * slots[:, 0]).sum() == (counts * np.arange(room + 1)).sum() and opened >= (counts * np.arange(room + 1)).sum() / room
+    assert all(0 <= f < opened and max(o + n for o, n in x) <= room for f, x in filled.items())
+
+
+def test_packed_documents(spark):
+    from tokenizers import Tokenizer
+
+    path, room = tokenizer_path("word_bpe_49k.json"), 64
+    t = Tokenizer.from_file(path)
+    texts = [*ODD, *prose(60, 8, 30), "one two " * 5000]
+    docs = frame(spark, texts).withColumnsRenamed({"score": "sequence_id", "copies": "local"})
+    docs = docs.unionByName(docs.where("doc_id = 4")).unionByName(docs.where("doc_id = 10").withColumn("doc_id", F.lit(None).cast("long")))
+    pieces = Scratch(spark, "test").write(packing.cut_pieces(docs, path, 1, room), "pieces")
+    packed = packing.pack(pieces, room).collect()
+    expected = []
+    for i, x in [*enumerate(texts), (4, texts[4]), (None, texts[10])]:
+        ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4")
+        expected += [(i, k // room, k, ids[k : k + room].tobytes()) for k in range(0, len(ids), room)]
+    assert sorted(map(str, expected)) == sorted(str((r["doc_id"], r["piece"], r["start"], bytes(r["ids"]))) for r in packed)
+    by_sequence = {}
+    for r in packed:
+        assert r["length"] == len(r["ids"]) // 4
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"], bytes(r["ids"])))
+    for own in by_sequence.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in itertools.pairwise(own)) and sum(x[1] for x in own) <= room
+    total = sum(len(e[3]) // 4 for e in expected)
+    assert len(by_sequence) <= -(-total // room) + 2
+    built = packing.sequences(packing.pack(pieces, room)).collect()
+    assert {r["sequence_id"]: bytes(r["ids"]) for r in built} == {k: b"".join(x[2] for x in own) for k, own in by_sequence.items()}
+    assert packing.pack_documents(spark.createDataFrame([], EMPTY), path).count() == 0
+
+
+# ---- fill in middle --------------------------------------------------------------------------------------------------------------
+def slow_middle(doc_id, text):
+    tokens = re.findall("[A-Za-z]+|[^A-Za-z]", text)
+    digest = hashlib.sha256(f"1:{doc_id}".encode()).hexdigest()
+    h = [int(digest[8 * k : 8 * k + 8], 16) for k in range(4)]
+    n = len(tokens)
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    prefix, middle, suffix = "".join(tokens[:a]), "".join(tokens[a:b]), "".join(tokens[b:])
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+        return n, "plain", None, None, text
+    if h[3] % 100 < 20:
+        return n, "spm", len(prefix), len(middle), f"<S>{suffix}<P>{prefix}<M>{middle}"
+    return n, "psm", len(prefix), len(middle), f"<P>{prefix}<S>{suffix}<M>{middle}"
+
+
+def test_fill_in_middle_equals_brute_force(spark, monkeypatch):
+    r = random.Random(4)
+    texts = ["".join(r.choice(["a", "B", "zz", " ", "é", "日", "\n", "<", "S>", "<S", "🙂", "1", "<P>" if i % 9 == 0 else "-"]) for _ in range(r.randint(0, 60))) for i in range(300)]
+    texts += ["x" * 300, "<M>", "<S", *[x or "" for x in ODD]]
+    for block in (7, 1 << 20):
+        monkeypatch.setattr(fill_in_middle, "BLOCK_BYTES", block)
+        raw = [t.encode() for t in texts]
+        h = np.array([[int(hashlib.sha256(f"1:{i}".encode()).hexdigest()[8 * k : 8 * k + 8], 16) for k in range(4)] for i in range(len(texts))])
+        n, first, second, prefix, middle = fill_in_middle.cut(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]), h[:, 0], h[:, 1])
+        start = 0
+        for i, t in enumerate(texts):
+            own = slow_middle(i, t)
+            assert own[0] == n[i] and own[2:4] in ((None, None), (prefix[i], middle[i]))
+            tokens = re.findall("[A-Za-z]+|[^A-Za-z]", t)
+            a, b = sorted((int(h[i, 0]) % (len(tokens) + 1), int(h[i, 1]) % (len(tokens) + 1)))
+            assert raw[i][: first[i] - start] == "".join(tokens[:a]).encode() and raw[i][: second[i] - start] == "".join(tokens[:b]).encode()
+            start += len(raw[i])
+    monkeypatch.undo()
+    docs = frame(spark, texts).withColumnsRenamed({"score": "form", "copies": "row"})
+    docs = docs.unionByName(docs.where("doc_id = 7")).unionByName(docs.where("doc_id = 9").withColumn("doc_id", F.lit(None).cast("long")))
+    found = fill_in_middle.restored(fill_in_middle.fill_in_middle(docs)).collect()
+    rows = sorted(str((x["doc_id"], x["n"], x["form"], x["prefix_chars"], x["middle_chars"], bytes(x["output"]).decode(), bytes(x["restored"]).decode(), x["row"])) for x in found)
+    expected = sorted(str((i, *slow_middle("" if i is None else i, t), t, 1)) for i, t in [*enumerate(texts), (7, texts[7]), (None, texts[9])])
+    assert rows == expected and {x["form"] for x in found} == {"plain", "psm", "spm"}
+    assert fill_in_middle.fill_in_middle(spark.createDataFrame([], EMPTY)).count() == 0
+
+
+def test_fill_in_middle_of_a_very_long_text(spark):
+    docs = spark.range(2).selectExpr("id as doc_id", "if(id = 0, repeat('x', 20000000), repeat('é1 ab', 2000000)) as text")
+    found = {r[0]: tuple(r)[1:] for r in fill_in_middle.fill_in_middle(docs).select("doc_id", "n", F.length("output")).collect()}
+    assert found[0][0] == 1 and found[1][0] == 8_000_000 and found[0][1] in (20_000_000, 20_000_009)
+
+
+# ---- spelling --------------------------------------------------------------------------------------------------------------------
+def brute_variants(rows):
+    counts = {}
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-z\u00C0-\u00FF]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % 199 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] = counts.get(run, 0) + 1
+    counts = {w: n for w, n in counts.items() if len(w) >= 6 and n >= 5}
+
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    out, form = {}, {}
+    for w, n in counts.items():
+        own = sorted((-counts[v], v) for v in counts if near(w, v))
+        form[w] = own[0][1] if own and -own[0][0] >= 5 * n else None
+        out[w] = len(own)
+    last = lambda w: w if form[w] is None else last(form[w])
+    return {(w, form[w], last(w), n, out[w], form[w] and counts[form[w]]) for w, n in counts.items()}
+
+
+def test_variants_equal_brute_force(spark):
+    r, texts = random.Random(6), []
+    words = ["".join(r.choice("aabcé") for _ in range(r.randint(6, 8))) for _ in range(60)] + ["ÀÉabcd", "ababababab", "x" * 40, "xx×yy÷zz", "Straße"]
+    for k in range(400):
+        picked = [r.choice(words[: 1 + r.randrange(len(words))]) for _ in range(40)]
+        if k % 2:
+            picked = [w if r.random() < 0.7 else w[: (c := r.randrange(len(w)))] + r.choice(["", "a", "É", "b" + w[c]]) + w[c + 1 :] for w in picked]
+        texts.append(" ".join(w.upper() if r.random() < 0.1 else w for w in picked))
+    texts += ["chainaa chainab " * 3, "chainaa chainab " * 3, "chainab chainbb " * 30, "chainbb " * 200]
+    texts += [None, "", "1 2 3", *["z" * 50_000] * 5, "z" * 49_999 + "y"]
+    docs = frame(spark, texts).withColumnsRenamed({"score": "word", "copies": "n"})
+    docs = docs.unionByName(docs.where("doc_id = 7")).unionByName(docs.where("doc_id = 9").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = [*enumerate(texts), (7, texts[7]), (None, texts[9])]
+    expected = brute_variants(rows)
+    found = [tuple(x) for x in spelling.group_variants(docs).collect()]
+    assert len(found) == len(set(found)) and set(found) == expected
+    assert sum(x[1] is not None for x in found) > 20 and any(x[1] != x[2] for x in found if x[1]), "forms, and forms of forms"
+    assert spelling.group_variants(spark.createDataFrame([], EMPTY)).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abé", min_size=5, max_size=5), min_size=1, max_size=4, unique=True), st.sampled_from([3, 10, 1 << 18]))
+def test_neighbourhoods_are_whole_and_distinct(words, block):
+    alphabet = np.array(sorted({ord(c) for w in words for c in w}))
+    codes = np.array([list(w.encode("latin-1")) for w in words], np.uint8)
+    before, spelling.BLOCK = spelling.BLOCK, block
+    try:
+        made = [(words[r], k, p, chr(c), h) for row, k, place, code, h_ in spelling.neighbourhood(codes, alphabet) for r, p, c, h in zip(row.tolist(), place.tolist(), code.tolist(), h_.tolist(), strict=True)]
+    finally:
+        spelling.BLOCK = before
+    edits = {w: [] for w in words}
+    for w, k, p, c, h in made:
+        edits[w].append(w[:p] + ("" if k == spelling.DELETION else c) + w[p + (k != spelling.INSERTION) :])
+        assert int(spelling.hashes(np.array([list(edits[w][-1].encode("latin-1"))], np.uint8))[0]) == h
+    for w, own in edits.items():
+        letters = [chr(c) for c in alphabet]
+        whole = {w[:i] + w[i + 1 :] for i in range(5)} | {w[:i] + c + w[i + 1 :] for i in range(5) for c in letters} | {w[:i] + c + w[i:] for i in range(6) for c in letters}
+        assert sorted(own) == sorted(whole - {w})
+
+
+# ---- very long texts -------------------------------------------------------------------------------------------------------------
+def test_long_benchmark_items(spark):
+    """An item of 200,000 words and one of a single word of a million letters; the documents hold one of them, with other words around it."""
+    long, single = " ".join(prose(5000, 77)), "x" * 1_000_000
+    benchmark = spark.createDataFrame([(1, long), (2, single), (3, prose(1, 78)[0])], "item_id long, text string")
+    docs = spark.createDataFrame([(10, "so " + long + " it is"), (11, "the word " + single), (12, prose(1, 79, 3000)[0]), (13, long[: len(long) // 3])], "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"], r["coverage"]) for r in decontaminate.find_leaks(docs, benchmark).collect()}
+    assert found == {(10, 1, 1.0), (11, 2, 1.0)}
+
+
+def test_counts_of_an_unbroken_text_take_little_memory():
+    import tracemalloc
+
+    v = unigram_count.vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    assert v.count("ab" * 500) == v.solve("\u2581" + "ab" * 500)[1]
+    text = "xyzzy" * 60_000
+    tracemalloc.start()
+    v.count(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestry.llm import decontaminate, language_id, mixing
-from attestry.llm.queries import OP4_SQL, OP5_SQL, QUERIES, WORD, tokenizer_path
+from attestry.llm.queries import ORACLES, QUERIES, WORD, tokenizer_path
 from tests.llm.test_operators import brute_components, brute_tiles, near_copies, prose
 
 COLUMNS = {
@@ -25,6 +25,9 @@ COLUMNS = {
     "op8_decontaminate": ["doc_id", "item_id", "coverage", "tiles"],
     "op9_telephony": ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
     "op10_unigram_count": ["doc_id", "n_tokens"],
+    "op11_packing": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+    "op12_fill_in_middle": ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
+    "op13_spelling": ["word", "form", "root", "n", "n_near", "form_n"],
 }
 LINE = "A line that many documents have, and it is long enough to count."
 
@@ -68,8 +71,8 @@ def docs():
 def test_columns_and_rows(spark, folder, found, docs):
     assert set(QUERIES) == set(COLUMNS)
     for name, rows in found.items():
-        if name not in ("op4_warc", "op8_decontaminate"):
-            assert sorted(r[0] for r in rows) == sorted(docs), name
+        if name not in ("op4_warc", "op8_decontaminate", "op13_spelling"):
+            assert sorted(r[0] for r in rows if name != "op11_packing" or r[1] == 0) == sorted(docs), name
 
 
 def test_queries_survive_empty_tables(spark, folder, tmp_path):
@@ -108,11 +111,11 @@ def test_language_by_brute_force(found, docs):
         assert cosines[lang] >= max(cosines.values()) - 2e-6 and abs(score - min(1.0, max(0.0, cosines[lang]))) < 2e-6
 
 
-def test_warc_and_line_dedup_equal_their_sql(folder, found):
+def test_queries_equal_their_sql(folder, found):
     c = duckdb.connect()
     for t in ("documents", "pages"):
         c.execute(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet/*.parquet')")
-    for name, sql in (("op4_warc", OP4_SQL), ("op5_line_dedup", OP5_SQL)):
+    for name, sql in ORACLES.items():
         assert sorted(map(str, found[name])) == sorted(map(str, c.execute(f"select {', '.join(COLUMNS[name])} from ({sql})").fetchall()))
     assert sum(r[2] for r in found["op5_line_dedup"]) == 5
 
@@ -166,3 +169,19 @@ def test_tokens_equal_the_libraries(found, docs):
         ids = np.array([*t.encode(docs[i][1] or "", add_special_tokens=False).ids, 2], "<u4")
         assert (start, n, crc) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += n
+
+
+def test_pieces_tile_their_documents_and_sequences(found, docs):
+    from tokenizers import Tokenizer
+
+    t, pieces, places = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json")), {}, {}
+    for doc_id, piece, start, length, crc, sequence, offset in found["op11_packing"]:
+        pieces.setdefault(doc_id, {})[piece] = (start, length, crc)
+        places.setdefault(sequence, []).append((offset, length))
+    for i, own in pieces.items():
+        ids = np.array([*t.encode(docs[i][1] or "", add_special_tokens=False).ids, 1], "<u4")
+        assert own == {k: (at, len(x := ids[at : at + 4096]), zlib.crc32(x.tobytes())) for k, at in enumerate(range(0, len(ids), 4096))}
+    for own in places.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in itertools.pairwise(own)) and sum(own[-1]) <= 4096
+    assert len(places) <= -(-sum(n for own in places.values() for _, n in own) // 4096) + 1

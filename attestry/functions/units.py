@@ -72,8 +72,14 @@ def activity_plan(source: str, target: str, evidence: str | None = None) -> Colu
     return F.expr(f"struct(if(({reason}) is null, {value}, null) as multiplier, {reason} as reason)")
 
 
+def factor_reason(source: str, target: str, evidence: str | None = None) -> Column:
+    """Why a factor of one parsed unit can't be given in another, null if it can; an unsupported source unit has the catalogue's own code."""
+    reason, _ = _steps(source, target, evidence)
+    return F.expr(f"case when {source} is null then '{CATALOG}' when {target} is null then '{SYNTAX}' else {reason} end")
+
+
 def factor_plan(source: str, target: str, evidence: str | None = None) -> Column:
-    """struct(multiplier, reason) between parsed factor units; an unsupported source unit has the catalogue's own code."""
+    """struct(multiplier, reason) between parsed factor units (see ``factor_reason``)."""
     reason, value = _steps(source, target, evidence)
     reason = f"case when {source} is null then '{CATALOG}' when {target} is null then '{SYNTAX}' else {reason} end"
     return F.expr(f"struct(if(({reason}) is null, {source}.impact / {target}.impact / ({value}), null) as multiplier, {reason} as reason)")

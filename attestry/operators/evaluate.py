@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from attestry.operators.tables import Steps
 
 
 def retrieval_metrics(cases: DataFrame) -> DataFrame:
@@ -23,20 +26,49 @@ def prf(df: DataFrame, by: list[str], expected: Column, observed: Column) -> Dat
     return df.groupBy(*by).agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn")).withColumns({"precision": rate(F.col("tp"), F.col("tp") + F.col("fp")), "recall": rate(F.col("tp"), F.col("tp") + F.col("fn")), "f1": rate(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))})
 
 
-def percentile_round_half(df: DataFrame, by: list[str], value: str, p: float, name: str) -> DataFrame:
-    """The value at index int((n - 1) * p + 0.5) of the sorted values, from counts by distinct value instead of a list."""
-    from pyspark.sql.window import Window
-
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*by)
-    run = counts.withColumns({"upto": F.sum("n").over(w.orderBy(value)), "all": F.sum("n").over(w)})
-    return run.where(F.col("upto") > F.floor((F.col("all") - 1) * p + 0.5)).groupBy(*by).agg(F.min(value).alias(name))
+#: Buckets of one step of a selection, and how many distinct rows of an interval are looked at one by one.
+BUCKETS, FEW = 4096, 100_000
+
+
+def selected(df: DataFrame, by: list[str], value: str, ranks: dict[str, str]) -> DataFrame:
+    """``by``, n and for every name the value at its rank (from 0, as a text over the count ``n``), exactly, for groups of any size.
+
+    Intervals that hold the wanted ranks are narrowed: each step counts their rows in ``BUCKETS`` parts and keeps the part with the rank. No task sorts
+    or holds a group; an interval of at most ``FEW`` rows is ranked by its distinct values. The first step cuts at equal distances of the logarithm
+    (with the sign), which spreads values of all magnitudes, later ones at equal distances. Nulls, NaN and infinities are left out.
+    """
+    steps = Steps(df.sparkSession)
+    rows = df.select(F.struct(*by).alias("g"), F.col(value).cast("double").alias("v")).where("abs(v) < double('infinity')")
+    groups = steps.cut(rows.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")))
+    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.expr(x).cast("long").alias("rank")) for k, x in ranks.items()]))
+    left = groups.select("g", "n", "low", "high", F.lit(0).cast("long").alias("before"), F.col("n").alias("inside"), wanted.alias("w")).select("g", "n", "low", "high", "before", "inside", "w.name", "w.rank")
+    left, form = steps.cut(left), "signum({0}) * log1p(abs({0}))"
+    while not left.where(f"inside > {FEW} and low < high").isEmpty():
+        spans = left.where(f"inside > {FEW} and low < high").select("g", "low", "high").distinct()
+        part = f"least({BUCKETS - 1}, int({BUCKETS} * (({form.format('v')}) - {form.format('low')}) / ({form.format('high')} - {form.format('low')})))"
+        counts = rows.join(spans, "g").where("v between low and high").groupBy("g", "low", "high", F.expr(part).alias("b")).agg(F.count("*").alias("c"), F.min("v").alias("low_b"), F.max("v").alias("high_b"))
+        upto = F.sum("c").over(Window.partitionBy("g", "low", "high").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # BUCKETS rows at most
+        parts = counts.withColumn("upto", upto).withColumnsRenamed({"g": "g_b", "low": "was_low", "high": "was_high"})
+        met = (F.col("g") == F.col("g_b")) & (F.col("low") == F.col("was_low")) & (F.col("high") == F.col("was_high")) & F.expr("rank - before < upto and rank - before >= upto - c")
+        found = left.join(parts, met, "left")
+        left = steps.cut(found.select("g", "n", F.coalesce("low_b", "low").alias("low"), F.coalesce("high_b", "high").alias("high"), F.expr("before + coalesce(upto - c, 0L)").alias("before"), F.coalesce("c", "inside").alias("inside"), "name", "rank"))
+        form = "{0}"
+    spans = left.where("low < high").select("g", "low", "high").distinct()
+    counts = rows.join(spans, "g").where("v between low and high").groupBy("g", "low", "high", "v").agg(F.count("*").alias("c"))
+    counts = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("g", "low", "high").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)))  # FEW rows at most
+    last = counts.withColumnsRenamed({"g": "g_b", "low": "was_low", "high": "was_high"})
+    met = (F.col("g") == F.col("g_b")) & (F.col("low") == F.col("was_low")) & (F.col("high") == F.col("was_high")) & F.expr("rank - before < upto and rank - before >= upto - c")
+    found = left.join(last, met, "left").select("g", "n", "name", F.coalesce("v", "low").alias("v"))
+    return found.groupBy("g", "n").pivot("name", list(ranks)).agg(F.first("v")).select("g.*", "n", *ranks)
 
 
 def percentiles(df: DataFrame, by: list[str], value: str, p: float) -> DataFrame:
     """Three definitions: linear interpolation, nearest rank by ceiling, rounded index; and the median."""
-    both = df.groupBy(*by).agg(F.percentile(value, F.lit(p)).alias("linear"), F.expr(f"percentile_disc({p}) within group (order by {value})").alias("nearest_rank"), F.median(value).alias("median"))
-    return both.join(percentile_round_half(df, by, value, p, "rounded_index"), by)
+    at, mid = f"(n - 1) * {p!r}D", "(n - 1) * 0.5D"
+    ranks = {"l0": f"floor({at})", "l1": f"ceil({at})", "m0": f"floor({mid})", "m1": f"ceil({mid})", "nearest_rank": f"greatest(0, ceil({p!r}D * n) - 1)", "rounded_index": f"floor({at} + 0.5D)"}
+    between = lambda low, high, x: f"{low} + ({high} - {low}) * (({x}) - floor({x}))"
+    found = selected(df, by, value, ranks)
+    return found.select(*by, F.expr(between("l0", "l1", at)).alias("linear"), "nearest_rank", F.expr(between("m0", "m1", mid)).alias("median"), "rounded_index")
 
 
 def release_gate(metrics: DataFrame, thresholds: list[tuple[str, float, str]]) -> DataFrame:

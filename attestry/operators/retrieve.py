@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from attestry.functions.text import bigrams, fold_unicode, grade_percent, lexical_score, normal_sql, tokens, words_sql
 from attestry.functions.units import activity_unit, factor_unit
+from attestry.operators.qualify import of_record, of_request
 
 CHANNELS = ("exact", "synonym", "related")
 # Module sets of the boundaries that a request may name.
@@ -56,7 +57,8 @@ def prepare_requests(requests: DataFrame) -> DataFrame:
     if "unit_conversion_evidence" not in requests.columns:
         more["unit_conversion_evidence"] = "cast(null as struct<source_canonical_unit:string,target_canonical_unit:string,multiplier:double>)"
     q = prepare(requests, "q_", ("material_name",), more)
-    return q.withColumns({"q_unit": activity_unit("q_quantity_unit"), "t_unit": factor_unit("q_target_unit"), "q_modules": boundary_modules("q_boundary"), "q_grade": grade_percent(F.col("q_composition"))})
+    q = q.withColumns({"q_unit": activity_unit("q_quantity_unit"), "t_unit": factor_unit("q_target_unit"), "q_modules": boundary_modules("q_boundary"), "q_grade": grade_percent(F.col("q_composition"))})
+    return of_request(q)
 
 
 def prepare_catalog(catalog: DataFrame) -> DataFrame:
@@ -73,7 +75,7 @@ def prepare_catalog(catalog: DataFrame) -> DataFrame:
     }
     if "conflict" not in catalog.columns:
         more["conflict"] = "false"
-    return prepare(catalog, "c_", ("material_name", "alias"), more).withColumn("c_unit", factor_unit("c_factor_unit"))
+    return of_record(prepare(catalog, "c_", ("material_name", "alias"), more).withColumn("c_unit", factor_unit("c_factor_unit")))
 
 
 def single(catalog: DataFrame, key: str = "source_id") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attestry.functions.text import prepared_score
-from attestry.functions.units import activity_plan
+from attestry.functions.units import activity_plan, factor_plan
 from attestry.operators.qualify import LIFECYCLE, OPERATIONAL, _blank, _in
 
 # Weights of the seven dimensions for direct hits and proxies by material category; source quality by type; type order.
@@ -148,19 +148,21 @@ def valued(df: DataFrame, test: str | None = None, proxy: bool = False) -> DataF
 
     A ``proxy`` is weighed by its class' category; it is a technical one if its process is comparable, else a generic one.
     """
-    df = with_dimensions(df, test, proxy).withColumn("moved", activity_plan("q_unit", "t_unit", "q_unit_conversion_evidence"))
+    df = with_dimensions(df, test, proxy)
+    plans = {"moved": activity_plan("q_unit", "t_unit", "q_unit_conversion_evidence"), "plan": factor_plan("c_unit", "t_unit", "q_unit_conversion_evidence")}
+    df = df.withColumns({k: F.when(F.expr(test), v) if test else v for k, v in plans.items()})
     kind = f"case when channel = 'synonym' then 'direct_alias' when channel = 'related' then 'class_generic_proxy' when not flow_bridge and {_plain('c_factor_unit')} <> {_plain('q_target_unit')} then 'unit_converted' else 'direct_exact' end"
     cols = {"factor": "if(flow_bridge, c_factor_value, c_factor_value * plan.multiplier)", "resolved_quantity": "if(flow_bridge, null, q_quantity * moved.multiplier)", "impact": "if(flow_bridge, c_unit.impact, t_unit.impact)", "score": weighted_score(), "coverage": evidence_coverage(), "resolution_type": kind, "gaps": gaps()}
     if proxy:
         cols |= {"score": proxy_score("q_class.category"), "coverage": proxy_coverage("q_class.category"), "resolution_type": "if(d_process >= 0.65D, 'class_technical_proxy', 'class_generic_proxy')"}
-    df = df.withColumns(_where(test, cols)).drop("moved")
+    df = df.withColumns(_where(test, cols)).drop("moved", "plan")
     return df.withColumns({"steps": F.expr("if(resolution_type = 'unit_converted', 1, 0)"), "assumptions": F.expr("cast(array() as array<string>)"), "candidate_id": F.expr(f"concat('{'proxy' if proxy else 'resolved'}:', c_source_id)")})
 
 
 def finished(df: DataFrame, least_score: float = MIN_SCORE) -> DataFrame:
     """Totals, severity, strength and tier, after all steps."""
     df = df.withColumns({"total": F.expr("factor * resolved_quantity * impact"), "severity": F.expr("aggregate(gaps, 0D, (a, g) -> a + g.severity)"), "hard": F.expr(f"exists(gaps, g -> {HARD})")})
-    return df.withColumns({"strength": F.expr(strength("score", "coverage", source_quality(), "steps", "size(assumptions)", "severity")), "tier": F.expr(tier(least_score))})
+    return df.withColumns(_where("score is not null", {"strength": strength("score", "coverage", source_quality(), "steps", "size(assumptions)", "severity"), "tier": tier(least_score)}))
 
 
 def candidates(qualified: DataFrame, least_score: float = MIN_SCORE) -> DataFrame:

@@ -90,11 +90,17 @@ def fingerprint(*columns: str) -> Column:
     return F.sha2(entry_text(*columns), 256)
 
 
-def table_digest(df: DataFrame, row: Column, buckets: int = 256) -> DataFrame:
-    """One digest of a table, independent of row order: bucket digests first, so that no task sorts all rows."""
-    own = df.select(row.alias("d")).withColumn("b", F.substring("d", 1, 2))
-    per = own.groupBy("b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ":"), 256).alias("d"), F.count("*").alias("n"))
-    return per.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ":"), 256).alias("digest"), F.sum("n").alias("rows"))
+#: Lengths of the prefixes by which row digests are brought together, level by level: no list grows with the table until it has 2**40 rows.
+LEVELS = (8, 6, 4, 2, 0)
+
+
+def table_digest(df: DataFrame, row: Column) -> DataFrame:
+    """One digest of a table, independent of row order: a tree over the rows' digests, each node the digest of its children in order."""
+    own = df.select(row.alias("d"), row.alias("key"), F.lit(1).cast("long").alias("n"))
+    for k in LEVELS:
+        per = own.groupBy(*[F.substring("key", 1, k).alias("key")] * (k > 0)).agg(F.array_sort(F.collect_list(F.struct("key", "d"))).alias("below"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+        own = per.select(*["key"] * (k > 0), F.sha2(F.array_join(F.transform("below", lambda x: x["d"]), ":"), 256).alias("d"), "n")
+    return own.select(F.col("d").alias("digest"), F.col("n").alias("rows"))
 
 
 def forward_fill(df: DataFrame, keys: list[str], order: list[str], column: str) -> DataFrame:

@@ -221,7 +221,7 @@ def boundary_matrix(spark: SparkSession, sf: str) -> DataFrame:
     """The boundary gate of every record against every boundary that a request may name, and one that it may not."""
     c = R.prepare_catalog(domain.catalog(spark, sf)).select("c_source_id", "c_boundary_key", "c_modules")
     wanted = c.withColumn("q_boundary", F.explode(F.array(*map(F.lit, ["A1", "A2", "A3", "A1-A3", "Cradle-to-Gate", "use phase"])))).withColumns({"q_modules": R.boundary_modules("q_boundary"), "q_boundary_key": F.expr(R.boundary_key("q_boundary"))})
-    return wanted.select(F.col("c_source_id").alias("source_id"), F.col("q_boundary").alias("wanted"), Q.boundary_gate().alias("status"))
+    return wanted.select(F.col("c_source_id").alias("source_id"), F.col("q_boundary").alias("wanted"), F.expr(Q.boundary_gate()).alias("status"))
 
 
 @query("select p_partkey as id, case when st = 'approved' then 'already_decided' when st not in ('recommendation_ready', 'reference_review_required') then 'not_selectable' when tier = 'REFERENCE_ONLY' and mode <> 'override' then 'override_required' when tier = 'REFERENCE_ONLY' and reason = '' then 'reason_required' when tier = 'USABLE_WITH_ASSUMPTIONS' and not acc then 'acceptance_required' else 'allowed' end as verdict from (select p_partkey, case p_size % 4 when 0 then 'approved' when 1 then 'unresolved' when 2 then 'recommendation_ready' else 'reference_review_required' end as st, case p_size % 3 when 0 then 'REFERENCE_ONLY' when 1 then 'USABLE_WITH_ASSUMPTIONS' else 'PRIMARY_RECOMMENDATION' end as tier, case when p_size % 5 < 3 then 'override' else 'standard' end as mode, p_size % 7 < 3 as acc, case when p_size % 2 = 0 then '' else 'why' end as reason from part)")

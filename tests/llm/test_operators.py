@@ -425,12 +425,20 @@ def test_to_pcm_and_payloads(spark):
         assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
         mu, al = ([int(table[x]) for x in padded] for table in (telephony.mulaw_table(), telephony.alaw_table()))
         slow = [x for k in range(0, len(padded), 64) for x in slow_adpcm(padded[k : k + 64])]
-        pcm = np.rint(np.array(mu, float).reshape(-1, 4).mean(1)).astype("<i2")
+        pcm = np.array(mu, "<i2")
         crossings = sum((a < 0) != (b < 0) for a, b in zip(mu, mu[1:]))
         square = lambda v: sum(x * x for x in v)
         assert r["feature"] == f"samples={len(mu)};energy={square(mu)};crossings={crossings};peak={max(map(abs, mu))};alaw={square(al)};adpcm={square(slow)};pcm={len(pcm)}:{zlib.crc32(pcm.tobytes()):08x}"
 
 
+def test_long_payloads_part_by_part(monkeypatch):
+    payloads = [np.random.default_rng(k).integers(0, 256, n).astype(np.uint8).tobytes() for k, n in enumerate((64, 640, 128, 4096))]
+    whole = telephony._energies(payloads), [telephony.features(telephony.mulaw_table()[np.frombuffer(p, np.uint8)]) for p in payloads]
+    monkeypatch.setattr(telephony, "TOGETHER", 128)
+    assert whole == (telephony._energies(payloads), [telephony.features(telephony.mulaw_table()[np.frombuffer(p, np.uint8)]) for p in payloads])
+    assert telephony.features(np.zeros(0, np.int16)) == "samples=0;energy=0;crossings=0;peak=0"
+
+
 # ---- unigram counts --------------------------------------------------------------------------------------------------------------
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.text("ab▁c", min_size=1, max_size=4), st.sampled_from([-1.0, -2.0, -3.0, -2.5])), max_size=12, unique_by=lambda x: x[0]), st.text("abcd é\n", max_size=14), st.booleans())

@@ -1,8 +1,10 @@
 """Every registered query of the subpackage over one small folder of tables: columns, rules, odd rows, and its result by SQL or by brute force."""
 
+import hashlib
 import itertools
 import random
 import re
+import struct
 import zlib
 
 import duckdb
@@ -10,9 +12,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from attestry.llm import decontaminate, language_id, mixing
+from attestry.llm import decontaminate, language_id, mixing, quality
 from attestry.llm.queries import ORACLES, QUERIES, WORD, tokenizer_path
-from tests.llm.test_operators import brute_components, brute_tiles, near_copies, prose
+from tests.llm.test_operators import brute_components, brute_tiles, near_copies, prose, slow_adpcm
 
 COLUMNS = {
     "op1_quality": ["doc_id", "held_out", "score", "predicted"],
@@ -185,3 +187,71 @@ def test_pieces_tile_their_documents_and_sequences(found, docs):
         own.sort()
         assert own[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in itertools.pairwise(own)) and sum(own[-1]) <= 4096
     assert len(places) <= -(-sum(n for own in places.values() for _, n in own) // 4096) + 1
+
+
+def test_quality_by_brute_force(found, docs):
+    """The same model from least squares on whole matrices, and the isotonic curve as the largest of least means."""
+    crc = lambda t: zlib.crc32(t.encode())
+    ids = [i for i in sorted(docs) if i % 5 and crc(str(i)) % 3 != 1]
+    x = np.array([quality.statistics((docs[i][1] or "").encode()) for i in ids])
+    y, fold = np.array([i % 2 for i in ids], float), np.array([crc(f"fold{i}") % quality.FOLDS for i in ids])
+    mean, spread = x.mean(0), np.maximum(np.where(x.std(0) == 0, 1.0, x.std(0)), 1e-6)
+    r = np.random.default_rng(quality.SEED)
+    w, b = r.standard_normal((x.shape[1], quality.FEATURES)) / np.sqrt(x.shape[1]), r.uniform(0, 2 * np.pi, quality.FEATURES)
+    lift = lambda s: np.hstack([np.sqrt(2 / quality.FEATURES) * np.cos(np.clip((s - mean) / spread, -6, 6) @ w + b), np.ones((len(s), 1))])
+    ridge = np.hstack([np.sqrt(quality.RIDGE) * np.eye(quality.FEATURES), np.zeros((quality.FEATURES, 1))])
+    solve = lambda keep: np.linalg.lstsq(np.vstack([lift(x[keep]), ridge]), np.concatenate([y[keep], np.zeros(quality.FEATURES)]), rcond=None)[0]
+    raw = np.array([(lift(x[k : k + 1]) @ solve(fold != fold[k]))[0] for k in range(len(ids))])
+    bins = np.clip(((raw + 0.5) / 2 * quality.BINS).astype(int), 0, quality.BINS - 1)
+    at = np.unique(bins)
+    place, n, sums = (at + 0.5) / quality.BINS * 2 - 0.5, np.array([(bins == k).sum() for k in at]), np.array([y[bins == k].sum() for k in at])
+    part = lambda i, j: sums[i : j + 1].sum() / n[i : j + 1].sum()
+    level = np.array([max(min(part(i, j) for j in range(k, len(at))) for i in range(k + 1)) for k in range(len(at))]).round(12)
+    curve = [(np.average(place[level == v], weights=n[level == v]), v) for v in np.unique(level)]
+    whole = solve(np.ones(len(ids), bool))
+    for i, _, score, _ in found["op1_quality"]:
+        own = (lift(np.array([quality.statistics((docs[i][1] or "").encode())])) @ whole)[0]
+        assert abs(score - np.interp(own, *zip(*curve, strict=True))) < 2e-4, i
+
+
+def test_telephony_by_brute_force(found, docs):
+    """Every column from the text alone: samples by the rules of the codings, one at a time."""
+    def mulaw(code):
+        code = ~code & 0xFF
+        size = (((code & 15) << 3) + 132 << (code >> 4 & 7)) - 132
+        return -size if code & 0x80 else size
+
+    def alaw(code):
+        code ^= 0x55
+        segment, low = code >> 4 & 7, (code & 15) << 4
+        size = low + 8 if segment == 0 else low + 264 << segment - 1
+        return size if code & 0x80 else -size
+
+    for i, n_bytes, size, sha, tail, media_bytes, media_sha, feature in found["op9_telephony"]:
+        raw = (docs[i][1] or "").encode()
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        assert (n_bytes, size, sha, tail) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        head = struct.pack("<HHIIHHH", 7, 1, 8000, 8000, 1, 8, 0)
+        body = b"WAVEfmt " + struct.pack("<I", len(head)) + head + b"fact" + struct.pack("<II", 4, len(payload)) + b"data" + struct.pack("<I", len(payload)) + payload
+        media = b"RIFF" + struct.pack("<I", len(body)) + body
+        assert (media_bytes, media_sha) == (len(media), hashlib.sha256(media).hexdigest())
+        if len(payload) < 20_000:
+            own = [mulaw(c) for c in payload]
+            ends = [sum(v * v for v in slow_adpcm(payload[k : k + 64])) for k in range(0, len(payload), 64)]
+            pcm = struct.pack(f"<{len(own)}h", *own)
+            expected = f"samples={len(own)};energy={sum(v * v for v in own)};crossings={sum((a < 0) != (b < 0) for a, b in itertools.pairwise(own))};peak={max(map(abs, own))}"
+            assert feature == f"{expected};alaw={sum(alaw(c) ** 2 for c in payload)};adpcm={sum(ends)};pcm={len(own)}:{zlib.crc32(pcm):08x}"
+
+
+def test_unigram_counts_by_the_library(found, docs):
+    from tokenizers import Tokenizer, models, normalizers
+
+    from attestry.llm import unigram_count
+
+    pieces = unigram_count.sentencepiece_pieces(tokenizer_path("piece_bpe_32k.model"))
+    t = Tokenizer(models.Unigram([("<unk>", 0.0), *pieces, *((f"<0x{k:02X}>", 0.0) for k in range(256))], 0, True))
+    t.normalizer = normalizers.Sequence([normalizers.Prepend("\u2581"), normalizers.Replace(" ", "\u2581")])
+    for i, n in found["op10_unigram_count"]:
+        text = docs[i][1]
+        if not text or len(text) < 3000:
+            assert n == (len(t.encode(text, add_special_tokens=False).ids) if text else 0), i

@@ -62,10 +62,11 @@ def _stated(x: str) -> str:
     return f"if({_blank(x)}, null, cast({x} as string))"
 
 
-def of_record(c: DataFrame) -> DataFrame:
-    """Prepared records with the gates that read them alone, and what the others compare."""
-    said = {"c_s_kind": kind_gate(), "c_s_quality": quality_gate(), "c_s_indicator": indicator_gate(), "c_needed": _NEEDED, "c_ordinary": f"not (coalesce(c_factor_kind, '') in {_in(OPERATIONAL)} or coalesce(c_subject_type, '') in {_in(NON_MATERIAL)})", "c_geo": _stated("c_geography"), "c_yr": _stated("c_year")}
-    return c.withColumns({k: F.expr(v) for k, v in said.items()})
+#: Gates that read a prepared record alone, and what the others compare.
+RECORD_GATES = {
+    "c_s_kind": kind_gate(), "c_s_quality": quality_gate(), "c_s_indicator": indicator_gate(), "c_needed": _NEEDED, "c_ordinary": f"not (coalesce(c_factor_kind, '') in {_in(OPERATIONAL)} or coalesce(c_subject_type, '') in {_in(NON_MATERIAL)})",
+    "c_geo": _stated("c_geography"), "c_yr": _stated("c_year"),
+}
 
 
 def of_request(q: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from attestry.functions.text import bigrams, fold_unicode, grade_percent, lexical_score, normal_sql, tokens, words_sql
 from attestry.functions.units import activity_unit, factor_unit
-from attestry.operators.qualify import of_record, of_request
+from attestry.operators.qualify import RECORD_GATES, of_request
 
 CHANNELS = ("exact", "synonym", "related")
 # Module sets of the boundaries that a request may name.
@@ -33,15 +33,25 @@ def boundary_modules(x: str) -> Column:
 COMPARED = ("production_process", "product_form", "composition", "geography", "boundary")
 
 
+def once(df: DataFrame, columns: dict[str, str | Column]) -> DataFrame:
+    """``df`` with further columns that are worked out once a row: filters on them, and columns made of them, don't repeat their expressions."""
+    made = F.struct(*[(F.expr(v) if isinstance(v, str) else v).alias(k) for k, v in columns.items()])
+    return df.select("*", F.inline(F.array(made)))
+
+
 def prepare(df: DataFrame, prefix: str, names: tuple[str, ...], more: dict[str, str]) -> DataFrame:
-    """Columns prefixed; for every compared text its normal form (null if blank) and its words, computed once a row, before any join.
+    """Columns prefixed; for every compared text its normal form (null if blank), computed once a row, before any join.
 
     ``names`` are first put in compatibility form with cases folded, for which Spark has no function: one Arrow step over these columns.
     """
     df = df.withColumns({name: fold_unicode(F.col(name)) for name in names})
     clean = [f"nullif({normal_sql(f"coalesce(cast({k} as string), '')")}, '') as {prefix}n_{k}" for k in COMPARED]
-    df = df.selectExpr(*[f"`{c}` as {prefix}{c}" for c in df.columns], *clean, f"{normal_sql('material_name')} as {prefix}norm", *[f"{x} as {prefix}{k}" for k, x in more.items()])
-    return df.selectExpr("*", *[f"{words_sql(f'{prefix}n_{k}')} as {prefix}t_{k}" for k in COMPARED], f"{words_sql(f'{prefix}norm')} as {prefix}t_material")
+    return df.selectExpr(*[f"`{c}` as {prefix}{c}" for c in df.columns], *clean, f"{normal_sql('material_name')} as {prefix}norm", *[f"{x} as {prefix}{k}" for k, x in more.items()])
+
+
+def _words(prefix: str) -> dict[str, str]:
+    """The words of every normal form."""
+    return {f"{prefix}t_{k}": words_sql(f"{prefix}n_{k}") for k in COMPARED} | {f"{prefix}t_material": words_sql(f"{prefix}norm")}
 
 
 def alias_set(x: str) -> str:
@@ -57,7 +67,7 @@ def prepare_requests(requests: DataFrame) -> DataFrame:
     if "unit_conversion_evidence" not in requests.columns:
         more["unit_conversion_evidence"] = "cast(null as struct<source_canonical_unit:string,target_canonical_unit:string,multiplier:double>)"
     q = prepare(requests, "q_", ("material_name",), more)
-    q = q.withColumns({"q_unit": activity_unit("q_quantity_unit"), "t_unit": factor_unit("q_target_unit"), "q_modules": boundary_modules("q_boundary"), "q_grade": grade_percent(F.col("q_composition"))})
+    q = once(q, _words("q_") | {"q_unit": activity_unit("q_quantity_unit"), "t_unit": factor_unit("q_target_unit"), "q_modules": boundary_modules("q_boundary"), "q_grade": grade_percent(F.col("q_composition"))})
     return of_request(q)
 
 
@@ -75,7 +85,7 @@ def prepare_catalog(catalog: DataFrame) -> DataFrame:
     }
     if "conflict" not in catalog.columns:
         more["conflict"] = "false"
-    return of_record(prepare(catalog, "c_", ("material_name", "alias"), more).withColumn("c_unit", factor_unit("c_factor_unit")))
+    return once(prepare(catalog, "c_", ("material_name", "alias"), more), _words("c_") | {"c_unit": factor_unit("c_factor_unit")} | RECORD_GATES)
 
 
 def single(catalog: DataFrame, key: str = "source_id") -> DataFrame:
@@ -87,7 +97,7 @@ def single(catalog: DataFrame, key: str = "source_id") -> DataFrame:
 
 #: Channels as conditions on a pair: equal names; one side's name among the other's aliases, or a common alias; the same entity, and one of the products that the request allows, if it names any.
 EXACT = "coalesce(q_norm = c_norm, false)"
-SYNONYM = "coalesce(array_contains(c_alias_norms, q_norm) or array_contains(q_alias_norms, c_norm) or arrays_overlap(q_alias_norms, c_alias_norms), false)"
+SYNONYM = "coalesce(array_contains(c_alias_norms, q_norm) or (size(q_alias_norms) > 0 and (array_contains(q_alias_norms, c_norm) or arrays_overlap(q_alias_norms, c_alias_norms))), false)"
 PRODUCT = "(size(q_allowed) = 0 or coalesce(array_contains(q_allowed, c_product_entity_id), false))"
 
 
@@ -98,14 +108,18 @@ def retrieve(requests: DataFrame, catalog: DataFrame) -> DataFrame:
 def met(q: DataFrame, c: DataFrame) -> DataFrame:
     """All hits of all channels, each (request, record) once, from one join of prepared requests and records on tagged keys.
 
-    Names and aliases are keys that find exact and synonym hits; an entity key finds related ones. A pair that meets at several keys stays at the first
-    that both have, and the entity key is last: so a pair is related only if no name brings it together. No channel is removed from another by a join.
+    Names and aliases are keys that find exact and synonym hits; an entity key finds related ones. A pair that meets at several names stays at the first
+    that both have, and at the entity only if no name brings it together. No channel is removed from another by a join.
     """
-    keys = lambda side: f"array_distinct(filter(concat(array(concat('n:', {side}_norm)), transform({side}_alias_norms, a -> concat('n:', a)), array(concat('e:', {side}_base_entity_id))), k -> k is not null))"
-    q = q.withColumn("q_keys", F.expr(keys("q"))).withColumn("key", F.explode("q_keys"))
-    c = c.withColumn("c_keys", F.expr(keys("c"))).withColumn("key", F.explode("c_keys"))
-    both = q.join(c, "key").where(f"key = get(array_intersect(q_keys, c_keys), 0) and (key like 'n:%' or {PRODUCT})")
-    return both.withColumn("channel", F.expr(f"case when {EXACT} then 'exact' when {SYNONYM} then 'synonym' else 'related' end")).drop("key", "q_keys", "c_keys")
+    names = lambda side: f"array_distinct(filter(concat(array({side}_norm), {side}_alias_norms), n -> n is not null))"
+    tagged = lambda side: f"concat(transform({side}_names, n -> struct('n' as kind, n as text)), if({side}_base_entity_id is null, array(), array(struct('e' as kind, {side}_base_entity_id as text))))"
+    sides = []
+    for df, side in ((q, "q"), (c, "c")):
+        df = df.withColumn(f"{side}_names", F.expr(names(side)))
+        sides.append(df.select("*", F.expr(f"posexplode({tagged(side)}) as ({side}_place, key)")))
+    both = sides[0].join(sides[1], "key").withColumn("channel", F.expr(f"case when {EXACT} then 'exact' when {SYNONYM} then 'synonym' else 'related' end"))
+    first = "q_place = 0 or key.text = get(array_intersect(q_names, c_names), 0)"
+    return both.where(f"if(key.kind = 'e', channel = 'related' and {PRODUCT}, {first})").drop("key", "q_names", "c_names", "q_place", "c_place")
 
 
 def conflict_free(catalog: DataFrame, key: str, digest: str) -> DataFrame:

@@ -26,6 +26,8 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Distinct segments that a worker keeps, and their characters in all.
 MEMO_SEGMENTS, MEMO_CHARS = 400_000, 16 << 20
+#: Characters that are solved together.
+BLOCK_CHARS = 4096
 #: Longer segments are not kept.
 MEMO_LENGTH = 1000
 #: The segments of a longer text aren't listed before they are counted.
@@ -58,28 +60,30 @@ class Vocabulary(dict):
         self.segments = re.compile(f" *[^ {cut}]+|[{cut}]| +" if cut else " *[^ ]+| +")
 
     def solve(self, text: str) -> tuple[float, int]:
-        """Best score and its number of pieces for one normalized text; only as many places are held as the longest piece reaches back."""
-        n, wide = len(text), self.longest + 1
-        score, count, unknown = [0.0] * wide, [0] * wide, [False] * wide  # rings, by end
-        matches = iter(()) if self.empty else self.automaton.iter(text)
-        ahead = next(matches, None)
-        for end in range(1, n + 1):
-            own = []
-            while ahead is not None and ahead[0] == end - 1:
-                own.append(ahead[1])
-                ahead = next(matches, None)
-            best, pieces, stepped = None, 0, False
-            for length, s in sorted(own, reverse=True):
-                found = score[(end - length) % wide] + s
-                if best is None or found > best:
-                    best, pieces = found, count[(end - length) % wide] + 1
-            c, before = text[end - 1], (end - 1) % wide
-            if c not in self.single and (best is None or score[before] + self.unknown > best):
-                best, stepped = score[before] + self.unknown, True
-                more = len(c.encode("utf-8", "surrogatepass")) if self.byte_fallback else int(not unknown[before])
-                pieces = count[before] + more
-            score[end % wide], count[end % wide], unknown[end % wide] = best, pieces, stepped
-        return score[n % wide], count[n % wide]
+        """Best score and its number of pieces for one normalized text, block by block: of earlier blocks only as many places are held as the longest piece reaches back."""
+        score, count, unknown = [0.0], [0], [False]  # by end
+        for at in range(0, len(text), BLOCK_CHARS):
+            upto = min(len(text), at + BLOCK_CHARS)
+            by_end: list[list[tuple[int, float]]] = [[] for _ in range(upto - at + 1)]
+            if not self.empty:
+                for end, found in self.automaton.iter(text, max(0, at - self.longest), upto):
+                    if end >= at:
+                        by_end[end + 1 - at].append(found)
+            for k in range(1, upto - at + 1):
+                best, pieces, stepped = None, 0, False
+                for length, s in sorted(by_end[k], reverse=True):
+                    found = score[-length] + s
+                    if best is None or found > best:
+                        best, pieces = found, count[-length] + 1
+                c = text[at + k - 1]
+                if c not in self.single and (best is None or score[-1] + self.unknown > best):
+                    best, stepped = score[-1] + self.unknown, True
+                    pieces = count[-1] + (len(c.encode("utf-8", "surrogatepass")) if self.byte_fallback else int(not unknown[-1]))
+                score.append(best)
+                count.append(pieces)
+                unknown.append(stepped)
+            score, count, unknown = score[-self.longest :], count[-self.longest :], unknown[-1:]
+        return score[-1], count[-1]
 
     def __missing__(self, segment: str) -> int:
         if len(segment) > MEMO_LENGTH:

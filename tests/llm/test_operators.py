@@ -441,8 +441,8 @@ def test_long_payloads_part_by_part(monkeypatch):
 
 # ---- unigram counts --------------------------------------------------------------------------------------------------------------
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.text("ab▁c", min_size=1, max_size=4), st.sampled_from([-1.0, -2.0, -3.0, -2.5])), max_size=12, unique_by=lambda x: x[0]), st.text("abcd é\n", max_size=14), st.booleans())
-def test_counts_equal_the_tokenizer(pieces, text, fallback):
+@given(st.lists(st.tuples(st.text("ab▁c", min_size=1, max_size=4), st.sampled_from([-1.0, -2.0, -3.0, -2.5])), max_size=12, unique_by=lambda x: x[0]), st.text("abcd é\n", max_size=14), st.booleans(), st.sampled_from([1, 3, 4096]))
+def test_counts_equal_the_tokenizer(pieces, text, fallback, block):
     from tokenizers import Tokenizer, models, normalizers
 
     vocab = [("<unk>", 0.0), *pieces, *((f"<0x{i:02X}>", 0.0) for i in range(256 * fallback))]
@@ -450,7 +450,10 @@ def test_counts_equal_the_tokenizer(pieces, text, fallback):
     t.normalizer = normalizers.Sequence([normalizers.Prepend("▁"), normalizers.Replace(" ", "▁")])
     v = unigram_count.Vocabulary(pieces, fallback)
     v.unknown = min(s for _, s in vocab) - 10.0 if pieces else -10.0
-    assert v.count(text) == len(t.encode(text, add_special_tokens=False).ids)
+    before, unigram_count.BLOCK_CHARS = unigram_count.BLOCK_CHARS, block
+    found = v.count(text)
+    unigram_count.BLOCK_CHARS = before
+    assert found == len(t.encode(text, add_special_tokens=False).ids)
 
 
 def test_public_vocabulary(spark):

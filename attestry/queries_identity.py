@@ -1,4 +1,4 @@
-"""Queries over identity resolution and the late proxy branch, with their SQL."""
+"""Queries over identity resolution, the late proxy branch and decisions as events, with their SQL."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.operators import decide as D
+from attestry.operators import decisions as E
 from attestry.operators import identity as I
 from attestry.operators import retrieve as R
 from attestry.plans import domain
@@ -170,3 +171,37 @@ def late_proxies(spark: SparkSession, sf: str) -> DataFrame:
     every = q.select("q_request_id").distinct().join(per, "q_request_id", "left")
     found = D.proxied(every, q, c).where("pooled")
     return found.select(F.col("q_request_id").alias("request_id"), F.col("c_source_id").alias("source_id"), "candidate_id", "resolution_type", "score", "coverage", "strength", "tier", "hard", F.round("factor", 9).alias("factor"), F.round("total", 6).alias("total"))
+
+
+# ---- decisions as events -----------------------------------------------------------------------------------------------------
+_EVENTS = """select cast(user_id as string) || '/' || cast(event_id % 20 as string) as request_id, ts, event_id, case event_type when 'signup' then 'save' when 'error' then 'lock' else 'decide' end as kind,
+  case event_id % 7 when 0 then 'unresolved' when 1 then 'reference_review_required' else 'recommendation_ready' end as status, case event_id % 3 when 0 then 'REFERENCE_ONLY' when 1 then 'USABLE_WITH_ASSUMPTIONS' else 'PRIMARY_RECOMMENDATION' end as tier,
+  case when event_id % 11 <> 0 then 'P-' || cast(event_id as string) end as candidate, cast(case when event_id % 5 = 0 then 2 else 1 end as int) as expected, event_type <> 'click' as approve, case when value > 20 then 'override' else 'standard' end as mode,
+  value > 10 as accepted, case when event_type = 'view' then 'seen' else '' end as reason from events"""
+_PLAYED = f"""
+with e as ({_EVENTS}), s as (select request_id, min((ts, event_id)) as seq from e where kind = 'save' group by 1), run as (select e.request_id, s.seq, e.status, e.tier, e.candidate from e join s on s.request_id = e.request_id and (e.ts, e.event_id) = s.seq),
+told as (select e.*, (e.ts, e.event_id) as seq, r.seq as run_seq, case when not approve then null when r.status = 'unresolved' or r.candidate is null then 'nothing_selectable' when r.tier = 'REFERENCE_ONLY' and (mode <> 'override' or reason = '') then 'override_required' when r.tier = 'USABLE_WITH_ASSUMPTIONS' and not coalesce(accepted, false) then 'acceptance_required' end as refusal from e left join run r on r.request_id = e.request_id),
+d as (select request_id, min(seq) as seq from told where kind = 'decide' and seq > run_seq and expected = 1 and refusal is null group by 1), dec as (select t.request_id, t.seq, t.approve, t.mode, t.accepted, t.reason from told t join d on d.request_id = t.request_id and t.seq = d.seq),
+l as (select t.request_id, min(t.seq) as seq from told t join dec on dec.request_id = t.request_id where t.kind = 'lock' and t.seq > dec.seq and dec.approve group by 1),
+played as (
+  select t.request_id, t.event_id, t.kind, t.candidate, t.approve, case when kind = 'save' then case when t.seq = run_seq then 'applied' else 'run_exists' end when run_seq is null or t.seq < run_seq then 'no_run'
+    when kind = 'decide' then case when t.seq = dec.seq then 'applied' when t.seq > dec.seq then case when t.approve = dec.approve and t.mode is not distinct from dec.mode and coalesce(t.accepted, false) = coalesce(dec.accepted, false) and t.reason = dec.reason then 'replayed' else 'another_decision' end when t.expected <> 1 then 'stale' else refusal end
+    else case when t.seq = l.seq then 'applied' when t.seq > l.seq then 'replayed' else 'not_approved' end end as outcome
+  from told t left join dec on dec.request_id = t.request_id left join l on l.request_id = t.request_id
+)
+"""
+
+
+def _decisions(spark: SparkSession, sf: str) -> DataFrame:
+    return domain.frame(spark, sf, _EVENTS, "events").withColumn("seq", F.struct("ts", "event_id"))
+
+
+@query(_PLAYED + "select event_id, request_id, kind, outcome, case when outcome = 'applied' then case kind when 'save' then 1 when 'decide' then 2 else 3 end end as revision from played")
+def decision_events(spark: SparkSession, sf: str) -> DataFrame:
+    """What every event comes to: saves, decisions at a stated revision, repeated and contrary ones, locks."""
+    return E.played(_decisions(spark, sf)).select("event_id", "request_id", "kind", "outcome", "revision")
+
+
+@query(_PLAYED + "select request_id, max(case kind when 'save' then 1 when 'decide' then 2 else 3 end) filter (outcome = 'applied') as revision, case max(case kind when 'save' then 1 when 'decide' then 2 else 3 end) filter (outcome = 'applied') when 3 then 'locked' when 1 then 'open' else case when bool_or(approve) filter (outcome = 'applied' and kind = 'decide') then 'approved' else 'rejected' end end as state, max(candidate) filter (outcome = 'applied' and kind = 'save') as candidate, count(*) filter (outcome <> 'applied') as refused from played group by request_id having count(*) filter (outcome = 'applied') > 0")
+def decision_states(spark: SparkSession, sf: str) -> DataFrame:
+    return E.states(_decisions(spark, sf))

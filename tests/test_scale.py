@@ -128,3 +128,36 @@ def test_material_score_reads_aliases(spark):
 def test_classes(spark):
     df = spark.createDataFrame([("ore of tin", "", "quarried"), ("blank", "ABS plastic", ""), ("铝 fused", None, None), ("x", "Oak", None), (None, None, None)], "n string, c string, p string").selectExpr(*[f"{normal_sql(k)} as {k}" for k in "ncp"])
     assert [(x["family"], x["category"]) for x in df.select(F.expr(proxy.material_class("n", "c", "p")).alias("k")).select("k.*").collect()] == [("natural minerals", "natural_mineral"), ("polymers", "synthetic_chemical"), ("metals", "metal"), ("oak", "unknown"), ("unknown", "unknown")]
+
+
+def test_decisions_as_sets_equal_the_store(spark):
+    """Random saves, decisions and locks one after another in the review store, and all at once as a table."""
+    from attestry.operators import decisions
+    from attestry.operators.review import ReviewError, ReviewStore, StaleRevision
+
+    said = {"exists": "run_exists", "no run": "no_run", "another decision": "another_decision", "nothing selectable": "nothing_selectable", "a reference needs": "override_required", "assumptions": "acceptance_required", "only an approved": "not_approved"}
+    r, store, rows, expected = random.Random(4), ReviewStore(), [], {}
+    for seq in range(1500):
+        request, kind = f"r{r.randrange(150)}", r.choice(["save", "decide", "decide", "decide", "lock"])
+        status, tier, candidate = r.choice(["recommendation_ready", "reference_review_required", "unresolved"]), r.choice(["PRIMARY_RECOMMENDATION", "REFERENCE_ONLY", "USABLE_WITH_ASSUMPTIONS"]), r.choice(["c1", "c2", "c2", "c2", None])
+        wanted, approve, mode, accepted, reason = r.choice([1, 1, 1, 2]), r.random() < 0.7, r.choice(["standard", "override"]), r.random() < 0.6, r.choice(["", "why"])
+        rows.append((request, seq, kind, status, tier, candidate, wanted, approve, mode, accepted, reason))
+        try:
+            before = store.revision(request) if kind != "save" else 0
+            if kind == "save":
+                store.save(request, status, tier, candidate)
+            elif kind == "decide":
+                store.decide(request, wanted, approve, mode, accepted, reason)
+            else:
+                store.lock(request)
+            after = store.revision(request)
+            expected[seq] = ("applied", after) if after > before else ("replayed", None)
+        except StaleRevision:
+            expected[seq] = ("stale", None)
+        except ReviewError as e:
+            expected[seq] = (next(v for k, v in said.items() if k in str(e)), None)
+    df = spark.createDataFrame(rows, "request_id string, seq int, kind string, status string, tier string, candidate string, expected int, approve boolean, mode string, accepted boolean, reason string")
+    assert {x["seq"]: (x["outcome"], x["revision"]) for x in decisions.played(df.orderBy(F.rand(2))).collect()} == expected
+    assert {v for v, _ in expected.values()} == {*said.values(), "applied", "replayed", "stale"}
+    assert {x["request_id"]: x["revision"] for x in decisions.states(df).collect()} == {k: len(run.trace) for k, run in store._runs.items()}
+    assert decisions.played(df.limit(0)).count() == 0

@@ -197,9 +197,14 @@ def indel_ratio(a: Column, b: Column) -> Column:
     return F.pandas_udf(_ratio, "double")(a, b)
 
 
+def pieces(text: Column) -> Column:
+    """Distinct words of a normalized text, split at blanks whatever their script, and its pairs of neighbours."""
+    return F.array_union(F.filter(F.split(text, " "), lambda w: w != ""), bigrams(text))
+
+
 def lexical_score(a: Column, b: Column) -> Column:
-    """The larger of the words-and-bigrams Jaccard and half the indel ratio; both texts normalized."""
-    return F.greatest(jaccard(F.array_union(tokens(a), bigrams(a)), F.array_union(tokens(b), bigrams(b))), 0.5 * indel_ratio(a, b))
+    """The larger of the Jaccard of ``pieces`` and half the indel ratio; both texts normalized."""
+    return F.greatest(jaccard(pieces(a), pieces(b)), 0.5 * indel_ratio(a, b))
 
 
 def material_terms(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from attestry.functions.text import bigrams, fold_unicode, grade_percent, lexical_score, normal_sql, tokens, words_sql
+from attestry.functions.text import fold_unicode, grade_percent, lexical_score, normal_sql, pieces, words_sql
 from attestry.functions.units import activity_unit, factor_unit
 from attestry.operators.qualify import RECORD_GATES, of_request
 
@@ -136,7 +136,7 @@ def lexical_features(name: Column) -> Column:
     for k of 2 to 7, so two letters are next to each other in one name and at most one apart in the other. There a + b <= 20, and as k is no more than
     the shorter name, no name is longer than 13. With k = 1 both names are the same letter.
     """
-    n, own = F.length(name), F.array_union(tokens(name), bigrams(name))
+    n, own = F.length(name), pieces(name)
     skips = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.concat(F.substr(name, i, F.lit(1)), F.substr(name, i + 2, F.lit(1))))
     return F.when((n >= 3) & (n <= 13), F.array_union(own, skips)).when(n == 1, F.array(name)).otherwise(own)
 

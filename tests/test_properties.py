@@ -70,14 +70,16 @@ def test_registry_prefers_long_matches_without_overlap(spark):
 
 
 def test_registry_equals_brute_force(spark):
-    own = [("r", "ring"), ("s", "steel"), ("t", "anvil"), ("u", "热轧"), ("v", "a.b"), ("w", "ring ring"), ("x", "-"), ("y", "😀"), ("z", "bolt"), ("q", "steel"), ("p", "😀y"), ("o", "steel-steel")]
+    own = [("r", "ring"), ("s", "steel"), ("t", "anvil"), ("u", "热轧"), ("v", "a.b"), ("w", "ring ring"), ("x", "-"), ("y", "😀"), ("z", "bolt"), ("q", "steel"), ("p", "😀y"), ("o", "steel-steel"), ("n", "钢"), ("m", "钢a")]
     r = random.Random(4)
-    names = ["string ring", "steel/bolt, steel", "blue anvil, red", "热轧steel板", "热轧板", "a.b a.b", "ring ring ring", "--", "steely", "x😀y", "blue-steel, steel bar steel"]
-    names += ["".join(r.choice([*[a for _, a in own], " ", "-", "x", "热", ", "]) for _ in range(r.randint(1, 7))) for _ in range(60)]
+    names = ["string ring", "steel/bolt, steel", "blue anvil, red", "热轧steel板", "热轧板", "a.b a.b", "ring ring ring", "--", "steely", "x😀y", "blue-steel, steel bar steel", "钢", "金属钢x", "钢板 钢", "x钢ab", "不锈钢", "钢纤维"]
+    names += ["".join(r.choice([*[a for _, a in own], " ", "-", "x", "热", ", ", "板", "金属"]) for _ in range(r.randint(1, 7))) for _ in range(60)]
 
     def brute(name):
         edge = lambda i: not (0 <= i < len(name) and name[i].isascii() and name[i].isalnum())
-        found = [(-len(a), i, k) for k, a in own for i in range(len(name)) if name.startswith(a, i) and edge(i - 1) and edge(i + len(a))]
+        beside = lambda i: len(name) == 1 or name[:i].endswith("金属") or name[i + 1 :].startswith(registry.SINGLE_AFTER)
+        fits = lambda a, i: (len(a) > 1 or beside(i)) if any("一" <= c <= "鿿" for c in a) else edge(i - 1) and edge(i + len(a))
+        found = [(-len(a), i, k) for k, a in own for i in range(len(name)) if name.startswith(a, i) and fits(a, i)]
         kept = []
         for n, i, k in sorted(found):
             if all(i >= j - m or j >= i - n for m, j, _ in kept):
@@ -91,13 +93,13 @@ def test_registry_equals_brute_force(spark):
 
 def test_lexical_observations_equal_brute_force(spark):
     r = random.Random(6)
-    names = ["abcdefg", "axbxcxdxexfxg", "axbcyde", "abzcdwe", "a", "b", "ab", "ba", "a b", "steel bar", "bar steel", "steal bar"]
+    names = ["abcdefg", "axbxcxdxexfxg", "axbcyde", "abzcdwe", "a", "b", "ab", "ba", "a b", "steel bar", "bar steel", "steal bar", "铝 锭", "锭 铝", "铝锭", "铝", "钢 x 5+", "5+ 铝 x", "c++ 钢"]
     names += ["".join(r.choice("abcd ") for _ in range(r.randint(1, 12))).strip() or "x" for _ in range(70)]
     names = sorted({" ".join(n.split()) for n in names})
     df = spark.createDataFrame([(n,) for n in names], "n string")
 
     def score(a, b):
-        f = lambda t: {w for w in t.split() if len(w) > 1} | {t[i : i + 2] for i in range(len(t) - 1)}
+        f = lambda t: set(t.split()) | {t[i : i + 2] for i in range(len(t) - 1)}
         both = f(a) | f(b)
         return round(max(len(f(a) & f(b)) / len(both) if both else 0.0, text._lcs(a, b) / (len(a) + len(b))), 6)
 

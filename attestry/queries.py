@@ -331,10 +331,11 @@ def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return q.select("request_id", X.fingerprint("request_id", "material_name", "amount", "quantity_unit", "boundary", "year").alias("fingerprint"), X.fingerprint("low", "quantity_unit").alias("business"))
 
 
-_TREE = ", d as (select sha256(source_id || chr(31) || material_name) as d from cat), l8 as (select substr(d, 1, 8) as k, sha256(string_agg(d, ':' order by d)) as d, count(*) as n from d group by 1)" + "".join(f", l{k} as (select substr(k, 1, {k}) as k, sha256(string_agg(d, ':' order by k)) as d, sum(n) as n from l{k + 2} group by 1)" for k in (6, 4, 2))
+#: The tree over the row digests ``d``, level by level.
+TREE = ", l8 as (select substr(d, 1, 8) as k, sha256(string_agg(d, ':' order by d)) as d, count(*) as n from d group by 1)" + "".join(f", l{k} as (select substr(k, 1, {k}) as k, sha256(string_agg(d, ':' order by k)) as d, sum(n) as n from l{k + 2} group by 1)" for k in (6, 4, 2)) + " select sha256(string_agg(d, ':' order by k)) as digest, cast(sum(n) as bigint) as rows from l2"
 
 
-@query(_CAT + _TREE + " select sha256(string_agg(d, ':' order by k)) as digest, cast(sum(n) as bigint) as rows from l2")
+@query(_CAT + ", d as (select sha256(source_id || chr(31) || material_name) as d from cat)" + TREE)
 def catalog_digest(spark: SparkSession, sf: str) -> DataFrame:
     return X.table_digest(domain.catalog(spark, sf), X.fingerprint("source_id", "material_name"))
 

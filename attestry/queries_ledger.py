@@ -11,7 +11,7 @@ from attestry.operators import ledger as L
 from attestry.operators import qualify as Q
 from attestry.plans import domain
 from attestry.plans.oracle_core import CORE, STEPPED, _norm
-from attestry.queries import evaluated, hits, query, table
+from attestry.queries import TREE, evaluated, hits, query, table
 
 _CAT = f"with cat as ({domain.CATALOG_SQL}) "
 
@@ -115,7 +115,7 @@ def database_anchors(spark: SparkSession, sf: str) -> DataFrame:
     return L.anchors(table(spark, sf, "part").select(F.sha2("p_brand", 256).alias("sha256"), F.col("p_name").alias("name")))
 
 
-@query("with e as (select 'forms' || chr(31) || p_type || chr(31) || p_size as entry from part union all select 'materials' || chr(31) || p_brand || chr(31) || p_name from part), d as (select sha256(entry) as d from e), b as (select substr(d, 1, 2) as b, sha256(string_agg(d, ':' order by d)) as d, count(*) as n from d group by 1) select sha256(string_agg(d, ':' order by b)) as digest, cast(sum(n) as bigint) as rows from b")
+@query("with e as (select 'forms' || chr(31) || p_type || chr(31) || p_size as entry from part union all select 'materials' || chr(31) || p_brand || chr(31) || p_name from part), d as (select sha256(entry) as d from e)" + TREE)
 def registry_digest(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part")
     return L.registry_digest({"materials": p.select(F.col("p_brand").alias("alias"), F.col("p_name").alias("rule")), "forms": p.select(F.col("p_type").alias("form"), F.col("p_size").alias("rule"))})

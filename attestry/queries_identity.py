@@ -163,14 +163,14 @@ _SCORED = _by_category(lambda w: "round(" + " + ".join(f"cast({v!r} as double) *
 _LATE = stepped(_core("false", _RECORDS, _REQUESTS, _PROXIES, _SCORED, _by_category(coverage_sql), "case when d_process >= 0.65 then 'class_technical_proxy' else 'class_generic_proxy' end", "proxy:"), "proxy:")
 
 
-@query(f"with {_NEEDS} select * from ({_LATE} select request_id, source_id, candidate_id, resolution_type, score, coverage, strength, tier, hard, round(factor, 9) as factor, round(total, 6) as total from pool)")
+@query(f"with {_NEEDS} select * from ({_LATE} select request_id, source_id, candidate_id, resolution_type, score, coverage, strength, tier, hard, round(factor, 9) as factor, round(total, 9) as total from pool)")
 def late_proxies(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates by material class of the requests that the first pass leaves without one, after their steps."""
     q, c = D.prepared(domain.requests(spark, sf, _REQUESTS), domain.family_catalog(spark, sf), domain.flows(spark, sf), domain.edges(spark, sf))
     per = D.summarized(S.finished(D.stepped(D.qualify(R.met(q, c)))))
     every = q.select("q_request_id").distinct().join(per, "q_request_id", "left")
     found = D.proxied(every, q, c).where("pooled")
-    return found.select(F.col("q_request_id").alias("request_id"), F.col("c_source_id").alias("source_id"), "candidate_id", "resolution_type", "score", "coverage", "strength", "tier", "hard", F.round("factor", 9).alias("factor"), F.round("total", 6).alias("total"))
+    return found.select(F.col("q_request_id").alias("request_id"), F.col("c_source_id").alias("source_id"), "candidate_id", "resolution_type", "score", "coverage", "strength", "tier", "hard", F.round("factor", 9).alias("factor"), F.round("total", 9).alias("total"))
 
 
 # ---- decisions as events -----------------------------------------------------------------------------------------------------

@@ -7,6 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Parts into which rows of one key are split, so that one key isn't one task.
+PARTS = 32
+
+
+def spread_join(requests: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """An equi-join on few keys of many rows each: rows of a key are split by hash into ``PARTS``, which the requests meet one by one."""
+    split = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(PARTS)).cast("int"))
+    every = requests.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return every.hint("merge").join(split.hint("merge"), [*keys, "_part"]).drop("_part")
+
+
 def quota_with_fallback(requests: DataFrame, quotas: DataFrame) -> DataFrame:
     """By canonical product, else by (head material, process); more than one match of the winning kind is ambiguous.
 
@@ -22,7 +33,8 @@ def quota_with_fallback(requests: DataFrame, quotas: DataFrame) -> DataFrame:
 def profiles(requests: DataFrame, rows: DataFrame) -> DataFrame:
     """Runtime-eligible, active profiles of a (head, process) at the wanted levels, without duplicates marked ambiguous."""
     usable = rows.where("active and runtime_eligible and not (allocation_status like '%AMBIGUOUS_DUPLICATE%')")
-    return requests.join(usable, ["head", "process"]).where(F.array_contains("levels", F.col("quota_level")))
+    wanted = requests.select("*", F.explode(F.array_distinct("levels")).alias("quota_level"))
+    return spread_join(wanted, usable, ["head", "process", "quota_level"])
 
 
 def emission_sum(rows: DataFrame) -> DataFrame:
@@ -62,7 +74,8 @@ def process_evidence(requests: DataFrame, evidence: DataFrame) -> DataFrame:
     requests: edge_id, reference_id, target_material, target_process; evidence: id, reference_id, target_material, target_process, value.
     """
     e = evidence.select("id", "reference_id", "target_material", F.coalesce("target_process", F.lit("")).alias("only_process"), "value")
-    return requests.join(e, ["reference_id", "target_material"]).where((F.col("only_process") == "") | (F.col("only_process") == F.col("target_process"))).select("edge_id", "id", "value")
+    wanted = requests.select("edge_id", "reference_id", "target_material", F.explode(F.expr("array_distinct(array_compact(array('', target_process)))")).alias("only_process"))
+    return spread_join(wanted, e, ["reference_id", "target_material", "only_process"]).select("edge_id", "id", "value")
 
 
 def inclusion_proof(rows: DataFrame) -> DataFrame:

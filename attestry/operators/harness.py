@@ -88,7 +88,11 @@ def replays(first: DataFrame, second: DataFrame, key: str, *columns: str) -> Dat
 def alias_baseline(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     """The plain retriever that others are measured against: equal compact labels of names or aliases. requests: request_id, name; catalog: source_id, name, aliases."""
     c = catalog.select("source_id", F.explode(F.array_distinct(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), compact_label))).alias("label")).where("label <> ''")
-    return requests.select("request_id", compact_label(F.col("name")).alias("label")).join(c, "label").select("request_id", "source_id").distinct()
+    q = requests.groupBy("request_id").agg(F.collect_set(compact_label(F.col("name"))).alias("labels"))
+    # both sides are distinct, and a pair counts at the first label that it has in common: no pairs are kept to be compared
+    c = c.groupBy("source_id").agg(F.collect_set("label").alias("own"))
+    met = q.select("request_id", "labels", F.explode("labels").alias("label")).join(c.select("source_id", "own", F.explode("own").alias("label")).hint("merge"), "label")
+    return met.where("label = array_min(array_intersect(labels, own))").select("request_id", "source_id")
 
 
 def findings(checks: DataFrame) -> DataFrame:

@@ -64,3 +64,23 @@ def test_pairs_are_not_kept_to_be_compared(spark):
     wanted = spark.createDataFrame([("r", "red", "gear"), ("r", "red", None), ("s", "", "")], "request_id string, class_name string, family string")
     records = spark.createDataFrame([("x", "red gear", None, None), ("x", "a red one", None, None), ("y", "gear", "g", "f")], "source_id string, material_name string, class string, family_name string")
     assert sorted(map(tuple, proxy.class_proxies(wanted, records).collect())) == [("r", "x"), ("r", "y")]
+
+
+def test_classes_of_requests_lose_no_request(spark):
+    """Requests that are alike are worked out once, beyond what one row of ids holds, and each of them is told; null isn't an empty text."""
+    rows = [(f"r{i:03d}", "steel rod", None) for i in range(150)] + [("s0", "steel rod", ""), ("s1", "copper", None)]
+    own = retrieve.alike(spark.createDataFrame(rows, "request_id string, material_name string, aliases string"))
+    kinds = own.collect()
+    assert sorted(len(k["members"]) for k in kinds) == [1, 1, 22, 64, 64] and all(k["request_id"] == k["members"][0] for k in kinds)
+    said = own.where("aliases is null and material_name = 'steel rod'").select(F.col("request_id").alias("q_request_id"), F.lit(7).alias("n"))
+    assert sorted((r["q_request_id"], r["n"]) for r in retrieve.told(said, own, "left").collect()) == sorted((i, 7 if name == "steel rod" and a is None else None) for i, name, a in rows)
+
+
+def test_tables_of_requests_are_not_broadcast(spark, tmp_path):
+    """Small files may hold many rows: no table that requests are made of goes over the driver."""
+    spark.range(50).selectExpr("id as p_partkey", "'red rod' as p_name", "'B' as p_brand", "'T' as p_type", "1 as p_size", "1.0D as p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(50).selectExpr("id as o_orderkey", "'O' as o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(50).selectExpr("id as l_orderkey", "id as l_partkey", "1.0D as l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    q, c = domain.requests(spark, str(tmp_path)), domain.catalog(spark, str(tmp_path))
+    for found in (q, decide.with_routes(c, domain.edges(spark, str(tmp_path))), decide.with_flows(q, domain.flows(spark, str(tmp_path)))):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 50

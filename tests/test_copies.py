@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from attestry import queries
 from attestry.operators import decide, evidence, harness, proxy, qualify, retrieve, score
 from attestry.plans import domain
 
@@ -84,3 +85,29 @@ def test_tables_of_requests_are_not_broadcast(spark, tmp_path):
     q, c = domain.requests(spark, str(tmp_path)), domain.catalog(spark, str(tmp_path))
     for found in (q, decide.with_routes(c, domain.edges(spark, str(tmp_path))), decide.with_flows(q, domain.flows(spark, str(tmp_path)))):
         assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 50
+
+
+def test_copies_of_requests_are_worked_out_once(spark, tmp_path):
+    """Orders that differ in nothing but number and quantity add no pairs for gates and scores, and each of them is told."""
+    part, orders, lines = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("part", "orders", "lineitem"))
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    more = F.explode(F.expr("sequence(0, 2)")).alias("k")  # 138600 is a multiple of all that the statements divide a number by
+    orders.where("o_orderkey % 5 = 0").select("*", more).withColumn("o_orderkey", F.expr("o_orderkey + k * 138600L")).drop("k").write.parquet(f"{tmp_path}/orders.parquet")
+    lines.where("l_orderkey % 5 = 0").select("*", more).withColumns({"l_orderkey": F.expr("l_orderkey + k * 138600L"), "l_quantity": F.expr("l_quantity + k")}).drop("k").write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders.where("o_orderkey % 5 = 0").write.parquet(f"{tmp_path}/once/orders.parquet")
+    lines.where("l_orderkey % 5 = 0").write.parquet(f"{tmp_path}/once/lineitem.parquet")
+    part.write.parquet(f"{tmp_path}/once/part.parquet")
+    many, once = str(tmp_path), f"{tmp_path}/once"
+    for pairs_of in (queries.hits, queries.counted, queries.scored):
+        assert pairs_of(spark, many).count() == pairs_of(spark, once).count() > 0
+    for name in ("gates", "funnel", "reason_rollup"):
+        assert queries.QUERIES[name](spark, many).count() == 3 * queries.QUERIES[name](spark, once).count() > 0
+
+
+def test_columns_of_a_pair_are_made_once(spark):
+    """What is told of a pair is a row made below the generator of its records, not an expression that every record works out again."""
+    pairs = spark.createDataFrame([("q", ["a", "b"], "x")], "q_request_id string, c_members array<string>, text string")
+    told = retrieve.own_records(pairs, F.sha2("text", 256).alias("digest"))
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("explode") :]
+    assert "inline" in below and "sha2" in below[below.index("inline") :].splitlines()[0] and sorted(r["c_source_id"] for r in told.collect()) == ["a", "b"]

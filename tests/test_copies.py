@@ -111,3 +111,24 @@ def test_columns_of_a_pair_are_made_once(spark):
     plan = told._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("explode") :]
     assert "inline" in below and "sha2" in below[below.index("inline") :].splitlines()[0] and sorted(r["c_source_id"] for r in told.collect()) == ["a", "b"]
+
+
+def test_rows_are_joined_as_lists(spark):
+    """Pairs of lists meet, not pairs of rows; copies, nulls and rows of keys that the other side lacks are as in a plain join."""
+    wanted = spark.range(300).selectExpr("concat('e', id) as edge", "case when id % 3 < 2 then 'h' when id = 2 then null else 'x' end as head", "if(id % 7 = 0, null, id) as more")
+    rows = spark.range(500).selectExpr("'h' as head", "id div 2 as id", "if(id % 5 = 0, null, 1.5D) as value").unionByName(spark.sql("select cast(null as string) as head, 1L as id, 2D as value"))
+    lists = evidence.listed(wanted, ["head"])
+    assert lists.selectExpr("sum(size(rows))").first()[0] == 300 and lists.count() <= 3 * evidence.PARTS
+    text = lambda df: sorted(map(str, df.select("head", "edge", "more", "id", "value").collect()))
+    assert text(evidence.spread_join(wanted, rows, ["head"])) == text(wanted.join(rows, "head")) != []
+
+
+def test_conflicts_are_found_from_digests(spark):
+    """No task sorts whole records by key before they have moved, and of conflicts nothing but digests is grouped."""
+    c = domain.catalog_with_duplicates(spark, SF)
+    plan = decide.external_conflicts(c)._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by" not in plan and "min_by" in retrieve.single(c)._jdf.queryExecution().optimizedPlan().toString()
+    own = {r["source_id"]: r["copies"] for r in retrieve.single(c).where("conflict").collect()}
+    assert own and own == {r["source_id"]: r["copies"] for r in decide.external_conflicts(c).collect()}
+    executed = retrieve.single(c)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min_by" not in executed[executed.index("hashpartitioning") :]

@@ -11,11 +11,27 @@ from pyspark.sql.window import Window
 PARTS = 32
 
 
+#: Rows that one list holds at most.
+LISTED = 64
+
+
+def listed(rows: DataFrame, keys: list[str], parts: int = PARTS) -> DataFrame:
+    """Rows of equal keys and equal ``_part`` in lists of at most ``LISTED``: (keys, _part, rows); the part is a hash of the row."""
+    split = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(parts)).cast("int"))
+    kept = [c for c in rows.columns if c not in keys]
+    place = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*kept))
+    per = split.withColumn("_list", F.floor((place - 1) / LISTED)).groupBy(*keys, "_part", "_list")
+    return per.agg(F.collect_list(F.struct(*kept)).alias("rows")).drop("_list")
+
+
 def spread_join(requests: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """An equi-join on few keys of many rows each: rows of a key are split by hash into ``PARTS``, which the requests meet one by one."""
-    split = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(PARTS)).cast("int"))
-    every = requests.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    return every.hint("merge").join(split.hint("merge"), [*keys, "_part"]).drop("_part")
+    """An equi-join on few keys of many rows each: rows of a key are split by hash into ``PARTS``, which the requests meet one by one.
+
+    Lists of rows are joined, and set out afterwards: a pair of lists stands for up to ``LISTED`` squared rows of the result.
+    """
+    every = listed(requests, keys, 4).withColumnRenamed("rows", "_asking").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    both = every.hint("merge").join(listed(rows, keys).withColumnRenamed("rows", "_rows").hint("merge"), [*keys, "_part"])
+    return both.select(*keys, "_rows", F.inline("_asking")).select(*keys, *[c for c in requests.columns if c not in keys], F.inline("_rows"))
 
 
 def quota_with_fallback(requests: DataFrame, quotas: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from attestry import queries
+from attestry import queries, queries_identity
 from attestry.operators import decide, evidence, harness, proxy, qualify, retrieve, score
 from attestry.plans import domain
 
@@ -132,3 +133,26 @@ def test_conflicts_are_found_from_digests(spark):
     assert own and own == {r["source_id"]: r["copies"] for r in decide.external_conflicts(c).collect()}
     executed = retrieve.single(c)._jdf.queryExecution().executedPlan().toString()
     assert "partial_min_by" not in executed[executed.index("hashpartitioning") :]
+
+
+def test_late_proxies_are_worked_out_once(spark, tmp_path, monkeypatch):
+    """Copies of requests that differ in number and quantity, and of records, add no pairs to be scored; all of them are told, as the SQL says."""
+    part, orders, lines = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("part", "orders", "lineitem"))
+    part = part.where("p_partkey % 2 = 0")
+    more = F.explode(F.expr("sequence(0, 2)")).alias("k")  # 138600 is a multiple of all that the statements divide a number by
+    asked, lines = orders.where("o_orderkey % 6 in (1, 2, 4)"), lines.withColumn("l_partkey", F.expr("l_partkey - l_partkey % 2"))
+    for folder, copies in (("once", "k = 0"), ("many", "true")):
+        part.select("*", more).where(copies).withColumn("p_partkey", F.expr("p_partkey + k * 138600L")).drop("k").write.parquet(f"{tmp_path}/{folder}/part.parquet")
+        asked.select("*", more).where(copies).withColumn("o_orderkey", F.expr("o_orderkey + k * 138600L")).drop("k").write.parquet(f"{tmp_path}/{folder}/orders.parquet")
+        lines.select("*", more).where(copies).withColumns({"l_orderkey": F.expr("l_orderkey + k * 138600L"), "l_quantity": F.expr("l_quantity + k / 7")}).drop("k").write.parquet(f"{tmp_path}/{folder}/lineitem.parquet")
+    scored, told, finished = {}, {}, score.finished
+    for folder in ("once", "many"):
+        monkeypatch.setattr(score, "finished", lambda df, *more, at=folder: finished(scored.update({at: df}) or df, *more))
+        told[folder] = queries_identity.late_proxies(spark, f"{tmp_path}/{folder}").collect()
+        monkeypatch.setattr(score, "finished", finished)
+    assert len(told["many"]) == 9 * len(told["once"]) > 0
+    assert scored["many"].count() == scored["once"].count() > 0
+    db = duckdb.connect()
+    for t in ("part", "orders", "lineitem"):
+        db.execute(f"create view {t} as select * from '{tmp_path}/many/{t}.parquet/*.parquet'")
+    assert sorted(map(tuple, told["many"])) == sorted(db.execute(queries.ORACLES["late_proxies"]).fetchall())

@@ -65,7 +65,8 @@ def unique_value(rows: DataFrame) -> DataFrame:
 
 def scoped_parameters(edges: DataFrame, rows: DataFrame) -> DataFrame:
     """Parameters whose four scope keys match; a blank reference id matches every reference."""
-    return edges.join(rows, ["ref_head", "ref_process", "target_head", "target_process"]).where((F.col("scope_ref") == "") | (F.col("scope_ref") == F.col("reference_id")))
+    wanted = edges.withColumn("scope_ref", F.explode(F.expr("array_distinct(array_compact(array('', reference_id)))")))
+    return spread_join(wanted, rows, ["ref_head", "ref_process", "target_head", "target_process", "scope_ref"])
 
 
 def merge_evidence(branches: list[DataFrame]) -> DataFrame:

@@ -156,3 +156,16 @@ def test_late_proxies_are_worked_out_once(spark, tmp_path, monkeypatch):
     for t in ("part", "orders", "lineitem"):
         db.execute(f"create view {t} as select * from '{tmp_path}/many/{t}.parquet/*.parquet'")
     assert sorted(map(tuple, told["many"])) == sorted(db.execute(queries.ORACLES["late_proxies"]).fetchall())
+
+
+def test_parameters_of_one_scope_are_not_one_task(spark):
+    """A scope's rows are split over tasks, and those of another reference don't meet; blank and unknown references are as in a plain join."""
+    scope = {"ref_head": F.lit("h"), "ref_process": F.lit("p"), "target_head": F.lit("t"), "target_process": F.lit("p")}
+    edges = spark.range(200).selectExpr("id as edge", "case id % 4 when 0 then 'a' when 1 then 'b' when 2 then '' end as reference_id").withColumns(scope)
+    rows = spark.range(300).selectExpr("id", "case id % 3 when 0 then '' when 1 then 'a' end as scope_ref", "if(id % 5 = 0, null, 1.5D) as value").withColumns(scope)
+    found = evidence.scoped_parameters(edges, rows)
+    plain = edges.join(rows, list(scope)).where("scope_ref = '' or scope_ref = reference_id")
+    text = lambda df: sorted(map(str, df.select("edge", "id", "value").collect()))
+    assert text(found) == text(plain) != []
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "_part" in plan[plan.index("SortMergeJoin") :].splitlines()[0]

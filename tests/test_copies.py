@@ -169,3 +169,37 @@ def test_parameters_of_one_scope_are_not_one_task(spark):
     assert text(found) == text(plain) != []
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "_part" in plan[plan.index("SortMergeJoin") :].splitlines()[0]
+
+
+@pytest.fixture
+def thrice(spark, tmp_path):
+    """Folders of the tables with a fifth of the orders, and with three copies of these that differ in number and quantity alone."""
+    part, orders, lines = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("part", "orders", "lineitem"))
+    more = F.explode(F.expr("sequence(0, 2)")).alias("k")  # 138600 is a multiple of all that the statements divide a number by
+    for folder, copies in (("once", "k = 0"), ("many", "true")):
+        part.write.parquet(f"{tmp_path}/{folder}/part.parquet")
+        orders.where("o_orderkey % 5 = 0").select("*", more).where(copies).withColumn("o_orderkey", F.expr("o_orderkey + k * 138600L")).drop("k").write.parquet(f"{tmp_path}/{folder}/orders.parquet")
+        lines.where("l_orderkey % 5 = 0").select("*", more).where(copies).withColumns({"l_orderkey": F.expr("l_orderkey + k * 138600L"), "l_quantity": F.expr("l_quantity + k")}).drop("k").write.parquet(f"{tmp_path}/{folder}/lineitem.parquet")
+    return tmp_path
+
+
+def by_sql(folder, name):
+    db = duckdb.connect()
+    for t in ("part", "orders", "lineitem"):
+        db.execute(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
+    return sorted(db.execute(queries.ORACLES[name]).fetchall())
+
+
+def told_once(spark, monkeypatch, folder, name, module, step):
+    """Rows of the query over three copies are as the SQL's, and what ``step`` works on doesn't grow with them."""
+    kept, own = {}, getattr(module, step)
+    for at in ("once", "many"):
+        monkeypatch.setattr(module, step, lambda df, *more, at=at, **named: own(kept.update({at: df}) or df, *more, **named))
+        found = sorted(map(tuple, queries.QUERIES[name](spark, f"{folder}/{at}").collect()))
+        monkeypatch.setattr(module, step, own)
+        assert found == by_sql(f"{folder}/{at}", name) != []
+    assert kept["many"].count() == kept["once"].count() > 0
+
+
+def test_confidence_is_told_once(spark, thrice, monkeypatch):
+    told_once(spark, monkeypatch, thrice, "confidence_margin", score, "confidence")

@@ -203,3 +203,7 @@ def told_once(spark, monkeypatch, folder, name, module, step):
 
 def test_confidence_is_told_once(spark, thrice, monkeypatch):
     told_once(spark, monkeypatch, thrice, "confidence_margin", score, "confidence")
+
+
+def test_request_gaps_are_told_once(spark, thrice, monkeypatch):
+    told_once(spark, monkeypatch, thrice, "request_gaps", decide, "request_gaps")

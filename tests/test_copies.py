@@ -207,3 +207,10 @@ def test_confidence_is_told_once(spark, thrice, monkeypatch):
 
 def test_request_gaps_are_told_once(spark, thrice, monkeypatch):
     told_once(spark, monkeypatch, thrice, "request_gaps", decide, "request_gaps")
+
+
+@pytest.mark.parametrize("name", ["lineage"])
+def test_steps_are_told_once(spark, thrice, monkeypatch, name):
+    from attestry import queries_ledger  # noqa: F401  registers lineage
+
+    told_once(spark, monkeypatch, thrice, name, decide, "set_out")

@@ -209,7 +209,7 @@ def test_request_gaps_are_told_once(spark, thrice, monkeypatch):
     told_once(spark, monkeypatch, thrice, "request_gaps", decide, "request_gaps")
 
 
-@pytest.mark.parametrize("name", ["lineage"])
+@pytest.mark.parametrize("name", ["lineage", "resolution_steps"])
 def test_steps_are_told_once(spark, thrice, monkeypatch, name):
     from attestry import queries_ledger  # noqa: F401  registers lineage
 

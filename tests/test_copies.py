@@ -214,3 +214,10 @@ def test_steps_are_told_once(spark, thrice, monkeypatch, name):
     from attestry import queries_ledger  # noqa: F401  registers lineage
 
     told_once(spark, monkeypatch, thrice, name, decide, "set_out")
+
+
+def test_digests_do_not_move_with_rows(spark):
+    """Rows are digested where they have moved to, so that no shuffle holds the digests; a record goes to few tasks of its material class."""
+    plan = retrieve.classes(domain.catalog(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    at = plan.index("Exchange")
+    assert "sha2" in plan[:at] and "sha2" not in plan[at:] and proxy.PARTS <= 4
